@@ -16,17 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder of spark.checkpoint.dir.
-
-    The files survive a lost executor. A folder of our own is set only where the session names none
-    (single-machine tests).
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes sure that checkpoints have a folder: the one that spark.checkpoint.dir names, else (single-machine tests) one of our own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the checkpoint folder; its files survive a lost executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
