@@ -1,14 +1,42 @@
-"""The queries opN_<name>: each applies one operator of this subpackage, with production parameters, to its whole table."""
+"""The queries opN_<name>: each applies one operator of this subpackage, with production parameters, to its whole table.
+
+ORACLES has SQL for those that SQL can express; the others are tested against brute force, round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import prefix_table, token_counts
+from . import language_pieces, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, rule_ledger, secret_network, token_counts, wavelet_shards
 from .common import table
 
 
+def op1_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_network.find(table(spark, sf_dir, "documents"), secret_network.trained())
+
+
+def op4_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_mixture_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_budget.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_table.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -17,5 +45,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_prefix_table, op8_token_counts)}
-ORACLES: dict[str, str] = {}
+def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_pieces.languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, op10_language_pieces)}
+ORACLES = {"op5_mixture_budget": mixture_budget.oracle(), "op9_rule_ledger": rule_ledger.oracle()}
