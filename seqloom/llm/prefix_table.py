@@ -141,12 +141,10 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
         begin, end = e.library.bos_id(), e.library.eos_id()
         counts, shas, texts = [], [], []
         for t in batch.column(1).to_pylist():
-            found = array("I", [begin])
-            found.extend(e.encode(t or ""))
-            found.append(end)
+            found = [begin, *e.encode(t or ""), end]
             counts.append(len(found))
-            shas.append(hashlib.sha256(found.tobytes()).hexdigest())
-            texts.append(hashlib.sha256(e.decode(found.tolist()).encode("utf-8")).hexdigest())
+            shas.append(hashlib.sha256(array("I", found).tobytes()).hexdigest())
+            texts.append(hashlib.sha256(e.decode(found).encode("utf-8")).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
