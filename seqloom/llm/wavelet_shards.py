@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -30,7 +31,7 @@ from . import common
 MAGIC, SHARD_TOKENS, STEP = b"WVM1", 1 << 20, 512
 SHARD_SCHEMA = "part int, seq int, local_start long, n_tokens long, image binary"
 #: Words kept by the encoder of one worker process: about 200 bytes each.
-WORDS_KEPT = 900_000
+WORDS_KEPT = 1_400_000
 
 
 class WaveletMatrix:
@@ -158,7 +159,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 0x10000 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size(with_added_tokens=True) <= 0x10000 else ("<u4", "I")
         self.words: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
@@ -169,7 +170,7 @@ class Encoder:
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             found = self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            self.words.update(zip(some, (np.array(e.ids, self.kind).tobytes() for e in found)))
+            self.words.update(zip(some, (array(self.code, e.ids).tobytes() for e in found)))
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """The ids of each text, with `end_id` behind. Works on runs of texts of about a million words."""
