@@ -40,6 +40,20 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """What `build` makes, kept in this process until another key is asked for.
+
+    Workers are used again by later stages; so the caches of one operator at a time take memory in them.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 class WordCache(dict):
     """A dict that computes what it lacks and is emptied when `limit` entries are reached, so memory stays bounded."""
 

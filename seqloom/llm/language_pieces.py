@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -250,9 +249,8 @@ class _Held:
         return self.key == other.key
 
 
-@lru_cache(1)
 def _scorer_of(held: _Held) -> Scorer:
-    return Scorer(held.model)
+    return common.held(("language pieces", held), lambda: Scorer(held.model))
 
 
 def predict(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:

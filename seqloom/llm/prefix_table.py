@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
@@ -100,10 +99,9 @@ class PrefixTableEncoder:
         return self.library.decode(ids)
 
 
-@lru_cache(2)
 def encoder(path: str) -> PrefixTableEncoder:
-    """One encoder for each worker process and model."""
-    return PrefixTableEncoder(path)
+    """The encoder that a worker process keeps."""
+    return common.held(("prefix table", path), lambda: PrefixTableEncoder(path))
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:

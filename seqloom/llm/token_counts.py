@@ -8,7 +8,6 @@ prefixes answer where to truncate and what fits a budget without encoding anythi
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +113,9 @@ class TokenCounter:
         return text[: int(fits[-1])] if len(fits) else ""
 
 
-@lru_cache(2)
 def counter(path: str) -> TokenCounter:
-    """One counter for each worker process and vocabulary."""
-    return TokenCounter(path)
+    """The counter that a worker process keeps."""
+    return common.held(("token counts", path), lambda: TokenCounter(path))
 
 
 def counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:

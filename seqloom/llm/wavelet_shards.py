@@ -16,7 +16,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -191,12 +191,11 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)) + end, self.kind) for words in held]
 
 
-@lru_cache(1)
 def encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Encoder(path)
+    return common.held(("wavelet shards", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> None:
