@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a word cache holds in one Python worker before it is emptied (about 200 bytes each).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,9 @@ def held(key: tuple, build: Callable):
     """
     if key not in _held:
         _held.clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # gives freed memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
         _held[key] = build()
     return _held[key]
 

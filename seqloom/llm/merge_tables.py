@@ -128,7 +128,7 @@ class MergeVocabulary:
     def _remember(self, before: str, piece: str, fits: dict[str, bool]) -> bool:
         """Tests a pair and keeps the answer; the answers are dropped when they are too many."""
         self.remembered += 1
-        if self.remembered > 400_000:
+        if self.remembered > 200_000:
             self.remembered = 0
             for _, _, other in self.automaton.values():
                 other.clear()

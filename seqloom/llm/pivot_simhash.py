@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row: the fingerprint as a signed long. A null text counts as empty."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common.held(("pivot simhash",), dict)  # lets go of another operator's caches
         found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 

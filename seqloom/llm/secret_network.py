@@ -259,6 +259,7 @@ def find(docs: DataFrame, network: Network) -> DataFrame:
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common.held(("secret network",), dict)  # lets go of another operator's caches
         found = scan([t or "" for t in batch.column(1).to_pylist()], network)
         base = [[s for s in spans if s[1] < 3] for spans in found]
         counts = [pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64()) for k in range(3)]
@@ -284,6 +285,7 @@ def redact(docs: DataFrame, network: Network) -> DataFrame:
     kinds = {f.name: f.dataType for f in schema.fields}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common.held(("secret network",), dict)  # lets go of another operator's caches
         texts = batch.column("text").to_pylist()
         clean = [None if t is None else redacted(t, s) for t, s in zip(texts, scan([t or "" for t in texts], network))]
         columns = {n: batch.column(n) for n in batch.schema.names}
