@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a word cache holds in one Python worker before it is emptied (about 200 bytes each).
 CACHE_ENTRIES = 250_000
+#: Bytes of an Arrow batch that are worked on at a time; what a batch is turned into is held for so much of it only.
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +36,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """`df` through a function from Arrow batch to Arrow batch."""
+    """`df` through a function from Arrow batch to Arrow batch, of about SLICE_BYTES (or one row, if longer) at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield work(batch)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                yield work(batch.slice(at, rows))
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _held: dict = {}
 
 
@@ -53,9 +66,7 @@ def held(key: tuple, build: Callable):
     """
     if key not in _held:
         _held.clear()
-        gc.collect()
-        with contextlib.suppress(AttributeError, OSError):  # gives freed memory back, where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
         _held[key] = build()
     return _held[key]
 
