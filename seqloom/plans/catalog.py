@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lists, ranges, scalars, scoring, trees
+from . import lists, ranges, scalars, scoring, segments, trees
 
-MODULES = (lists, ranges, trees, scoring, scalars)
+MODULES = (lists, ranges, trees, scoring, scalars, segments)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
