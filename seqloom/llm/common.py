@@ -35,14 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """`df` through a function from Arrow batch to Arrow batch, of about SLICE_BYTES (or one row, if longer) at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
-            for at in range(0, batch.num_rows, rows):
-                yield work(batch.slice(at, rows))
+        yield from map(work, slices(batches))
         release()
 
     return df.mapInArrow(run, schema)

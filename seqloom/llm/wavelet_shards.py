@@ -12,14 +12,16 @@ lengths (int64), planes.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,8 +32,12 @@ from . import common
 
 MAGIC, SHARD_TOKENS, STEP = b"WVM1", 1 << 20, 512
 SHARD_SCHEMA = "part int, seq int, local_start long, n_tokens long, image binary"
-#: Words kept by the encoder of one worker process: about 200 bytes each.
-WORDS_KEPT = 1_400_000
+#: Pre-tokens (and words of other texts) kept by the encoder of one worker process: about 200 bytes each.
+KEPT = 600_000
+#: What a vocabulary file must say about its splitting for texts to be split here.
+SPLIT, NORMALIZERS, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", ["NFC", "Replace", "Lowercase"], "</w>"
+#: Texts of printable ASCII, Latin-1 letters and ASCII white space, which normal forms leave alone, and the same splitting for these when lower-cased.
+PLAIN, PARTS = re.compile("[!-~À-ÖØ-öø-ÿ \t\n\v\f\r]*"), r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\v\f\r]+"
 
 
 class WaveletMatrix:
@@ -153,42 +159,75 @@ class Shard:
 
 
 class Encoder:
-    """Ids of whole texts. No pre-token of the vocabulary reaches over white space, so words between it are encoded once and kept."""
+    """Ids of whole texts. No pre-token of the vocabulary reaches over white space, so what lies between is encoded once and kept.
+
+    Plain texts are cut into pre-tokens, and the library encodes many of these in one call: each ends with the one entry that has
+    the mark of a word's end. Other texts, and all of vocabularies that split otherwise, are cut at ASCII white space only, and
+    their words go to the library one by one.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size(with_added_tokens=True) <= 0x10000 else ("<u4", "I")
-        self.words: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            found = self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            self.words.update(zip(some, (array(self.code, e.ids).tobytes() for e in found)))
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        marked = said["model"].get("end_of_word_suffix") == WORD_END
+        self.splits = marked and steps[0].get("pattern") == {"Regex": SPLIT} and [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
+        self.ends = {i for p, i in self.library.get_vocab(with_added_tokens=False).items() if p.endswith(WORD_END)}
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in said["added_tokens"]) or "(?!)")
+        self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, with `end_id` behind. Works on runs of texts of about a million words."""
-        out: list[np.ndarray] = []
-        held: list[list[bytes]] = []
-        size = 0
-        for text in texts:
-            held.append(text.encode("utf-8").split())  # bytes: at ASCII white space, which is all dropped
-            size += len(held[-1])
-            if size > 200_000:
-                out += self._run(held, end_id)
-                held, size = [], 0
-        return out + self._run(held, end_id)
-
-    def _run(self, held: list[list[bytes]], end_id: int) -> list[np.ndarray]:
-        self._learn(set().union(*held))
-        get, end = self.words.__getitem__, np.array([end_id], self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(get, words)) + end, self.kind) for words in held]
+        """The ids of each text, with `end_id` behind."""
+        plain = [self.splits and PLAIN.fullmatch(t) is not None and not self.added.search(t) for t in texts]
+        spaced = pc.replace_substring_regex(pa.array([t.lower() for t, p in zip(texts, plain) if p], pa.large_string()), PARTS, r"\0 ")
+        some = iter(self._ids(pc.split_pattern_regex(spaced, "[ \t\n\v\f\r]+"), self._together, end_id))
+        whole = pa.array([t for t, p in zip(texts, plain) if not p], pa.large_string())
+        others = iter(self._ids(pc.split_pattern_regex(whole, "[ \t\n\v\f\r]+"), self._each, end_id))
+        return [next(some if p else others) for p in plain]
+
+    def _ids(self, cut: pa.Array, encoded: Callable[[list[str]], Iterable[bytes]], end_id: int) -> list[np.ndarray]:
+        """The ids of texts that are cut, by way of their distinct units."""
+        if not len(cut):
+            return []
+        units = cut.flatten().dictionary_encode()
+        known = self._learned(units.dictionary.to_pylist(), encoded)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.kind).itemsize
+        pool, starts, at = np.frombuffer(b"".join(known), self.kind), np.cumsum(sizes) - sizes, units.indices.to_numpy()
+        each = sizes[at]
+        after = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[at] - after[:-1], each) + np.arange(after[-1])]
+        offsets = after[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        end = np.array([end_id], self.kind)
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+    def _learned(self, units: list[str], encoded: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        new = [u for u in units if u not in self.kept]
+        if len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+            new = units
+        for at in range(0, len(new), 512):
+            some = new[at : at + 512]
+            self.kept.update(zip(some, encoded(some)))
+        return list(map(self.kept.__getitem__, units))
+
+    def _each(self, words: list[str]) -> Iterable[bytes]:
+        return (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+
+    def _together(self, parts: list[str]) -> Iterable[bytes]:
+        full, found, part = [p for p in parts if p], [], array(self.code)
+        for i in self.library.encode_batch_fast([" ".join(full)], add_special_tokens=False)[0].ids:
+            part.append(i)
+            if i in self.ends:
+                found.append(part.tobytes())
+                part = array(self.code)
+        if len(found) != len(full) or part:
+            return self._each(parts)
+        it = iter(found)
+        return [next(it) if p else b"" for p in parts]
 
 
 def encoder(path: str) -> Encoder:
@@ -217,7 +256,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_to
             image = file_image(doc_ids, [len(h) for h in held], np.concatenate(held))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "local_start": [start], "n_tokens": [size], "image": pa.array([image], pa.binary())})
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for d, ids in zip(batch.column(0).to_pylist(), e.encode([t or "" for t in batch.column(1).to_pylist()], end_id)):
                 doc_ids.append(d)
                 held.append(ids)
@@ -227,6 +266,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_to
                     seq, start, doc_ids, held, size = seq + 1, start + size, [], [], 0
         if held:
             yield shard()
+        common.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
