@@ -33,7 +33,7 @@ from . import common
 MAGIC, SHARD_TOKENS, STEP = b"WVM1", 1 << 20, 512
 SHARD_SCHEMA = "part int, seq int, local_start long, n_tokens long, image binary"
 #: Pre-tokens (and words of other texts) kept by the encoder of one worker process: about 200 bytes each.
-KEPT = 600_000
+KEPT = 1_200_000
 #: What a vocabulary file must say about its splitting for texts to be split here.
 SPLIT, NORMALIZERS, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", ["NFC", "Replace", "Lowercase"], "</w>"
 #: Texts of printable ASCII, Latin-1 letters and ASCII white space, which normal forms leave alone, and the same splitting for these when lower-cased.
@@ -183,10 +183,10 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """The ids of each text, with `end_id` behind."""
         plain = [self.splits and PLAIN.fullmatch(t) is not None and not self.added.search(t) for t in texts]
-        spaced = pc.replace_substring_regex(pa.array([t.lower() for t, p in zip(texts, plain) if p], pa.large_string()), PARTS, r"\0 ")
-        some = iter(self._ids(pc.split_pattern_regex(spaced, "[ \t\n\v\f\r]+"), self._together, end_id))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())), PARTS, r"\0 ")
+        some = iter(self._ids(pc.ascii_split_whitespace(spaced), self._together, end_id))
         whole = pa.array([t for t, p in zip(texts, plain) if not p], pa.large_string())
-        others = iter(self._ids(pc.split_pattern_regex(whole, "[ \t\n\v\f\r]+"), self._each, end_id))
+        others = iter(self._ids(pc.ascii_split_whitespace(whole), self._each, end_id))
         return [next(some if p else others) for p in plain]
 
     def _ids(self, cut: pa.Array, encoded: Callable[[list[str]], Iterable[bytes]], end_id: int) -> list[np.ndarray]:
