@@ -343,3 +343,11 @@ def test_languages_of_odd_rows(odd, empty):
     rows = language_pieces.languages(odd, PIECES).collect()
     assert len(rows) == odd.count() and {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 15)} == {"und"}
     assert language_pieces.languages(empty, PIECES).count() == 0
+
+
+def test_shard_encoder_equals_the_library_on_odd_texts():
+    library, encoder, rng = Tokenizer.from_file(WORDS), wavelet_shards.Encoder(WORDS), random.Random(1)
+    assert encoder.splits
+    letters = "aAbsS'tTrRvVeEmMlLdDéÉßÿÀ÷×ªº²¼09!?.<|>́  \n\t\x1cİſK中ñ​"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|>x <|EndOfText|>", "ab<|startoftext|>c", "", "it's IT'S o'LL'd ''s!'s"]
+    assert [i.tolist() for i in encoder.encode(texts, 1)] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
