@@ -1,11 +1,12 @@
-"""Longest segments under a condition on their sum, sums of sub-lists, and boards of queens."""
+"""Longest segments under a condition on their sum or extremes, sub-lists, and boards of queens."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .monoids import _segments
+from .derived import DESCENDING
+from .monoids import SIGHT, Monoid, _segments, spark_fold, spark_merge
 from .sequences import aggregate_in_order
 
 #: Prefix sums that one task looks at together.
@@ -35,6 +36,61 @@ def longest_under(rows: DataFrame, key: list[str], segment: Column, order: list[
     return best.join(lows, key).select(*key, F.when(F.col("_low") < 0, 0).otherwise(F.col("_best")).cast("long").alias("longest_under"))
 
 
+def _bounded_runs(holds: str, worth: str) -> Monoid:
+    """Runs of values for which `holds`: the greatest `worth`, over the length n and the extremes hi and lo of a run, of any maximal run."""
+    of = lambda n, hi, lo: "greatest(0, if(" + n + " > 0, " + worth.format(n=n, hi=hi, lo=lo) + ", 0))"
+    ends = {f"{e}{f}": z for e in ("p", "q") for f, z in (("n", 0), ("hi", -(10**9)), ("lo", 10**9))}
+    lift = {f"{e}{f}": f"if({holds}, {v}, {ends[e + f]})" for e in ("p", "q") for f, v in (("n", "1"), ("hi", "x"), ("lo", "x"))}
+    join = {"n": "a.{l}n + b.{r}n", "hi": "greatest(a.{l}hi, b.{r}hi)", "lo": "least(a.{l}lo, b.{r}lo)"}
+    across = [join[f].format(l="q", r="p") for f in ("n", "hi", "lo")]
+    return Monoid(
+        {"whole": True, **ends, "best": 0},
+        {"whole": holds, **lift, "best": "0"},
+        {
+            "whole": "a.whole AND b.whole",
+            **{f"p{f}": f"if(a.whole, {join[f].format(l='p', r='p')}, a.p{f})" for f in join},
+            **{f"q{f}": f"if(b.whole, {join[f].format(l='q', r='q')}, b.q{f})" for f in join},
+            "best": f"greatest(a.best, b.best, if(a.whole OR b.whole, 0, {of(*across)}))",
+        },
+        f"greatest(s.best, {of('s.pn', 's.phi', 's.plo')}, {of('s.qn', 's.qhi', 's.qlo')})",
+    )
+
+
+#: Longest segments by their extremes. A longest segment lies in a maximal run of values up to its maximum (or from its minimum on),
+#: which is no worse; the last needs its length below the sum of both, so a run is worth no more than that sum less one.
+EXTREMES: dict[str, Monoid] = {
+    "max_below_length": _bounded_runs("x <= _t", "if({hi} < {n}, {n}, 0)"),
+    "max_and_min_below_length": _bounded_runs("x <= _t", "if({hi} + {lo} < {n}, {n}, 0)"),
+    "max_and_min_above_length": _bounded_runs("x >= _t", "least({n}, {hi} + {lo} - 1)"),
+}
+
+
+def longest_by_extremes(rows: DataFrame, key: list[str], segment: Column, order: list[str], value: str) -> DataFrame:
+    """Each key's longest segment for each condition of EXTREMES; 0 if there is none. Null values are skipped.
+
+    Every distinct value of a key is a bound by which its segments (folded where they lie) are cut into runs; so work grows with
+    values times distinct values of the key, and no key or bound needs one task.
+    """
+    item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("long").alias("x"))
+    kept = rows.where(F.col(value).isNotNull())
+    parts = kept.groupBy(*key, segment.alias("_segment")).agg(F.array_sort(F.collect_list(item)).alias("_v")).withColumn("_v", F.col("_v.x"))
+    bounds = kept.select(*key, F.col(value).cast("long").alias("_t")).distinct()
+    states = F.struct("_segment", *[F.expr(spark_fold(m, "_v", finish=False)).alias(f"s_{n}") for n, m in EXTREMES.items()])
+    folded = parts.join(bounds, key).select(*key, "_t", states.alias("_p")).groupBy(*key, "_t").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    merged = folded.select(*key, *[F.expr(spark_merge(m, f"_p.s_{n}")).alias(n) for n, m in EXTREMES.items()])
+    return merged.groupBy(*key).agg(*[F.max(n).alias(n) for n in EXTREMES])
+
+
+def nested_intervals(rows: DataFrame, key: list[str], inner: Column, outer: Column, value: str) -> DataFrame:
+    """Whether each sub-list's interval of values lies no lower, and reaches no less high, than that of all later sub-lists together.
+
+    Then upper ends never rise and the last lower end is the smallest of all: two ordered aggregates over the sub-lists.
+    """
+    ends = rows.groupBy(*key, inner.alias("_inner"), outer.alias("_outer")).agg(F.max(value).alias("_hi"), (-F.min(value)).alias("_lo"))
+    upper, lower = (aggregate_in_order(ends, key, F.col("_outer"), ["_inner"], c, {n: m}) for c, n, m in (("_hi", "_falls", DESCENDING), ("_lo", "_least", SIGHT)))
+    return upper.join(lower, key).select(*key, (F.col("_falls") & F.col("_least")).alias("nested"))
+
+
 def sub_list_sums(rows: DataFrame, key: list[str], inner: Column, outer: Column, value: str) -> DataFrame:
     """The largest prefix sum over the sums of a key's sub-lists; `inner` tells these apart and orders them, `outer` must not fall with it."""
     sums = rows.groupBy(*key, inner.alias("_inner"), outer.alias("_outer")).agg(F.sum(value).alias("_sum"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.segments import longest_under, queens, sub_list_sums
+from ..operators.segments import longest_by_extremes, longest_under, nested_intervals, queens, sub_list_sums
 from ..sources.fixtures import ORDER, VALUES, segment, sequence
 
 LIMIT, BOARD = 10, 6
@@ -22,11 +22,22 @@ def _sub_list_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub_list_sums(sequence(spark, sf_dir, "small"), ["user_id"], F.date_trunc("day", at), F.date_trunc("month", at), "x")
 
 
+def _longest_by_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_by_extremes(sequence(spark, sf_dir, "values"), ["user_id"], segment(), ORDER, "x")
+
+
+def _nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each user's month as sub-lists."""
+    at = F.col("ts").cast("timestamp")
+    rows = sequence(spark, sf_dir, "small").withColumn("month", F.date_format(at, "yyyy-MM"))
+    return nested_intervals(rows, ["user_id", "month"], F.date_trunc("day", at), F.date_trunc("week", at), "x")
+
+
 def _queens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queens(spark, BOARD).select(F.array_join(F.col("board").cast("array<string>"), ",").alias("board"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"segment_sum_under": _longest_under, "nested_prefix_of_sums": _sub_list_sums, "queens": _queens}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"segment_sum_under": _longest_under, "segment_extremes": _longest_by_extremes, "nested_prefix_of_sums": _sub_list_sums, "nested_intervals": _nested_intervals, "queens": _queens}
 ORACLES: dict[str, str] = {
     "segment_sum_under": f"""
 WITH p AS (SELECT user_id, row_number() OVER w AS i, sum({VALUES["patterns"]}) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -37,6 +48,17 @@ SELECT b.user_id, max(b.i - a.i)::BIGINT AS longest_under FROM a AS b JOIN a ON
 WITH d AS (SELECT user_id, date_trunc('day', ts) AS d, sum({VALUES["small"]}) AS s FROM events GROUP BY 1, 2),
 p AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY d) AS t FROM d)
 SELECT user_id, greatest(0, max(t))::BIGINT AS prefix_of_sums FROM p GROUP BY user_id
+""",
+    "segment_extremes": f"""
+WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {VALUES["values"]} AS x FROM events),
+s AS (SELECT a.user_id, b.i - a.i + 1 AS n, max(b.x) OVER w AS hi, min(b.x) OVER w AS lo FROM v AS a JOIN v AS b ON a.user_id = b.user_id AND b.i >= a.i WINDOW w AS (PARTITION BY a.user_id, a.i ORDER BY b.i))
+SELECT user_id, coalesce(max(n) FILTER (hi < n), 0)::BIGINT AS max_below_length, coalesce(max(n) FILTER (hi + lo < n), 0)::BIGINT AS max_and_min_below_length,
+  coalesce(max(n) FILTER (hi + lo > n), 0)::BIGINT AS max_and_min_above_length FROM s GROUP BY user_id
+""",
+    "nested_intervals": f"""
+WITH d AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, date_trunc('day', ts) AS d, min({VALUES["small"]}) AS lo, max({VALUES["small"]}) AS hi FROM events GROUP BY 1, 2, 3),
+w AS (SELECT *, min(lo) OVER later AS rest_lo, max(hi) OVER later AS rest_hi FROM d WINDOW later AS (PARTITION BY user_id, month ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT user_id, month, bool_and(rest_lo IS NULL OR (rest_lo <= lo AND rest_hi <= hi)) AS nested FROM w GROUP BY user_id, month
 """,
     "queens": f"""
 WITH RECURSIVE b AS (SELECT []::BIGINT[] AS board UNION ALL

@@ -25,3 +25,14 @@ def test_longest_under_equals_a_loop(spark, monkeypatch):
 
 def test_boards_of_queens(spark):
     assert [segments.queens(spark, n).count() for n in range(1, 7)] == [1, 0, 0, 2, 10, 4]
+
+
+def test_longest_by_extremes_equals_a_loop(spark):
+    rng = random.Random(5)
+    lists = {k: [rng.choice((-2, 0, 1, 2, 3, 9, 15)) for _ in range(rng.randint(1, 30))] for k in range(12)} | {12: [5], 13: [0, 0, 0], 14: [-1]}
+    rows = spark.createDataFrame([(k, i, x) for k, xs in lists.items() for i, x in enumerate(xs)] + [(0, 99, None)], "k int, i int, x long")
+    got = {r["k"]: r for r in segments.longest_by_extremes(rows, ["k"], F.expr("i div 7"), ["i"], "x").collect()}
+    holds = {"max_below_length": lambda s: max(s) < len(s), "max_and_min_below_length": lambda s: max(s) + min(s) < len(s), "max_and_min_above_length": lambda s: max(s) + min(s) > len(s)}
+    for name, test in holds.items():
+        assert {k: got[k][name] for k in lists} == {k: max((j - i for i in range(len(xs)) for j in range(i + 1, len(xs) + 1) if test(xs[i:j])), default=0) for k, xs in lists.items()}
+    assert segments.longest_by_extremes(rows.where("false"), ["k"], F.expr("i div 7"), ["i"], "x").count() == 0
