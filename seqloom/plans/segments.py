@@ -27,10 +27,10 @@ def _longest_by_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of each user's month as sub-lists."""
+    """Hours of each user's day as sub-lists."""
     at = F.col("ts").cast("timestamp")
-    rows = sequence(spark, sf_dir, "small").withColumn("month", F.date_format(at, "yyyy-MM"))
-    return nested_intervals(rows, ["user_id", "month"], F.date_trunc("day", at), F.date_trunc("week", at), "x")
+    rows = sequence(spark, sf_dir, "small").withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+    return nested_intervals(rows, ["user_id", "day"], F.date_trunc("hour", at), F.date_trunc("day", at), "x")
 
 
 def _queens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,9 @@ SELECT user_id, coalesce(max(n) FILTER (hi < n), 0)::BIGINT AS max_below_length,
   coalesce(max(n) FILTER (hi + lo > n), 0)::BIGINT AS max_and_min_above_length FROM s GROUP BY user_id
 """,
     "nested_intervals": f"""
-WITH d AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, date_trunc('day', ts) AS d, min({VALUES["small"]}) AS lo, max({VALUES["small"]}) AS hi FROM events GROUP BY 1, 2, 3),
-w AS (SELECT *, min(lo) OVER later AS rest_lo, max(hi) OVER later AS rest_hi FROM d WINDOW later AS (PARTITION BY user_id, month ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-SELECT user_id, month, bool_and(rest_lo IS NULL OR (rest_lo <= lo AND rest_hi <= hi)) AS nested FROM w GROUP BY user_id, month
+WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, date_trunc('hour', ts) AS d, min({VALUES["small"]}) AS lo, max({VALUES["small"]}) AS hi FROM events GROUP BY 1, 2, 3),
+w AS (SELECT *, min(lo) OVER later AS rest_lo, max(hi) OVER later AS rest_hi FROM d WINDOW later AS (PARTITION BY user_id, day ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT user_id, day, bool_and(rest_lo IS NULL OR (rest_lo <= lo AND rest_hi <= hi)) AS nested FROM w GROUP BY user_id, day
 """,
     "queens": f"""
 WITH RECURSIVE b AS (SELECT []::BIGINT[] AS board UNION ALL
