@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingle_sets
 from .components import connected
 
 WORDS, SEED, MOST_BITS, PIVOTS, CELL = 3, 42, 2, 16, 48
@@ -104,7 +104,7 @@ def links(fps: DataFrame, cell_size: int = CELL) -> DataFrame:
     return pairs.union(stars)
 
 
-def components(docs: DataFrame) -> DataFrame:
+def fingerprint_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row of `docs` (repeated rows each give a row).
 
     component_id is the smallest doc_id in the component, null where none of its rows has a doc_id. Texts without words
@@ -121,7 +121,22 @@ def components(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fingerprint_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), label, component_id of every row of `docs`: the near-copies of `shingle_sets`, not of the thin op1 query.
+
+    label names the component; component_id is the smallest doc_id in it, null where none of its rows has a doc_id.
+    """
+    labels = common.checkpointed(connected(shingle_sets.links(docs.select(_mark().alias("mark"), "text"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
+    named = common.checkpointed(rows.join(labels, rows["mark"] == labels["node"], "left").select("doc_id", "mark", F.coalesce("label", "mark").alias("label")))
+    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "mark", "label", "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -131,7 +146,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     found = components(docs)
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    chosen = found.where(key("doc_id") == key("component_id")).groupBy(key("doc_id").alias("_id"), "fp").agg(F.count("*").alias("_n"))
+    chosen = found.where(key("doc_id") == key("component_id")).groupBy(key("doc_id").alias("_id"), "mark").agg(F.count("*").alias("_n"))
     chosen = common.checkpointed(chosen.groupBy("_id").agg(F.sum("_n").alias("_n"), F.count("*").alias("_fps")))
     joined = docs.withColumn("_id", key("doc_id")).join(chosen, "_id")
     from pyspark.sql import Window

@@ -1,11 +1,13 @@
 """The pipeline's stages on the smallest documents and on odd rows."""
 
+import random
+
 import public_tokenizers as P
 import pytest
 import sentencepiece
 
 import corpus_pipeline
-from seqloom.llm import pivot_simhash, secret_network
+from seqloom.llm import pivot_simhash, secret_network, shingle_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +50,47 @@ def test_stages_of_odd_rows(spark, documents):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, some, SF).collect()
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 2]
+
+
+def plain_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        out[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    return out
+
+
+def plain_heads(texts):
+    """The smallest key of each text's component of all pairs with a Jaccard similarity of 0.8."""
+    sets, top = plain_sets(texts), {i: i for i in texts}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_near_copies_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    heads = plain_heads({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(set(heads.values()))
+
+
+@pytest.mark.parametrize("chunk", [4, 256])
+def test_large_groups_of_near_copies(spark, chunk, monkeypatch):
+    """Chunks that meet pairwise give the components of all pairs."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(base[: 2 + i % 97] + [f"x{i % 5}"] if i % 2 else [*base[: rng.randrange(100)], f"y{i}", *base]) for i in range(120)} | {500: None, 501: " "}
+    monkeypatch.setattr(shingle_sets, "CHUNK", chunk)
+    rows = pivot_simhash.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == plain_heads(texts)
