@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, shingle_sets
@@ -140,16 +140,17 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component of `docs`, unchanged: that of the smallest doc_id (one of them if it is repeated).
+    """One row of each component of `docs`, unchanged: that of the smallest doc_id, rows without one last.
 
-    Rows without a doc_id stay only for components that have no other; then one stays.
+    Of rows that share a doc_id, or have none, each component still has its own: rows are told apart by their texts. Of
+    rows with equal doc_id and text one stays.
     """
     found = components(docs)
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    chosen = found.where(key("doc_id") == key("component_id")).groupBy(key("doc_id").alias("_id"), "mark").agg(F.count("*").alias("_n"))
-    chosen = common.checkpointed(chosen.groupBy("_id").agg(F.sum("_n").alias("_n"), F.count("*").alias("_fps")))
-    joined = docs.withColumn("_id", key("doc_id")).join(chosen, "_id")
-    from pyspark.sql import Window
-
-    several = joined.where("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("_k = 1")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")))
+    chosen = common.checkpointed(found.groupBy("label").agg(head.alias("h")).select("h._id", "h._mark"))
+    times = found.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
+    chosen = chosen.join(times, chosen["_id"].eqNullSafe(times["doc_id"]) & (chosen["_mark"] == times["mark"])).select("_id", "_mark", "_n")
+    joined = docs.withColumn("_m", _mark()).join(chosen, (F.col("_m") == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    one = Window.partitionBy("_id", "_mark").orderBy(*[F.col(c) for c in docs.columns if c in ("lang", "source", "n_chars")] or ["_mark"])
+    several = joined.where("_n > 1").withColumn("_k", F.row_number().over(one)).where("_k = 1")
     return joined.where("_n = 1").select(docs.columns).union(several.select(docs.columns))

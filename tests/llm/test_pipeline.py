@@ -94,3 +94,13 @@ def test_large_groups_of_near_copies(spark, chunk, monkeypatch):
     monkeypatch.setattr(shingle_sets, "CHUNK", chunk)
     rows = pivot_simhash.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == plain_heads(texts)
+
+
+def test_rows_of_null_or_repeated_ids_stay(spark):
+    """Each component keeps one row, whatever other rows have its doc_id."""
+    own = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, own[1] + " more"), (7, own[2]), (7, own[3]), (8, own[4]), (None, own[4] + " more"), (9, own[3]), (9, own[2]), (None, None), (None, "")]
+    kept = pivot_simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 6 and sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"]) == [(7, own[2]), (7, own[3]), (8, own[4])]
+    none = [r["text"] or "" for r in kept if r["doc_id"] is None]
+    assert len(none) == 3 and "" in none and own[0] in none and any(t.startswith(own[1]) for t in none)
