@@ -1,15 +1,15 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios by line, Gaussian smoothing and threshold clustering.
 
 Each block of a page is a line. Its ratio is the length of its own text outside links to the number of its tags; lines inside
-menus, adverts and the like have none. The ratios are smoothed along the page, runs of lines above a threshold are
-its content regions, and a region reaches over all lines of the sections (article, main, else the enclosing
-block) that it lies in.
+menus, adverts and the like have none. Marks of these count as whole class tokens, ids or roles, never on headings, and hide nothing that holds an
+article or main, or most of the page's text. The ratios are smoothed along the page, runs of lines above a threshold are
+its content regions, and a region reaches over all lines of the sections (article, main) that it lies in.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,43 +24,64 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SPACED = frozenset("br td th".split())
 SECTIONS = frozenset(("article", "main"))
 #: Elements whose text is never a page's main text.
-OUTSIDE = frozenset("nav footer aside form script style noscript template head title iframe svg canvas button select textarea dialog menu object audio video math".split())
-#: Words in class, id or role that mark such text.
+OUTSIDE = frozenset("nav footer aside script style noscript template head title iframe svg canvas button select textarea dialog menu object audio video math".split())
+#: Words in class, id or role that mark such text; a form is marked without.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup popup modal overlay widget pagination pager search login toolbar masthead contentinfo complementary".split())
+#: Start tags that end an open element: tag -> (what it ends, within what).
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_LIMITS = frozenset("table td th caption button object html body template".split())
+IMPLIED = {t: (frozenset(("p",)), _LIMITS) for t in _ENDS_P} | {
+    "li": (frozenset(("li",)), _LIMITS | {"ul", "ol", "menu", "dir"}), "dt": (frozenset(("dt", "dd")), _LIMITS | {"dl"}), "dd": (frozenset(("dt", "dd")), _LIMITS | {"dl"}),
+    "option": (frozenset(("option",)), _LIMITS | {"select", "datalist"}), "tr": (frozenset(("tr", "td", "th", "p")), frozenset(("table",))), "td": (frozenset(("td", "th", "p")), frozenset(("tr", "table"))), "th": (frozenset(("td", "th", "p")), frozenset(("tr", "table"))),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+")
 
 SIGMA, SHARE = 1.5, 0.1
 
 
+def marked(name: str, value: str | None) -> bool:
+    """Whether one token of a class, id or role consists of marks only: 'ad', 'cookie-notice', not 'has-sidebar'."""
+    return name in ("class", "id", "role") and bool(value) and any((w := WORDS.findall(t)) and MARKS.issuperset(w) for t in value.lower().split())
+
+
 class LineParser(HTMLParser):
     """Collects a page's lines while the parser's events stream by."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.ratios: list[float] = []
-        self.places: list[tuple[int, int]] = []  # (section or 0, enclosing block)
-        self.open: list[tuple[str, int, int, bool]] = []  # tag, number, section, whether text in it is outside
-        self.count: Counter = Counter()
+        self.lines: list[tuple[str, float, int, bool, int]] = []  # text, ratio, section or 0, whether outside for sure, innermost marked element or -1
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, and the last three for text in it
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in `open` of each tag
+        self.above: list[int] = []  # of each marked element: the marked element around it, or -1
+        self.tops: list[int] = []  # of each section in no other: the innermost marked element around it, or -1
         self.parts: list[str] = []
         self.tags, self.linked, self.links, self.numbers = 0, 0, 0, 0
 
-    def _outside(self) -> bool:
-        return bool(self.open) and self.open[-1][3]
+    def _within(self) -> tuple[int, bool, int]:
+        return self.open[-1][1:] if self.open else (0, False, -1)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            outside = self._outside()
-            self.texts.append("" if outside else text)
-            self.ratios.append(0.0 if outside else max(0, len(text) - self.linked) / max(1, self.tags))
-            self.places.append((self.open[-1][2], self.open[-1][1]) if self.open else (0, 0))
+            self.lines.append((text, max(0, len(text) - self.linked) / max(1, self.tags), *self._within()))
         self.parts.clear()
         self.tags, self.linked = 0, 0
 
+    def _pop(self, at: int) -> None:
+        """Closes the open elements from place `at` on."""
+        self._end_line()
+        while len(self.open) > at:
+            self.at[self.open.pop()[0]].pop()
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._end_line()
+        if tag in IMPLIED:
+            last = lambda tags: max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+            ends, limits = IMPLIED[tag]
+            if (inner := last(ends)) > last(limits):
+                self._pop(min(self.at[t][-1] for t in ends if self.at.get(t) and self.at[t][-1] > last(limits)) if tag in ("td", "th", "tr") else inner)
         self.tags += 1
         if tag in SPACED:
             self.parts.append(" ")
@@ -68,22 +89,30 @@ class LineParser(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        section = self.open[-1][2] if self.open else 0
+        section, outside, mark = self._within()
         apart = tag in OUTSIDE or (tag == "header" and not section)
+        soft = tag == "form"
         if not apart and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                     apart = True
-                elif name in ("class", "id", "role") and value and not MARKS.isdisjoint(WORDS.findall(value.lower())):
-                    apart = True
+                elif marked(name, value) and not (name == "id" and tag in HEADINGS):
+                    soft = True
         elif not apart and tag == "article":
-            apart = any(n in ("class", "id") and v and not {"comment", "comments", "reply", "ad", "sponsored"}.isdisjoint(WORDS.findall(v.lower())) for n, v in attrs)
-        if tag in BLOCKS or apart:
+            apart = any(n in ("class", "id") and v and not {"comment", "comments", "reply", "ad", "sponsored"}.isdisjoint(v.lower().split()) for n, v in attrs)
+        if tag in BLOCKS or apart or soft:
             if tag not in BLOCKS:
                 self._end_line()
-            self.numbers += 1
-            self.open.append((tag, self.numbers, self.numbers if tag in SECTIONS else section, apart or self._outside()))
-            self.count[tag] += 1
+            if tag in SECTIONS:
+                if not section and not apart and not outside:
+                    self.tops.append(mark)
+                self.numbers += 1
+                section = self.numbers
+            if soft:
+                self.above.append(mark)
+                mark = len(self.above) - 1
+            self.at[tag].append(len(self.open))
+            self.open.append((tag, section, apart or outside, mark))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -97,16 +126,11 @@ class LineParser(HTMLParser):
         if tag in SPACED:
             self.parts.append(" ")
         self.tags += 1
-        if not self.count[tag]:  # not open
+        if not self.at.get(tag):  # not open
             if tag in BLOCKS:
                 self._end_line()
             return
-        self._end_line()
-        while True:
-            name = self.open.pop()[0]
-            self.count[name] -= 1
-            if name == tag:
-                return
+        self._pop(self.at[tag][-1])
 
     def handle_data(self, data):
         self.parts.append(data)
@@ -117,6 +141,29 @@ class LineParser(HTMLParser):
         super().close()
         self._end_line()
 
+    def hidden(self) -> list[bool]:
+        """Whether each line is outside. A mark hides nothing if it holds more than half of the text, or a section where none is free of marks."""
+        held = [0] * len(self.above)
+        for text, _, _, outside, mark in self.lines:
+            if mark >= 0 and not outside:
+                held[mark] += len(text)
+        for i in reversed(range(len(held))):
+            if self.above[i] >= 0:
+                held[self.above[i]] += held[i]
+        half = sum(len(x[0]) for x in self.lines if not x[3]) / 2
+        shown = [n > half for n in held]
+        if -1 not in self.tops:
+            seen: set[int] = set()
+            for i in set(self.tops):
+                while i >= 0 and i not in seen:
+                    seen.add(i)
+                    shown[i] = True
+                    i = self.above[i]
+        hides: list[bool] = []
+        for i, up in enumerate(self.above):
+            hides.append(not shown[i] or (up >= 0 and hides[up]))
+        return [outside or (mark >= 0 and hides[mark]) for _, _, _, outside, mark in self.lines]
+
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """A Gaussian mean along the lines; the kernel is cut at three sigma and weighed anew at the ends."""
@@ -132,21 +179,19 @@ def main_text(html: str | None) -> str:
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    ratios = np.array(parser.ratios)
+    lines = [(text, 0.0 if hidden else ratio, section, not hidden) for (text, ratio, section, _, _), hidden in zip(parser.lines, parser.hidden())]
+    ratios = np.array([x[1] for x in lines])
     if not ratios.any():
-        return "\n".join(t for t in parser.texts if t) if not any(s for s, _ in parser.places) else "\n".join(t for t, (s, _) in zip(parser.texts, parser.places) if t and s)
+        return "\n".join(t for t, _, s, free in lines if free and (s or not any(x[2] for x in lines)))
     curve = smoothed(ratios)
     content = (curve >= SHARE * curve.max()) & (ratios > 0)
-    places = np.array(parser.places)
-    sections = {s for s in places[content, 0].tolist() if s}
+    places = np.array([x[2] for x in lines])
+    sections = {s for s in places[content].tolist() if s}
     if sections:
-        chosen = np.isin(places[:, 0], list(sections))
+        chosen = np.isin(places, list(sections))
     else:
-        weight: Counter = Counter()
-        for block, ratio in zip(places[content, 1].tolist(), ratios[content].tolist()):
-            weight[block] += ratio
-        chosen = np.isin(places[:, 1], list(weight)) | content
-    return "\n".join(t for t, c in zip(parser.texts, chosen.tolist()) if c and t)
+        chosen = content
+    return "\n".join(x[0] for x, c in zip(lines, chosen.tolist()) if c and x[3])
 
 
 def extract(pages: DataFrame) -> DataFrame:

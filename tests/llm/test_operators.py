@@ -134,6 +134,18 @@ def test_pages_of_the_table(spark):
     assert page_text.extract(spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>x")], "page_id long, url string, html string")).count() == 3
 
 
+def test_marks_hide_no_article():
+    text = "A paragraph of the article that has some length to it, as they do."
+    for tag in ('div class="layout has-sidebar"', 'div id="page-no-nav"', 'div class="overlay"', 'form action="/"'):
+        name = tag.split()[0]
+        for inner in (f"<article><p>{text}</article>", f"<p>{text}<p>{text}2"):
+            got = page_text.main_text(f"<body><nav>menu</nav><{tag}>{inner}<div class='cookie-notice'>We use cookies</div></{name}><footer>end</footer>")
+            assert got.split("\n")[0] == text and "cookies" not in got and "menu" not in got
+    page = f'<article><h2 id="related-work">Related</h2><p>{text}<h2 id="search">Search</h2><p class="notice">Note<p>{text}<ul><li class="ad">Buy<li>Kept</ul><table><tr><td class="promo">No<td>Yes</table></article><div class="related"><article>Another</article></div>'
+    assert page_text.main_text(page).split("\n") == ["Related", text, "Search", text, "Kept", "Yes"]
+    assert page_text.main_text("<article><p>x" + "<table><td><p>" + "<div>" * 20_000 + "<li>a" * 20_000 + "</article>").count("a") == 20_000
+
+
 # 3
 
 
