@@ -2,8 +2,9 @@
 
 Each block of a page is a line. Its ratio is the length of its own text outside links to the number of its tags; lines inside
 menus, adverts and the like have none. Marks of these count as whole class tokens, ids or roles, never on headings, and hide nothing that holds an
-article or main, or most of the page's text. The ratios are smoothed along the page, runs of lines above a threshold are
-its content regions, and a region reaches over all lines of the sections (article, main) that it lies in.
+article or main, or most of the page's text. The logarithms of the ratios are smoothed along the page, runs of lines above a threshold are
+its content regions, and a region reaches over all lines of the sections (article, main) that it lies in; on pages without
+these, all lines from the first to the last content line are text.
 """
 
 from __future__ import annotations
@@ -183,14 +184,16 @@ def main_text(html: str | None) -> str:
     ratios = np.array([x[1] for x in lines])
     if not ratios.any():
         return "\n".join(t for t, _, s, free in lines if free and (s or not any(x[2] for x in lines)))
-    curve = smoothed(ratios)
+    curve = smoothed(np.log1p(ratios))
     content = (curve >= SHARE * curve.max()) & (ratios > 0)
     places = np.array([x[2] for x in lines])
     sections = {s for s in places[content].tolist() if s}
     if sections:
         chosen = np.isin(places, list(sections))
     else:
-        chosen = content
+        chosen = np.zeros(len(lines), bool)
+        at = np.flatnonzero(content)
+        chosen[at[0] : at[-1] + 1] = True
     return "\n".join(x[0] for x, c in zip(lines, chosen.tolist()) if c and x[3])
 
 

@@ -146,6 +146,14 @@ def test_marks_hide_no_article():
     assert page_text.main_text("<article><p>x" + "<table><td><p>" + "<div>" * 20_000 + "<li>a" * 20_000 + "</article>").count("a") == 20_000
 
 
+@pytest.mark.parametrize("long", [5_000, 20_000])
+def test_long_paragraphs_drop_nothing(long):
+    lines = [f"Short {i}." for i in range(12)] + ["word " * (long // 5)] + [f"After it {i}." for i in range(12)]
+    lines[3] = "<a href='/'>all in a link</a>"
+    page = "<div><ul><li><a href='/'>Home</a></ul>" + "".join(f"<p>{x}</p>" for x in lines) + "</div><footer>end</footer>"
+    assert page_text.main_text(page).split("\n") == [re.sub("<[^>]*>", "", x).strip() for x in lines]
+
+
 # 3
 
 
