@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, for largest inner products.
 
 Vectors get one more coordinate that makes their lengths equal, so that the largest inner product is the smallest
-distance. Each table cuts `hashes` random directions (drawn from the 2-stable, normal distribution) into steps of `width`; a
+distance. Lengths are taken relative to the top of a vector's band (each band is half as long as the one before), so one long vector
+doesn't press the others together; bands of few rows are compared with every query. Each table cuts `hashes` random directions (drawn from the 2-stable, normal distribution) into steps of `width`; a
 vector lies in the bucket of its steps. A query visits, in each table, its own bucket and buckets of perturbed steps in
 the order of their estimated success: perturbation sets are ranked once by the expected squared distances
 to the borders, and laid on each query's own ranking of its borders. Candidates of all tables are merged and
-reranked by their exact inner products.
+reranked by their exact inner products. A query that has found fewer than there are to find is compared with all rows.
 
 Every row is in every table. Buckets are cut into chunks, and queries at a bucket into blocks, so one task holds one
 chunk and one block at a time whatever a bucket's size.
@@ -27,7 +28,7 @@ from . import common
 
 @dataclass(frozen=True)
 class Parameters:
-    """width is relative to the longest vector."""
+    """width is relative to the top of a vector's band of lengths."""
 
     tables: int = 4
     hashes: int = 5
@@ -56,9 +57,9 @@ def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class Hashing:
-    def __init__(self, p: Parameters, size: int, longest: float):
+    def __init__(self, p: Parameters, size: int):
         rng = np.random.default_rng(p.seed)
-        self.p, self.longest = p, longest
+        self.p = p
         self.directions = rng.standard_normal((p.tables, size + 1, p.hashes))
         self.offsets = rng.uniform(0, p.width, (p.tables, p.hashes))
         sets = perturbations(p.hashes, p.probes)
@@ -77,16 +78,16 @@ class Hashing:
                 out = out * 1_000_003 + steps[..., j]
         return out
 
-    def rows(self, x: np.ndarray) -> np.ndarray:
-        """(tables, n): the bucket of each vector."""
-        x = x / self.longest
+    def rows(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(tables, n): the bucket of each vector, with its length relative to the top of its band."""
+        x = _unit(x) * lengths[:, None]
         more = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]
         x = np.hstack([x, more])
         return np.stack([self._name(np.floor(self._steps(t, x)).astype(np.int64)) for t in range(self.p.tables)])
 
     def queries(self, x: np.ndarray) -> np.ndarray:
         """(tables, n, probes): the buckets to visit, in order."""
-        x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
+        x = np.hstack([_unit(x), np.zeros((len(x), 1))])
         k, out = self.p.hashes, []
         for t in range(self.p.tables):
             exact = self._steps(t, x)
@@ -116,8 +117,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(size.select("k")), F.size("embedding") == F.col("k"), "left_semi")
 
 
-def _length() -> Column:
-    return F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
+def _log_length() -> Column:
+    """The binary logarithm of a vector's length, for any finite components but all zero."""
+    most = F.array_max(F.transform("embedding", F.abs))
+    return F.log2(most) + F.log2(F.aggregate(F.transform("embedding", lambda v: v / most), F.lit(0.0), lambda a, v: a + v * v)) / 2
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -133,14 +141,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
     """query_id, rank, vec_id, score: the k nearest found of each usable row of `vectors` (vec_id, embedding) that `queries` chooses.
 
     Candidates are all usable rows but those of the query's own vec_id. Ties go to the smaller vec_id. Repeated rows of a vec_id
-    count once (one of its vectors, if they differ). Of identical vectors only the k + 1 smallest vec_ids can
+    count once (one of its vectors, if they differ). Each query has k rows, or all candidates if they are fewer. Of identical vectors only the k + 1 smallest vec_ids can
     be in any answer; so many are kept, which also keeps a vector that very many rows share from filling a bucket.
     """
     rows = common.checkpointed(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    facts = rows.agg(F.max(_length()).alias("longest"), F.max(F.size("embedding")).alias("size")).first()
+    facts = rows.agg(F.max(_log_length()).alias("longest"), F.max(F.size("embedding")).alias("size"), F.count("*").alias("n")).first()
     if facts["size"] is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    hashing = Hashing(p, facts["size"], facts["longest"])
+    hashing = Hashing(p, facts["size"])
     size = facts["size"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
             for at in range(0, len(whole), 4096):
                 batch = whole.slice(at, 4096)
                 x = _matrix(batch, 1)
-                names, ids, data = hashing.rows(x), batch.column(0).to_numpy(), _packed(x)
+                names, ids, data = hashing.rows(x, batch.column(2).to_numpy()), batch.column(0).to_numpy(), _packed(x)
                 for t in range(p.tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(names[t]), pa.array(ids), pa.array(data, pa.binary())], names=["tab", "bucket", "vec_id", "vec"])
 
@@ -164,9 +172,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
 
     schema = "tab int, bucket long, vec_id long, vec binary"
     alike = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).select("vec_id", "embedding")
+    below = F.lit(facts["longest"]) - _log_length()
+    kept = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).select("vec_id", "embedding", F.floor(below).alias("band"), F.pow(F.lit(2.0), F.floor(below) - below).alias("length"))
+    kept = common.checkpointed(kept)
+    sizes = kept.groupBy("band").agg(F.count("*").alias("n"))
+    few = [r["band"] for r in sizes.where(F.col("n") <= p.chunk).collect()]  # at most one for each power of two
+    hashed, scanned = kept.where(~F.col("band").isin(few)), kept.where(F.col("band").isin(few))
     asked = rows.where(queries).select("vec_id", "embedding")
-    base = _gathered(kept.mapInArrow(index, schema), p.chunk)
+    base = _gathered(hashed.select("vec_id", "embedding", "length").mapInArrow(index, schema), p.chunk)
     visits = _gathered(asked.mapInArrow(probe, schema), p.block)
     meet = base.select("tab", "bucket", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs")).join(visits.select("tab", "bucket", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), ["tab", "bucket"])
 
@@ -177,10 +190,40 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
                 c, q = (np.frombuffer(b"".join(batch.column(j)[i].as_py()), np.float64).reshape(-1, size) for j in (1, 3))
                 yield _best(c_ids, c, q_ids, q, k)
 
-    near = meet.select("c_ids", "c_vecs", "q_ids", "q_vecs").mapInArrow(rerank, "query_id long, vec_id long, score double")
-    once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = "query_id long, vec_id long, score double"
+
+    def compared(some: DataFrame, candidates: DataFrame) -> DataFrame:
+        """The best for each of the queries `some` among all `candidates`."""
+        c, q = _blocks(candidates, p.chunk, "c"), _blocks(some, p.block, "q")
+        return c.crossJoin(q).select("c_ids", "c_vecs", "q_ids", "q_vecs").mapInArrow(rerank, found)
+
+    def ranked(near: DataFrame) -> DataFrame:
+        once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        placed = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = meet.select("c_ids", "c_vecs", "q_ids", "q_vecs").mapInArrow(rerank, found)
+    if few:
+        near = near.union(compared(asked, scanned))
+    best = common.checkpointed(ranked(near))
+    full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, facts["n"] - 1))
+    short = common.checkpointed(asked.join(full, asked["vec_id"] == full["query_id"], "left_anti"))
+    if short.isEmpty():
+        return best
+    return best.join(full.select("query_id"), "query_id", "left_semi").union(ranked(compared(short, kept)))
+
+
+def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """`rows` (vec_id, embedding) in blocks of about `most`, as ids and packed vectors."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(_matrix(batch, 1)) if len(batch) else [], pa.binary())], names=["vec_id", "vec"])
+
+    n = -(-rows.count() // most)
+    packed = rows.select("vec_id", "embedding").mapInArrow(pack, "vec_id long, vec binary").withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))))
+    v = packed.groupBy("at").agg(F.collect_list(F.struct("vec_id", "vec")).alias("v"))
+    return v.select(F.col("v.vec_id").alias(f"{name}_ids"), F.col("v.vec").alias(f"{name}_vecs"))
 
 
 def _gathered(rows: DataFrame, most: int) -> DataFrame:

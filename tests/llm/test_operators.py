@@ -214,6 +214,33 @@ def test_search_of_odd_vectors(spark):
     assert multiprobe_search.search(df.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["15", "21", "lognormal", "one long"])
+def test_search_gives_all_rows(spark, kind):
+    """Every query has its 20 rows, or all others if fewer, whatever the lengths."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((int(kind) if kind.isdigit() else 2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    elif kind == "one long":
+        x[7] *= 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    step = 1 if kind.isdigit() else 20
+    want = min(20, len(x) - 1)
+    got, hits, n = {}, 0, 0
+    for p in (multiprobe_search.Parameters(), multiprobe_search.Parameters(chunk=4, probes=2)):
+        got = {}
+        for r in multiprobe_search.search(df, F.col("vec_id") % step == 0, p=p).collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert sorted(got) == list(range(0, len(x), step)) and {len(set(v)) for v in got.values()} == {want}
+        if p.probes > 2:
+            for q, found in got.items():
+                scores = x @ x[q]
+                scores[q] = -np.inf
+                hits, n = hits + len(set(found) & set(np.argsort(-scores)[:want].tolist())), n + want
+    assert hits / n >= 0.9
+
+
 # 5
 
 
