@@ -10,4 +10,6 @@ from . import lists, ranges, scalars, scoring, segments, trees
 
 MODULES = (lists, ranges, trees, scoring, scalars, segments)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+#: Queries that have no SQL; tests hold them against brute force.
+ALONE: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in getattr(m, "ALONE", {}).items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

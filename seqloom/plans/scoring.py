@@ -9,6 +9,9 @@ from ..operators.scoring import matches, numbered, pass_at, results, tokens
 
 KEYWORDS = ("the", "of", "and", "to", "in", "is", "it", "a")
 
+#: White space as str.strip and str.split see it.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, reference, hypothesis: each benchmark text, and the document whose doc_id is its item_id."""
@@ -36,11 +39,20 @@ def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches, and edit similarity of the first lines (characters beyond ASCII count as one and the same)."""
+    """Exact matches, and edit similarity of the first lines only (characters beyond ASCII count as one and the same), as its SQL can; see text_matches_whole."""
     line = lambda c: F.regexp_replace(F.substring_index(F.trim(c), "\n", 1), r"[^\x00-\x7F]", "?")
     return _pairs(spark, sf_dir).select("item_id", (F.trim("r") == F.trim("h")).alias("exact"), F.round(1 - F.levenshtein(line("r"), line("h")) / F.greatest(F.length(line("r")), F.length(line("h")), F.lit(1)), 6).alias("similarity"))
 
 
+def text_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches (of the words, as the reference's evaluator has them), and edit similarity of the whole stripped texts by code points."""
+    whole = lambda c: F.btrim(c, F.lit(SPACES))
+    words = lambda c: F.regexp_replace(whole(c), f"[{SPACES}]+", " ")
+    r, h = whole("r"), whole("h")
+    pairs = _pairs(spark, sf_dir)
+    return pairs.select("item_id", (words("r") == words("h")).alias("exact"), F.round(1 - F.levenshtein(r, h) / F.greatest(F.length(r), F.length(h), F.lit(1)), 6).alias("similarity"))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return numbered(e.select(F.col("user_id").alias("task_id"), "ts", "event_id", F.expr("CAST(floor(value) AS BIGINT) % 5 = 0").alias("passed"), F.expr("CAST(floor(value) AS BIGINT) % 3 <> 1").alias("compiled")), "task_id", ["ts", "event_id"])
@@ -86,6 +98,8 @@ _SAMPLES = """WITH s AS (SELECT user_id AS task_id, row_number() OVER (PARTITION
 t AS (SELECT task_id, count(*) AS n, count(*) FILTER (passed) AS c, bool_or(passed) AS solved, min(CASE WHEN passed THEN i END) AS first_success, round(count(*) FILTER (NOT compiled) / count(*), 9) AS compile_error_rate FROM s GROUP BY task_id)"""
 _P = "avg(CASE WHEN n - c < {k} THEN 1.0::DOUBLE ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - {k} / i::DOUBLE)) END)"
 QUERIES = {f.__name__: f for f in (ngram_matches, corpus_bleu, text_matches, evaluation_results, pass_at_k, split_by_rank, padded)}
+#: Without SQL: tested against brute force.
+ALONE = {"text_matches_whole": text_matches_whole}
 ORACLES = {
     "ngram_matches": f"{_GRAMS} SELECT * FROM mt",
     "corpus_bleu": f"""{_GRAMS}, by_n AS (SELECT n, sum(matched) AS m, sum(possible) AS p FROM mt GROUP BY n),
