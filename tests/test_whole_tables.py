@@ -35,3 +35,33 @@ def test_whole_texts_are_compared(spark, tmp_path):
             if len(r) * len(h) < 300_000:
                 a, b = r.strip(), h.strip()
                 assert got[i]["similarity"] == pytest.approx(1 - distance(a, b) / max(len(a), len(b), 1), abs=1e-6)
+
+
+def whole_log(folder):
+    c, p = (pq.read_table(f"{folder}/{t}.parquet").to_pydict() for t in ("customer", "part"))
+    end = max(p["p_partkey"])
+    step = max(1, int(end**0.5) // 8)
+    log = [(k, n % 3 == 0, k * 37 % end + 1, k * 37 % end + 1 + n * step, n % 5 - 2) for k, n in sorted(zip(c["c_custkey"], c["c_nationkey"]))]
+    return log, dict(zip(p["p_partkey"], p["p_size"])), end
+
+
+@pytest.mark.parametrize("tag", ["plus", "cover", "neg"])
+def test_ranges_reach_the_whole_sequence(spark, tag):
+    folder = "/root/testdata/sf0.1" if tag == "plus" else "/root/testdata/sf0.01"
+    log, sizes, end = whole_log(folder)
+    now, wanted = {k: v % 7 - 3 for k, v in sizes.items()}, {}
+    for op, query, a, b, t in log:
+        at = [i for i in range(a, b + 1) if i in now]
+        if query and at:
+            wanted[op] = [now[i] for i in at]
+        elif not query:
+            for i in at:
+                now[i] = {"plus": now[i] + t, "cover": t, "neg": -now[i]}[tag]
+    got = {r["op_idx"]: r for r in catalog.ALONE[f"range_whole_{tag}"](spark, folder).collect()}
+    assert got.keys() == wanted.keys() and max(b for _, query, _, b, _ in log if query) >= 0.99 * end
+    for op, v in wanted.items():
+        r = got[op]
+        if tag == "neg":
+            assert r["min_neg"] == min(100, *v)
+        else:
+            assert (r[f"sum_{tag}"], r[f"sqrsum_{tag}"]) == (sum(v), sum(x * x for x in v))
