@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.scoring import matches, numbered, pass_at, results, tokens
 
-KEYWORDS = ("the", "of", "and", "to", "in", "is", "it", "a")
-
 #: White space as str.strip and str.split see it.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -28,7 +26,7 @@ def ngram_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: precisions with one added above the first order, brevity penalty, BLEU, and the recall of keywords against other words (weights 1 and 0.2)."""
+    """One row: precisions with one added above the first order, brevity penalty and BLEU."""
     pairs = _tokens(spark, sf_dir)
     by_n = matches(pairs, "item_id").groupBy("n").agg(F.sum("matched").alias("m"), F.sum("possible").alias("p"))
     precision = F.when(F.col("n") == 1, F.col("m") / F.col("p")).otherwise((F.col("m") + 1) / (F.col("p") + 1))
