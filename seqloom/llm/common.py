@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries a word cache holds in one Python worker before it is emptied (about 200 bytes each).
-CACHE_ENTRIES = 250_000
+#: Entries a word cache holds in one Python worker before it is emptied (about 200 bytes each), and characters of its keys.
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 8_000_000
 #: Bytes of an Arrow batch that are worked on at a time; what a batch is turned into is held for so much of it only.
 SLICE_BYTES = 4_000_000
 
@@ -22,10 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: the one that spark.checkpoint.dir names, else (single-machine tests) one of our own."""
+    """Makes sure that checkpoints have a folder: the one that spark.checkpoint.dir names, else (on one machine only) one of our own.
+
+    On a cluster without that setting it raises, as executors would write where nobody else can read.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
 
 
@@ -35,6 +40,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
@@ -76,14 +89,16 @@ def held(key: tuple, build: Callable):
 
 
 class WordCache(dict):
-    """A dict that computes what it lacks and is emptied when `limit` entries are reached, so memory stays bounded."""
+    """A dict that computes what it lacks and is emptied when `limit` entries, or CACHE_CHARS of keys, are reached; so memory stays bounded."""
 
     def __init__(self, compute: Callable, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.chars = compute, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.limit or self.chars > CACHE_CHARS:
             self.clear()
+            self.chars = 0
         self[key] = value = self.compute(key)
+        self.chars += len(key)
         return value

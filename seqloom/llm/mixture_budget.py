@@ -137,11 +137,13 @@ def chosen(docs: DataFrame, weights: dict[str, int] = WEIGHTS, share: float = 0.
     """The rows of `docs` in one epoch's mixture, unchanged. The texts are not shuffled while the leaves are few."""
     slim = common.checkpointed(leaf_columns(docs))
     total = slim.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    leaves = plan(slim, weights, int(total * share), 1, seed).select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    name = {c: common.free_name(docs, f"_{c}") for c in (*LEVELS, "whole", "cut")}
+    leaves = plan(slim, weights, int(total * share), 1, seed).select(*(F.col(c).alias(n) for c, n in name.items()))
     few = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    same = (domain_of() == F.col("_domain")) & (F.coalesce("lang", F.lit(NONE)) == F.col("_lang")) & (F.coalesce("source", F.lit(NONE)) == F.col("_source"))
+    same = (domain_of() == F.col(name["domain"])) & (F.coalesce("lang", F.lit(NONE)) == F.col(name["lang"])) & (F.coalesce("source", F.lit(NONE)) == F.col(name["source"]))
     joined = docs.join(F.broadcast(leaves) if few else leaves, same)
-    return joined.where((F.col("_whole") > 0) | (order_key(seed, F.col("_whole"), F.col("doc_id").cast("long")) <= F.col("_cut"))).select(docs.columns)
+    kept = (F.col(name["whole"]) > 0) | (order_key(seed, F.col(name["whole"]), F.col("doc_id").cast("long")) <= F.col(name["cut"]))
+    return joined.where(kept).drop(*name.values())
 
 
 def oracle(weights: dict[str, int] = WEIGHTS, share: float = 0.5, epochs: int = 2, seed: int = 42) -> str:

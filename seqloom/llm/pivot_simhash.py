@@ -143,14 +143,15 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component of `docs`, unchanged: that of the smallest doc_id, rows without one last.
 
     Of rows that share a doc_id, or have none, each component still has its own: rows are told apart by their texts. Of
-    rows with equal doc_id and text one stays.
+    rows with equal doc_id and text one stays. Rows travel as one struct, so no column of `docs` can clash with those made here.
     """
-    found = components(docs)
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")))
-    chosen = common.checkpointed(found.groupBy("label").agg(head.alias("h")).select("h._id", "h._mark"))
-    times = found.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
-    chosen = chosen.join(times, chosen["_id"].eqNullSafe(times["doc_id"]) & (chosen["_mark"] == times["mark"])).select("_id", "_mark", "_n")
-    joined = docs.withColumn("_m", _mark()).join(chosen, (F.col("_m") == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    one = Window.partitionBy("_id", "_mark").orderBy(*[F.col(c) for c in docs.columns if c in ("lang", "source", "n_chars")] or ["_mark"])
-    several = joined.where("_n > 1").withColumn("_k", F.row_number().over(one)).where("_k = 1")
-    return joined.where("_n = 1").select(docs.columns).union(several.select(docs.columns))
+    found = components(docs.select("doc_id", "text"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark"))
+    heads = common.checkpointed(found.groupBy("label").agg(head.alias("h")).select("h.id", "h.mark"))
+    times = found.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    chosen = heads.join(times, heads["id"].eqNullSafe(times["doc_id"]) & (heads["mark"] == times["mark"])).select(heads["id"], heads["mark"], "n")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), _mark().alias("own_mark"))
+    joined = rows.join(chosen, (rows["own_mark"] == chosen["mark"]) & rows["own_id"].eqNullSafe(chosen["id"])).select("row", "id", "mark", "n")
+    one = Window.partitionBy("id", "mark").orderBy(*[F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] or ["mark"])
+    several = joined.where("n > 1").withColumn("k", F.row_number().over(one)).where("k = 1")
+    return joined.where("n = 1").select("row.*").union(several.select("row.*"))
