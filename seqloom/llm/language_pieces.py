@@ -7,6 +7,8 @@ Piece probabilities are fitted by expectation maximisation over the same segment
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -21,8 +23,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bounds of the labelled sample: rows of each language, and characters of a row that can be among them.
-SAMPLE_ROWS, SAMPLE_CHARS = 100, 20_000
+#: Bounds of the labelled sample: rows of each language, distinct words of these (the first by a hash), and languages (the most frequent).
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_LANGUAGES = 100, 100_000, 256
 #: Words after which a text's evidence is no longer added but averaged, so that scores stay telling.
 EVIDENCE_WORDS = 32
 SPACE, UNDETERMINED = "▁", "und"
@@ -88,18 +90,26 @@ def _expected(words: Counter, probs: dict[str, float], singles: set[str]) -> dic
     """Expected piece counts over all segmentations (forward-backward)."""
     finder, out = _automaton({p: (p, q) for p, q in probs.items()}), Counter()
     for word, n in words.items():
-        if len(word) > 48:  # too long for plain doubles, and no ordinary word
-            continue
         for part in _known(word, singles):
-            found = [(end + 1, k, p, q) for end, (k, (p, q)) in finder.iter(part)]
+            found = [(end + 1, k, p, q) for end, (k, (p, q)) in finder.iter(part) if q > 0]
             ahead, back = [1.0] + [0.0] * len(part), [0.0] * len(part) + [1.0]
             for end, k, _, q in found:
                 ahead[end] += ahead[end - k] * q
-            for end, k, _, q in sorted(found, key=lambda x: x[1] - x[0]):
+            backwards = sorted(found, key=lambda x: x[1] - x[0])
+            for end, k, _, q in backwards:
                 back[end - k] += q * back[end]
-            if ahead[-1] > 0:
+            if ahead[-1] > 1e-250:
                 for end, k, p, q in found:
                     out[p] += n * ahead[end - k] * q * back[end] / ahead[-1]
+            else:  # long words, beyond plain doubles: the same in logarithms
+                ahead, back = [0.0] + [-math.inf] * len(part), [-math.inf] * len(part) + [0.0]
+                for end, k, _, q in found:
+                    ahead[end] = np.logaddexp(ahead[end], ahead[end - k] + math.log(q))
+                for end, k, _, q in backwards:
+                    back[end - k] = np.logaddexp(back[end - k], math.log(q) + back[end])
+                for end, k, p, q in found:
+                    if ahead[-1] > -math.inf:
+                        out[p] += n * math.exp(ahead[end - k] + math.log(q) + back[end] - ahead[-1])
     return out
 
 
@@ -116,6 +126,7 @@ class Scorer:
         self.singles = {p for p in model.pieces if len(p) == 1}
         self.table = np.zeros((common.CACHE_ENTRIES + 1, self.n + 1))  # the last column: words inside
         self.rows: dict[str, int] = {}
+        self.chars = 0
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language) of each word, over all segmentations, up to terms that all languages share.
@@ -161,11 +172,12 @@ class Scorer:
     def learn(self, chunks: set[str]) -> None:
         """Puts the chunks it lacks into the table."""
         new = [c for c in chunks if c not in self.rows]
-        if len(self.rows) + len(new) > common.CACHE_ENTRIES:
+        if len(self.rows) + len(new) > common.CACHE_ENTRIES or self.chars > common.CACHE_CHARS:
             self.rows.clear()
-            new = list(chunks)
+            new, self.chars = list(chunks), 0
         if not new:
             return
+        self.chars += sum(map(len, new))
         found = [WORD.findall(c) for c in new]
         place: dict[str, int] = {}
         ids = np.array([place.setdefault(w, len(place)) for ws in found for w in ws], dtype=np.int64)
@@ -214,24 +226,32 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, languages: int = SAMPLE_LANGUAGES) -> Model:
     """Fits a model on a bounded sample of rows with text and lang: the first `sample_rows` of each language by a hash of doc_id.
 
-    Rows of null text, lang or letters aren't used; copies of a text count once. No labelled row: a model without
-    languages, which calls everything undetermined.
+    Their whole texts are counted where they lie; at most `sample_words` distinct words of a language, the first by a hash, come to the driver. Of
+    more than `languages` values of lang the most frequent are learned. Rows of null text or lang, or without letters, aren't used;
+    copies of a text count once. No labelled row: a model without languages, which calls everything undetermined.
     """
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([], {})
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * sample_rows / n))])
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
-    some = labelled.where((drawn < share[F.col("lang")] * (1 << 30)) & (F.length("text") <= sample_chars)).withColumn("_drawn", drawn)
-    once = some.groupBy("lang", "text").agg(F.min("_drawn").alias("_drawn"))
-    first = once.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_drawn", "text"))).where(F.col("_n") <= sample_rows)
+    some = labelled.where(drawn < share[F.col("lang")] * (1 << 30)).withColumn("drawn", drawn)
+    once = some.groupBy("lang", "text").agg(F.min("drawn").alias("drawn"))
+    first = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))).where(F.col("n") <= sample_rows).select("lang", "text")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(lang, w, n) for lang, t in zip(*(c.to_pylist() for c in batch.columns)) for w, n in Counter(WORD.findall(t.lower())).items()]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    counted = common.per_batch(first, "lang string, word string, n long", count).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word")
     words: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for r in first.select("lang", "text").collect():  # at most sample_rows * sample_chars characters a language
-        words[r["lang"]].update(WORD.findall(r["text"].lower()))
+    for r in counted.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_words).orderBy("lang", "word").collect():
+        words[r["lang"]][r["word"]] = r["n"]
     return fit({lang: c for lang, c in words.items() if c}, vocabulary(path))
 
 
@@ -240,7 +260,7 @@ class _Held:
 
     def __init__(self, model: Model):
         self.model = model
-        self.key = repr(sorted((p, q) for p, q in model.pieces.items())[:200]) + repr(model.languages)
+        self.key = hashlib.sha256(repr((model.languages, list(model.pieces.items()))).encode()).hexdigest()
 
     def __hash__(self):
         return hash(self.key)
