@@ -49,9 +49,14 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.quality(table(spark, sf_dir, "documents"))
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy changes, from the failure bits of op9's ledger alone."""
+    return rule_ledger.ablation(rule_ledger.ledger(table(spark, sf_dir, "documents")), rule_ledger.FULL)
+
+
 def op10_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_pieces.languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, op10_language_pieces)}
-ORACLES = {"op5_mixture_budget": mixture_budget.oracle(), "op9_rule_ledger": rule_ledger.oracle()}
+QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, rule_ablation, op10_language_pieces)}
+ORACLES = {"op5_mixture_budget": mixture_budget.oracle(), "op9_rule_ledger": rule_ledger.oracle(), "rule_ablation": rule_ledger.ablation_oracle()}

@@ -130,15 +130,27 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
     return each.groupBy("rule").agg(count(F.col("has")).alias("n_failed"), count(F.col("has") & F.col("none_else")).alias("n_failed_alone"), count(F.col("none_else")).alias("n_kept_without"))
 
 
+def judged(rows: DataFrame, policy: Policy = FULL) -> DataFrame:
+    """`rows` of a ledger with base_failed, kept (by base rules and `policy`) and the policy's version. Nothing is measured again."""
+    return rows.withColumns({"base_failed": fails(BASE), "kept": ~fails(BASE) & ~fails(policy), "policy_version": F.lit(policy.version)})
+
+
 def quality(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
-    """doc_id, the five base measurements, base_failed and kept (by base rules and `policy`) of every row."""
-    return ledger(docs).select("doc_id", *MEASURES[:5], fails(BASE).alias("base_failed"), (~fails(BASE) & ~fails(policy)).alias("kept"))
+    """doc_id, the five base measurements, base_failed, kept, the failure bits of all rules and the policy's version of every row."""
+    return judged(ledger(docs), policy).select("doc_id", *MEASURES[:5], "base_failed", "kept", "failed", "policy_version")
+
+
+def written(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger of `docs`, written to `path` once and read back, for any number of policies and ablations."""
+    ledger(docs).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def oracle(policy: Policy = FULL) -> str:
     """The SQL of quality(), for an independent engine."""
     rejects = " OR ".join(f"({condition})" for name, condition in RULES if name in policy.rules)
     base = " OR ".join(f"({condition})" for name, condition in RULES if name in BASE.rules)
+    bits = " + ".join(f"CASE WHEN {condition} THEN {1 << i} ELSE 0 END" for i, (_, condition) in enumerate(RULES))
     count = lambda chars: f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -150,5 +162,11 @@ pair AS (SELECT r, count(*) AS n FROM (SELECT r, i, ws FROM (SELECT r, ws, unnes
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, ({count('#*$%&|<>')})::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, (length(t) - length(replace(t, '!!', '!')))::BIGINT AS n_exclaims,
   ({count('A-Z')})::BIGINT AS n_capitals, len(ls)::BIGINT AS n_lines, coalesce(pair.n, 0)::BIGINT AS n_stutters FROM w LEFT JOIN rep USING (r) LEFT JOIN pair USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({base} OR {rejects}) AS kept FROM m
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({base} OR {rejects}) AS kept, ({bits})::BIGINT AS failed, {policy.version} AS policy_version FROM m
 """
+
+
+def ablation_oracle(policy: Policy = FULL) -> str:
+    """The SQL of ablation() over the ledger of documents."""
+    each = [(name, f"(failed & {1 << i}) <> 0", f"(failed & {policy.mask & ~(1 << i)}) = 0") for i, (name, _) in enumerate(RULES) if name in policy.rules]
+    return f"WITH ledger AS ({oracle(policy)}) " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({has}) AS n_failed, count(*) FILTER ({has} AND {free}) AS n_failed_alone, count(*) FILTER ({free}) AS n_kept_without FROM ledger" for n, has, free in each)

@@ -398,3 +398,48 @@ def test_shard_encoder_equals_the_library_on_odd_texts():
     letters = "aAbsS'tTrRvVeEmMlLdDéÉßÿÀ÷×ªº²¼09!?.<|>́  \n\t\x1cİſK中ñ​"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|>x <|EndOfText|>", "ab<|startoftext|>c", "", "it's IT'S o'LL'd ''s!'s"]
     assert [i.tolist() for i in encoder.encode(texts, 1)] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rng = random.Random(4)
+    words = {"en": ["the", "house", "with", "green", "window", "thing"], "de": ["das", "haus", "mit", "grünem", "fenster", "schön"]}
+    rows = [(i, " ".join(rng.choice(words[l]) for _ in range(9000 if l == "de" else 300)), l) for i, l in enumerate(["en", "de"] * 20)] + [(100 + i, "x" * 60 + "y" * 300, "xx") for i in range(5)]
+    model = language_pieces.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES)
+    assert model.languages == ["de", "en", "xx"]
+    got = language_pieces.Scorer(model).predict(["das haus mit fenster", "the house with a window", "x" * 50 + "y" * 400])
+    assert [x for x, _ in got] == ["de", "en", "xx"]
+
+
+def test_expected_counts_of_long_words():
+    """In logarithms as in plain numbers."""
+    probs, singles = {"▁": 0.1, "a": 0.2, "▁a": 0.3, "aa": 0.1}, {"▁", "a"}
+    short, long = (language_pieces._expected({"a" * n: 1}, probs, singles) for n in (300, 1200))
+    assert all(np.isfinite(v) for v in long.values()) and abs(long["aa"] / long["a"] - short["aa"] / short["a"]) < 1e-2
+    assert abs(sum(len(p) * v for p, v in long.items()) - 1201) < 1e-6
+
+
+def test_ledger_is_written_once(spark, documents, tmp_path):
+    kept = rule_ledger.written(documents, str(tmp_path / "ledger"))
+    for policy in (rule_ledger.BASE, rule_ledger.FULL, rule_ledger.Policy(3, ("symbols",))):
+        one, two = (sorted(map(tuple, rule_ledger.judged(x, policy).select("doc_id", "kept", "policy_version").collect())) for x in (kept, rule_ledger.ledger(documents)))
+        assert one == two and {r[2] for r in one} == {policy.version}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    other = duckdb.connect()
+    other.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df, rel = queries.QUERIES[name](spark, SF), other.sql(queries.ORACLES[name])
+    names = sorted(df.columns)
+    assert sorted(rel.columns) == names
+    assert sorted(map(repr, map(tuple, df.select(names).collect()))) == sorted(map(repr, rel.select(*names).fetchall()))
+
+
+def test_no_folder_of_ones_own_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as S
+
+    from seqloom.llm import common
+
+    context = S(master="spark://host:7077", _jsc=S(sc=lambda: S(getCheckpointDir=lambda: S(isEmpty=lambda: True))))
+    with pytest.raises(ValueError):
+        common.checkpoint_folder(S(sparkContext=context, conf=S(get=lambda *_: None)))

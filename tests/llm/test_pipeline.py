@@ -5,6 +5,7 @@ import random
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqloom.llm import pivot_simhash, secret_network, shingle_sets
@@ -104,3 +105,26 @@ def test_rows_of_null_or_repeated_ids_stay(spark):
     assert len(kept) == 6 and sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"]) == [(7, own[2]), (7, own[3]), (8, own[4])]
     none = [r["text"] or "" for r in kept if r["doc_id"] is None]
     assert len(none) == 3 and "" in none and own[0] in none and any(t.startswith(own[1]) for t in none)
+
+
+CLASHES = "_id _n _lang _whole _cut _domain _source _language _score row mark label n id lang_pred score held_out spans own_id".split()
+
+
+def test_clashing_columns_pass_through(spark):
+    """Names that the stages might use for themselves are a user's columns like any others."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 30")
+    docs = base
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(r["doc_id"] for r in stage(spark, base, SF).collect())
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert sorted(r["doc_id"] for r in rows) == want and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in CLASHES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 30
+
+
+def test_without_labels_only_letterless_rows_go(spark, documents):
+    docs = spark.createDataFrame([(1, "words here", None, None, 1), (2, "12 ..", None, None, 1), (3, None, None, None, None)], documents.schema)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()] == [1]
