@@ -22,7 +22,8 @@ def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_network.find(table(spark, sf_dir, "documents"), secret_network.trained())
+    docs = table(spark, sf_dir, "documents")
+    return secret_network.find(docs, secret_network.trained(secret_network.labelled_findings(docs)))
 
 
 def op4_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
