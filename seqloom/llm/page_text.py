@@ -2,15 +2,17 @@
 
 Each block of a page is a line. Its ratio is the length of its own text outside links to the number of its tags; lines inside
 menus, adverts and the like have none. Marks of these count as whole class tokens, ids or roles, never on headings, and hide nothing that holds an
-article or main, or most of the page's text. The logarithms of the ratios are smoothed along the page, runs of lines above a threshold are
-its content regions, and a region reaches over all lines of the sections (article, main) that it lies in; on pages without
-these, all lines from the first to the last content line are text.
+article or main, or, on pages without these, most of the page's text in several lines. The logarithms of the ratios are smoothed along the page and clustered in two by a threshold; runs of
+lines above it are the page's content regions. The container (div, section, table cell and the like) that the regions lie in is the article, and
+all its lines are text: from the page down, a container is entered while it has nearly all of the content, and what it leaves out is
+another region or loose text. Links alone, before and after the content, are no text of it. Where most of the content lies in article or main elements, the text is cut to those that hold some.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,7 +40,15 @@ IMPLIED = {t: (frozenset(("p",)), _LIMITS) for t in _ENDS_P} | {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+")
 
-SIGMA, SHARE = 1.5, 0.1
+#: Elements that can hold an article, and those whose text is a paragraph of one.
+CONTAINERS = frozenset("html body div section article main center td form fieldset".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd figcaption caption".split())
+
+#: Width of the smoothing; share of the highest value above which all is content; share of the content that a container must have.
+SIGMA, SHARE, HOLD = 1.5, 0.5, 0.75
+#: Unfinished tags after which reading is taken up again; beyond, what is left is read as text without tags.
+RESUMES = 64
+TAG = re.compile(r"<[^<>]*>?")
 
 
 def marked(name: str, value: str | None) -> bool:
@@ -51,21 +61,26 @@ class LineParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, float, int, bool, int]] = []  # text, ratio, section or 0, whether outside for sure, innermost marked element or -1
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, and the last three for text in it
+        self.lines: list[tuple[str, float, int, bool, int, int]] = []  # text, ratio, section or 0, whether outside for sure, innermost marked element or -1, innermost element
+        self.open: list[tuple[str, int, bool, int, int]] = []  # tag, and the last four for text in it
+        self.elements: list[tuple[int, str]] = [(0, "html")]  # the element around each, and its tag; the first is the page
         self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in `open` of each tag
         self.above: list[int] = []  # of each marked element: the marked element around it, or -1
         self.tops: list[int] = []  # of each section in no other: the innermost marked element around it, or -1
         self.parts: list[str] = []
         self.tags, self.linked, self.links, self.numbers = 0, 0, 0, 0
 
-    def _within(self) -> tuple[int, bool, int]:
-        return self.open[-1][1:] if self.open else (0, False, -1)
+    def _within(self) -> tuple[int, bool, int, int]:
+        return self.open[-1][1:] if self.open else (0, False, -1, 0)
+
+    def _ratio(self, text: str) -> float:
+        """Characters of a line outside links to its tags."""
+        return max(0, len(text) - self.linked) / max(1, self.tags)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(0, len(text) - self.linked) / max(1, self.tags), *self._within()))
+            self.lines.append((text, self._ratio(text), *self._within()))
         self.parts.clear()
         self.tags, self.linked = 0, 0
 
@@ -90,7 +105,7 @@ class LineParser(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        section, outside, mark = self._within()
+        section, outside, mark, element = self._within()
         apart = tag in OUTSIDE or (tag == "header" and not section)
         soft = tag == "form"
         if not apart and attrs and tag not in ("html", "body", "article", "main"):
@@ -113,7 +128,8 @@ class LineParser(HTMLParser):
                 self.above.append(mark)
                 mark = len(self.above) - 1
             self.at[tag].append(len(self.open))
-            self.open.append((tag, section, apart or outside, mark))
+            self.elements.append((element, tag))
+            self.open.append((tag, section, apart or outside, mark, len(self.elements) - 1))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -138,21 +154,37 @@ class LineParser(HTMLParser):
         if self.links:
             self.linked += len(data.strip())
 
-    def close(self):
-        super().close()
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
+    def read(self, html: str) -> None:
+        """The whole page, once. Text after an unfinished tag is read on from the next '>'; an unfinished comment reaches to the end, as in browsers."""
+        self.feed(html)
+        for _ in range(RESUMES):
+            rest, self.rawdata = self.rawdata, ""
+            if not rest or rest.startswith("<!--"):
+                break
+            if self.cdata_elem or not rest.startswith("<"):
+                self.handle_data(rest if self.cdata_elem else unescape(rest))
+                break
+            self.feed(rest[rest.find(">") + 1 :] if ">" in rest else "")
+        else:
+            self.handle_data(unescape(TAG.sub(" ", self.rawdata)))
         self._end_line()
 
     def hidden(self) -> list[bool]:
-        """Whether each line is outside. A mark hides nothing if it holds more than half of the text, or a section where none is free of marks."""
-        held = [0] * len(self.above)
-        for text, _, _, outside, mark in self.lines:
+        """Whether each line is outside. A mark hides nothing if it holds a section where none is free of marks, or, without sections, more than half of the text in several lines."""
+        held, held_lines = [0] * len(self.above), [0] * len(self.above)
+        for text, _, _, outside, mark, _ in self.lines:
             if mark >= 0 and not outside:
                 held[mark] += len(text)
+                held_lines[mark] += 1
         for i in reversed(range(len(held))):
             if self.above[i] >= 0:
                 held[self.above[i]] += held[i]
+                held_lines[self.above[i]] += held_lines[i]
         half = sum(len(x[0]) for x in self.lines if not x[3]) / 2
-        shown = [n > half for n in held]
+        shown = [not self.tops and n > half and k > 1 for n, k in zip(held, held_lines)]
         if -1 not in self.tops:
             seen: set[int] = set()
             for i in set(self.tops):
@@ -163,7 +195,7 @@ class LineParser(HTMLParser):
         hides: list[bool] = []
         for i, up in enumerate(self.above):
             hides.append(not shown[i] or (up >= 0 and hides[up]))
-        return [outside or (mark >= 0 and hides[mark]) for _, _, _, outside, mark in self.lines]
+        return [outside or (mark >= 0 and hides[mark]) for _, _, _, outside, mark, _ in self.lines]
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -173,28 +205,77 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel, "full")[reach : reach + len(values)] / np.convolve(np.ones(len(values)), kernel, "full")[reach : reach + len(values)]
 
 
+def threshold(values: np.ndarray) -> float:
+    """The middle between the means of two clusters, found from the extremes on; SHARE of the highest value at most."""
+    cut = (values.min() + values.max()) / 2
+    for _ in range(32):
+        low, high = values[values < cut], values[values >= cut]
+        new = (low.mean() + high.mean()) / 2 if len(low) else cut
+        if new == cut:
+            break
+        cut = new
+    return min(cut, SHARE * values.max())
+
+
+def container(places: list[int], elements: list[tuple[int, str]], weights: list[int], runs: list[int]) -> int:
+    """The element that holds the article.
+
+    places: the innermost element of each content line; runs: the region it is in. A container is entered if it has HOLD of the
+    content, and each line that it leaves out is in no region with lines inside, or is no paragraph.
+    """
+    paths = []
+    for at in places:
+        path = [at]
+        while path[-1]:
+            path.append(elements[path[-1]][0])
+        paths.append(path[::-1])
+    inside, depth = list(range(len(places))), 0
+    while True:
+        held: defaultdict[int, int] = defaultdict(int)
+        for i in inside:
+            if len(paths[i]) > depth + 1:
+                held[paths[i][depth + 1]] += weights[i]
+        best = max(held, key=held.get, default=0)
+        if not best or elements[best][1] not in CONTAINERS or held[best] < HOLD * sum(weights[i] for i in inside):
+            return paths[inside[0]][depth]
+        kept = [i for i in inside if len(paths[i]) > depth + 1 and paths[i][depth + 1] == best]
+        mine, regions = set(kept), {runs[i] for i in kept}
+        if any(runs[i] in regions and elements[places[i]][1] in PARAGRAPHS for i in inside if i not in mine):
+            return paths[inside[0]][depth]
+        inside, depth = kept, depth + 1
+
+
 def main_text(html: str | None) -> str:
     """The lines of a page's content regions, joined by newlines; '' for a null, empty or textless page."""
     if not html:
         return ""
     parser = LineParser()
-    parser.feed(html)
-    parser.close()
-    lines = [(text, 0.0 if hidden else ratio, section, not hidden) for (text, ratio, section, _, _), hidden in zip(parser.lines, parser.hidden())]
-    ratios = np.array([x[1] for x in lines])
-    if not ratios.any():
-        return "\n".join(t for t, _, s, free in lines if free and (s or not any(x[2] for x in lines)))
-    curve = smoothed(np.log1p(ratios))
-    content = (curve >= SHARE * curve.max()) & (ratios > 0)
-    places = np.array([x[2] for x in lines])
-    sections = {s for s in places[content].tolist() if s}
-    if sections:
-        chosen = np.isin(places, list(sections))
-    else:
-        chosen = np.zeros(len(lines), bool)
+    parser.read(html)
+    lines, free = parser.lines, [not h for h in parser.hidden()]
+    ratios = np.array([x[1] if f else 0.0 for x, f in zip(lines, free)])
+    chosen = np.array(free, bool)
+    sections = np.array([x[2] for x in lines])
+    if ratios.any():
+        curve = smoothed(np.log1p(ratios))
+        content = (ratios > 0) & (curve >= threshold(curve[chosen]))
         at = np.flatnonzero(content)
-        chosen[at[0] : at[-1] + 1] = True
-    return "\n".join(x[0] for x, c in zip(lines, chosen.tolist()) if c and x[3])
+        before = np.cumsum(chosen & ~content)[at]  # lines of the same region have as many other lines before them
+        weights = [len(lines[i][0]) for i in at]
+        top = container([lines[i][5] for i in at], parser.elements, weights, before.tolist())
+        around = [True] * len(parser.elements)
+        for i, (up, _) in enumerate(parser.elements):
+            around[i] = i == top or (i > 0 and around[up])
+        chosen &= np.array([around[x[5]] for x in lines])
+        if 2 * sum(w for i, w in zip(at, weights) if sections[i]) >= sum(weights):
+            chosen &= np.isin(sections, [s for s in sections[content & chosen].tolist() if s])
+        else:
+            ends = np.flatnonzero(content & chosen)[[0, -1]]
+            for i in np.flatnonzero(chosen & (ratios == 0)).tolist():
+                tag = parser.elements[lines[i][5]][1]
+                chosen[i] = ends[0] < i < ends[1] or (tag in PARAGRAPHS and tag != "li")
+    elif sections.any():
+        chosen &= sections > 0
+    return "\n".join(x[0] for x, c in zip(lines, chosen.tolist()) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:

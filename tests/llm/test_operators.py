@@ -515,3 +515,36 @@ def test_no_folder_of_ones_own_on_a_cluster(monkeypatch):
     context = S(master="spark://host:7077", _jsc=S(sc=lambda: S(getCheckpointDir=lambda: S(isEmpty=lambda: True))))
     with pytest.raises(ValueError):
         common.checkpoint_folder(S(sparkContext=context, conf=S(get=lambda *_: None)))
+
+
+def test_regions_come_from_ratios(spark, monkeypatch):
+    """Pages say the same with plain div elements for their sections; without the ratios they don't."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in pages]
+    bare = [re.sub("<(/?)(?:nav|footer)>", r"<\1div>", h) for h in plain]
+    want = [page_text.main_text(h) for h in pages]
+    assert [page_text.main_text(h) for h in plain] == want
+    assert sum(page_text.main_text(h) == w for h, w in zip(bare, want)) >= 0.95 * len(want)
+    monkeypatch.setattr(page_text, "SHARE", 0.0)  # everything is content
+    monkeypatch.setattr(page_text.LineParser, "_ratio", lambda self, text: 1.0)
+    assert sum(page_text.main_text(h) == w for h, w in zip(bare, want)) < 0.5 * len(want)
+
+
+def test_article_in_plain_containers():
+    text = "This paragraph of the article has a good many words in it, and so it is long enough to count as text."
+    menu = "<div><ul><li><a href='/'>Home</a><li><a href='/a'>About us</a></ul></div>"
+    page = f"<body>{menu}<div><div><h2>One</h2><p>{text}<p>Short.</div><div><h2>Two</h2><p>{text}</div></div><div>Impressum 2024</div></body>"
+    assert page_text.main_text(page).split("\n") == ["One", text, "Short.", "Two", text]
+    assert page_text.main_text(f"<article><h1>T</h1><p class='ad'>Buy.<p>{text}<p>More of it.</article>").split("\n") == ["T", text, "More of it."]
+    assert page_text.main_text(f"<div class='social-science'><p>{text}</div>") == text
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for h in ("<a " * 30_000, '<a b="' * 20_000, '<a b="' * 20_001 + ">", "<!--" * 30_000, "</a " * 30_000, "<![CDATA[" * 20_000, "<![x " * 10_000, "<p>text <a href='x>" * 8_000, "<script>" * 20_000, "<div>" * 30_000 + "x"):
+        page_text.main_text(h)
+    assert time.time() - began < 10
+    assert page_text.main_text("<p>before <a href='x>link</a><p>after it").split("\n")[-1] == "after it"
+    assert page_text.main_text("<p>some text &amp") == "some text &" and page_text.main_text("<p>text <!-- never closed <p>x") == "text"
