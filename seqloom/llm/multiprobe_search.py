@@ -8,6 +8,9 @@ the order of their estimated success: perturbation sets are ranked once by the e
 to the borders, and laid on each query's own ranking of its borders. Candidates of all tables are merged and
 reranked by their exact inner products. A query that has found fewer than there are to find is compared with all rows.
 
+The number of hashes and of buckets visited is fitted to the table: of the choices that find `recall` of the nearest in a bounded sample, that
+with the least work for so many rows. Clustered vectors get many hashes and few visits; vectors alike in all directions need many.
+
 Every row is in every table. Buckets are cut into chunks, and queries at a bucket into blocks, so one task holds one
 chunk and one block at a time whatever a bucket's size.
 """
@@ -16,29 +19,36 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """width is relative to the top of a vector's band of lengths."""
+    """width is relative to the top of a vector's band of lengths; hashes and probes are those of an unfitted search."""
 
-    tables: int = 4
-    hashes: int = 5
+    tables: int = 2
+    hashes: int = 6
     width: float = 2.0
-    probes: int = 40
+    probes: int = 320
     chunk: int = 1024
     block: int = 512
     seed: int = 23
 
 
+#: What is tried on the sample: hashes and probes; rows of the sample and queries among them; the recall asked for there; rows that a visit costs.
+HASHES, PROBES, SAMPLE, ASKED, RECALL, VISIT = (4, 5, 6, 8, 10, 12, 16), (10, 20, 40, 80, 160, 320, 640), 16384, 128, 0.93, 4
+#: Answers that a worker holds before it puts those of a query together.
+HELD = 300_000
+
+
 def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
     """Sets of ranks 1..2*hashes by rising expected sum of squared border distances; never both borders of a direction."""
     m = 2 * hashes
@@ -123,6 +133,33 @@ def _log_length() -> Column:
     return F.log2(most) + F.log2(F.aggregate(F.transform("embedding", lambda v: v / most), F.lit(0.0), lambda a, v: a + v * v)) / 2
 
 
+def fitted(rows: DataFrame, p: Parameters, k: int, n: int) -> Parameters:
+    """`p` with the hashes and probes that do for n rows like those of a sample of `rows` (vec_id, embedding, length): the first SAMPLE by a hash of vec_id."""
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding", "length").collect()
+    x, lengths = np.array([r["embedding"] for r in some]), np.array([r["length"] for r in some])
+    x = _unit(x) * lengths[:, None]
+    asked = x[:ASKED]
+    scores = asked @ x.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
+    best = (-1.0, 0.0, p)
+    for hashes in HASHES:
+        tried = replace(p, hashes=hashes, probes=max(PROBES))
+        hashing = Hashing(tried, x.shape[1])
+        names, visits = hashing.rows(x, lengths), hashing.queries(asked)
+        turn = np.full((p.tables, len(asked), len(x)), max(PROBES))  # when a query visits a row
+        for t in range(p.tables):
+            for i in range(len(asked)):
+                order = np.argsort(visits[t, i], kind="stable")
+                at = np.minimum(np.searchsorted(visits[t, i], names[t], sorter=order), visits.shape[2] - 1)
+                turn[t, i] = np.where(visits[t, i][order[at]] == names[t], order[at], max(PROBES))
+        first = np.take_along_axis(turn.min(axis=0), near, 1)
+        for probes in PROBES:
+            found, work = float((first < probes).mean()), float((turn < probes).mean()) * p.tables * n + p.tables * probes * VISIT
+            best = max(best, (min(found, RECALL), -work, replace(tried, probes=probes)), key=lambda b: b[:2])
+    return best[2]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -137,9 +174,10 @@ def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Parameters()) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each usable row of `vectors` (vec_id, embedding) that `queries` chooses.
 
+    Without parameters hashes and probes are fitted to the table.
     Candidates are all usable rows but those of the query's own vec_id. Ties go to the smaller vec_id. Repeated rows of a vec_id
     count once (one of its vectors, if they differ). Each query has k rows, or all candidates if they are fewer. Of identical vectors only the k + 1 smallest vec_ids can
     be in any answer; so many are kept, which also keeps a vector that very many rows share from filling a bucket.
@@ -148,15 +186,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
     facts = rows.agg(F.max(_log_length()).alias("longest"), F.max(F.size("embedding")).alias("size"), F.count("*").alias("n")).first()
     if facts["size"] is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    hashing = Hashing(p, facts["size"])
-    size = facts["size"]
+    size, fit = facts["size"], p is None
+    p = p or Parameters()
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64  # what vectors travel as, unchanged
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 batch = whole.slice(at, 4096)
                 x = _matrix(batch, 1)
-                names, ids, data = hashing.rows(x, batch.column(2).to_numpy()), batch.column(0).to_numpy(), _packed(x)
+                names, ids, data = hashing.rows(x, batch.column(2).to_numpy()), batch.column(0).to_numpy(), _packed(x.astype(kind))
                 for t in range(p.tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(names[t]), pa.array(ids), pa.array(data, pa.binary())], names=["tab", "bucket", "vec_id", "vec"])
 
@@ -165,7 +204,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 x = _matrix(batch, 1)
-                names, ids, data = hashing.queries(x), batch.column(0).to_numpy(), _packed(x)
+                names, ids, data = hashing.queries(x), batch.column(0).to_numpy(), _packed(x.astype(kind))
                 for t in range(p.tables):
                     n = names.shape[2]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x) * n, t, np.int32)), pa.array(names[t].ravel()), pa.array(np.repeat(ids, n)), pa.array([d for d in data for _ in range(n)], pa.binary())], names=["tab", "bucket", "vec_id", "vec"])
@@ -179,22 +218,36 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
     few = [r["band"] for r in sizes.where(F.col("n") <= p.chunk).collect()]  # at most one for each power of two
     hashed, scanned = kept.where(~F.col("band").isin(few)), kept.where(F.col("band").isin(few))
     asked = rows.where(queries).select("vec_id", "embedding")
+    n_hashed = hashed.count()
+    p = fitted(hashed, p, k, n_hashed) if fit and n_hashed else p
+    hashing = Hashing(p, size)
     base = _gathered(hashed.select("vec_id", "embedding", "length").mapInArrow(index, schema), p.chunk)
     visits = _gathered(asked.mapInArrow(probe, schema), p.block)
     meet = base.select("tab", "bucket", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs")).join(visits.select("tab", "bucket", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), ["tab", "bucket"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = 0
         for batch in batches:
             for i in range(len(batch)):
                 c_ids, q_ids = (np.array(batch.column(j)[i].as_py(), dtype=np.int64) for j in (0, 2))
-                c, q = (np.frombuffer(b"".join(batch.column(j)[i].as_py()), np.float64).reshape(-1, size) for j in (1, 3))
-                yield _best(c_ids, c, q_ids, q, k)
+                c, q = (np.frombuffer(b"".join(batch.column(j)[i].as_py()), kind).reshape(-1, size).astype(np.float64) for j in (1, 3))
+                held.append(_best(c_ids, c, q_ids, q, k))
+                count += len(held[-1][0])
+                if count > HELD:
+                    held = [_merged(held, k)]
+                    count = len(held[0][0])
+                    if count > HELD // 2:
+                        yield _answers(held.pop())
+                        count = 0
+        if held:
+            yield _answers(_merged(held, k))
 
     found = "query_id long, vec_id long, score double"
 
     def compared(some: DataFrame, candidates: DataFrame) -> DataFrame:
         """The best for each of the queries `some` among all `candidates`."""
-        c, q = _blocks(candidates, p.chunk, "c"), _blocks(some, p.block, "q")
+        c, q = _blocks(candidates, p.chunk, "c", kind), _blocks(some, p.block, "q", kind)
         return c.crossJoin(q).select("c_ids", "c_vecs", "q_ids", "q_vecs").mapInArrow(rerank, found)
 
     def ranked(near: DataFrame) -> DataFrame:
@@ -213,12 +266,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters = Par
     return best.join(full.select("query_id"), "query_id", "left_semi").union(ranked(compared(short, kept)))
 
 
-def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+def _blocks(rows: DataFrame, most: int, name: str, kind: type) -> DataFrame:
     """`rows` (vec_id, embedding) in blocks of about `most`, as ids and packed vectors."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(_matrix(batch, 1)) if len(batch) else [], pa.binary())], names=["vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(_matrix(batch, 1).astype(kind)) if len(batch) else [], pa.binary())], names=["vec_id", "vec"])
 
     n = -(-rows.count() // most)
     packed = rows.select("vec_id", "embedding").mapInArrow(pack, "vec_id long, vec binary").withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))))
@@ -234,8 +287,23 @@ def _gathered(rows: DataFrame, most: int) -> DataFrame:
     return salted.groupBy("tab", "bucket", "salt").agg(F.collect_list(F.struct("vec_id", "vec")).alias("v")).select("tab", "bucket", F.col("v.vec_id").alias("ids"), F.col("v.vec").alias("vecs"))
 
 
-def _best(c_ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best candidates of a chunk for each query of a block.
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query in all parts (query_ids, vec_ids, scores); a candidate met in several buckets counts once."""
+    q, c, score = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    once = np.concatenate([[True], (q[1:] != q[:-1]) | (c[1:] != c[:-1])]) if len(q) else np.zeros(0, bool)
+    q, c, score = q[once], c[once], score[once]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], c[keep], score[keep]
+
+
+def _answers(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+
+def _best(c_ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of a chunk for each query of a block: query_ids, vec_ids and scores.
 
     A matrix product finds the few that can be among them; their scores are then summed in one fixed order, so that equal
     vectors have equal scores wherever they lie.
@@ -256,4 +324,4 @@ def _best(c_ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
     at_q, at_c, exact = at_q[order], at_c[order], exact[order]
     place = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
     keep = place < k
-    return pa.RecordBatch.from_arrays([pa.array(q_ids[at_q[keep]]), pa.array(c_ids[at_c[keep]]), pa.array(exact[keep])], names=["query_id", "vec_id", "score"])
+    return q_ids[at_q[keep]], c_ids[at_c[keep]], exact[keep]
