@@ -2,11 +2,12 @@
 
 A shard holds the ids of documents that follow each other in doc_id order. Its bit planes, from the highest bit down, are each kept with the
 number of zeros; a plane's order is that of the plane above, stably parted by its bit. Access, counting
-and occurrence look-up read one bit of each plane, with ranks from sums at every 512 bits.
+and occurrence look-up read one bit of each plane, with ranks from sums at every 512 bits. The sums are in the file, and planes are compressed in
+blocks, so looking up one token or word unpacks one block of each plane.
 
-File image: b"WVM1", length of the header (uint32, little-endian), header (JSON: n, bits, zeros, sizes of the
+File image: b"WVM2", length of the header (uint32, little-endian), header (JSON: n, bits, zeros, sizes of the
 parts), then the parts, each compressed with Zstandard: doc_ids (int64), known (uint8: 0 where doc_id is null),
-lengths (int64), planes.
+lengths (int64), sums (uint32, plane by plane: the ones before every 512th bit), blocks (of 4,096 bytes, plane by plane).
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,79 +30,121 @@ from tokenizers import Tokenizer
 
 from . import common
 
-MAGIC, SHARD_TOKENS, STEP = b"WVM1", 1 << 20, 512
+MAGIC, SHARD_TOKENS, STEP, BLOCK = b"WVM2", 1 << 20, 512, 4096
 SHARD_SCHEMA = "part int, seq int, local_start long, n_tokens long, image binary"
-#: Pre-tokens (and words of other texts) kept by the encoder of one worker process: about 200 bytes each.
-KEPT = 1_200_000
+#: Pre-tokens (and words of other texts) kept by the encoder of one worker process (about 200 bytes each), and their characters.
+KEPT, KEPT_CHARS = 1_200_000, 16_000_000
 #: What a vocabulary file must say about its splitting for texts to be split here.
 SPLIT, NORMALIZERS, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", ["NFC", "Replace", "Lowercase"], "</w>"
 #: Texts of printable ASCII, Latin-1 letters and ASCII white space, which normal forms leave alone, and the same splitting for these when lower-cased.
 PLAIN, PARTS = re.compile("[!-~À-ÖØ-öø-ÿ \t\n\v\f\r]*"), r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\v\f\r]+"
 
 
+class Plane:
+    """The bits of one plane, from blocks that are unpacked when they are read and kept."""
+
+    def __init__(self, blocks: list[Callable[[], bytes]], sums: np.ndarray):
+        self.blocks, self.sums, self.read = blocks, sums, {}
+
+    def block(self, i: int) -> np.ndarray:
+        if i not in self.read:
+            self.read[i] = np.frombuffer(self.blocks[i](), np.uint8)
+        return self.read[i]
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b(), np.uint8) for b in self.blocks]) if self.blocks else np.zeros(0, np.uint8)
+
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        """Bytes lo to hi; a step never reaches over a block."""
+        return self.block(lo // BLOCK)[lo % BLOCK : lo % BLOCK + hi - lo] if hi > lo else np.zeros(0, np.uint8)
+
+    def bit(self, i: int) -> int:
+        return int(self.block(i // 8 // BLOCK)[i // 8 % BLOCK]) >> (i % 8) & 1
+
+    def ones(self, i: int) -> int:
+        """Ones among the first i bits."""
+        step = i // STEP
+        out = int(self.sums[step]) + int(np.bitwise_count(self.part(step * STEP // 8, i // 8)).sum(dtype=np.int64))
+        return out + ((int(self.part(i // 8, i // 8 + 1)[0]) & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0)
+
+    def place(self, k: int, one: bool) -> int:
+        """The place of the k-th one or zero."""
+        before = self.sums if one else np.arange(len(self.sums)) * STEP - self.sums.astype(np.int64)
+        step = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self.part(step * STEP // 8, (step + 1) * STEP // 8), bitorder="little") == one
+        return step * STEP + int(np.flatnonzero(bits)[k - int(before[step])])
+
+
+def step_sums(plane: np.ndarray) -> np.ndarray:
+    """The ones before every STEP-th bit of a plane, and before its end."""
+    padded = np.zeros(-(-max(1, len(plane)) * 8 // STEP) * STEP // 8, np.uint8)
+    padded[: len(plane)] = plane
+    return np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, STEP // 8).sum(axis=1, dtype=np.uint32))]).astype("<u4")
+
+
+def bit_planes(ids: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The number of zeros of each plane, from the highest bit down, and its bits."""
+    bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    zeros, packed = [], []
+    for k in range(bits - 1, -1, -1):
+        bit = (now & now.dtype.type(1 << k)) != 0
+        packed.append(np.packbits(bit, bitorder="little"))
+        ones, others = np.flatnonzero(bit), np.flatnonzero(~bit)
+        after = np.empty_like(now)
+        after[: len(others)], after[len(others) :] = now[others], now[ones]
+        now = after
+        zeros.append(len(others))
+    return zeros, packed
+
+
 class WaveletMatrix:
-    def __init__(self, n: int, bits: int, zeros: list[int], packed: list[np.ndarray]):
-        self.n, self.bits, self.zeros, self.packed = n, bits, zeros, packed
-
-    @classmethod
-    def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        zeros, packed = [], []
-        for k in range(bits - 1, -1, -1):
-            bit = (now & now.dtype.type(1 << k)) != 0
-            packed.append(np.packbits(bit, bitorder="little"))
-            ones, others = np.flatnonzero(bit), np.flatnonzero(~bit)
-            after = np.empty_like(now)
-            after[: len(others)], after[len(others) :] = now[others], now[ones]
-            now = after
-            zeros.append(len(others))
-        return cls(len(ids), bits, zeros, packed)
+    def __init__(self, n: int, zeros: list[int], planes: list[Plane]):
+        self.n, self.bits, self.zeros, self.planes = n, len(zeros), zeros, planes
 
     def all(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.packed[level], count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self.planes[level].whole(), count=self.n, bitorder="little").view(bool)
             z, before = self.zeros[level], np.empty_like(now)
             before[np.flatnonzero(~bit)] = now[:z]
             before[np.flatnonzero(bit)] = now[z:] | now.dtype.type(1 << (self.bits - 1 - level))
             now = before
         return now
 
-    @cached_property
-    def _sums(self) -> list[np.ndarray]:
-        """For each plane, the ones before every STEP-th bit."""
-        out = []
-        for plane in self.packed:
-            padded = np.zeros(-(-max(1, len(plane)) * 8 // STEP) * STEP // 8, np.uint8)
-            padded[: len(plane)] = plane
-            out.append(np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64))]))
-        return out
-
-    def _ones(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
-        block = i // STEP
-        whole = self.packed[level][block * STEP // 8 : i // 8]
-        out = int(self._sums[level][block]) + int(np.bitwise_count(whole).sum(dtype=np.int64))
-        return out + ((int(self.packed[level][i // 8]) & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0)
-
     def access(self, i: int) -> int:
         """The id at place i."""
         value = 0
-        for level in range(self.bits):
-            ones = self._ones(level, i)
-            bit = int(self.packed[level][i // 8]) >> (i % 8) & 1
+        for z, plane in zip(self.zeros, self.planes):
+            ones, bit = plane.ones(i), plane.bit(i)
             value = value << 1 | bit
-            i = self.zeros[level] + ones if bit else i - ones
+            i = z + ones if bit else i - ones
         return value
 
+    def tokens(self, lo: int, hi: int) -> list[int]:
+        """The ids at places lo to hi. What lies together in a plane stays together, in at most two pieces, in the next one."""
+        out = [0] * max(0, hi - lo)
+        pieces = [(lo, list(range(len(out))))] if out else []
+        for z, plane in zip(self.zeros, self.planes):
+            after = []
+            for start, places in pieces:
+                ones = plane.ones(start)
+                sides: tuple[list[int], list[int]] = ([], [])
+                for k, at in enumerate(places):
+                    bit = plane.bit(start + k)
+                    out[at] = out[at] << 1 | bit
+                    sides[bit].append(at)
+                after += [(begin, side) for begin, side in ((start - ones, sides[0]), (z + ones, sides[1])) if side]
+            pieces = after
+        return out
+
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         if value >> self.bits:
             return 0, 0
-        for level in range(self.bits):
-            a, b = self._ones(level, lo), self._ones(level, hi)
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
+        for level, (z, plane) in enumerate(zip(self.zeros, self.planes)):
+            a, b = plane.ones(lo), plane.ones(hi)
+            lo, hi = (z + a, z + b) if value >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, value: int, i: int) -> int:
@@ -121,41 +163,41 @@ class WaveletMatrix:
         i = lo + k
         for level in range(self.bits - 1, -1, -1):
             one = bool(value >> (self.bits - 1 - level) & 1)
-            i = self._place(level, i - self.zeros[level] if one else i, one)
+            i = self.planes[level].place(i - self.zeros[level] if one else i, one)
         return i
 
-    def _place(self, level: int, k: int, one: bool) -> int:
-        """The place of a plane's k-th one or zero."""
-        sums = self._sums[level]
-        before = sums if one else np.arange(len(sums)) * STEP - sums
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        part = np.unpackbits(self.packed[level][block * STEP // 8 : (block + 1) * STEP // 8], bitorder="little") == one
-        return block * STEP + int(np.flatnonzero(part)[k - int(before[block])])
-
 
 def file_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    matrix = WaveletMatrix.of(ids)
+    zeros, planes = bit_planes(ids)
     pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], np.uint8), np.array(lengths, "<i8"), *matrix.packed]
-    packed = [pack(p.tobytes()) for p in parts]
-    header = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "sizes": list(map(len, packed))}).encode()
+    sums = [step_sums(p) for p in planes]
+    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], np.uint8), np.array(lengths, "<i8"), np.concatenate(sums)]
+    packed = [pack(p.tobytes()) for p in [*parts, *(p[at : at + BLOCK] for p in planes for at in range(0, len(p), BLOCK))]]
+    header = json.dumps({"n": len(ids), "bits": len(zeros), "zeros": zeros, "sizes": list(map(len, packed))}).encode()
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *packed])
 
 
 class Shard:
-    """A file image opened: doc_ids, lengths, and the matrix of ids."""
+    """A file image opened: doc_ids, lengths, and the matrix of ids, whose blocks are unpacked on demand."""
 
     def __init__(self, image: bytes):
         if image[:4] != MAGIC:
             raise ValueError("not a token shard")
         at = 8 + int.from_bytes(image[4:8], "little")
-        header, parts, unpack = json.loads(image[8:at]), [], zstandard.ZstdDecompressor().decompress
-        for size in header["sizes"]:
-            parts.append(np.frombuffer(unpack(image[at : at + size]), np.uint8))
-            at += size
-        self.doc_ids = [d if k else None for d, k in zip(parts[0].view("<i8").tolist(), parts[1].tolist())]
-        self.lengths = parts[2].view("<i8")
-        self.matrix = WaveletMatrix(header["n"], header["bits"], header["zeros"], parts[3:])
+        header, unpack = json.loads(image[8:at]), zstandard.ZstdDecompressor().decompress
+        ends = (at + np.cumsum(header["sizes"])).tolist()
+        parts = [lambda lo=lo, hi=hi: unpack(image[lo:hi]) for lo, hi in zip([at, *ends], ends)]
+        known = np.frombuffer(parts[1](), np.uint8).tolist()
+        self.doc_ids = [d if k else None for d, k in zip(np.frombuffer(parts[0](), "<i8").tolist(), known)]
+        self.lengths = np.frombuffer(parts[2](), "<i8")
+        sums = np.frombuffer(parts[3](), "<u4").reshape(header["bits"], -1)
+        each = (len(parts) - 4) // header["bits"]
+        self.matrix = WaveletMatrix(header["n"], header["zeros"], [Plane(parts[4 + k * each : 4 + (k + 1) * each], sums[k]) for k in range(header["bits"])])
+
+    def document(self, i: int) -> list[int]:
+        """The ids of the shard's i-th document, without unpacking the others' blocks."""
+        start = int(self.lengths[:i].sum())
+        return self.matrix.tokens(start, start + int(self.lengths[i]))
 
 
 class Encoder:
@@ -179,6 +221,7 @@ class Encoder:
         self.ends = {i for p, i in self.library.get_vocab(with_added_tokens=False).items() if p.endswith(WORD_END)}
         self.added = re.compile("|".join(re.escape(t["content"]) for t in said["added_tokens"]) or "(?!)")
         self.kept: dict[str, bytes] = {}
+        self.chars = 0
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """The ids of each text, with `end_id` behind."""
@@ -206,9 +249,10 @@ class Encoder:
 
     def _learned(self, units: list[str], encoded: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
         new = [u for u in units if u not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
+        if len(self.kept) + len(new) > KEPT or self.chars > KEPT_CHARS:
             self.kept.clear()
-            new = units
+            new, self.chars = units, 0
+        self.chars += sum(map(len, new))
         for at in range(0, len(new), 512):
             some = new[at : at + 512]
             self.kept.update(zip(some, encoded(some)))
@@ -281,7 +325,10 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the shards at `path`, from their decoded ids."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the shards at `path`, from their decoded ids.
+
+    Each shard's look-ups (tokens, count) are held against what all its planes say.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,6 +336,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 s = Shard(image.as_py())
                 ids, ends = s.matrix.all().astype("<u4"), np.cumsum(s.lengths)
                 starts = ends - s.lengths
+                some = min(64, len(ids))
+                if s.matrix.tokens(0, some) != ids[:some].tolist() or s.matrix.count(int(ids[-1])) != int((ids == ids[-1]).sum()):
+                    raise ValueError("a shard's sums do not fit its planes")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(starts + first), pa.array(s.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

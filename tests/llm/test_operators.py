@@ -349,7 +349,16 @@ def test_wavelet_matrix():
     assert [m.select(3, k) for k in range(0, len(at), 17)] == at[::17].tolist() and m.count(3) == len(at) and m.count(70_000) == 0
     with pytest.raises(IndexError):
         m.select(3, len(at))
-    assert wavelet_shards.WaveletMatrix.of(np.zeros(0, int)).all().size == 0
+    assert shard.document(0) == ids[:3000].tolist() and shard.document(1) == ids[3000:].tolist() and m.tokens(17, 40) == ids[17:40].tolist() and m.tokens(5, 5) == []
+    assert wavelet_shards.Shard(wavelet_shards.file_image([], [], np.zeros(0, int))).matrix.all().size == 0
+
+
+def test_look_ups_unpack_few_blocks():
+    ids = np.random.default_rng(2).integers(0, 60_000, 400_000)
+    m = wavelet_shards.Shard(wavelet_shards.file_image([1], [400_000], ids)).matrix
+    assert m.tokens(200_000, 200_010) == ids[200_000:200_010].tolist() and m.access(123_456) == ids[123_456]
+    assert max(len(p.read) for p in m.planes) <= 12 < len(m.planes[0].blocks)
+    assert m.rank(int(ids[7]), 300_000) == (ids[:300_000] == ids[7]).sum() and m.select(int(ids[7]), 0) == np.flatnonzero(ids == ids[7])[0]
 
 
 def test_shards_round_trip(odd, documents):
