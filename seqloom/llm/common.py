@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries a word cache holds in one Python worker before it is emptied (about 200 bytes each), and characters of its keys.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 8_000_000
@@ -48,6 +49,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key that more than this share of all rows have is a heavy one; so there are at most 1 / HEAVY of them.
+HEAVY = 0.001
+
+
+def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """`rows` joined to `names` (one row a key, none missing) by `key`, without one task for all rows of a heavy key.
+
+    The names of heavy keys, at most 1 / HEAVY, are broadcast and their rows stay where they are; the others meet by a shuffle.
+    """
+    least = max(1000, int(rows.count() * HEAVY))
+    heavy = rows.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > least).select(key)
+    few = checkpointed(names.join(heavy, key, "left_semi"))
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rest.join(names, key))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))

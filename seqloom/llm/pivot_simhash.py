@@ -116,7 +116,7 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     first = labels.join(fps, labels["node"] == fps["fp"]).groupBy("label").agg(F.min("first").alias("least"))
     linked = labels.join(first, "label").select(F.col("node").alias("fp"), "least")
     found = fps.join(linked, "fp", "left").select("fp", F.nullif(F.coalesce("least", "first"), F.lit(NO_ID)).alias("component_id"))
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    return common.named(rows, common.checkpointed(found), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
