@@ -45,8 +45,8 @@ class Parameters:
 
 #: What is tried on the sample: hashes and probes; rows of the sample and queries among them; the recall asked for there; rows that a visit costs.
 HASHES, PROBES, SAMPLE, ASKED, RECALL, VISIT = (4, 5, 6, 8, 10, 12, 16), (10, 20, 40, 80, 160, 320, 640), 16384, 128, 0.93, 4
-#: Answers that a worker holds before it puts those of a query together.
-HELD = 300_000
+#: Answers that a worker holds before it puts those of a query together, and pairs of a query and a row that are worth a task.
+HELD, PAIRS = 300_000, 1_000_000
 
 
 def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -182,8 +182,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters | Non
     count once (one of its vectors, if they differ). Each query has k rows, or all candidates if they are fewer. Of identical vectors only the k + 1 smallest vec_ids can
     be in any answer; so many are kept, which also keeps a vector that very many rows share from filling a bucket.
     """
-    rows = common.checkpointed(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    facts = rows.agg(F.max(_log_length()).alias("longest"), F.max(F.size("embedding")).alias("size"), F.count("*").alias("n")).first()
+    rows = common.checkpointed(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("log_length", _log_length()))
+    facts = rows.agg(F.max("log_length").alias("longest"), F.max(F.size("embedding")).alias("size"), F.count("*").alias("n")).first()
     if facts["size"] is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     size, fit = facts["size"], p is None
@@ -211,7 +211,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters | Non
 
     schema = "tab int, bucket long, vec_id long, vec binary"
     alike = Window.partitionBy("embedding").orderBy("vec_id")
-    below = F.lit(facts["longest"]) - _log_length()
+    below = F.lit(facts["longest"]) - F.col("log_length")
     kept = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).select("vec_id", "embedding", F.floor(below).alias("band"), F.pow(F.lit(2.0), F.floor(below) - below).alias("length"))
     kept = common.checkpointed(kept)
     sizes = kept.groupBy("band").agg(F.count("*").alias("n"))
@@ -255,7 +255,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters | Non
         placed = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    near = meet.select("c_ids", "c_vecs", "q_ids", "q_vecs").mapInArrow(rerank, found)
+    tasks = -(-n_hashed * asked.count() // PAIRS)  # no more than the work is worth: a worker that sees more of a query's buckets hands on fewer answers
+    near = meet.select("c_ids", "c_vecs", "q_ids", "q_vecs").coalesce(max(1, tasks)).mapInArrow(rerank, found)
     if few:
         near = near.union(compared(asked, scanned))
     best = common.checkpointed(ranked(near))
