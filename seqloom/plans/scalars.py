@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import COMBINATORS, METHODS
+from ..functions.scalars import COMBINATORS, MAPS, METHODS, filled
 from ..functions.terms import column
 
-_ARGS = "p_partkey, CAST(p_partkey % 17 - 8 AS BIGINT) AS n, CAST(p_size AS BIGINT) AS m, p_retailprice - 1000.25 AS f, p_name AS s, p_brand AS t, substring(p_name, CAST(p_partkey % 7 + 1 AS INT), 1) AS c"
+_ARGS = "p_partkey, CAST(p_partkey % 17 - 8 AS BIGINT) AS n, CAST(p_size AS BIGINT) AS m, p_retailprice - 1000.25 AS f, p_name AS s, p_brand AS t, substring(p_name, CAST(p_partkey % 7 + 1 AS INT), 1) AS c, substring(p_name, CAST(p_size % 4 + 1 AS INT), 1) AS u, CAST(p_partkey % 3 AS BIGINT) AS i, CAST(p_partkey % 3 + p_size % 3 AS BIGINT) AS j"
 _SPARK = [
     "p_partkey", "CAST(p_partkey % 17 - 8 AS BIGINT) AS n", "CAST(p_size AS BIGINT) AS m", "p_retailprice - CAST(1000.25 AS DOUBLE) AS f", "p_name AS s", "p_brand AS t", "substring(p_name, CAST(p_partkey % 7 + 1 AS INT), 1) AS c",
-    "array(CAST(p_partkey % 5 AS BIGINT), CAST(p_size % 4 AS BIGINT), 2L, CAST(p_partkey % 3 AS BIGINT) - 1, 1L) AS l", "array(2L, CAST(p_size % 3 AS BIGINT), CAST(p_partkey % 4 AS BIGINT)) AS k", "map(p_name, CAST(p_size AS BIGINT), 'other', 2L) AS d",
+    "substring(p_name, CAST(p_size % 4 + 1 AS INT), 1) AS u", "CAST(p_partkey % 3 AS BIGINT) AS i", "CAST(p_partkey % 3 + p_size % 3 AS BIGINT) AS j", "array(CAST(p_partkey % 5 AS BIGINT), CAST(p_size % 4 AS BIGINT), 2L, CAST(p_partkey % 3 AS BIGINT) - 1, 1L) AS l", "array(2L, CAST(p_size % 3 AS BIGINT), CAST(p_partkey % 4 AS BIGINT)) AS k", "map(p_name, CAST(p_size AS BIGINT), 'other', 2L) AS d",
 ]
 _DUCK = f"(SELECT {_ARGS.replace('1000.25', '1000.25::DOUBLE')}, [CAST(p_partkey % 5 AS BIGINT), CAST(p_size % 4 AS BIGINT), 2, CAST(p_partkey % 3 AS BIGINT) - 1, 1] AS l, [2, CAST(p_size % 3 AS BIGINT), CAST(p_partkey % 4 AS BIGINT)] AS k, MAP {{p_name: CAST(p_size AS BIGINT), 'other': 2::BIGINT}} AS d FROM part)"
 
@@ -24,18 +24,29 @@ def _is_float(owner: str, method: str) -> bool:
     return owner == "Math" and method not in ("max", "min", "abs", "round")
 
 
+def _shown(owner: str, method: str, spark: bool) -> str:
+    """A map as its sorted entries, a double rounded, anything else as it is; {} stands for the value."""
+    if owner == "Map" and method in MAPS:
+        return "array_sort(transform(map_entries({}), e -> concat(e.key, '=', e.value)))" if spark else "list_sort([e.key || '=' || e.value FOR e IN map_entries({})])"
+    return "round({}, 6)" if _is_float(owner, method) else "{}"
+
+
+def _columns(owner: str, spark: bool) -> dict[str, str]:
+    """Each method, applied to the arguments that the queries give it."""
+    table = COMBINATORS if owner == "combinators" else METHODS[owner]
+    return {_name(owner, m): _shown(owner, m, spark).format(filled(spec[1 if spark else 2], spec[0])) for m, spec in table.items()}
+
+
 def _query(owner: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*_SPARK)
-        table = COMBINATORS if owner == "combinators" else METHODS[owner]
-        return rows.select("p_partkey", *[(F.round(F.expr(e), 6) if _is_float(owner, m) else F.expr(e)).alias(_name(owner, m)) for m, (e, _) in table.items()])
+        return rows.select("p_partkey", *[F.expr(e).alias(n) for n, e in _columns(owner, True).items()])
 
     return run
 
 
 def _oracle(owner: str) -> str:
-    table = COMBINATORS if owner == "combinators" else METHODS[owner]
-    return f"SELECT p_partkey, {', '.join((f'round({e}, 6)' if _is_float(owner, m) else f'{e}') + f' AS {_name(owner, m)}' for m, (_, e) in table.items())} FROM {_DUCK}"
+    return f"SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in _columns(owner, False).items())} FROM {_DUCK}".replace("AS STRING", "AS VARCHAR").replace("split(s, '')", "string_split(s, '')").replace("string_string_split", "string_split")
 
 
 _TERM = ("StFor", ("TmInteger", 1), ("TmVar", "m"), ("TmConversion", "TyInt", ("TmInteger", 0)), "total", "i", ("TmAdd", ("TmVar", "total"), ("TmMul", ("TmVar", "i"), ("TmVar", "i"))))
