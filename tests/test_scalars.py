@@ -91,8 +91,10 @@ def test_methods_as_in_plain_python(rows, owner):
     for name, (args, template, _) in table.items():
         got = rows.select(F.expr(filled(template, args)).alias("out"), *[F.expr(a).alias(f"a{i}") for i, a in enumerate(args)]).collect()
         for r in got:
-            want = PLAIN[owner][name](*r[1:])
-            assert plain(r["out"]) == pytest.approx(plain(want)) if isinstance(want, float) else plain(r["out"]) == plain(want), (name, r)
+            want, out = PLAIN[owner][name](*r[1:]), r["out"]
+            if owner == "Map" and name in ("values", "toString"):  # a map has no order of its own
+                want, out = sorted(want), sorted(out)
+            assert plain(out) == (pytest.approx(plain(want)) if isinstance(want, float) else plain(want)), (name, r)
 
 
 def test_methods_take_any_arguments(rows):
