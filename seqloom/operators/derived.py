@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .monoids import ATOI_LOW, INF, LENGTH, MAX, MIN, SUM, Monoid, _ENDS, _ENDS_LIFT, _ENDS_MERGE, _P, _segments, _smallest, _total, _with
+from .monoids import ATOI_LOW, INF, LENGTH, MAX, MIN, SUM, Monoid, _ascents, _ENDS, _ENDS_LIFT, _ENDS_MERGE, _P, _segments, _smallest, _total, _with
 
 
 def _renamed(m: Monoid, prefix: str) -> Monoid:
@@ -57,16 +57,21 @@ INDEXED = Monoid({"n": 0, "v": 0, "t": 0}, {"n": "1", "v": "x", "t": "0"}, {"n":
 FROM_END = Monoid(INDEXED.zero, INDEXED.lift, INDEXED.merge | {"t": "a.t + b.t + b.n * a.v"}, "s.t")
 POLY_UP = Monoid(ATOI_LOW.zero, {"v": "x", "t": "3"}, ATOI_LOW.merge, f"(s.v + {_P}) % {_P}")
 POLY_DOWN = Monoid(ATOI_LOW.zero, {"v": "x", "t": "3"}, {"v": f"(a.v * b.t + b.v) % {_P}", "t": f"(a.t * b.t) % {_P}"}, f"(s.v + {_P}) % {_P}")
-MAX_COUNT = Monoid({"m": -INF, "n": 0}, {"m": "x", "n": "1"}, {"m": "greatest(a.m, b.m)", "n": "if(a.m >= b.m, a.n, 0) + if(b.m >= a.m, b.n, 0)"}, "s.n")
-MIN_COUNT = Monoid({"m": INF, "n": 0}, {"m": "x", "n": "1"}, {"m": "least(a.m, b.m)", "n": "if(a.m <= b.m, a.n, 0) + if(b.m <= a.m, b.n, 0)"}, "s.n")
+MAX_COUNT = Monoid({"m": None, "n": 0}, {"m": "x", "n": "1"}, {"m": "greatest(a.m, b.m)", "n": "if(b.m IS NULL OR a.m >= b.m, a.n, 0) + if(a.m IS NULL OR b.m >= a.m, b.n, 0)"}, "s.n")
+MIN_COUNT = Monoid({"m": None, "n": 0}, {"m": "x", "n": "1"}, {"m": "least(a.m, b.m)", "n": "if(b.m IS NULL OR a.m <= b.m, a.n, 0) + if(a.m IS NULL OR b.m <= a.m, b.n, 0)"}, "s.n")
+#: Products of suffixes, summed, with 1 for the empty one; the Fibonacci number of the length (a product of 2x2 matrices). Both modulo 10**9 + 7.
+TAIL_PRODUCTS = Monoid({"p": 1, "v": 0}, {"p": "x", "v": "x"}, {"p": f"(a.p * b.p) % {_P}", "v": f"(b.v + a.v * b.p) % {_P}"}, f"(1 + s.v) % {_P}")
+FIBONACCI = Monoid({"a": 1, "b": 0, "c": 0, "d": 1}, {"a": "1", "b": "1", "c": "1", "d": "0"}, {"a": f"(a.a * b.a + a.b * b.c) % {_P}", "b": f"(a.a * b.b + a.b * b.d) % {_P}", "c": f"(a.c * b.a + a.d * b.c) % {_P}", "d": f"(a.c * b.b + a.d * b.d) % {_P}"}, "s.b")
+#: The longest run in which no value is above the next: what a greedy run from the end finds.
+RISING_RUN = _ascents("a.last <= b.first", "if(s.n = 0, 0, s.best + 1)")
 #: The longest suffix without a negative value: its sum.
 SUFFIX_SUM = Monoid({"whole": True, "v": 0}, {"whole": "x >= 0", "v": "greatest(0, x)"}, {"whole": "a.whole AND b.whole", "v": "if(b.whole, a.v + b.v, b.v)"}, "s.v")
 SECOND_MAX = _smallest(2, -1, INF)
 SUFFIX_BALANCE = _with(_segments("if(x > 0, 1, -1)"), "s.all - s.pre >= 0")  # every suffix: whole less the largest prefix
-HEAD_SIGHT = Monoid(_ENDS | {"rest": -(10**9), "all": -(10**9)}, _ENDS_LIFT | {"rest": str(-(10**9)), "all": "x"}, _ENDS_MERGE | {"rest": "if(a.n = 0, b.rest, greatest(a.rest, b.all))", "all": "greatest(a.all, b.all)"}, "s.n > 0 AND s.first > s.rest")
+HEAD_SIGHT = Monoid(_ENDS | {"rest": None, "all": None}, _ENDS_LIFT | {"rest": "NULL", "all": "x"}, _ENDS_MERGE | {"rest": "if(a.n = 0, b.rest, greatest(a.rest, b.all))", "all": "greatest(a.all, b.all)"}, "s.n > 0 AND (s.rest IS NULL OR s.first > s.rest)")
 FROM_END_OF = Monoid({"n": 0, "at": -1}, {"n": "1", "at": "if(x = 2, 0, -1)"}, {"n": "a.n + b.n", "at": "CASE WHEN a.at >= 0 THEN a.at + b.n WHEN b.at >= 0 THEN b.at ELSE -1 END"}, "greatest(0, s.at)")
 INDEX_OF = Monoid({"n": 0, "at": 0}, {"n": "1", "at": "if(x = 2, 1, 0)"}, {"n": "a.n + b.n", "at": "CASE WHEN a.at > 0 THEN a.at WHEN b.at > 0 THEN a.n + b.at ELSE 0 END"}, "s.at")
-MAX_SUFFIX = Monoid({"n": 0, "all": 0, "best": -(10**9)}, {"n": "1", "all": "x", "best": "x"}, {"n": "a.n + b.n", "all": "a.all + b.all", "best": "greatest(b.best, b.all + a.best)"}, "if(s.n = 0, 0, s.best)")
+MAX_SUFFIX = Monoid({"n": 0, "all": 0, "best": None}, {"n": "1", "all": "x", "best": "x"}, {"n": "a.n + b.n", "all": "a.all + b.all", "best": "greatest(b.best, b.all + a.best)"}, "if(s.n = 0, 0, s.best)")
 
 #: Values between -3 and 3; the constant is 2 where one is needed.
 LISTS: dict[str, Monoid] = {
@@ -79,7 +84,7 @@ LISTS: dict[str, Monoid] = {
     "steps": _total("+", 0, "if(x > 0, 1, -1)"), "largest_even": _total("greatest", -INF, f"if(x % 2 = 0, x, {-INF})"), "largest_even_positive": _total("greatest", 0, "if(x % 2 = 0 AND x > 0, x, 0)"),
     "parity_of_max": joined(MAX, LENGTH, "({0} % 2 + 2) % 2"), "parity_of_first": _with(FIRST, "(s.first % 2 + 2) % 2"), "parity_of_last": _with(LAST, "(s.last % 2 + 2) % 2"), "sum_of_parities": _total("+", 0, "(x % 2 + 2) % 2"),
     "first_odd": Monoid({"v": 0}, {"v": "if(x % 2 = 0, 0, x)"}, {"v": "if(a.v <> 0, a.v, b.v)"}, "s.v"), "length_or_zero": _with(LENGTH, "if(s.v < 2, 0, s.v)"), "length_less_one": _with(LENGTH, "if(s.v - 1 >= 2, s.v - 1, 0)"),
-    "one": _with(LENGTH, "if(s.v >= 0, 1, 0)"), "sum_if_unimodal": guarded(SUM, UNIMODAL), "contains_if_unimodal": guarded(some("x = 2"), UNIMODAL, "false"), "max_if_unimodal": guarded(_total("greatest", 0), UNIMODAL),
+    "one": _with(LENGTH, "if(s.v >= 0, 1, 0)"), "sum_if_unimodal": guarded(SUM, UNIMODAL), "contains_if_unimodal": guarded(some("x = 2"), UNIMODAL, "false"), "tail_products": TAIL_PRODUCTS, "fibonacci_of_length": FIBONACCI, "greedy_min_head": RISING_RUN, "max_if_unimodal": guarded(_total("greatest", 0), UNIMODAL),
     "contains_if_constant": guarded(count_if("x = 2"), EQUAL), "min_if_descending": guarded(MIN, DESCENDING), "parity_sum_if_even": guarded(_total("+", 0, "(x % 2 + 2) % 2"), every("x % 2 = 0")),
 }
 #: Values of at least 0 in rising order.
@@ -100,10 +105,6 @@ FOLDS: dict[str, Monoid] = {
         "best": "greatest(a.best, if((CASE WHEN a.zero AND b.v = 1 THEN a.n + 1 WHEN b.v = 0 THEN a.n ELSE 0 END) % 2 = 1, CASE WHEN a.zero AND b.v = 1 THEN a.n + 1 ELSE a.n END, 0))"}, "s.best"),
 }
 BACK_FOLDS: dict[str, Monoid] = {
-    "elements_over_distance": Monoid({"i": 0, "v": 0}, {"i": "1", "v": "x"}, {"i": "a.i + 1", "v": "a.v + if(b.v > a.i, b.v, 0)"}, "s.v"),
-    "elements_over_distance_floored": Monoid({"i": 0, "v": 0}, {"i": "1", "v": "x"}, {"i": "a.i + 1", "v": "greatest(0, a.v + if(b.v > a.i, b.v, 0))"}, "s.v"),
-    "greedy_min_head": Monoid({"n": 0, "m": 0, "best": 0}, {"n": "1", "m": "x", "best": "1"}, {"n": "if(a.n > 0 AND b.m <= a.m, a.n + 1, 1)", "m": "if(a.n > 0, if(b.m <= a.m, least(a.m, b.m), b.m), b.m)", "best": "greatest(a.best, if(a.n > 0 AND b.m <= a.m, a.n + 1, 1))"}, "s.best"),
     "greedy_min_head_gap": Monoid({"n": 0, "m": 0, "top": 0, "best": 0}, {"n": "1", "m": "x", "top": "x", "best": "1"}, {
         "n": "if(a.n > 0 AND b.m <= a.m AND a.top - b.m <= 3, a.n + 1, 1)", "m": "b.m", "top": "if(a.n > 0 AND b.m <= a.m AND a.top - b.m <= 3, greatest(a.top, b.m), b.m)", "best": "greatest(a.best, if(a.n > 0 AND b.m <= a.m AND a.top - b.m <= 3, a.n + 1, 1))"}, "s.best"),
-    "tail_products": Monoid({"p": 1, "v": 1, "x": 0}, {"p": "1", "v": "0", "x": "x"}, {"x": "b.x", "p": f"(a.p * b.x) % {_P}", "v": f"(a.v + (a.p * b.x) % {_P}) % {_P}"}, "s.v"),
 }

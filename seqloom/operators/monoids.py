@@ -17,20 +17,22 @@ INF = 100
 
 @dataclass(frozen=True)
 class Monoid:
-    """zero's value types (int or bool) are those of the state's fields."""
+    """zero's value types (int, bool, or None for an int that is not there yet) are those of the state's fields."""
 
-    zero: dict[str, int | bool]
+    zero: dict[str, int | bool | None]
     lift: dict[str, str]
     merge: dict[str, str]
     finish: str
 
 
-def _typed(expr: str, like: int | bool) -> str:
-    return f"CAST({expr} AS {'BOOLEAN' if isinstance(like, bool) else 'BIGINT'})"
+def _typed(expr: str, like: int | bool | None) -> str:
+    return f"CAST({'NULL' if expr == 'None' else expr} AS {'BOOLEAN' if isinstance(like, bool) else 'BIGINT'})"
 
 
-def spark_struct(m: Monoid, exprs: dict[str, str | int | bool]) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {_typed(spark(str(exprs[k])), m.zero[k])}" for k in m.zero) + ")"
+def spark_struct(m: Monoid, exprs: dict[str, str | int | bool | None]) -> str:
+    """The first state decides whether its fields can be null, so its values are wrapped to be so where any is."""
+    wrap = "nullif({}, NULL)" if exprs is m.zero and None in m.zero.values() else "{}"
+    return "named_struct(" + ", ".join(f"'{k}', {wrap.format(_typed(spark(str(exprs[k])), m.zero[k]))}" for k in m.zero) + ")"
 
 
 def spark(expr: str) -> str:
@@ -112,14 +114,14 @@ def _bridges(first: int, filler: int, last: int, least: int, finish: str) -> Mon
 
 
 def _max_plus(size: int, step: list[list[str | None]], finish: str) -> Monoid:
-    """step[i][j]: what passing a value adds on the way from place i to place j (None: no way). A matrix product over (max, +)."""
-    never, cells = -(10**12), [(i, j) for i in range(size) for j in range(size)]
+    """step[i][j]: what passing a value adds on the way from place i to place j (None: no way, which greatest() passes over). A matrix product over (max, +)."""
+    cells = [(i, j) for i in range(size) for j in range(size)]
     name = lambda i, j: f"m{i}{j}"
     best = lambda terms: f"greatest({', '.join(terms)})"
     return Monoid(
-        {name(i, j): 0 if i == j else never for i, j in cells},
-        {name(i, j): str(never) if step[i][j] is None else step[i][j] for i, j in cells},
-        {name(i, j): f"greatest({never}, {best([f'a.{name(i, k)} + b.{name(k, j)}' for k in range(size)])})" for i, j in cells},
+        {name(i, j): 0 if i == j else None for i, j in cells},
+        {name(i, j): "NULL" if step[i][j] is None else step[i][j] for i, j in cells},
+        {name(i, j): best([f"a.{name(i, k)} + b.{name(k, j)}" for k in range(size)]) for i, j in cells},
         finish,
     )
 
@@ -179,7 +181,7 @@ MAX, MIN = _total("greatest", -INF), _total("least", INF)
 AVERAGE = Monoid({"v": 0, "n": 0}, {"v": "x", "n": "1"}, {"v": "a.v + b.v", "n": "a.n + b.n"}, "if(s.n = 0, 0, s.v // if(s.n = 0, 1, s.n))")
 LAST_TWO = Monoid(_ENDS | {"before": 0}, _ENDS_LIFT | {"before": "0"}, _ENDS_MERGE | {"before": "CASE WHEN b.n >= 2 THEN b.before WHEN b.n = 1 THEN a.last ELSE a.before END"}, "if(s.n < 2, 0, s.before)")
 SORTED = Monoid(_ENDS | {"ok": True}, _ENDS_LIFT | {"ok": "true"}, _ENDS_MERGE | {"ok": "a.ok AND b.ok AND (a.n = 0 OR b.n = 0 OR a.last < b.first)"}, f"s.ok AND (s.n = 0 OR s.first > -{INF})")
-SIGHT = Monoid(_ENDS | {"top": -(10**9), "all": -(10**9)}, _ENDS_LIFT | {"top": str(-(10**9)), "all": "x"}, _ENDS_MERGE | {"top": "if(b.n = 0, a.top, greatest(a.all, b.top))", "all": "greatest(a.all, b.all)"}, "s.n = 0 OR s.last >= s.top")
+SIGHT = Monoid(_ENDS | {"top": None, "all": None}, _ENDS_LIFT | {"top": "NULL", "all": "x"}, _ENDS_MERGE | {"top": "if(b.n = 0, a.top, greatest(a.all, b.top))", "all": "greatest(a.all, b.all)"}, "s.n = 0 OR s.top IS NULL OR s.last >= s.top")
 SEEN = Monoid({"h0": False, "h1": False, "hit": False, "ok": True}, {"h0": "x = 0", "h1": "x = 1", "hit": "false", "ok": "x = 0 OR x = 1"}, {"h0": "a.h0 OR b.h0", "h1": "a.h1 OR b.h1", "hit": "a.hit OR b.hit OR (a.h1 AND b.h0)", "ok": "a.ok AND b.ok AND NOT (a.h0 AND b.h1)"}, "s.hit")
 BETWEEN_ONES = Monoid(
     {"has": False, "whole": 0, "pre": 0, "tail": 0, "best": 0},

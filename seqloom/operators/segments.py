@@ -39,8 +39,8 @@ def longest_under(rows: DataFrame, key: list[str], segment: Column, order: list[
 def _bounded_runs(holds: str, worth: str) -> Monoid:
     """Runs of values for which `holds`: the greatest `worth`, over the length n and the extremes hi and lo of a run, of any maximal run."""
     of = lambda n, hi, lo: "greatest(0, if(" + n + " > 0, " + worth.format(n=n, hi=hi, lo=lo) + ", 0))"
-    ends = {f"{e}{f}": z for e in ("p", "q") for f, z in (("n", 0), ("hi", -(10**9)), ("lo", 10**9))}
-    lift = {f"{e}{f}": f"if({holds}, {v}, {ends[e + f]})" for e in ("p", "q") for f, v in (("n", "1"), ("hi", "x"), ("lo", "x"))}
+    ends = {f"{e}{f}": z for e in ("p", "q") for f, z in (("n", 0), ("hi", None), ("lo", None))}
+    lift = {f"{e}{f}": f"if({holds}, {v}, {'0' if f == 'n' else 'NULL'})" for e in ("p", "q") for f, v in (("n", "1"), ("hi", "x"), ("lo", "x"))}
     join = {"n": "a.{l}n + b.{r}n", "hi": "greatest(a.{l}hi, b.{r}hi)", "lo": "least(a.{l}lo, b.{r}lo)"}
     across = [join[f].format(l="q", r="p") for f in ("n", "hi", "lo")]
     return Monoid(
@@ -91,10 +91,15 @@ def nested_intervals(rows: DataFrame, key: list[str], inner: Column, outer: Colu
     return upper.join(lower, key).select(*key, (F.col("_falls") & F.col("_least")).alias("nested"))
 
 
+#: Over the sums of sub-lists: the largest prefix, segment and suffix sum.
+SUB_LISTS: dict[str, Monoid] = {"prefix_of_sums": _segments(finish="s.pre"), "segment_of_sums": _segments(), "suffix_of_sums": _segments(finish="s.suf")}
+
+
 def sub_list_sums(rows: DataFrame, key: list[str], inner: Column, outer: Column, value: str) -> DataFrame:
-    """The largest prefix sum over the sums of a key's sub-lists; `inner` tells these apart and orders them, `outer` must not fall with it."""
-    sums = rows.groupBy(*key, inner.alias("_inner"), outer.alias("_outer")).agg(F.sum(value).alias("_sum"))
-    return aggregate_in_order(sums, key, F.col("_outer"), ["_inner"], "_sum", {"prefix_of_sums": _segments(finish="s.pre")})
+    """SUB_LISTS over the sums of a key's sub-lists, the smallest of their largest values, and the smallest and largest of all; `inner` tells the sub-lists apart and orders them, `outer` must not fall with it."""
+    sums = rows.groupBy(*key, inner.alias("_inner"), outer.alias("_outer")).agg(F.sum(value).alias("_sum"), F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    ends = sums.groupBy(*key).agg(F.min("_hi").alias("least_of_largest"), F.min("_lo").alias("least"), F.max("_hi").alias("largest"))
+    return aggregate_in_order(sums, key, F.col("_outer"), ["_inner"], "_sum", SUB_LISTS).join(ends, key)
 
 
 def queens(spark: SparkSession, n: int) -> DataFrame:

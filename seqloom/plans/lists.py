@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import derived as D
 from ..operators import monoids as M
+from ..operators.guards import places
 from ..operators.sequences import aggregate_in_order
 from ..sources.fixtures import ORDER, VALUES, duck_lists, segment, sequence
 
@@ -43,13 +44,16 @@ ORACLES["list_rising"] = f"SELECT user_id, {', '.join(f'{M.duck_fold(m, "v")} AS
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds without a merge: each user's values together, in order."""
-    rows = sequence(spark, sf_dir, "small").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "x"))).alias("v")).select("user_id", F.col("v.x").alias("v"), F.reverse("v.x").alias("b"))
-    return rows.select("user_id", *[F.expr(M.spark_fold(m, "v")).alias(n) for n, m in D.FOLDS.items()], *[F.expr(M.spark_fold(m, "b")).alias(n) for n, m in D.BACK_FOLDS.items()])
+    """Folds without a merge: each user's values together, in order. What lies further from the end than its value needs only the places."""
+    small = sequence(spark, sf_dir, "small")
+    rows = small.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "x"))).alias("v")).select("user_id", F.col("v.x").alias("v"), F.reverse("v.x").alias("b"))
+    folds = rows.select("user_id", *[F.expr(M.spark_fold(m, "v")).alias(n) for n, m in D.FOLDS.items()], *[F.expr(M.spark_fold(m, "b")).alias(n) for n, m in D.BACK_FOLDS.items()])
+    over = places(small, ["user_id"], segment(), ORDER, "x").groupBy("user_id").agg(F.sum(F.when(F.col("x") > F.col("after"), F.col("x")).otherwise(0)).alias("elements_over_distance"))
+    return folds.join(over, "user_id")
 
 
 QUERIES["list_folds"] = _folds
-ORACLES["list_folds"] = f"SELECT user_id, {', '.join(f'{M.duck_fold(m, l)} AS {n}' for l, ms in (('v', D.FOLDS), ('list_reverse(v)', D.BACK_FOLDS)) for n, m in ms.items())} FROM ({duck_lists('small')})"
+ORACLES["list_folds"] = f"SELECT user_id, {', '.join(f'{M.duck_fold(m, l)} AS {n}' for l, ms in (('v', D.FOLDS), ('list_reverse(v)', D.BACK_FOLDS)) for n, m in ms.items())}, list_sum([CASE WHEN v[i] > len(v) - i THEN v[i] ELSE 0 END FOR i IN range(1, len(v) + 1)])::BIGINT AS elements_over_distance FROM ({duck_lists('small')})"
 #: The flagship has its own SQL, by windows.
 ORACLES["mss"] = """
 WITH p AS (SELECT user_id, ts, event_id, sum(CAST(floor(value) AS BIGINT) % 7 - 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),

@@ -45,9 +45,10 @@ a AS (SELECT user_id, i, s FROM p UNION ALL SELECT DISTINCT user_id, 0, 0 FROM p
 SELECT b.user_id, max(b.i - a.i)::BIGINT AS longest_under FROM a AS b JOIN a ON a.user_id = b.user_id AND a.i <= b.i AND b.s - a.s < {LIMIT} GROUP BY b.user_id
 """,
     "nested_prefix_of_sums": f"""
-WITH d AS (SELECT user_id, date_trunc('day', ts) AS d, sum({VALUES["small"]}) AS s FROM events GROUP BY 1, 2),
-p AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY d) AS t FROM d)
-SELECT user_id, greatest(0, max(t))::BIGINT AS prefix_of_sums FROM p GROUP BY user_id
+WITH d AS (SELECT user_id, date_trunc('day', ts) AS d, sum({VALUES["small"]}) AS s, max({VALUES["small"]}) AS hi, min({VALUES["small"]}) AS lo FROM events GROUP BY 1, 2),
+p AS (SELECT user_id, d, hi, lo, sum(s) OVER (PARTITION BY user_id ORDER BY d) AS t, sum(s) OVER (PARTITION BY user_id ORDER BY d DESC) AS u FROM d),
+q AS (SELECT *, t - least(0, min(t) OVER (PARTITION BY user_id ORDER BY d)) AS g FROM p)
+SELECT user_id, greatest(0, max(t))::BIGINT AS prefix_of_sums, greatest(0, max(g))::BIGINT AS segment_of_sums, greatest(0, max(u))::BIGINT AS suffix_of_sums, min(hi) AS least_of_largest, min(lo) AS least, max(hi) AS largest FROM q GROUP BY user_id
 """,
     "segment_extremes": f"""
 WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {VALUES["values"]} AS x FROM events),

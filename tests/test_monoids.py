@@ -105,6 +105,29 @@ def frequent(v):
     return of
 
 
+def unimodal(v):
+    return any(v[: i + 1] == sorted(v[: i + 1]) and v[i:] == sorted(v[i:], reverse=True) for i in range(len(v)))
+
+
+def greedy(v, gap=None):
+    """A run from the end that is begun anew where the next value is above its smallest, or spans more than the gap."""
+    run, best = [], 0
+    for h in reversed(v):
+        run = [h, *run] if run and h <= min(run) and (gap is None or max(run) - h <= gap) else [h]
+        best = max(best, len(run))
+    return best
+
+
+def odd_tens(v):
+    best = n = 0
+    zero = False
+    for x in v:
+        one, zero = zero and x == 1, x == 0
+        n = n + 1 if one else n if zero else 0
+        best = max(best, n if n % 2 else 0)
+    return best
+
+
 def prod(v):
     out = 1
     for x in v:
@@ -128,9 +151,18 @@ DEFINED = {
     "count10s2": lambda v: automaton(v, 1, 0, 2, 0)[0], "longest10s2": lambda v: automaton(v, 1, 0, 2, 0)[1], "count1s2s3s": lambda v: automaton(v, 1, 2, 3, 0)[0],
     "atoi_low_first": lambda v: sum(x * 10**i for i, x in enumerate(v)) % M._P, "atoi_high_first": lambda v: sum(x * 10**i for i, x in enumerate(v[::-1])) % M._P,
     "mpp": lambda v: max(1, *[prod(v[:i]) for i in range(1, len(v) + 1)]), "mtp": lambda v: max(1, *[prod(v[i:]) for i in range(len(v))]), "msp": lambda v: max(1, *[prod(s) for s in segments(v)]), "product": prod,
+    "sum_of_squares": lambda v: sum(x * x for x in v), "all_not_positive": lambda v: max(v) <= 0, "contains": lambda v: 2 in v, "sum_of_equal": lambda v: 2 * v.count(2), "sum_gt": lambda v: sum(x for x in v if x > 1), "sum_evens": lambda v: sum(x for x in v if x in (-2, 2)), "sum_odds": lambda v: sum(x for x in v if x in (1, 3)),
+    "count_between": lambda v: sum(x in (-1, 0, 1) for x in v), "any_between": lambda v: not {-1, 0, 1}.isdisjoint(v), "sum_between": lambda v: v.count(1) - v.count(-1), "count_lt": lambda v: len([x for x in v if x < 2]), "sum_not_negative": lambda v: sum(max(x, 0) for x in v), "max_or_zero": lambda v: max(0, *v),
+    "smallest_difference": lambda v: min([0] + [-abs(a - b) for a, b in itertools.combinations(v, 2)]), "steps": lambda v: sum((-1, 1)[x > 0] for x in v), "largest_even": lambda v: max([-100] + [x for x in v if x in (-2, 0, 2)]), "largest_even_positive": lambda v: 2 if 2 in v else 0,
+    "parity_of_max": lambda v: max(v) % 2, "parity_of_first": lambda v: v[0] % 2, "parity_of_last": lambda v: v[-1] % 2, "sum_of_parities": lambda v: sum(x % 2 for x in v), "length_or_zero": lambda v: len(v) if len(v) >= 2 else 0, "length_less_one": lambda v: len(v) - 1 if len(v) > 2 else 0, "one": lambda v: 1,
+    "contains_if_unimodal": lambda v: 2 in v and unimodal(v), "max_if_unimodal": lambda v: max(0, *v) if unimodal(v) else 0, "contains_if_constant": lambda v: len(v) if set(v) == {2} else 0, "parity_sum_if_even": lambda v: 0,
+    "min_if_sorted": lambda v: min(100, v[0]) if v == sorted(v) else 0, "max_if_sorted": lambda v: v[-1] if v == sorted(v) else 0, "index_if_sorted": lambda v: v.index(40) + 1 if v == sorted(v) and 40 in v else 0, "contains_if_sorted": lambda v: v == sorted(v) and 40 in v, "difference_if_positive": lambda v: max(v) - min(v), "second_max_if_positive": lambda v: sorted([0, *v])[-2],
+    "prefix_max_if_positive": sum, "sum_between_if_sorted": lambda v: sum(x for x in v if 20 < x < 60) if v == sorted(v) else 0, "count_between_if_sorted": lambda v: sum(20 < x < 60 for x in v) if v == sorted(v) else 0,
+    "equal_positions": lambda v: sum(x in (0, 5, 10, 15) for x in v), "max_point_sum": lambda v: max(sum(divmod(x, 4)) for x in v), "run_length_sum": lambda v: sum(prod(divmod(x, 4)) for x in v), "sum_for_key": lambda v: sum(x - 4 for x in v if 4 <= x < 8), "sum_for_keys_over": lambda v: sum(x % 4 for x in v if x >= 8),
+    "tail_products": lambda v: (1 + sum(prod(v[i:]) for i in range(len(v)))) % M._P, "fibonacci_of_length": lambda v: [0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584][len(v)], "greedy_min_head": greedy,
     "most_frequent": frequent, "second_min_if_sorted": lambda v: (sorted([*v, 10**6, 10**6])[1] if v == sorted(v) else 0), "count_lt_if_sorted": lambda v: sum(x < 40 for x in v) if v == sorted(v) else 0,
 }
-SETS = [(M.SMALL, -3, 3), (D.LISTS, -3, 3), (M.BITS, 0, 1), (M.PATTERNS, 0, 3), (M.DIGITS, 0, 9), (M.UNITS, -1, 1), (D.RISING, 0, 60)]
+SETS = [(M.SMALL, -3, 3), (D.LISTS, -3, 3), (M.BITS, 0, 1), (M.PATTERNS, 0, 3), (M.DIGITS, 0, 9), (M.UNITS, -1, 1), (D.RISING, 0, 60), (D.PAIRS, 0, 15)]
 
 
 @pytest.mark.parametrize("aggregates,low,high", SETS)
@@ -150,9 +182,32 @@ def test_segments_give_the_definition(spark, aggregates, low, high):
     got = {r["k"]: r for r in aggregate_in_order(df, ["k"], F.col("seg"), ["i"], "x", aggregates).collect()}
     assert len(got) == len(lists)
     for name in aggregates:
-        if name in DEFINED:
-            for k, v in enumerate(lists):
-                assert got[k][name] == DEFINED[name](v), (name, v)
+        for k, v in enumerate(lists):
+            want = DEFINED[name](v)
+            assert got[k][name] == (want % M._P if name == "tail_products" and got[k][name] >= 0 else want - M._P if name == "tail_products" and want > 0 else want), (name, v)
+
+
+def test_folds(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    lists = [[rng.randint(-3, 3) if k % 2 else rng.randint(0, 1) for _ in range(rng.randint(1, 12))] for k in range(200)]
+    df = spark.createDataFrame([(k, v, v[::-1]) for k, v in enumerate(lists)], "k long, v array<long>, b array<long>")
+    names = {"longest_odd10s": (D.FOLDS, "v", odd_tens), "greedy_min_head_gap": (D.BACK_FOLDS, "b", lambda v: greedy(v, 3))}
+    assert {*D.FOLDS, *D.BACK_FOLDS} == names.keys()
+    for r in df.select("k", *[F.expr(M.spark_fold(d[n], c)).alias(n) for n, (d, c, _) in names.items()]).collect():
+        assert all(r[n] == f(lists[r["k"]]) for n, (_, _, f) in names.items()), lists[r["k"]]
+
+
+def test_values_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    big = 10**15
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate([-3 * big, -2 * big, -5 * big])], "k long, i long, x long")
+    some = {n: {**M.SMALL, **D.LISTS}[n] for n in ("mas", "mis", "mmm", "line_sight", "head_sight", "max_suffix", "max_multiplicity", "min_multiplicity")}
+    for seg in (F.lit(0), F.col("i")):
+        got = aggregate_in_order(df, ["k"], seg, ["i"], "x", some).first()
+        assert [got[n] for n in some] == [DEFINED[n]([-3 * big, -2 * big, -5 * big]) if n not in ("line_sight", "head_sight") else n == "never" for n in some]
 
 
 def test_nulls_and_large_values(spark):
