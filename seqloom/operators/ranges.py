@@ -2,8 +2,8 @@
 
 Updates and queries are laid on the positions they cover; at each position a window in log order gives what the updates so
 far make of the value, and each query aggregates the values it sees by position. Rows grow with the
-positions covered, never with pairs of operations. Ranges mean all positions from l to r, ends included; positions beyond the
-sequence are ignored.
+positions covered, never with pairs of operations. Ranges mean all positions from l to r, ends included; they are cut at the ends of the
+sequence before they are laid out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ TAGS = {"plus": "x + coalesce(added, 0)", "cover": "coalesce(assigned, x)", "neg
 
 def answers(values: DataFrame, log: DataFrame, tag: str, aggregates: dict[str, Monoid]) -> DataFrame:
     """op_idx and the aggregates of each query of `log` (op_idx, kind 'update' or 'query', l, r, tag) over `values` (pos, x)."""
-    cells = log.where("l <= r").select("op_idx", "kind", "tag", F.explode(F.sequence("l", "r")).alias("pos"))
+    ends = values.agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    cut = log.crossJoin(F.broadcast(ends)).withColumns({"l": F.greatest("l", "_lo"), "r": F.least("r", "_hi")}).where("l <= r")
+    cells = cut.select("op_idx", "kind", "tag", F.explode(F.sequence("l", "r")).alias("pos"))
     w = Window.partitionBy("pos").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)
     update = F.col("kind") == "update"
     seen = cells.select(

@@ -1,32 +1,208 @@
-"""Text scores from n-gram counts, and tables of sampled evaluations."""
+"""Text scores from n-gram counts, and tables of sampled evaluations.
+
+Scores come from one row of counts a pair (`bleu_parts`, `recall_parts`); corpus scores are sums of these rows. Precisions follow the common
+definitions: matches are clipped by the largest count in any reference, and the reference length is the one closest to the hypothesis (ties: the shorter).
+"""
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: White space as str.strip and str.split see it.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: Reserved words that weigh 1 among 0.2 of the others in the weighted recall.
+KEYWORDS = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while".split()
+#: What text is normalised by before words are counted, in order; marks, and periods, commas and dashes beside digits.
+STRIPPED = (("<skipped>", ""), (r"-\n", ""), (r"\n", " "))
+ENTITIES = (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&"))
+PARTED = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+#: Placeholders of literals and what stands for them.
+LITERALS = (("<NUM_LIT>", "0"), ("<STR_LIT>", ""), ("<CHAR_LIT>", ""))
+TINY = sys.float_info.min
+
 
 def tokens(text: str) -> Column:
-    """Lower-cased words and single punctuation marks."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\w+|[^\w\s])"), 1)
+    """Lower-cased words (letters, digits and underscores of any script) and single other marks."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}])"), 1)
+
+
+def split_words(text: str | Column) -> Column:
+    """Words between white space of any kind."""
+    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
+
+
+def normal_words(text: str | Column) -> Column:
+    """Words as machine translation scores cut them: marks apart, periods, commas and dashes by the digits beside them; lower case."""
+    out = text if isinstance(text, Column) else F.col(text)
+    for pattern, by in STRIPPED:
+        out = F.regexp_replace(out, pattern, by)
+    for name, mark in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(mark))
+    out = F.lower(F.concat(F.lit(" "), out, F.lit(" ")))
+    for pattern, by in PARTED:
+        out = F.regexp_replace(out, pattern, by)
+    return split_words(out)
+
+
+def code_tokens(text: str | Column) -> Column:
+    """Marks apart, camel case cut, all quotes alike."""
+    out = F.regexp_replace(F.regexp_replace(text, "([^A-Za-z0-9_])", " $1 "), "([a-z])([A-Z])", "$1 $2")
+    return split_words(F.translate(out, "\"'", "``"))
+
+
+def without_comments(text: str | Column) -> Column:
+    """Source text with each comment as a space, and without blank lines. Marks inside quoted strings are no comments."""
+    kept = F.regexp_replace(text, r"""//[^\n]*|/\*[\s\S]*?\*/|('(?:\\[\s\S]|[^\\'])*'|"(?:\\[\s\S]|[^\\"])*")""", "$1\u0001")
+    plain = F.translate(F.regexp_replace(kept, "(['\"])\u0001", "$1"), "\u0001", " ")
+    return F.array_join(F.filter(F.split(plain, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""), "\n")
 
 
-def ngrams(rows: DataFrame, key: str, words: str, most: int = 4) -> DataFrame:
+def plain_literals(text: str | Column) -> Column:
+    """Placeholders of literals replaced: <NUM_LIT> by 0, <STR_LIT> and <CHAR_LIT> by nothing, <STR_LIT:x> and the like by x."""
+    out = text if isinstance(text, Column) else F.col(text)
+    for name, by in LITERALS:
+        out = F.replace(out, F.lit(name), F.lit(by))
+    return F.regexp_replace(out, "(?s)<(?:STR|NUM|CHAR)_LIT:(.*?)>", "$1")
+
+
+def padded(words: str, n: int, left: str | None = None, right: str | None = None) -> Column:
+    """`words` with n - 1 symbols on a side that has one."""
+    sides = [F.array_repeat(F.lit(s), n - 1) if s is not None else F.array().cast("array<string>") for s in (left, right)]
+    return F.concat(sides[0], F.col(words), sides[1])
+
+
+def grams(words: str, most: int) -> Column:
+    """All n-grams up to `most` words as structs (n, gram); none is longer than the words."""
+    return F.expr(f"flatten(transform(sequence(1, {most}), n -> IF(size({words}) < n, array(), transform(sequence(1, size({words}) - n + 1), i -> named_struct('n', n, 'gram', array_join(slice({words}, i, n), ' '))))))")
+
+
+def ngrams(rows: DataFrame, key: list[str], words: str, most: int = 4) -> DataFrame:
     """key, n, gram, times: the counts of all n-grams up to `most` words."""
-    orders = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0)), F.lit(1)), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))))
-    long_enough = F.filter(orders, lambda g: F.length(g["gram"]) > 0)
-    safe = F.when(F.size(words) >= most, long_enough).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>")))))
-    return rows.select(key, F.explode(safe).alias("g")).groupBy(key, "g.n", "g.gram").agg(F.count("*").alias("times"))
+    return rows.select(*key, F.explode(grams(words, most)).alias("g")).groupBy(*key, "g.n", "g.gram").agg(F.count("*").alias("times"))
 
 
 def matches(pairs: DataFrame, key: str, most: int = 4) -> DataFrame:
     """key, n, matched (clipped), possible (of the hypothesis), wanted (of the reference) for pairs (key, reference, hypothesis as token arrays)."""
-    h = ngrams(pairs, key, "hypothesis", most).withColumnRenamed("times", "h")
-    r = ngrams(pairs, key, "reference", most).withColumnRenamed("times", "r")
+    h = ngrams(pairs, [key], "hypothesis", most).withColumnRenamed("times", "h")
+    r = ngrams(pairs, [key], "reference", most).withColumnRenamed("times", "r")
     both = h.join(r, [key, "n", "gram"], "full").select(key, "n", F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("r", F.lit(0)).alias("r"))
     return both.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("possible"), F.sum("r").alias("wanted"))
 
 
+def bleu_parts(hypotheses: DataFrame, references: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """One row for each of `hypotheses` (key, hypothesis): m1.. (matches), g1.. (n-grams), hyp_len, ref_len (closest), ref_min (shortest).
+
+    references: (key, ref, reference), any number of refs a key; a key without any has no row. Counts of each key meet by n-gram, never a whole corpus.
+    """
+    h = ngrams(hypotheses, [key], "hypothesis", most).withColumnRenamed("times", "h")
+    r = ngrams(references, [key, "ref"], "reference", most).groupBy(key, "n", "gram").agg(F.max("times").alias("r"))
+    at = lambda i, c: F.sum(F.when(F.col("n") == i, c).otherwise(0))
+    counts = h.join(r, [key, "n", "gram"], "left").groupBy(key).agg(*[at(i, F.least("h", F.coalesce("r", F.lit(0)))).alias(f"m{i}") for i in range(1, most + 1)], *[at(i, F.col("h")).alias(f"g{i}") for i in range(1, most + 1)])
+    sizes = hypotheses.select(key, F.size("hypothesis").cast("long").alias("hyp_len")).join(references.select(key, F.size("reference").cast("long").alias("n")), key)
+    closest = F.min(F.struct(F.abs(F.col("n") - F.col("hyp_len")), "n"))["n"]
+    return sizes.groupBy(key, "hyp_len").agg(closest.alias("ref_len"), F.min("n").alias("ref_min")).join(counts, key, "left").na.fill(0)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """One row: the sums of all counts and lengths, for a corpus score."""
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns if c[0] in "mg" and c[1:].isdigit() or c in ("hyp_len", "ref_len", "ref_min")])
+
+
+def brevity_penalty(ref: str = "ref_len", hyp: str = "hyp_len") -> Column:
+    return F.when(F.col(hyp) > F.col(ref), 1.0).when(F.col(hyp) == 0, 0.0).otherwise(F.exp(1 - F.col(ref) / F.greatest(F.col(hyp), F.lit(1))))
+
+
+def smoothed(method: int, most: int = 4, epsilon: float = 0.1, alpha: float = 5.0, k: float = 5.0) -> list[Column]:
+    """The precisions of the orders up to `most` by one of the eight usual ways of smoothing.
+
+    0: none (a zero becomes the smallest number); 1: epsilon for zero matches; 2: one added to matches and n-grams; 3: halves, quarters... for zeros in turn; 4: as 3,
+    by the length's logarithm; 5: the mean with the orders beside; 6: with the order before as a prior; 7: 4, then 5. Null where a length of 1 has no logarithm.
+    """
+    m, d = [F.col(f"m{i}") for i in range(1, most + 2)], [F.greatest(F.col(f"g{i}"), F.lit(1)) for i in range(1, most + 2)]
+    p = [a / b for a, b in zip(m, d)]
+    if method == 0:
+        return [F.when(m[i] == 0, TINY).otherwise(p[i]) for i in range(most)]
+    if method == 1:
+        return [F.when(m[i] == 0, epsilon / d[i]).otherwise(p[i]) for i in range(most)]
+    if method == 2:
+        return [(m[i] + 1) / (d[i] + 1) for i in range(most)]
+    if method == 3:
+        zeros = [sum(((m[j] == 0).cast("int") for j in range(i)), F.lit(1)) for i in range(most)]
+        return [F.when(m[i] == 0, 1 / (F.pow(F.lit(2.0), zeros[i]) * d[i])).otherwise(p[i]) for i in range(most)]
+    logarithm = F.nullif(F.ln(F.col("hyp_len").cast("double")), F.lit(0.0))
+    fourth = [F.when((m[i] == 0) & (F.col("hyp_len") != 0), (i + k / logarithm) / d[i]).otherwise(p[i]) for i in range(most)]
+    if method == 4:
+        return fourth
+    if method == 6:
+        out = p[:2]
+        for i in range(2, most):
+            prior = F.when(out[i - 2] == 0, 0.0).otherwise(out[i - 1] * out[i - 1] / F.nullif(out[i - 2], F.lit(0.0)))
+            out.append((m[i] + alpha * prior) / (F.col(f"g{i + 1}") + alpha))
+        return out
+    if method not in (5, 7):
+        raise ValueError(f"no smoothing method {method}")
+    now = [*(fourth if method == 7 else p[:most]), p[most]]
+    out, before = [], now[0] + 1
+    for i in range(most):
+        before = (before + now[i] + now[i + 1]) / 3
+        out.append(before)
+    return out
+
+
+def bleu(method: int = 1, most: int = 4) -> Column:
+    """BLEU over the counts of `bleu_parts` or `summed`; 0 without a match of single words."""
+    logs = sum((F.ln(x) for x in smoothed(method, most)), F.lit(0.0)) / most
+    return F.when(F.col("m1") == 0, 0.0).otherwise(brevity_penalty() * F.exp(logs))
+
+
+def plain_bleu(added: int = 0, most: int = 4) -> Column:
+    """BLEU by the shortest reference, with `added` to matches and n-grams of every order; 0 if a precision is."""
+    p = [F.when(F.col(f"g{i}") + added > 0, (F.col(f"m{i}") + added) / F.greatest(F.col(f"g{i}") + added, F.lit(1))).otherwise(0.0) for i in range(1, most + 1)]
+    penalty = F.when(F.col("hyp_len") > F.col("ref_min"), 1.0).otherwise(F.exp(1 - F.col("ref_min") / F.greatest(F.col("hyp_len"), F.lit(1))))
+    return F.when(F.least(*p) > 0, F.exp(sum((F.ln(F.nullif(x, F.lit(0.0))) for x in p), F.lit(0.0)) / most) * penalty).otherwise(0.0)
+
+
+def row_bleu(most: int = 4) -> Column:
+    """BLEU of a row with one added above single words, in logarithms that stay finite, and one added to both lengths (the shortest reference's)."""
+    tiny = F.lit(TINY)
+    logs = sum((F.ln(F.col(f"m{i}") + int(i > 1) + tiny) - F.ln(F.col(f"g{i}") + int(i > 1) + tiny) for i in range(1, most + 1)), F.lit(0.0)) / most
+    return F.exp(logs + F.least(F.lit(0.0), 1 - (F.col("ref_min") + 1) / (F.col("hyp_len") + 1)))
+
+
+def recall_parts(hypotheses: DataFrame, references: DataFrame, key: str, keywords: list[str] = KEYWORDS, light: float = 0.2, most: int = 4) -> DataFrame:
+    """As bleu_parts, with recalls: m1.. are reference n-grams found, g1.. all of them (at least 1 a reference), summed over references; single words weigh 1 if they are keywords, else `light`."""
+    h = ngrams(hypotheses, [key], "hypothesis", most).withColumnRenamed("times", "h")
+    r = ngrams(references, [key, "ref"], "reference", most)
+    weight = F.when(F.col("n") > 1, 1.0).when(F.col("gram").isin(keywords), 1.0).otherwise(light)
+    each = r.join(h, [key, "n", "gram"], "left").groupBy(key, "ref", "n").agg(F.sum(weight * F.least(F.coalesce("h", F.lit(0)), "times")).alias("m"), F.greatest(F.lit(1.0), F.sum(weight * F.col("times"))).alias("g"))
+    orders = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")
+    full = references.select(key, "ref", orders).join(each, [key, "ref", "n"], "left").na.fill({"m": 0.0, "g": 1.0})
+    at = lambda i, c: F.sum(F.when(F.col("n") == i, F.col(c)))
+    sums = full.groupBy(key).agg(*[at(i, "m").alias(f"m{i}") for i in range(1, most + 1)], *[at(i, "g").alias(f"g{i}") for i in range(1, most + 1)])
+    sizes = hypotheses.select(key, F.size("hypothesis").cast("long").alias("hyp_len")).join(references.select(key, F.size("reference").cast("long").alias("n")), key)
+    closest = F.min(F.struct(F.abs(F.col("n") - F.col("hyp_len")), "n"))["n"]
+    return sizes.groupBy(key, "hyp_len").agg(closest.alias("ref_len")).join(sums, key)
+
+
+def recall_score(most: int = 4, epsilon: float = 0.1) -> Column:
+    """The corpus score over `recall_parts`: epsilon for zero matches."""
+    logs = sum((F.ln(F.when(F.col(f"m{i}") == 0, epsilon).otherwise(F.col(f"m{i}")) / F.col(f"g{i}")) for i in range(1, most + 1)), F.lit(0.0)) / most
+    return F.when(F.col("m1") == 0, 0.0).otherwise(brevity_penalty() * F.exp(logs))
+
+
+def code_score(ngram: Column, weighted: Column, syntax: Column, flow: Column, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> Column:
+    """The weighted sum of the four matches of program text."""
+    return sum((w * c for w, c in zip(weights, (ngram, weighted, syntax, flow))), F.lit(0.0))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 for equal texts, less the edits between them for each character of the longer."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
 def pass_at(n: str, c: str, k: int) -> Column:
     """1 - C(n-c, k) / C(n, k): 1 if fewer than k failed. A product over n-c+1..n."""
     fewer = F.col(n) - F.col(c) < k

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scoring as S
+from ..operators.preparation import pad, ranked, sized
 from ..operators.scoring import matches, numbered, pass_at, results, tokens
 
-#: White space as str.strip and str.split see it.
-SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, reference, hypothesis: each benchmark text, and the document whose doc_id is its item_id."""
@@ -36,19 +35,42 @@ def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.crossJoin(sizes).select("mean_precision", "matched", "ref_length", "hyp_length", F.round(penalty, 9).alias("brevity_penalty"), F.round(penalty * F.col("mean_precision"), 6).alias("bleu"))
 
 
-def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches, and edit similarity of the first lines only (characters beyond ASCII count as one and the same), as its SQL can; see text_matches_whole."""
-    line = lambda c: F.regexp_replace(F.substring_index(F.trim(c), "\n", 1), r"[^\x00-\x7F]", "?")
-    return _pairs(spark, sf_dir).select("item_id", (F.trim("r") == F.trim("h")).alias("exact"), F.round(1 - F.levenshtein(line("r"), line("h")) / F.greatest(F.length(line("r")), F.length(line("h")), F.lit(1)), 6).alias("similarity"))
+def _scored(spark: SparkSession, sf_dir: str, words) -> tuple[DataFrame, DataFrame]:
+    """Hypotheses and references (each item's text, and that of the next item as a second one) as word arrays."""
+    pairs = _pairs(spark, sf_dir)
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    refs = texts.select("item_id", F.lit(0).alias("ref"), "text").union(texts.select(F.col("item_id") - 1, F.lit(1), "text")).select("item_id", "ref", words("text").alias("reference"))
+    return pairs.select("item_id", words("h").alias("hypothesis")), refs
+
+
+def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of each item's document against two references, by each way of smoothing, and by row with one added."""
+    parts = S.bleu_parts(*_scored(spark, sf_dir, S.tokens), "item_id")
+    normal = S.bleu_parts(*_scored(spark, sf_dir, S.normal_words), "item_id").select("item_id", F.round(S.row_bleu(), 9).alias("row_bleu"))
+    return parts.select("item_id", "hyp_len", "ref_len", "ref_min", *[F.round(S.bleu(i), 9).alias(f"bleu_{i}") for i in range(8)]).join(normal, "item_id")
+
 
+def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: corpus BLEU (plain, with one added, and with a small count for zeros), the weighted recall and the mean of the rows' scores in hundredths."""
+    words = _scored(spark, sf_dir, S.split_words)
+    parts = S.bleu_parts(*words, "item_id")
+    whole = S.summed(parts).select(F.round(S.plain_bleu(), 9).alias("plain"), F.round(S.plain_bleu(1), 9).alias("one_added"), F.round(S.bleu(1), 9).alias("bleu"))
+    recall = S.summed(S.recall_parts(*words, "item_id")).select(F.round(S.recall_score(), 9).alias("weighted_recall"))
+    rows = parts.agg(F.round(F.avg(S.row_bleu()) * 100, 6).alias("mean_of_rows"))
+    both = whole.crossJoin(recall).crossJoin(rows)
+    return both.withColumn("code_score", F.round(S.code_score(F.col("bleu"), F.col("weighted_recall"), F.lit(0.0), F.lit(0.0)), 9))
 
-def text_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches (of the words, as the reference's evaluator has them), and edit similarity of the whole stripped texts by code points."""
-    whole = lambda c: F.btrim(c, F.lit(SPACES))
-    words = lambda c: F.regexp_replace(whole(c), f"[{SPACES}]+", " ")
+
+def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches of the words, and edit similarity of the whole stripped texts by code points, placeholders of literals replaced."""
+    whole = lambda c: S.plain_literals(F.btrim(c, F.lit(S.SPACES)))
     r, h = whole("r"), whole("h")
-    pairs = _pairs(spark, sf_dir)
-    return pairs.select("item_id", (words("r") == words("h")).alias("exact"), F.round(1 - F.levenshtein(r, h) / F.greatest(F.length(r), F.length(h), F.lit(1)), 6).alias("similarity"))
+    return _pairs(spark, sf_dir).select("item_id", (S.split_words(r) == S.split_words(h)).alias("exact"), F.round(S.similarity(r, h), 6).alias("similarity"))
+
+
+def text_match_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the share of exact matches and the mean similarity, in hundredths with two decimals."""
+    return text_matches(spark, sf_dir).agg(F.round(F.avg(F.col("exact").cast("int")) * 100, 2).alias("exact"), F.round(F.avg("similarity") * 100, 2).alias("similarity"))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +92,14 @@ def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each split of documents: 80/10/10 by rank of doc_id. Ranks come from bounds found by counting, not from one sorted task."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    blocks = d.groupBy(F.expr("doc_id div 4096").alias("b")).agg(F.count("*").alias("k"))
-    offsets = blocks.withColumn("before", F.sum("k").over(Window.orderBy("b")) - F.col("k"))
-    ranked = d.withColumn("b", F.expr("doc_id div 4096")).join(offsets, "b").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("doc_id")) - 1)
-    total = d.agg(F.count("*").alias("n"))
-    named = ranked.crossJoin(F.broadcast(total)).select("doc_id", F.when(F.col("i") <= F.floor(0.8 * F.col("n")), "train").when(F.col("i") <= F.floor(0.9 * F.col("n")), "test").otherwise("valid").alias("split"))
-    return named
+    rows = sized(ranked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id"))
+    return rows.select("doc_id", F.when(F.col("rank") <= F.floor(0.8 * F.col("total")), "train").when(F.col("rank") <= F.floor(0.9 * F.col("total")), "test").otherwise("valid").alias("split"))
 
 
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word lengths of each document, cut or padded with -1 to 16."""
     lengths = F.transform(F.split("text", " "), lambda w: F.length(w).cast("long"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.slice(F.concat(lengths, F.array_repeat(F.lit(-1).cast("long"), 16)), 1, 16).alias("ids"), F.least(F.size(lengths), F.lit(16)).cast("long").alias("used"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lengths.alias("ids")).select("doc_id", pad("ids", 16, F.lit(-1).cast("long")).alias("ids"), F.least(F.size("ids"), F.lit(16)).cast("long").alias("used"))
 
 
 _PAIR = "pr AS (SELECT b.item_id, b.text AS r, d.text AS h FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
@@ -95,20 +112,17 @@ mt AS (SELECT item_id, n, sum(least(h, r))::BIGINT AS matched, sum(h)::BIGINT AS
 _SAMPLES = """WITH s AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(floor(value) AS BIGINT) % 5 = 0 AS passed, CAST(floor(value) AS BIGINT) % 3 <> 1 AS compiled FROM events),
 t AS (SELECT task_id, count(*) AS n, count(*) FILTER (passed) AS c, bool_or(passed) AS solved, min(CASE WHEN passed THEN i END) AS first_success, round(count(*) FILTER (NOT compiled) / count(*), 9) AS compile_error_rate FROM s GROUP BY task_id)"""
 _P = "avg(CASE WHEN n - c < {k} THEN 1.0::DOUBLE ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - {k} / i::DOUBLE)) END)"
-QUERIES = {f.__name__: f for f in (ngram_matches, corpus_bleu, text_matches, evaluation_results, pass_at_k, split_by_rank, padded)}
+QUERIES = {f.__name__: f for f in (ngram_matches, corpus_bleu, evaluation_results, pass_at_k, split_by_rank, padded)}
 #: Without SQL: tested against brute force.
-ALONE = {"text_matches_whole": text_matches_whole}
+ALONE = {f.__name__: f for f in (sentence_scores, corpus_scores, text_matches, text_match_means)}
 ORACLES = {
     "ngram_matches": f"{_GRAMS} SELECT * FROM mt",
     "corpus_bleu": f"""{_GRAMS}, by_n AS (SELECT n, sum(matched) AS m, sum(possible) AS p FROM mt GROUP BY n),
 lg AS (SELECT round(exp(sum(ln(CASE WHEN n = 1 THEN m / p ELSE (m + 1) / (p + 1) END)) / 4), 9) AS mean_precision, sum(m)::BIGINT AS matched FROM by_n),
 sz AS (SELECT sum(len(reference))::BIGINT AS ref_length, sum(len(hypothesis))::BIGINT AS hyp_length FROM tk)
 SELECT mean_precision, matched, ref_length, hyp_length, round(bp, 9) AS brevity_penalty, round(bp * mean_precision, 6) AS bleu FROM (SELECT *, CASE WHEN hyp_length > ref_length THEN 1.0::DOUBLE ELSE exp(1 - ref_length / hyp_length) END AS bp FROM lg, sz)""",
-    "text_matches": f"WITH {_PAIR}, l AS (SELECT item_id, r, h, regexp_replace(split_part(trim(r), chr(10), 1), '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(split_part(trim(h), chr(10), 1), '[^\\x00-\\x7F]', '?', 'g') AS b FROM pr) SELECT item_id, trim(r) = trim(h) AS exact, round(1 - levenshtein_cp / greatest(length(a), length(b), 1), 6) AS similarity FROM (SELECT *, levenshtein(a, b) AS levenshtein_cp FROM l)",
     "evaluation_results": f"{_SAMPLES} SELECT * FROM t",
     "pass_at_k": f"{_SAMPLES}, f AS (SELECT min(n) AS least, {', '.join(f'round({_P.format(k=k)}, 9) AS p{k}' for k in (1, 5, 10, 100))} FROM t) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, p{k} AS pass_at_k FROM f WHERE {k} <= least" for k in (1, 5, 10, 100)),
     "split_by_rank": "SELECT doc_id, CASE WHEN i <= floor(0.8 * n) THEN 'train' WHEN i <= floor(0.9 * n) THEN 'test' ELSE 'valid' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)",
     "padded": "SELECT doc_id, list_concat(w, list_transform(range(16), lambda i: -1::BIGINT))[1:16] AS ids, least(len(w), 16)::BIGINT AS used FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::BIGINT) AS w FROM documents)",
 }
-# Spark's \\w is ASCII; letters beyond it are single marks there, so the oracle's pattern is set to the same.
-ORACLES = {k: v.replace("[\\p{L}\\p{N}\\p{M}_]+", "[a-z0-9A-Z_]+").replace("[^\\p{L}\\p{N}\\p{M}_\\s]", "[^a-z0-9A-Z_\\s]") for k, v in ORACLES.items()}

@@ -22,13 +22,13 @@ def test_whole_texts_are_compared(spark, tmp_path):
     odd = [("a\nb", "a\nc"), ("é", "è"), (" 　x y\t", "x\n y"), ("", ""), ("one", "one\nmore lines\nof text"), ("日本\n語", "日本\n誤 ")]
     spark.createDataFrame([(i, r) for i, (r, _) in enumerate(odd)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, h) for i, (_, h) in enumerate(odd)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert "text_matches_whole" in __spark_entry__.queries()
+    assert "text_matches" in __spark_entry__.queries()
     docs = pq.read_table(f"{SF}/documents.parquet").to_pydict()
     texts = dict(zip(docs["doc_id"], docs["text"]))
     items = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
     pairs = {i: (t, texts[i]) for i, t in zip(items["item_id"], items["text"]) if i in texts}
     for folder, known in ((str(tmp_path), dict(enumerate(odd))), (SF, pairs)):
-        got = {r["item_id"]: r for r in catalog.ALONE["text_matches_whole"](spark, folder).collect()}
+        got = {r["item_id"]: r for r in catalog.ALONE["text_matches"](spark, folder).collect()}
         assert got.keys() == known.keys()
         for i, (r, h) in known.items():
             assert got[i]["exact"] == (r.split() == h.split())
@@ -57,7 +57,7 @@ def test_ranges_reach_the_whole_sequence(spark, tag):
         elif not query:
             for i in at:
                 now[i] = {"plus": now[i] + t, "cover": t, "neg": -now[i]}[tag]
-    got = {r["op_idx"]: r for r in catalog.ALONE[f"range_whole_{tag}"](spark, folder).collect()}
+    got = {r["op_idx"]: r for r in catalog.QUERIES[f"range_{tag}"](spark, folder).collect()}
     assert got.keys() == wanted.keys() and max(b for _, query, _, b, _ in log if query) >= 0.99 * end
     for op, v in wanted.items():
         r = got[op]
