@@ -1,26 +1,61 @@
-"""Trees as node tables: (tree, node, parent, side, value). Places and path sums by joins from the roots down, level by level."""
+"""Trees as node tables: (tree, node, parent, side, value). Places and path sums by doubling steps toward the root, folds level by level."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import kept
 
-def placed(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
+#: Steps of twice the length each: more than enough for any tree that isn't a circle.
+STEPS = 62
+
+
+def placed(nodes: DataFrame) -> DataFrame:
     """Adds depth, path (sides from the root, 'L' or 'R'), path_sum and the keys pre_order and in_order (strings that sort so).
 
-    One join a level. Nodes that no root reaches are left out; a tree deeper than `most_depth` is an error.
+    Each step joins every node to what is known of the node it reaches, so a tree of any depth takes as many steps as the
+    logarithm of its depth. Nodes that no root reaches are left out.
+    """
+    key = ["tree", "node"]
+    first = nodes.select(*key, F.col("parent").alias("up"), F.coalesce("side", F.lit("")).alias("path"), F.col("value").alias("path_sum"), F.col("parent").isNotNull().cast("int").alias("depth"))
+    now = kept(first)
+    for _ in range(STEPS):
+        waiting = now.where("up IS NOT NULL")
+        if waiting.isEmpty():
+            done = now.select(*key, "depth", "path", "path_sum", F.col("path").alias("pre_order"), F.concat("path", F.lit("M")).alias("in_order"))
+            return nodes.select("tree", "node", "parent", "side", "value").join(done, key)
+        over = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("p"), F.col("path_sum").alias("s"), F.col("depth").alias("d"))
+        moved = waiting.join(over, ["tree", "up"]).select(*key, F.col("next").alias("up"), F.concat("p", "path").alias("path"), (F.col("s") + F.col("path_sum")).alias("path_sum"), (F.col("d") + F.col("depth")).alias("depth"))
+        now = kept(now.where("up IS NULL").union(moved))
+    raise ValueError("nodes lie in a circle")
+
+
+def folded_up(placed_nodes: DataFrame, leaf: dict[str, str], inner: dict[str, str]) -> DataFrame:
+    """tree and the state of its root. The state of a leaf is `leaf` (SQL over value), that of an inner node `inner` (over value and the children's states l and r, null where there is none).
+
+    Levels are folded from the deepest up; each step works on one level's nodes.
     """
-    columns = ["tree", "node", "parent", "side", "value"]
-    level = nodes.where("parent IS NULL").select(*columns, F.lit(0).alias("depth"), F.lit("").alias("path"), F.col("value").alias("path_sum"))
-    out = level
-    for depth in range(1, most_depth + 1):
-        up = level.select("tree", F.col("node").alias("parent"), F.col("path").alias("p"), F.col("path_sum").alias("s"))
-        level = nodes.where("parent IS NOT NULL").join(up, ["tree", "parent"]).select(*columns, F.lit(depth).alias("depth"), F.concat("p", "side").alias("path"), (F.col("s") + F.col("value")).alias("path_sum"))
-        if level.isEmpty():
-            return out.withColumns({"pre_order": F.col("path"), "in_order": F.concat("path", F.lit("M"))})
-        out = out.union(level)
-    raise ValueError(f"a tree is deeper than {most_depth}")
+    struct = lambda fields: "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+    deepest = placed_nodes.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return placed_nodes.select("tree").limit(0)
+    below = None
+    for depth in range(deepest, -1, -1):
+        level = placed_nodes.where(F.col("depth") == depth).select("tree", "node", "parent", "side", "value")
+        if below is None:
+            state = level.selectExpr("tree", "parent", "side", f"{struct(leaf)} AS state")
+        else:
+            pairs = below.groupBy("tree", F.col("parent").alias("node")).agg(*[F.first(F.when(F.col("side") == s, F.col("state")), ignorenulls=True).alias(n) for s, n in (("L", "l"), ("R", "r"))])
+            state = level.join(pairs, ["tree", "node"], "left").selectExpr("tree", "parent", "side", f"IF(l IS NULL AND r IS NULL, {struct(leaf)}, {struct(inner)}) AS state")
+        below = kept(state) if depth % 6 == 5 else state
+    return below.select("tree", "state.*")
+
+
+def deepest_leaves(placed_nodes: DataFrame) -> DataFrame:
+    """The rows of each tree's nodes at its greatest depth; their paths order them."""
+    depth = placed_nodes.groupBy("tree").agg(F.max("depth").alias("depth"))
+    return placed_nodes.join(depth, ["tree", "depth"], "left_semi")
 
 
 def child_checks(nodes: DataFrame) -> DataFrame:

@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 from ..operators import derived as D
 from ..operators import monoids as M
 from ..operators.sequences import aggregate_in_order
-from ..operators.trees import child_checks, placed, subtree_sums
+from ..operators.trees import child_checks, deepest_leaves, folded_up, placed, subtree_sums
 from ..sources.fixtures import VALUES, sequence
 
 IN_ORDER = {"mips": M.SMALL["prefix_max"], "mits": M.SMALL["mts"], "poly": D.POLY_UP, "poly_horner": D.POLY_DOWN, "leftmost_odd": M.Monoid({"v": 0}, {"v": "if(x % 2 = 0, 0, x)"}, {"v": "if(a.v <> 0, a.v, b.v)"}, "if(s.v = 0, 1, s.v)"), "in_order_sorted": M.SORTED}
 PRE_ORDER = {"mpps": M.SMALL["prefix_max"], "root": D.FIRST, "last_leaf": D.LAST}
+#: Sides of a path by which a tree is cut into segments: about 2,000.
+CUT = 10
+#: What a leaf holds, and what an inner node makes of its children: as sums and differences by turns of parity (with the largest value of any part), as sums alone, as a formula, as a tree
+#: whose left child is the first and whose right spine has the others (the largest on the first children's way, the last one, and sums), in pre-order from the right, squares, height.
+LEAF = {
+    "expression": "value", "largest_part": "value", "all_sum": "value", "formula": "value > 0", "heads": "value", "last": "value", "spread": "value", "row": "value", "total": "value", "suffix": "greatest(0L, value)", "squares": "value * value", "height": "1",
+}
+_VALUE = "IF(value % 2 = 0, l.expression + coalesce(r.expression, 0), l.expression - coalesce(r.expression, 0))"
+INNER = {
+    "expression": _VALUE, "largest_part": f"greatest({_VALUE}, l.largest_part, r.largest_part)", "all_sum": "l.all_sum + coalesce(r.all_sum, 0)", "formula": "IF(value % 2 = 0, l.formula AND coalesce(r.formula, true), l.formula OR coalesce(r.formula, false))",
+    "heads": "greatest(value, l.heads)", "last": "coalesce(r.last, l.last)", "spread": "greatest(value, l.spread + coalesce(r.row, 0))", "row": "value + l.spread + coalesce(r.row, 0)", "total": "value + l.total + coalesce(r.total, 0)",
+    "suffix": "greatest(l.suffix, l.total + coalesce(r.suffix, 0), l.total + coalesce(r.total, 0) + value)", "squares": "l.squares + coalesce(r.squares, 0)", "height": "1 + greatest(l.height, coalesce(r.height, 0))",
+}
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +36,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = placed(nodes(spark, sf_dir))
-    a = aggregate_in_order(at, ["tree"], F.substring("in_order", 1, 2), ["in_order"], "value", IN_ORDER)
-    return a.join(aggregate_in_order(at, ["tree"], F.substring("pre_order", 1, 2), ["pre_order"], "value", PRE_ORDER), "tree")
+    a = aggregate_in_order(at, ["tree"], F.substring("in_order", 1, CUT), ["in_order"], "value", IN_ORDER)
+    return a.join(aggregate_in_order(at, ["tree"], F.substring("pre_order", 1, CUT), ["pre_order"], "value", PRE_ORDER), "tree")
 
 
 def tree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +53,32 @@ def tree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(sums, "tree").join(child_checks(n), "tree")
 
 
+def tree_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = placed(nodes(spark, sf_dir))
+    roots = at.where("depth = 0").select("tree", F.col("value").alias("root"))
+    low = deepest_leaves(at).groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("path", "value")))["value"].alias("deepest"))
+    return folded_up(at, LEAF, INNER).join(roots, "tree").join(low, "tree").select("tree", *LEAF, F.greatest("root", "last").alias("last_or_root"), F.when(F.col("height") == 1, F.col("root")).otherwise(0).alias("product_with_zeros"), "deepest")
+
+
 _BASE = f"""
 WITH RECURSIVE n AS (SELECT user_id AS tree, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS node, {VALUES['small']} AS value FROM events),
 p AS (SELECT tree, node, value, 0 AS depth, '' AS path, value AS path_sum FROM n WHERE node = 1
   UNION ALL SELECT n.tree, n.node, n.value, p.depth + 1, p.path || CASE WHEN n.node % 2 = 0 THEN 'L' ELSE 'R' END, p.path_sum + n.value FROM n JOIN p ON n.tree = p.tree AND n.node // 2 = p.node AND n.node > 1)"""
 _IN, _PRE = (", ".join(f"{M.duck_fold(m, v)} AS {n}" for n, m in d.items()) for v, d in (("i", IN_ORDER), ("o", PRE_ORDER)))
-QUERIES = {"tree_orders": tree_orders, "tree_shape": tree_shape}
+_FOLDS = """, d AS (SELECT *, floor(log2(node))::INT AS lev FROM n),
+rec AS (SELECT tree, node, lev, value AS e, value AS m, value AS s, value > 0 AS f, value AS h, value AS z, value AS p, value AS w, value AS t, greatest(0, value) AS u, value * value AS q, 1 AS k FROM d WHERE lev = (SELECT max(lev) FROM d)
+UNION ALL SELECT d.tree, d.node, d.lev, CASE WHEN l.tree IS NULL THEN value ELSE l.e + (CASE WHEN value % 2 = 0 THEN 1 ELSE -1 END) * coalesce(r.e, 0) END,
+  CASE WHEN l.tree IS NULL THEN value ELSE greatest(l.e + (CASE WHEN value % 2 = 0 THEN 1 ELSE -1 END) * coalesce(r.e, 0), l.m, r.m) END, CASE WHEN l.tree IS NULL THEN value ELSE l.s + coalesce(r.s, 0) END,
+  CASE WHEN l.tree IS NULL THEN value > 0 WHEN value % 2 = 0 THEN l.f AND coalesce(r.f, true) ELSE l.f OR coalesce(r.f, false) END, greatest(value, l.h), CASE WHEN l.tree IS NULL THEN value ELSE coalesce(r.z, l.z) END,
+  CASE WHEN l.tree IS NULL THEN value ELSE greatest(value, l.p + coalesce(r.w, 0)) END, CASE WHEN l.tree IS NULL THEN value ELSE value + l.p + coalesce(r.w, 0) END, value + coalesce(l.t, 0) + coalesce(r.t, 0),
+  greatest(0, l.u, CASE WHEN r.tree IS NOT NULL THEN l.t + r.u END, coalesce(l.t, 0) + coalesce(r.t, 0) + value), CASE WHEN l.tree IS NULL THEN value * value ELSE l.q + coalesce(r.q, 0) END, 1 + greatest(coalesce(l.k, 0), coalesce(r.k, 0))
+  FROM (SELECT DISTINCT lev FROM rec) up JOIN d ON d.lev = up.lev - 1 LEFT JOIN rec l ON l.tree = d.tree AND l.node = 2 * d.node LEFT JOIN rec r ON r.tree = d.tree AND r.node = 2 * d.node + 1),
+dl AS (SELECT p.tree, list(value ORDER BY path) AS deepest FROM p JOIN (SELECT tree, max(depth) AS x FROM p GROUP BY tree) USING (tree) WHERE depth = x GROUP BY p.tree)
+SELECT tree, e::BIGINT AS expression, m::BIGINT AS largest_part, s::BIGINT AS all_sum, f AS formula, h AS heads, z AS last, p::BIGINT AS spread, w::BIGINT AS row, t::BIGINT AS total, u::BIGINT AS suffix, q::BIGINT AS squares, k AS height, greatest(d.value, z) AS last_or_root, CASE WHEN k = 1 THEN d.value ELSE 0 END AS product_with_zeros, deepest
+FROM rec JOIN d USING (tree, node) JOIN dl USING (tree) WHERE node = 1"""
+QUERIES = {"tree_orders": tree_orders, "tree_shape": tree_shape, "tree_folds": tree_folds}
 ORACLES = {
+    "tree_folds": _BASE + _FOLDS,
     "tree_orders": f"{_BASE}, l AS (SELECT tree, list(value ORDER BY path || 'M') AS i, list(value ORDER BY path) AS o FROM p GROUP BY tree) SELECT tree, {_IN}, {_PRE} FROM l",
     "tree_shape": f"""{_BASE},
 sub AS (SELECT a.tree, a.node, sum(b.value) AS s FROM p a JOIN p b ON a.tree = b.tree AND starts_with(b.path, a.path) GROUP BY a.tree, a.node),
