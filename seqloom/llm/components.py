@@ -8,27 +8,40 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _beside_least(rows: DataFrame, bound: int) -> DataFrame:
+    """`rows` (src, dst) with low, the smallest dst of each src.
+
+    A src of more than `bound` rows is a heavy one. With a bound of a thousandth of all rows there are a thousand at most; they are broadcast, and
+    their rows stay where they are.
+    """
+    least = rows.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n_rows"))
+    heavy = F.broadcast(least.where(F.col("n_rows") > bound).select("src", "low"))
+    light = least.where(F.col("n_rows") <= bound).select("src", "low")
+    return rows.join(heavy, "src").unionByName(rows.join(heavy.select("src"), "src", "left_anti").join(light, "src"))
+
+
+def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, label) of every node of `edges` (src, dst: long); label is the smallest node of its component.
 
     Alternates two steps until nothing changes: larger neighbours are linked to the smallest one (large star), then
-    smaller neighbours are (small star). The number of edges never grows; each round is checkpointed. Loops
+    smaller neighbours are (small star). The number of edges never grows; each round is checkpointed, and rounds are few (they grow
+    with the logarithm of the nodes). A node with very many neighbours is no single task's. Loops
     and repeated edges do no harm; no edges give no rows.
     """
     now = common.checkpointed(edges.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
     for _ in range(most_rounds):
-        both = now.union(now.select(F.col("dst"), F.col("src")))
-        least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        large = both.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src != dst").distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst"))
-        kept = small.union(low.select("src", F.col("low").alias("dst"))).where("src != dst").distinct()
-        now = common.checkpointed(kept)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             break
         before = state
+        bound = max(1000, int(state["n"] * common.HEAVY))
+        both = _beside_least(now.union(now.select(F.col("dst"), F.col("src"))), 2 * bound).select("src", "dst", F.least("src", "low").alias("low"))
+        large = both.where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src != dst").distinct()
+        least = _beside_least(large, bound)
+        small = least.select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst"))
+        kept = small.union(large.groupBy("src").agg(F.min("dst").alias("dst"))).where("src != dst").distinct()
+        now = common.checkpointed(kept)
     else:
         raise RuntimeError("components are not settled")
     heads = now.select(F.col("dst").alias("node")).distinct().join(now.select(F.col("src").alias("node")), "node", "left_anti")

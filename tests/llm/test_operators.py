@@ -557,3 +557,28 @@ def test_broken_markup_takes_linear_time():
     assert time.time() - began < 10
     assert page_text.main_text("<p>before <a href='x>link</a><p>after it").split("\n")[-1] == "after it"
     assert page_text.main_text("<p>some text &amp") == "some text &" and page_text.main_text("<p>text <!-- never closed <p>x") == "text"
+
+
+def test_components_with_heavy_nodes(spark, monkeypatch):
+    """A hub of very many neighbours, far more than the bound for single tasks, and chains that hang on it."""
+    from seqloom.llm import common
+
+    rng = random.Random(14)
+    edges = [(0 if i % 2 else 5000, i) for i in range(1, 4000)] + [(0, 5000)] + [(10_000 + i, 10_000 + i + rng.randint(1, 3)) for i in range(0, 600, 2)] + [(3999, 20_000), (20_000, 20_001)]
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    rows = components.connected(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r["node"]: r["label"] for r in rows} == {x: root(x) for x in list(label)} and len(rows) == len(label)
+    names = spark.createDataFrame([(k, f"n{k}") for k in range(50)], "k long, name string")
+    many = spark.createDataFrame([(i % 50 if i % 3 else 7, i) for i in range(6000)], "k long, i long")
+    monkeypatch.setattr(common, "HEAVY", 0.2)
+    got = common.named(many, names, "k").collect()
+    assert len(got) == 6000 and all(r["name"] == f"n{r['k']}" for r in got) and len({r["i"] for r in got}) == 6000
