@@ -58,7 +58,7 @@ def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
     The names of heavy keys, at most 1 / HEAVY, are broadcast and their rows stay where they are; the others meet by a shuffle.
     """
-    least = max(1000, int(rows.count() * HEAVY))
+    least = max(100, int(rows.count() * HEAVY))
     heavy = rows.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > least).select(key)
     few = checkpointed(names.join(heavy, key, "left_semi"))
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")

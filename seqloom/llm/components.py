@@ -35,7 +35,7 @@ def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         if before == state:
             break
         before = state
-        bound = max(1000, int(state["n"] * common.HEAVY))
+        bound = max(100, int(state["n"] * common.HEAVY))
         both = _beside_least(now.union(now.select(F.col("dst"), F.col("src"))), 2 * bound).select("src", "dst", F.least("src", "low").alias("low"))
         large = both.where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src != dst").distinct()
         least = _beside_least(large, bound)
