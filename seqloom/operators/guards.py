@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .derived import ASCENDING, DESCENDING, EQUAL, FIRST, INDEX_OF, LAST, SUFFIX_SUM, every, guarded, joined, ordered
 from .monoids import _ENDS, _ENDS_LIFT, _ENDS_MERGE, LENGTH, Monoid, _segments, _smallest, _with
+from .rounds import kept
 
 
 def both(one: Monoid, two: Monoid) -> Monoid:
@@ -179,19 +180,19 @@ def symmetric(nodes: DataFrame, key: list[str], value: str) -> DataFrame:
     is a pair with the second's left, and the first's left with the first's right (sic). One join pair for each level of the deepest tree.
     """
     top = nodes.groupBy(*key).agg(F.max("node").alias("_last"))
-    slim = nodes.join(top, key).select(*key, "node", F.col(value).alias("_v"), (F.col("node") * 2 > F.col("_last")).alias("_leaf"))
-    deepest = top.agg(F.max(F.length(F.bin("_last")))).first()[0] or 0
+    slim = kept(nodes.join(top, key).select(*key, "node", F.col(value).alias("_v"), (F.col("node") * 2 > F.col("_last")).alias("_leaf")))
+    deepest = slim.agg(F.max(F.length(F.bin("node")))).first()[0] or 0
     pairs = slim.where("NOT _leaf").select(*key, (F.col("node") * 2).alias("_p"), (F.col("node") * 2 + 1).alias("_q"))
     wrong = None
     for _ in range(deepest):
         p, q = (slim.select(*key, F.col("node").alias(f"_{s}"), F.col("_v").alias(f"_v{s}"), F.col("_leaf").alias(f"_leaf{s}")) for s in "pq")
-        met = pairs.join(p, [*key, "_p"], "left").join(q, [*key, "_q"], "left")
+        met = kept(pairs.join(p, [*key, "_p"], "left").join(q, [*key, "_q"], "left"))
         fits = F.coalesce((F.col("_vp") == F.col("_vq")) & (F.col("_leafp") == F.col("_leafq")), F.lit(False))
         bad = met.where(~fits).select(*key)
         wrong = bad if wrong is None else wrong.union(bad)
         inner = met.where(fits & ~F.col("_leafp"))
         pairs = inner.select(*key, F.explode(F.array(F.struct((F.col("_p") * 2 + 1).alias("p"), (F.col("_q") * 2).alias("q")), F.struct((F.col("_p") * 2).alias("p"), (F.col("_p") * 2 + 1).alias("q")))).alias("n")).select(*key, F.col("n.p").alias("_p"), F.col("n.q").alias("_q")).distinct()
-    found = nodes.select(*key).distinct()
+    found = slim.select(*key).distinct()
     if wrong is None:
         return found.withColumn("symmetric", F.lit(True))
     return found.join(wrong.distinct().withColumn("_wrong", F.lit(True)), key, "left").select(*key, F.col("_wrong").isNull().alias("symmetric"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import guards as G
 from ..operators.derived import DESCENDING
+from ..operators.rounds import kept
 from ..operators.sequences import aggregate_in_order
 from ..sources.fixtures import ORDER, VALUES, sequence
 
@@ -69,8 +70,8 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guarded_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = trees(spark, sf_dir)
-    n = G.around(nodes, KEY, "value", ["size"])
+    nodes = kept(trees(spark, sf_dir))
+    n = kept(G.around(nodes, KEY, "value", ["size"]))
     v, long = F.col("value"), lambda x: F.lit(x).cast("long")
     total = lambda c: F.sum(F.when(c, 1).otherwise(0))
     sizes = F.lit(1) + F.coalesce(F.when(F.col("l_n") == 1, 1).otherwise(F.col("l_size")), F.lit(0)) + F.coalesce(F.when(F.col("r_n") == 1, 1).otherwise(F.col("r_size")), F.lit(0))

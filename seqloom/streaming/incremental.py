@@ -1,7 +1,8 @@
 """Ordered aggregates over streams: each micro-batch is folded, and its states are merged into a kept table.
 
 Batches must follow each other in each key's order. The kept table is written anew under the batch's number, so a batch
-that is run again reads the same earlier states and writes the same result: results are exactly once.
+that is run again reads the same earlier states and writes the same result: results are exactly once. Tables before
+the last two are deleted.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ def follow(stream: DataFrame, path: str, key: list[str], order: list[str], value
         if number:
             now = merged(rows.sparkSession.read.parquet(f"{path}/{number - 1}"), now, key, aggregates)
         now.write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            old = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            old.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(batch)
 
