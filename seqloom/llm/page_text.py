@@ -5,7 +5,8 @@ menus, adverts and the like have none. Marks of these count as whole class token
 article or main, or, on pages without these, most of the page's text in several lines. The logarithms of the ratios are smoothed along the page and clustered in two by a threshold; runs of
 lines above it are the page's content regions. The container (div, section, table cell and the like) that the regions lie in is the article, and
 all its lines are text: from the page down, a container is entered while it has nearly all of the content, and what it leaves out is
-another region or loose text. Links alone, before and after the content, are no text of it. Where most of the content lies in article or main elements, the text is cut to those that hold some.
+another region or loose text. Links alone, before and after the content, are no text of it. Where most of the content lies in article or main elements, the text is cut to those that hold some,
+and these are whole. A title before the container (h1 or h2), with paragraphs alone between, belongs to it.
 """
 
 from __future__ import annotations
@@ -245,6 +246,19 @@ def container(places: list[int], elements: list[tuple[int, str]], weights: list[
         inside, depth = kept, depth + 1
 
 
+def titled(lines: list[tuple], elements: list[tuple[int, str]], before: list[int]) -> list[int]:
+    """Of the lines `before` a container those from the page's title on, if only paragraphs with text of their own lie between."""
+    out: list[int] = []
+    for k in reversed(range(len(before))):
+        text, ratio, *_, element = lines[before[k]]
+        tag = elements[element][1]
+        if tag not in PARAGRAPHS or tag == "li" or not ratio:
+            break
+        if tag in ("h1", "h2"):
+            out = before[k:]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The lines of a page's content regions, joined by newlines; '' for a null, empty or textless page."""
     if not html:
@@ -262,10 +276,18 @@ def main_text(html: str | None) -> str:
         before = np.cumsum(chosen & ~content)[at]  # lines of the same region have as many other lines before them
         weights = [len(lines[i][0]) for i in at]
         top = container([lines[i][5] for i in at], parser.elements, weights, before.tolist())
+        up = top
+        while up and parser.elements[up][1] not in SECTIONS:
+            up = parser.elements[up][0]
+        top = up or top  # the whole of a section around it
         around = [True] * len(parser.elements)
         for i, (up, _) in enumerate(parser.elements):
             around[i] = i == top or (i > 0 and around[up])
+        free_lines = np.flatnonzero(chosen).tolist()
         chosen &= np.array([around[x[5]] for x in lines])
+        if not up:
+            for i in titled(lines, parser.elements, [i for i in free_lines if i < chosen.argmax()]):
+                chosen[i] = True
         if 2 * sum(w for i, w in zip(at, weights) if sections[i]) >= sum(weights):
             chosen &= np.isin(sections, [s for s in sections[content & chosen].tolist() if s])
         else:
@@ -279,7 +301,7 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of every row of `pages`.
+    """page_id, url, text, n_chars (code points) of every row of `pages`. Pages of any length and markup, broken or not, are read whole and once.
 
     A null html counts as empty and gives an empty text; a null url stays null; repeated rows each give a row;
     other columns aren't read. Rows are independent: no shuffle.

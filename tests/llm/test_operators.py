@@ -582,3 +582,11 @@ def test_components_with_heavy_nodes(spark, monkeypatch):
     monkeypatch.setattr(common, "HEAVY", 0.2)
     got = common.named(many, names, "k").collect()
     assert len(got) == 6000 and all(r["name"] == f"n{r['k']}" for r in got) and len({r["i"] for r in got}) == 6000
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+def test_titles_before_the_container(tag):
+    text = "This paragraph of the article has a good many words in it, and so it is long enough to count as text. " * 4
+    text = text.strip()
+    page = f"<body><div><ul><li><a href='/'>Home</a><li><a href='/a'>About</a></ul></div><{tag}><h1>T</h1><p>by A. N.</p><p>May 2</p><div><p>{text}</p><p>{text}</p><p>{text}</p></div></{tag}><div>Impressum</div></body>"
+    assert page_text.main_text(page).split("\n") == ["T", "by A. N.", "May 2", text, text, text]
