@@ -72,6 +72,7 @@ COMBINATORS: dict[str, tuple[tuple[str, ...], str, str]] = {
     "take": (("l", "i"), "slice($0, 1, CAST($1 + 1 AS INT))", "$0[1:$1 + 1]"), "drop": (("l", "i"), "slice($0, CAST($1 + 1 AS INT), greatest(0, size($0)))", "$0[$1 + 1:]"), "rev": (("l",), "reverse($0)", "list_reverse($0)"), "map": (("l",), "transform($0, x -> -x)", "list_transform($0, lambda x: -x)"), "filter": (("l",), "filter($0, x -> x > 0)", "list_filter($0, lambda x: x > 0)"),
     "zip": (("l", "k"), "zip_with(slice($0, 1, least(size($0), size($1))), slice($1, 1, least(size($0), size($1))), (x, y) -> x * 10 + y)", "list_transform(list_zip($0, $1, true), lambda z: z[1] * 10 + z[2])"), "concat": (("l", "k"), "concat($0, $1)", "list_concat($0, $1)"), "sort": (("l",), "array_sort($0)", "list_sort($0)"),
     "scanl": (("l",), "aggregate($0, CAST(array() AS ARRAY<BIGINT>), (a, x) -> array_append(a, coalesce(try_element_at(a, -1), 0L) + x))", "[list_sum($0[1:i])::BIGINT FOR i IN range(1, len($0) + 1)]"), "scanr": (("l",), "reverse(aggregate(reverse($0), CAST(array() AS ARRAY<BIGINT>), (a, x) -> array_append(a, coalesce(try_element_at(a, -1), 0L) + x)))", "[list_sum($0[i:])::BIGINT FOR i IN range(1, len($0) + 1)]"),
+    "range_sum": (("n", "m"), "IF($0 <= $1, aggregate(sequence($0, $1), 0L, (a, x) -> a + x), 0L)", "CASE WHEN $0 <= $1 THEN ($0 + $1) * ($1 - $0 + 1) // 2 ELSE 0 END"),
     "isneg": (("n",), "$0 < 0", "$0 < 0"), "ispos": (("n",), "$0 > 0", "$0 > 0"), "iseven": (("n",), "$0 = ($0 div 2) * 2", "$0 = ($0 // 2) * 2"), "isodd": (("n",), "$0 <> ($0 div 2) * 2", "$0 <> ($0 // 2) * 2"),
 }
 #: Methods that give a map.

@@ -198,6 +198,16 @@ FIRST_POSITIVE = Monoid({"n": 0, "at": -1}, {"n": "1", "at": "if(x > 0, 0, -1)"}
 _P = 10**9 + 7
 ATOI_LOW = Monoid({"v": 0, "t": 1}, {"v": "x", "t": "10"}, {"v": f"(a.v + a.t * b.v) % {_P}", "t": f"(a.t * b.t) % {_P}"}, "s.v")
 ATOI_HIGH = Monoid({"v": 0, "t": 1}, {"v": "x", "t": "10"}, {"v": f"(a.v * b.t + b.v) % {_P}", "t": f"(a.t * b.t) % {_P}"}, "s.v")
+#: Whether a 1 comes after a 0, and whether all zeros come first.
+ONE_AFTER_ZERO = Monoid({"h0": False, "h1": False, "hit": False}, {"h0": "x = 0", "h1": "x = 1", "hit": "false"}, {"h0": "a.h0 OR b.h0", "h1": "a.h1 OR b.h1", "hit": "a.hit OR b.hit OR (a.h0 AND b.h1)"}, "s.hit")
+_TEN = "CAST(pow(10, {}) AS BIGINT)"
+_TAKEN = "least(b.n, 11 - a.n)"
+#: Decimal digits behind the point, doubled ten times and rounded; 0 if a value is no digit. Steps of a 2,048th have 11 decimals, so the first 11 digits decide.
+DOUBLED = Monoid(
+    {"n": 0, "v": 0, "ok": True}, {"n": "1", "v": "x", "ok": "x >= 0 AND x < 10"},
+    {"n": f"a.n + {_TAKEN}", "v": f"a.v * {_TEN.format(_TAKEN)} + b.v // {_TEN.format(f'(b.n - {_TAKEN})')}", "ok": "a.ok AND b.ok"},
+    f"if(s.ok, ((2048 * s.v * {_TEN.format('(11 - s.n)')}) // 100000000000 + 1) // 2, 0)",
+)
 SORTED_RUN = _ascents("a.last <= b.first", "if(s.n = 0, 0, s.best + 1)")
 #: Rises, the first value's own rise from 0 included.
 LIS = _ascents("a.last < b.first", "greatest(s.best, if(s.n > 0 AND s.first > 0, s.pre + 1, 0))")
@@ -220,12 +230,12 @@ SMALL: dict[str, Monoid] = {
 }
 #: Values 0 and 1.
 BITS: dict[str, Monoid] = {
-    "zero_after_one": SEEN, "ones_zeros": _with(SEEN, "s.ok"), "count10p": _bridges(1, 0, 1, 1, "s.n"), "longest00s": _runs("x = 0", "2 * (s.best // 2)"), "longest1s": _runs("x = 1"),
+    "zero_after_one": SEEN, "one_after_zero": ONE_AFTER_ZERO, "zeros_then_ones": _with(SEEN, "NOT s.hit"), "ones_zeros": _with(SEEN, "s.ok"), "count10p": _bridges(1, 0, 1, 1, "s.n"), "longest00s": _runs("x = 0", "2 * (s.best // 2)"), "longest1s": _runs("x = 1"),
     "max_1s_length": _runs("x = 1"), "max_1s_start": _runs("x = 1", "s.start"),
 }
 #: Values 0 to 3.
 PATTERNS: dict[str, Monoid] = {"count10s2": _bridges(1, 0, 2, 0, "s.n"), "longest10s2": _bridges(1, 0, 2, 0, "s.longest"), "count1s2s3s": _bridges(1, 2, 3, 0, "s.n")}
-DIGITS: dict[str, Monoid] = {"atoi_low_first": ATOI_LOW, "atoi_high_first": ATOI_HIGH}
+DIGITS: dict[str, Monoid] = {"atoi_low_first": ATOI_LOW, "atoi_high_first": ATOI_HIGH, "doubled_and_rounded": DOUBLED}
 #: Values -1, 0 and 1, so that products of any length fit.
 UNITS: dict[str, Monoid] = {"mpp": _with(_PRODUCTS, "s.hi"), "mtp": _with(_PRODUCTS, "s.shi"), "msp": _PRODUCTS, "product": _with(_PRODUCTS, "s.all")}
 

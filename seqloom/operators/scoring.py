@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as str.strip and str.split see it.
@@ -172,6 +172,22 @@ def row_bleu(most: int = 4) -> Column:
     return F.exp(logs + F.least(F.lit(0.0), 1 - (F.col("ref_min") + 1) / (F.col("hyp_len") + 1)))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and text of one text file."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n$", "").alias("value"))
+    return whole.select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+
+
+def file_bleu(spark: SparkSession, references: list[str], hypotheses: str, added: int = 0) -> DataFrame:
+    """One row: BLEU of a file's lines against the lines of the same number in one or more reference files."""
+    refs = None
+    for i, path in enumerate(references):
+        one = numbered_lines(spark, path).select("line", F.lit(i).alias("ref"), split_words("text").alias("reference"))
+        refs = one if refs is None else refs.union(one)
+    lines = numbered_lines(spark, hypotheses).select("line", split_words("text").alias("hypothesis"))
+    return summed(bleu_parts(lines, refs, "line")).select(plain_bleu(added).alias("bleu"), brevity_penalty("ref_min").alias("penalty"), "hyp_len", "ref_min")
+
+
 def recall_parts(hypotheses: DataFrame, references: DataFrame, key: str, keywords: list[str] = KEYWORDS, light: float = 0.2, most: int = 4) -> DataFrame:
     """As bleu_parts, with recalls: m1.. are reference n-grams found, g1.. all of them (at least 1 a reference), summed over references; single words weigh 1 if they are keywords, else `light`."""
     h = ngrams(hypotheses, [key], "hypothesis", most).withColumnRenamed("times", "h")

@@ -105,6 +105,17 @@ def frequent(v):
     return of
 
 
+def doubled(v):
+    """Digit by digit, with carries, ten times."""
+    whole, digits = 0, list(v)
+    for _ in range(10):
+        carry = 0
+        for i in reversed(range(len(digits))):
+            carry, digits[i] = divmod(2 * digits[i] + carry, 10)
+        whole = 2 * whole + carry
+    return whole + (digits[0] >= 5)
+
+
 def unimodal(v):
     return any(v[: i + 1] == sorted(v[: i + 1]) and v[i:] == sorted(v[i:], reverse=True) for i in range(len(v)))
 
@@ -149,6 +160,7 @@ DEFINED = {
     "zero_after_one": lambda v: any(a == 1 and b == 0 for a, b in itertools.combinations(v, 2)), "ones_zeros": lambda v: v == sorted(v, reverse=True), "count10p": lambda v: automaton(v, 1, 0, 1, 1)[0], "longest00s": lambda v: runs(v, lambda x: x == 0)[0] // 2 * 2, "longest1s": lambda v: runs(v, lambda x: x == 1)[0],
     "max_1s_length": lambda v: runs(v, lambda x: x == 1)[0], "max_1s_start": lambda v: runs(v, lambda x: x == 1)[1],
     "count10s2": lambda v: automaton(v, 1, 0, 2, 0)[0], "longest10s2": lambda v: automaton(v, 1, 0, 2, 0)[1], "count1s2s3s": lambda v: automaton(v, 1, 2, 3, 0)[0],
+    "one_after_zero": lambda v: any(a == 0 and b == 1 for a, b in itertools.combinations(v, 2)), "zeros_then_ones": lambda v: v == sorted(v), "doubled_and_rounded": doubled,
     "atoi_low_first": lambda v: sum(x * 10**i for i, x in enumerate(v)) % M._P, "atoi_high_first": lambda v: sum(x * 10**i for i, x in enumerate(v[::-1])) % M._P,
     "mpp": lambda v: max(1, *[prod(v[:i]) for i in range(1, len(v) + 1)]), "mtp": lambda v: max(1, *[prod(v[i:]) for i in range(len(v))]), "msp": lambda v: max(1, *[prod(s) for s in segments(v)]), "product": prod,
     "sum_of_squares": lambda v: sum(x * x for x in v), "all_not_positive": lambda v: max(v) <= 0, "contains": lambda v: 2 in v, "sum_of_equal": lambda v: 2 * v.count(2), "sum_gt": lambda v: sum(x for x in v if x > 1), "sum_evens": lambda v: sum(x for x in v if x in (-2, 2)), "sum_odds": lambda v: sum(x for x in v if x in (1, 3)),

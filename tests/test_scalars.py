@@ -63,7 +63,7 @@ PLAIN = {
     "combinators": {
         "fold": sum, "inf": lambda: 100, "plus": lambda a, b: a + b, "minus": lambda a, b: a - b, "times": lambda a, b: a * b, "min": min, "max": max, "maximum": lambda l: max([-100, *l]), "minimum": lambda l: min([100, *l]), "sum": sum, "length": len, "head": lambda l: l[0] if l else 100, "inc": lambda n: n + 1, "dec": lambda n: n - 1, "neg": lambda n: -n,
         "last": lambda l: l[-1] if l else 100, "access": lambda l, i: l[i] if -len(l) <= i < len(l) else 100, "count": lambda l: sum(x > 0 for x in l), "take": lambda l, i: l[: i + 1], "drop": lambda l, i: l[i:], "rev": lambda l: l[::-1], "map": lambda l: [-x for x in l], "filter": lambda l: [x for x in l if x > 0], "zip": lambda l, k: [x * 10 + y for x, y in zip(l, k)],
-        "concat": lambda l, k: l + k, "sort": sorted, "scanl": sums, "scanr": lambda l: sums(l[::-1])[::-1], "isneg": lambda n: n < 0, "ispos": lambda n: n > 0, "iseven": lambda n: n % 2 == 0, "isodd": lambda n: n % 2 == 1,
+        "concat": lambda l, k: l + k, "sort": sorted, "scanl": sums, "scanr": lambda l: sums(l[::-1])[::-1], "range_sum": lambda a, b: sum(range(a, b + 1)), "isneg": lambda n: n < 0, "ispos": lambda n: n > 0, "iseven": lambda n: n % 2 == 0, "isodd": lambda n: n % 2 == 1,
     },
 }
 

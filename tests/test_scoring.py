@@ -273,3 +273,15 @@ def test_files_and_lookups(spark, tmp_path):
     rows = spark.createDataFrame([(i,) for i in (-9000, -1, 0, 5, 4096, 10**9, 10**9 + 1)], "id long")
     assert [r["rank"] for r in P.ranked(rows, "id").orderBy("id").collect()] == list(range(7)) and P.ranked(rows.where("false"), "id").count() == 0
     assert P.kept_answers(spark.createDataFrame([("IndexError: x",), ("GrammarError",), (None,)], "t string"), "t").count() == 2
+
+
+def test_files_are_scored(spark, tmp_path):
+    lines = [(" ".join(h), [" ".join(r) for r in rs] + [" ".join(rs[0])]) for h, rs in word_pairs(40)]
+    for name, text in (("hyp", [h for h, _ in lines]), ("one", [r[0] for _, r in lines]), ("two", [r[1] for _, r in lines])):
+        (tmp_path / name).write_text("\n".join(text) + "\n")
+    got = S.file_bleu(spark, [f"{tmp_path}/one", f"{tmp_path}/two"], f"{tmp_path}/hyp").first()
+    all_counts = [counts(h.split(), [x.split() for x in rs[:2]]) for h, rs in lines]
+    m, g = ([sum(c[j][i] for c in all_counts) for i in range(4)] for j in (0, 1))
+    size, short = (sum(c[j] for c in all_counts) for j in (2, 4))
+    assert (got["hyp_len"], got["ref_min"]) == (size, short)
+    assert got["bleu"] == pytest.approx((1 if size > short else math.exp(1 - short / size)) * math.exp(log_mean([a / b for a, b in zip(m, g)])))
