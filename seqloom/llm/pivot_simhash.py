@@ -128,14 +128,16 @@ def _mark() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), label, component_id of every row of `docs`: the near-copies of `shingle_sets`, not of the thin op1 query.
-
-    label names the component; component_id is the smallest doc_id in it, null where none of its rows has a doc_id.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text) and label (which names the component) of every row of `docs`: the near-copies of `shingle_sets`, not of the thin op1 query."""
     labels = common.checkpointed(connected(shingle_sets.links(docs.select(_mark().alias("mark"), "text"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
-    named = common.checkpointed(rows.join(labels, rows["mark"] == labels["node"], "left").select("doc_id", "mark", F.coalesce("label", "mark").alias("label")))
+    return common.checkpointed(rows.join(labels, rows["mark"] == labels["node"], "left").select("doc_id", "mark", F.coalesce("label", "mark").alias("label")))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, label and component_id of every row of `docs`: the smallest doc_id of its component, null where none of its rows has a doc_id."""
+    named = _labelled(docs)
     return named.join(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "mark", "label", "component_id")
 
 
@@ -145,7 +147,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Of rows that share a doc_id, or have none, each component still has its own: rows are told apart by their texts. Of
     rows with equal doc_id and text one stays. Rows travel as one struct, so no column of `docs` can clash with those made here.
     """
-    found = components(docs.select("doc_id", "text"))
+    found = _labelled(docs.select("doc_id", "text"))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark"))
     heads = common.checkpointed(found.groupBy("label").agg(head.alias("h")).select("h.id", "h.mark"))
     times = found.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
