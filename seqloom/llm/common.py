@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries a word cache holds in one Python worker before it is emptied (about 200 bytes each), and characters of its keys.
@@ -65,6 +65,43 @@ def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(few), key).unionByName(rest.join(names, key))
 
 
+#: Rows of which a table may be broadcast after they have been counted.
+BROADCAST_ROWS = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df`, computed once, and marked to be broadcast if it has at most BROADCAST_ROWS rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def numbered(rows: DataFrame, order: list[Column], by: str, position: str, total: str) -> DataFrame:
+    """`rows` with their place (from 0) in `order` among those of the same `by` (no nulls there), and how many these are.
+
+    Rows are dealt by ranges of (by, order) and sorted there; a place is the rows before it in its range and the counts of the
+    ranges before that, so no task holds a whole `by`. Equal rows are dealt by where they were read, so they don't meet in one range either.
+    """
+    salt, part, at, first, before = (free_name(rows, n) for n in ("_salt", "_part", "_at", "_first", "_before"))
+    keys = [F.col(by), *order, F.col(salt)]
+    dealt = rows.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(salt)
+    kept = checkpointed(dealt.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    spans = kept.groupBy(part, by).agg(F.count("*").alias(total), F.min(at).alias(first))
+    whole = Window.partitionBy(by)
+    upto = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(part, by, first, F.coalesce(F.sum(total).over(upto), F.lit(0)).alias(before), F.sum(total).over(whole).alias(total))
+    return kept.join(few(spans), [part, by]).withColumn(position, F.col(at) - F.col(first) + F.col(before)).drop(part, at, first, before)
+
+
+#: A common table `crc_table` for crc32_sql: entry i is i after eight steps of the division by the polynomial.
+CRC_TABLE_SQL = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of the UTF-8 bytes of `text`, where the column crcs of CRC_TABLE_SQL is at hand."""
+    number = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {number}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))

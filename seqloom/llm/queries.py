@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_pieces, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, rule_ledger, secret_network, token_counts, wavelet_shards
+from . import importance_resampling, language_pieces, merkle_manifest, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, rule_ledger, secret_network, token_counts, wavelet_shards
 from .common import table
 
 
@@ -59,5 +59,15 @@ def op10_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_pieces.languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, rule_ablation, op10_language_pieces)}
-ORACLES = {"op5_mixture_budget": mixture_budget.oracle(), "op9_rule_ledger": rule_ledger.oracle(), "rule_ablation": rule_ledger.ablation_oracle()}
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the texts of benchmark, and the rank of the tenth that is drawn."""
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, and whether a row that was tampered with in part leads to that root."""
+    return merkle_manifest.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, rule_ablation, op10_language_pieces, op11_importance_draw, op12_merkle_manifest)}
+ORACLES = {"op5_mixture_budget": mixture_budget.oracle(), "op9_rule_ledger": rule_ledger.oracle(), "rule_ablation": rule_ledger.ablation_oracle(), "op11_importance_draw": importance_resampling.oracle(), "op12_merkle_manifest": merkle_manifest.oracle()}
