@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance_resampling, language_pieces, merkle_manifest, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, rule_ledger, secret_network, token_counts, wavelet_shards
+from . import importance_resampling, language_pieces, merkle_manifest, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, rule_ledger, secret_network, suffix_dedup, token_counts, wavelet_shards
 from .common import table
 
 
@@ -69,5 +69,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, rule_ablation, op10_language_pieces, op11_importance_draw, op12_merkle_manifest)}
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses when each 100-byte string stays only where it starts first."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_simhash, op2_page_text, op3_secret_network, op4_multiprobe_search, op5_mixture_budget, op6_wavelet_shards, op7_prefix_table, op8_token_counts, op9_rule_ledger, rule_ablation, op10_language_pieces, op11_importance_draw, op12_merkle_manifest, op13_suffix_repeats)}
 ORACLES = {"op5_mixture_budget": mixture_budget.oracle(), "op9_rule_ledger": rule_ledger.oracle(), "rule_ablation": rule_ledger.ablation_oracle(), "op11_importance_draw": importance_resampling.oracle(), "op12_merkle_manifest": merkle_manifest.oracle()}
