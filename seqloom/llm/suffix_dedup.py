@@ -1,6 +1,6 @@
 """Repeated byte strings across and within texts, by suffix arrays over pieces that Spark deals out.
 
-Each 100-byte window has a key: the hash of the smallest 32-byte gram in it, so equal windows have equal keys wherever they stand. Neighbouring windows of one key are a
+Each 100-byte window has a key: the hash of the smallest 24-byte gram in it, so equal windows have equal keys wherever they stand. Neighbouring windows of one key are a
 piece of text. Pieces whose key occurs once can't repeat and are left where they are; the others meet by key. There a pool of pieces gets its suffixes
 sorted and its Burrows-Wheeler transform, and intervals of suffixes with a common prefix are extended backwards, breadth first, so that common prefixes come out by
 increasing value; the search stops at the least length of a repeat. Suffixes that no shorter prefix has parted by then start equal windows, of which all but the earliest are repeats.
@@ -17,17 +17,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bytes of a string that counts as a repeat, and of the grams that make keys.
-LEAST, GRAM = 100, 32
+LEAST, GRAM = 100, 24
 #: Windows that are hashed at a time, so that what is made of them stays in a core's cache.
 CHUNK_BITS = 17
 #: Bytes of pieces whose suffixes are sorted together, and of one key's distinct pieces before they are taken apart.
 POOL, WIDE = 1_000_000, 4_000_000
+#: Bytes of pieces that a worker remembers while it cuts texts (about four times as much memory).
+SEEN = 32_000_000
 ROWS = "route long, doc long, uid long, rid long, start int, n int, piece binary"
 ONCE, AGAIN, LEAD = 0, 1, 2
 
@@ -41,12 +43,18 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each run of `gram` (a power of two) bytes."""
-    h, power, n = data.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15), 1
-    while n < gram:
-        h = h[:-n] * power + h[n:]
-        power, n = power * power, 2 * n
-    h ^= h >> np.uint64(29)
+    """A 64-bit hash of each run of `gram` bytes, put together from runs of 1, 2, 4, ... bytes."""
+    part, power, n = data.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15), 1
+    h, held = None, 0
+    while True:
+        if gram & n:
+            h = part if h is None else part[: len(part) - held] * held_power + h[n : n + len(part) - held]
+            held_power = power if not held else held_power * power
+            held += n
+        if held == gram:
+            break
+        part, power, n = part[:-n] * power + part[n:], power * power, 2 * n
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
@@ -208,9 +216,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(least: int, gram: int):
-    """From (doc, uid, rid, text, keys) to ROWS: each distinct piece of those keys once a batch, where it stands first, and as marks (no piece, n bytes) where it stands later."""
+    """From (doc, uid, rid, text, keys) to ROWS: each distinct piece of those keys, where it stands first of all that were seen, and as marks (no piece, n bytes) where it stands later.
+
+    A worker remembers about SEEN bytes of pieces; a piece that it has forgotten, or that comes up earlier than before, is sent again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple] = {}
+        size = 0
         for batch in common.slices(batches):
             doc, uid, rid = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "uid", "rid"))
             data, begins = buffer_of(batch["text"])
@@ -221,14 +234,18 @@ def _cut(least: int, gram: int):
             order = np.flatnonzero(kept)
             order = order[np.lexsort((start[order], place[text[order]]))]
             text, start, end, key, recurs = text[order], start[order], end[order], key[order], recurs[order]
-            whole, seen, pieces, first = data.tobytes(), set(), [], np.zeros(len(text), dtype=bool)
-            for i, (a, b) in enumerate(zip(start.tolist(), (end + least - 1).tolist(), strict=True)):
+            at = (start - begins[text]).astype(np.int32)
+            whole, pieces, first = data.tobytes(), [], np.zeros(len(text), dtype=bool)
+            where = zip(doc[text].tolist(), uid[text].tolist(), rid[text].tolist(), at.tolist(), strict=True)
+            for i, (a, b, here) in enumerate(zip(start.tolist(), (end + least - 1).tolist(), where, strict=True)):
                 piece = whole[a:b]
-                if piece not in seen:
-                    seen.add(piece)
+                if (before := seen.get(piece)) is None or here < before:
+                    size += len(piece) if before is None else 0
+                    seen[piece] = here
                     pieces.append(piece)
                     first[i] = True
-            at = (start - begins[text]).astype(np.int32)
+            if size > SEEN:
+                seen, size = {}, 0
             of = lambda i: {"doc": doc[text[i]], "uid": uid[text[i]], "rid": rid[text[i]], "start": at[i]}
             yield _rows(**of(first), route=key[first], n=recurs[first].astype(np.int32), piece=pieces)
             # marks of neighbouring runs are one mark
@@ -322,14 +339,15 @@ def _merged(spans: list[dict], rid: int) -> list[tuple[int, int]]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(uid, rid, doc_id, text): uid is a hash of doc_id and text, rid parts rows that are alike."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """(uid, rid, doc_id, text): uid is a hash of doc_id and text, rid counts rows that are alike (so it doesn't matter which is which)."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("rid", F.row_number().over(Window.partitionBy("uid").orderBy("uid")).cast("long"))
 
 
 def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, pool: int = POOL, wide: int = WIDE) -> DataFrame:
     """doc_id, text (null as empty), rid and marks: array of (rid, start, n), of which those with the row's rid hold; null if there is none.
 
-    Marks are runs of bytes, possibly overlapping, that cover what also starts earlier as a string of `least` bytes: in a smaller doc_id (null first; equal ones by a hash of doc_id and text, equal rows as read), or further up in the text.
+    Marks are runs of bytes, possibly overlapping, that cover what also starts earlier as a string of `least` bytes: in a smaller doc_id (null first; equal ones by a hash of doc_id and text, of equal rows all but one), or further up in the text.
     """
     texts = _texts(docs)
     keys = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text").where(F.octet_length("text") >= least).mapInArrow(_keys(least, gram), "route long, other long, kind byte")
