@@ -27,9 +27,9 @@ LEAST, GRAM = 100, 24
 #: Windows that are hashed at a time, so that what is made of them stays in a core's cache.
 CHUNK_BITS = 17
 #: Bytes of pieces whose suffixes are sorted together, and of one key's distinct pieces before they are taken apart.
-POOL, WIDE = 1_000_000, 4_000_000
+POOL, WIDE = 500_000, 1_000_000
 #: Bytes of pieces that a worker remembers while it cuts texts (about four times as much memory).
-SEEN = 32_000_000
+SEEN = 16_000_000
 ROWS = "route long, doc long, uid long, rid long, start int, n int, piece binary"
 ONCE, AGAIN, LEAD = 0, 1, 2
 
@@ -101,7 +101,7 @@ def suffix_order(symbols: np.ndarray, least: int) -> np.ndarray:
         key = (key << (bits * more)) | (np.roll(key, -held) >> (bits * (held - more)))
         held += more
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         if held >= least or new[-1] == n - 1:
@@ -148,9 +148,9 @@ def later_windows(pieces: list[bytes], least: int) -> tuple[np.ndarray, np.ndarr
     """Runs of windows that stand earlier too, in the order of `pieces`: piece, first window, how many."""
     lengths = np.array([len(p) for p in pieces])
     ends = np.cumsum(lengths + 1)
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8).astype(np.uint16) + np.uint16(1)
     text[ends - 1] = 0
-    symbols = np.unique(text, return_inverse=True)[1]
+    symbols = (np.cumsum(np.bincount(text, minlength=257) > 0) - 1).astype(np.uint16)[text]
     order = suffix_order(symbols, least)
     starts = np.flatnonzero(common_prefixes(order, symbols, least) >= 0)
     sizes = np.diff(np.append(starts, len(order)))
@@ -298,9 +298,9 @@ def _search(least: int, pool_bytes: int, wide: int | None):
             for key, doc, uid, rid, start, n, piece in zip(*(rows[c].to_pylist() for c in ("route", "doc", "uid", "rid", "start", "n", "piece")), strict=True):
                 if key != now:
                     if pieces and not over and (len(pieces) > 1 or recurs):
-                        pool.add(pieces)
-                        if pool.size >= pool_bytes:
+                        if pool.size and pool.size + size > pool_bytes:
                             yield pool.marks()
+                        pool.add(pieces)
                     elif pieces and over:
                         yield apart(pieces)
                     now, pieces, size, recurs, over = key, {}, 0, False, False
@@ -319,6 +319,8 @@ def _search(least: int, pool_bytes: int, wide: int | None):
         if pieces and over:
             yield apart(pieces)
         elif pieces and (len(pieces) > 1 or recurs):
+            if pool.size and pool.size + size > pool_bytes:
+                yield pool.marks()
             pool.add(pieces)
         if pool.size:
             yield pool.marks()
