@@ -57,8 +57,7 @@ def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = S.summed(parts).select(F.round(S.plain_bleu(), 9).alias("plain"), F.round(S.plain_bleu(1), 9).alias("one_added"), F.round(S.bleu(1), 9).alias("bleu"))
     recall = S.summed(S.recall_parts(*words, "item_id")).select(F.round(S.recall_score(), 9).alias("weighted_recall"))
     rows = parts.agg(F.round(F.avg(S.row_bleu()) * 100, 6).alias("mean_of_rows"))
-    both = whole.crossJoin(recall).crossJoin(rows)
-    return both.withColumn("code_score", F.round(S.code_score(F.col("bleu"), F.col("weighted_recall"), F.lit(0.0), F.lit(0.0)), 9))
+    return whole.crossJoin(recall).crossJoin(rows)
 
 
 def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

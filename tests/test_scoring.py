@@ -181,7 +181,6 @@ def test_queries_of_scores(spark):
     all_counts = [counts(*p) for p in pairs]
     total = [[sum(c[j][i] for c in all_counts) for i in range(5)] for j in (0, 1)]
     assert one["bleu"] == pytest.approx(plain_bleu(1, (*total, sum(c[2] for c in all_counts), sum(c[3] for c in all_counts), 0)), abs=1e-8) and 0 <= one["weighted_recall"] <= 1
-    assert one["code_score"] == pytest.approx((one["bleu"] + one["weighted_recall"]) / 4, abs=1e-8)
     means, each = catalog.ALONE["text_match_means"](spark, SF).first(), catalog.ALONE["text_matches"](spark, SF).collect()
     assert means["exact"] == pytest.approx(100 * sum(r["exact"] for r in each) / len(each), abs=0.01) and means["similarity"] == pytest.approx(100 * sum(r["similarity"] for r in each) / len(each), abs=0.01)
     for r in catalog.ALONE["code_texts"](spark, SF).collect():
