@@ -1,34 +1,174 @@
 """Range updates and range queries over a positioned sequence, in the order of an operation log.
 
-Updates and queries are laid on the positions they cover; at each position a window in log order gives what the updates so
-far make of the value, and each query aggregates the values it sees by position. Rows grow with the
-positions covered, never with pairs of operations. Ranges mean all positions from l to r, ends included; they are cut at the ends of the
-sequence before they are laid out.
+Positions are cut into blocks of blocks, FAN to one. An operation goes down from the whole sequence through the blocks that it covers in part
+(at most two a level) and stops at those that it covers, so it makes rows with the logarithm of the sequence's length, not with its own. Tags of covered
+blocks are summed up in log order and along the way down; states of blocks that updates change within are made level by level from the blocks in them, each as of the last change before,
+with the tags since then on top. A query puts together the states of the blocks it covers. Ranges mean all positions from l to r, ends
+included; they are cut at the ends of the sequence. Nothing is laid out by position, and no window holds more of a log than SPAN of its numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .monoids import Monoid
-from .sequences import aggregate_in_order
+from .monoids import Monoid, spark, spark_struct
+from .rounds import kept
+
+#: Blocks in a block; numbers of the log that one window looks at.
+FAN, SPAN = 16, 65_536
+#: A tag that assigns nothing.
+NOTHING = 100
+
+
+def _within(m: Monoid, prefix: str, x: str) -> tuple[dict, dict, dict]:
+    """Zero, lift and merge of a monoid over `x`, with all fields under `prefix`."""
+    put = lambda e: re.sub(r"\b([abs])\.(\w+)", rf"\1.{prefix}\2", e)
+    return {prefix + k: v for k, v in m.zero.items()}, {prefix + k: re.sub(r"\bx\b", x, e) for k, e in m.lift.items()}, {prefix + k: put(e) for k, e in m.merge.items()}
+
+
+class _Tagged:
+    """States of all aggregates at once, with what a tag does to the state of a whole block."""
+
+    def __init__(self, tag: str, aggregates: dict[str, Monoid]):
+        self.tag, self.aggregates = tag, aggregates
+        sides = [("p", "x"), ("g", "(-x)")] if tag == "neg" else [("p", "x")]
+        zero, lift, merge = {"n": 0}, {"n": "1"}, {"n": "a.n + b.n"}
+        for i, m in enumerate(aggregates.values()):
+            for side, x in sides:
+                for whole, part in zip((zero, lift, merge), _within(m, f"{side}{i}_", x), strict=True):
+                    whole.update(part)
+        if tag == "plus":  # sums alone can be shifted
+            zero, lift, merge = {"n": 0, "s": 0, "q": 0}, {"n": "1", "s": "x", "q": "x * x"}, {k: f"a.{k} + b.{k}" for k in "nsq"}
+        self.state = Monoid(zero, lift, merge, "s")
+
+    def leaf(self, x: str) -> str:
+        return f"transform(array({x}), x -> {spark_struct(self.state, self.state.lift)})[0]"
+
+    def folded(self, states: str) -> str:
+        """SQL of the state of an array of states, in order."""
+        return f"aggregate({states}, {spark_struct(self.state, self.state.zero)}, (a, b) -> {spark_struct(self.state, self.state.merge)})"
 
-#: What earlier updates do to a value, in SQL over x, the running sum, count and last tag of the updates at its position. Tag 100 assigns nothing.
-TAGS = {"plus": "x + coalesce(added, 0)", "cover": "coalesce(assigned, x)", "neg": "if(coalesce(n, 0) % 2 = 0, x, -x)"}
+    def _same(self, value: str, n: str) -> str:
+        """SQL of the state of n equal values, by doubling."""
+        twice = lambda a, b: f"transform(array(named_struct('a', {a}, 'b', {b})), u -> transform(array(u.a), a -> transform(array(u.b), b -> {spark_struct(self.state, self.state.merge)})[0])[0])[0]"
+        step = f"named_struct('out', IF(shiftright({n}, i) % 2 = 1, {twice('r.out', 'r.way')}, r.out), 'way', IF(shiftright({n}, i) > 1, {twice('r.way', 'r.way')}, r.way), 'n', r.n)"
+        return f"aggregate(sequence(0, length(bin({n})) - 1), named_struct('out', {spark_struct(self.state, self.state.zero)}, 'way', {self.leaf(value)}, 'n', {n}), (r, i) -> {step}, r -> r.out)"
+
+    def on(self, state: str, k: str, tag: str, since: str, k0: str) -> str:
+        """SQL of a state after the tags up to (k, tag) of which those up to `since` (in sums: k0) are in it."""
+        if self.tag == "cover":
+            return f"IF({k} > {since}, {self._same(tag, f'{state}.n')}, {state})"
+        if self.tag == "plus":
+            d = f"({k} - {k0})"
+            return f"named_struct('n', {state}.n, 's', {state}.s + {d} * {state}.n, 'q', {state}.q + 2 * {d} * {state}.s + {d} * {d} * {state}.n)"
+        swap = ", ".join(f"'{f}', {state}.{f if f == 'n' else ('g' if f[0] == 'p' else 'p') + f[1:]}" for f in self.state.zero)
+        return f"IF(({k} - {k0}) % 2 <> 0, named_struct({swap}), {state})"
+
+    def results(self, state: str) -> list[Column]:
+        if self.tag == "plus":
+            known = {"s.v": "s", "q": "q"}
+            return [F.expr(f"{state}.{known['q'] if 'x * x' in m.lift.get('v', '') else known['s.v']}").alias(n) for n, m in self.aggregates.items()]
+        finish = lambda m, i: re.sub(r"\bs\.(\w+)", rf"s.p{i}_\1", spark(m.finish))
+        return [F.expr(f"transform(array({state}), s -> {finish(m, i)})[0]").alias(n) for i, (n, m) in enumerate(self.aggregates.items())]
+
+
+def _upto(rows: DataFrame, key: list[str], time: str, values: dict[str, tuple[str, Column]], order: list[str]) -> DataFrame:
+    """`rows` with running values: name -> (how, column), over `order` within `key`; how is "sum", "max" or "last" (of those not null).
+
+    A key's rows are split by `time`; each part runs on its own and starts from what the parts before it come to.
+    """
+    part = F.floor(F.col(time) / SPAN)
+    rows = rows.withColumn("_part", part)
+    inside = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for name, (how, c) in values.items():
+        rows = rows.withColumn(f"_{name}", {"sum": F.sum, "max": F.max}[how](c).over(inside) if how != "last" else F.last(c, ignorenulls=True).over(inside))
+    at = F.struct(*order)
+    whole = rows.groupBy(*key, "_part").agg(*[{"sum": F.sum, "max": F.max}[how](c).alias(f"_{name}0") if how != "last" else F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_{name}0") for name, (how, c) in values.items()])
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select(*key, "_part", *[({"sum": F.sum, "max": F.max}[how](f"_{name}0").over(before) if how != "last" else F.last(f"_{name}0", ignorenulls=True).over(before)).alias(f"_{name}0") for name, (how, _) in values.items()])
+    both = rows.join(carried, [*key, "_part"])
+    for name, (how, _) in values.items():
+        now, old = F.col(f"_{name}"), F.col(f"_{name}0")
+        both = both.withColumn(name, F.coalesce(now, F.lit(0)) + F.coalesce(old, F.lit(0)) if how == "sum" else F.greatest(now, old) if how == "max" else F.coalesce(now, old))
+    return both.drop("_part", *[f"_{n}" for n in values], *[f"_{n}0" for n in values])
+
+
+def _way_down(log: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
+    """Of each operation (t, kind, tag, l, r from 0): the blocks covered in part (t, kind, h, b), and all blocks in these, or the whole, as t, kind, tag, h, b and how: covered, part or beside."""
+    tops = log.withColumn("h", F.explode(F.sequence(F.lit(height), F.lit(1), F.lit(-1)))).withColumn("_w", F.pow(F.lit(FAN), F.col("h")).cast("long"))
+    ends = tops.withColumn("b", F.explode(F.array_distinct(F.array(F.floor(F.col("l") / F.col("_w")), F.floor(F.col("r") / F.col("_w"))))))
+    inside = lambda b, w: (F.col("l") <= b * w) & (F.col("r") >= (b + 1) * w - 1)
+    part = ends.where(~inside(F.col("b"), F.col("_w")))
+    below = part.withColumn("c", F.explode(F.expr(f"sequence(b * {FAN}, b * {FAN} + {FAN - 1})"))).select("t", "kind", "tag", "l", "r", (F.col("h") - 1).alias("h"), F.col("c").alias("b"), (F.col("_w") / FAN).cast("long").alias("_w"))
+    root = log.select("t", "kind", "tag", "l", "r", F.lit(height).alias("h"), F.lit(0).cast("long").alias("b"), F.lit(FAN**height).cast("long").alias("_w"))
+    beside = (F.col("r") < F.col("b") * F.col("_w")) | (F.col("l") >= (F.col("b") + 1) * F.col("_w"))
+    how = F.when(inside(F.col("b"), F.col("_w")), "covered").when(beside, "beside").otherwise("part")
+    return part.select("t", "kind", "h", "b"), below.unionByName(root).select("t", "kind", "tag", "h", "b", how.alias("how"))
 
 
 def answers(values: DataFrame, log: DataFrame, tag: str, aggregates: dict[str, Monoid]) -> DataFrame:
-    """op_idx and the aggregates of each query of `log` (op_idx, kind 'update' or 'query', l, r, tag) over `values` (pos, x)."""
-    ends = values.agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
-    cut = log.crossJoin(F.broadcast(ends)).withColumns({"l": F.greatest("l", "_lo"), "r": F.least("r", "_hi")}).where("l <= r")
-    cells = cut.select("op_idx", "kind", "tag", F.explode(F.sequence("l", "r")).alias("pos"))
-    w = Window.partitionBy("pos").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)
-    update = F.col("kind") == "update"
-    seen = cells.select(
-        "op_idx", "kind", "pos",
-        F.sum(F.when(update, F.col("tag"))).over(w).alias("added"), F.sum(F.when(update, 1)).over(w).alias("n"),
-        F.last(F.when(update & (F.col("tag") != 100), F.col("tag")), ignorenulls=True).over(w).alias("assigned"),
-    ).where("kind = 'query'")
-    made = seen.join(values, "pos").select("op_idx", "pos", F.expr(TAGS[tag]).alias("x"))
-    return aggregate_in_order(made, ["op_idx"], F.expr("pos div 65536"), ["pos"], "x", aggregates)
+    """op_idx and the aggregates of each query of `log` (op_idx, kind 'update' or 'query', l, r, tag) over `values` (pos, x); a query of no value has no row.
+
+    tag: plus adds (its aggregates are sums of values or of their squares), cover assigns (NOTHING doesn't), neg turns the sign. Each position has one value, each op_idx one operation.
+    """
+    ends = values.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+    of = _Tagged(tag, aggregates)
+    if ends["lo"] is None:
+        return log.select("op_idx", *[F.lit(0).cast("long").alias(n) for n in aggregates]).limit(0)
+    lo, last = ends["lo"], ends["hi"] - ends["lo"]
+    height = 1
+    while FAN**height <= last:
+        height += 1
+    cut = log.select(F.col("op_idx").cast("long").alias("t"), "kind", F.col("tag").cast("long").alias("tag"), F.greatest(F.col("l") - lo, F.lit(0)).cast("long").alias("l"), F.least(F.col("r") - lo, F.lit(last)).cast("long").alias("r")).where("l <= r")
+    cut = cut.withColumn("r", F.when(F.col("r") == last, FAN**height - 1).otherwise(F.col("r")))
+    part, below = (kept(x) for x in _way_down(cut, height))
+    # tags of covered blocks, in log order: latest (time, tag), or sum
+    works = {"cover": f"how = 'covered' AND tag <> {NOTHING}", "plus": "how = 'covered'", "neg": "how = 'covered'"}[tag]
+    given = below.where(f"kind = 'update' AND {works}").select("h", "b", "t", F.lit(0).alias("_ask"), F.struct(F.col("t"), F.col("tag")).alias("late"), (F.lit(1) if tag == "neg" else F.coalesce("tag", F.lit(0))).cast("long").alias("add"))
+    asked = part.select("h", "b", "t").union(below.where("how <> 'part' AND NOT (kind = 'query' AND how = 'beside')").select("h", "b", "t"))
+    asks = asked.join(given.select("h", "b").distinct(), ["h", "b"], "left_semi").select("h", "b", "t", F.lit(1).alias("_ask"), F.lit(None).cast("struct<t: bigint, tag: bigint>").alias("late"), F.lit(0).cast("long").alias("add"))
+    run = {"own": ("max", F.col("late"))} if tag == "cover" else {"own": ("sum", F.col("add"))}
+    own = kept(_upto(given.unionByName(asks), ["h", "b"], "t", run, ["t", "_ask"]).where("_ask = 1").select("h", "b", "t", "own"))
+    # along the way down: a block's parts above it are parts of the same operation
+    up = part.select("t", "h", "b", F.explode(F.sequence(F.col("h"), F.lit(height))).alias("_h")).withColumn("_b", F.floor(F.col("b") / F.pow(F.lit(FAN), F.col("_h") - F.col("h")).cast("long")))
+    met = up.join(own.select(F.col("h").alias("_h"), F.col("b").alias("_b"), "t", "own"), ["t", "_h", "_b"])
+    ways = met.groupBy("t", "h", "b").agg((F.max if tag == "cover" else F.sum)("own").alias("way"))
+    zero = F.struct(F.lit(-(2**62)).alias("t"), F.lit(0).cast("long").alias("tag")) if tag == "cover" else F.lit(0).cast("long")
+    ways = kept(part.join(ways, ["t", "h", "b"], "left").select("t", "kind", "h", "b", F.coalesce("way", zero).alias("way")))
+    parents = ways.select("t", (F.col("h") - 1).alias("h"), F.col("b").alias("_up"), F.col("way").alias("_above"))
+    wanted = below.where("how <> 'part' AND NOT (kind = 'query' AND how = 'beside')").withColumn("_up", F.floor(F.col("b") / FAN))
+    both = wanted.join(own, ["h", "b", "t"], "left").join(parents, ["t", "h", "_up"], "left")
+    add = F.greatest("own", "_above", zero) if tag == "cover" else F.coalesce("own", F.lit(0)) + F.coalesce("_above", F.lit(0))
+    rows = kept(both.select("t", "kind", "h", "b", add.alias("way")))
+    # states: as they were first, level by level
+    first = kept(values.select((F.col("pos") - lo).alias("b"), F.col("x").cast("long").alias("x")).selectExpr("b", f"{of.leaf('x')} AS state"))
+    k, tagged = ("way.t", "way.tag") if tag == "cover" else ("way", "0")
+    k_old = "was_way.t" if tag == "cover" else "was_way"
+    covered, now, versions = [], None, None
+    for h in range(height + 1):
+        if h:
+            first = kept(first.groupBy(F.floor(F.col("b") / FAN).alias("b")).agg(F.array_sort(F.collect_list(F.struct("b", "state"))).alias("_s")).selectExpr("b", f"{of.folded('_s.state')} AS state"))
+            made = now.groupBy("t", F.floor(F.col("b") / FAN).alias("b")).agg(F.array_sort(F.collect_list(F.struct("b", "state"))).alias("_s")).selectExpr("t", "b", f"{of.folded('_s.state')} AS state")
+            versions = kept(made.join(ways.where(F.col("h") == h).select("t", "b", "way"), ["t", "b"]))
+        here = rows.where(F.col("h") == h).select("t", "kind", "b", "way")
+        if versions is None:
+            seen = here.withColumn("was", F.lit(None).cast(f"struct<t: bigint, way: {rows.schema['way'].dataType.simpleString()}, state: {first.schema['state'].dataType.simpleString()}>"))
+        else:
+            changed = versions.select("t", F.lit("version").alias("kind"), "b", "way", F.struct("t", "way", "state").alias("was0"))
+            asking = here.join(changed.select("b").distinct(), "b", "left_semi").withColumn("was0", F.lit(None).cast(changed.schema["was0"].dataType))
+            found = _upto(changed.unionByName(asking), ["b"], "t", {"was": ("last", F.col("was0"))}, ["t"]).where("kind <> 'version'").select("t", "b", "was")
+            seen = here.join(found, ["t", "b"], "left")
+        old = seen.join(first, "b").select("t", "kind", "b", "way", F.coalesce("was.t", F.lit(-(2**61))).alias("since"), F.coalesce("was.way", zero).alias("was_way"), F.coalesce("was.state", "state").alias("_old"))
+        states = kept(old.selectExpr("t", "kind", "b", f"{of.on('_old', k, tagged, 'since', k_old)} AS state"))
+        covered.append(states.where("kind = 'query'").select("t", (F.col("b") * FAN**h).alias("at"), "state"))
+        now = states.where("kind = 'update'").select("t", "b", "state")
+        if versions is not None:
+            now = now.unionByName(versions.select("t", "b", "state"))
+    pieces = covered[0]
+    for more in covered[1:]:
+        pieces = pieces.union(more)
+    whole = pieces.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("at", "state"))).alias("_s")).selectExpr("t AS op_idx", f"{of.folded('_s.state')} AS state")
+    return whole.select("op_idx", *of.results("state"))
