@@ -29,10 +29,9 @@ def words_of(text: str) -> Column:
 def buckets_of(words: Column, longest: int, buckets: int) -> Column:
     """The bucket of every feature: each run of 1 to `longest` words, joined by a space."""
     bucket = lambda w: (F.crc32(w.cast("binary")) % buckets).cast("int")
-    runs = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " "))))
+    starts = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    joined = lambda n: lambda i: bucket(F.array_join(F.slice(words, i, n), " "))
+    runs = [F.transform(words, bucket), *(F.transform(starts(n), joined(n)) for n in range(2, longest + 1))]
     return F.concat(*runs)
 
 

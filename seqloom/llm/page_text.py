@@ -4,8 +4,8 @@ Each block of a page is a line. Its ratio is the length of its own text outside
 menus, adverts and the like have none. Marks of these count as whole class tokens, ids or roles, never on headings, and hide nothing that holds an
 article or main, or, on pages without these, most of the page's text in several lines. The logarithms of the ratios are smoothed along the page and clustered in two by a threshold; runs of
 lines above it are the page's content regions. The container (div, section, table cell and the like) that the regions lie in is the article, and
-all its lines are text: from the page down, a container is entered while it has nearly all of the content, and what it leaves out is
-another region or loose text. Links alone, before and after the content, are no text of it. Where most of the content lies in article or main elements, the text is cut to those that hold some,
+all its lines are text: from the page down, a container is entered while it has most of all the content, and what it leaves out is
+another region or stands in other boxes. Links alone before the content are no text of it, nor are they after it where the page itself is the container. Where most of the content lies in article or main elements, the text is cut to those that hold some,
 and these are whole. A title before the container (h1 or h2), with paragraphs alone between, belongs to it.
 """
 
@@ -28,9 +28,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SPACED = frozenset("br td th".split())
 SECTIONS = frozenset(("article", "main"))
 #: Elements whose text is never a page's main text.
-OUTSIDE = frozenset("nav footer aside script style noscript template head title iframe svg canvas button select textarea dialog menu object audio video math".split())
+OUTSIDE = frozenset("nav footer aside script style noscript template head title iframe svg canvas button select textarea dialog menu object audio video".split())
 #: Words in class, id or role that mark such text; a form is marked without.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup popup modal overlay widget pagination pager search login toolbar masthead contentinfo complementary".split())
+#: Of these, words that an article's own parts may have as well: in a section they hide an element of few words or of links, not one of OWN or more characters of its own.
+WEAK, OWN = frozenset("related recommended search share sharing social toolbar widget".split()), 80
 #: Start tags that end an open element: tag -> (what it ends, within what).
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _LIMITS = frozenset("table td th caption button object html body template".split())
@@ -47,14 +49,11 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd figcaption c
 
 #: Width of the smoothing; share of the highest value above which all is content; share of the content that a container must have.
 SIGMA, SHARE, HOLD = 1.5, 0.5, 0.75
-#: Unfinished tags after which reading is taken up again; beyond, what is left is read as text without tags.
-RESUMES = 64
-TAG = re.compile(r"<[^<>]*>?")
 
 
-def marked(name: str, value: str | None) -> bool:
+def marked(name: str, value: str | None, marks: frozenset[str] = MARKS) -> bool:
     """Whether one token of a class, id or role consists of marks only: 'ad', 'cookie-notice', not 'has-sidebar'."""
-    return name in ("class", "id", "role") and bool(value) and any((w := WORDS.findall(t)) and MARKS.issuperset(w) for t in value.lower().split())
+    return name in ("class", "id", "role") and bool(value) and any((w := WORDS.findall(t)) and marks.issuperset(w) for t in value.lower().split())
 
 
 class LineParser(HTMLParser):
@@ -67,6 +66,8 @@ class LineParser(HTMLParser):
         self.elements: list[tuple[int, str]] = [(0, "html")]  # the element around each, and its tag; the first is the page
         self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in `open` of each tag
         self.above: list[int] = []  # of each marked element: the marked element around it, or -1
+        self.weak: list[bool] = []  # of each marked element: whether its marks are weak, and it is in a section
+        self.silent = 0  # open elements within a line whose text is not read
         self.tops: list[int] = []  # of each section in no other: the innermost marked element around it, or -1
         self.parts: list[str] = []
         self.tags, self.linked, self.links, self.numbers = 0, 0, 0, 0
@@ -87,11 +88,25 @@ class LineParser(HTMLParser):
 
     def _pop(self, at: int) -> None:
         """Closes the open elements from place `at` on."""
-        self._end_line()
+        while len(self.open) > at and self.silent:
+            self.at[self.open.pop()[0]].pop()
+            self.silent -= 1
+        if len(self.open) > at:
+            self._end_line()
         while len(self.open) > at:
             self.at[self.open.pop()[0]].pop()
 
+    def _hush(self, tag: str) -> None:
+        """Opens an element whose text is not read; the line around it goes on."""
+        self.silent += 1
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, *self._within()))
+
     def handle_starttag(self, tag, attrs):
+        if self.silent:
+            if tag not in VOID:
+                self._hush(tag)
+            return
         if tag in BLOCKS:
             self._end_line()
         if tag in IMPLIED:
@@ -108,16 +123,19 @@ class LineParser(HTMLParser):
             self.links += 1
         section, outside, mark, element = self._within()
         apart = tag in OUTSIDE or (tag == "header" and not section)
-        soft = tag == "form"
+        soft, weak = tag == "form", False
         if not apart and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                     apart = True
                 elif marked(name, value) and not (name == "id" and tag in HEADINGS):
+                    weak = bool(section) and not marked(name, value, MARKS - WEAK) and (weak or not soft)
                     soft = True
         elif not apart and tag == "article":
             apart = any(n in ("class", "id") and v and not {"comment", "comments", "reply", "ad", "sponsored"}.isdisjoint(v.lower().split()) for n, v in attrs)
-        if tag in BLOCKS or apart or soft:
+        if apart and tag not in BLOCKS:
+            self._hush(tag)
+        elif tag in BLOCKS or soft:
             if tag not in BLOCKS:
                 self._end_line()
             if tag in SECTIONS:
@@ -127,19 +145,24 @@ class LineParser(HTMLParser):
                 section = self.numbers
             if soft:
                 self.above.append(mark)
+                self.weak.append(weak)
                 mark = len(self.above) - 1
             self.at[tag].append(len(self.open))
             self.elements.append((element, tag))
             self.open.append((tag, section, apart or outside, mark, len(self.elements) - 1))
 
     def handle_startendtag(self, tag, attrs):
+        if self.silent:
+            return
         if tag in BLOCKS:
             self._end_line()
         elif tag in SPACED:
             self.parts.append(" ")
 
     def handle_endtag(self, tag):
-        if tag == "a":
+        if self.silent and not (self.at.get(tag) and self.open[self.at[tag][-1]][0] == tag):
+            return
+        if tag == "a" and not self.silent:
             self.links = max(0, self.links - 1)
         if tag in SPACED:
             self.parts.append(" ")
@@ -151,6 +174,8 @@ class LineParser(HTMLParser):
         self._pop(self.at[tag][-1])
 
     def handle_data(self, data):
+        if self.silent:
+            return
         self.parts.append(data)
         if self.links:
             self.linked += len(data.strip())
@@ -159,33 +184,34 @@ class LineParser(HTMLParser):
         return self.parse_bogus_comment(i)
 
     def read(self, html: str) -> None:
-        """The whole page, once. Text after an unfinished tag is read on from the next '>'; an unfinished comment reaches to the end, as in browsers."""
+        """The whole page. Text after an unfinished tag is read on from the next '>'; an unfinished comment reaches to the end, as in browsers.
+
+        A tag is unfinished only if a quote that it opens is closed nowhere after it, or if no '>' follows: so there are a few at most (one for either quote), and reading takes linear time.
+        """
         self.feed(html)
-        for _ in range(RESUMES):
+        while self.rawdata and not self.rawdata.startswith("<!--"):
             rest, self.rawdata = self.rawdata, ""
-            if not rest or rest.startswith("<!--"):
-                break
             if self.cdata_elem or not rest.startswith("<"):
                 self.handle_data(rest if self.cdata_elem else unescape(rest))
                 break
             self.feed(rest[rest.find(">") + 1 :] if ">" in rest else "")
-        else:
-            self.handle_data(unescape(TAG.sub(" ", self.rawdata)))
         self._end_line()
 
     def hidden(self) -> list[bool]:
-        """Whether each line is outside. A mark hides nothing if it holds a section where none is free of marks, or, without sections, more than half of the text in several lines."""
-        held, held_lines = [0] * len(self.above), [0] * len(self.above)
-        for text, _, _, outside, mark, _ in self.lines:
+        """Whether each line is outside. A mark hides nothing if it holds a section where none is free of marks, or, without sections, more than half of the text in several lines; a weak one hides no text that is mostly not links."""
+        held, held_lines, own = ([0] * len(self.above) for _ in range(3))
+        for text, ratio, _, outside, mark, _ in self.lines:
             if mark >= 0 and not outside:
                 held[mark] += len(text)
                 held_lines[mark] += 1
+                own[mark] += len(text) if ratio else 0
         for i in reversed(range(len(held))):
             if self.above[i] >= 0:
                 held[self.above[i]] += held[i]
                 held_lines[self.above[i]] += held_lines[i]
+                own[self.above[i]] += own[i]
         half = sum(len(x[0]) for x in self.lines if not x[3]) / 2
-        shown = [not self.tops and n > half and k > 1 for n, k in zip(held, held_lines)]
+        shown = [not self.tops and n > half and k > 1 or w and o >= OWN and 2 * o > n for n, k, w, o in zip(held, held_lines, self.weak, own)]
         if -1 not in self.tops:
             seen: set[int] = set()
             for i in set(self.tops):
@@ -221,29 +247,27 @@ def threshold(values: np.ndarray) -> float:
 def container(places: list[int], elements: list[tuple[int, str]], weights: list[int], runs: list[int]) -> int:
     """The element that holds the article.
 
-    places: the innermost element of each content line; runs: the region it is in. A container is entered if it has HOLD of the
-    content, and each line that it leaves out is in no region with lines inside, or is no paragraph.
+    places: the innermost element of each content line; runs: the region it is in (they don't fall). A container is entered if it has HOLD of all the
+    content, and what it leaves out of the one around is in no region with lines inside, or is neither a paragraph nor text of the one around itself. Lines of an
+    element follow each other, so one walk down looks at each line once.
     """
-    paths = []
-    for at in places:
-        path = [at]
-        while path[-1]:
-            path.append(elements[path[-1]][0])
-        paths.append(path[::-1])
-    inside, depth = list(range(len(places))), 0
-    while True:
-        held: defaultdict[int, int] = defaultdict(int)
-        for i in inside:
-            if len(paths[i]) > depth + 1:
-                held[paths[i][depth + 1]] += weights[i]
-        best = max(held, key=held.get, default=0)
-        if not best or elements[best][1] not in CONTAINERS or held[best] < HOLD * sum(weights[i] for i in inside):
-            return paths[inside[0]][depth]
-        kept = [i for i in inside if len(paths[i]) > depth + 1 and paths[i][depth + 1] == best]
-        mine, regions = set(kept), {runs[i] for i in kept}
-        if any(runs[i] in regions and elements[places[i]][1] in PARAGRAPHS for i in inside if i not in mine):
-            return paths[inside[0]][depth]
-        inside, depth = kept, depth + 1
+    held, first, last, best = [0] * len(elements), [len(places)] * len(elements), [-1] * len(elements), [0] * len(elements)
+    for i, (at, weight) in enumerate(zip(places, weights, strict=True)):
+        held[at] += weight
+        first[at], last[at] = min(first[at], i), i
+    for at in range(len(elements) - 1, 0, -1):
+        up = elements[at][0]
+        held[up] += held[at]
+        first[up], last[up] = min(first[up], first[at]), max(last[up], last[at])
+        if held[at] and (not best[up] or held[at] >= held[best[up]]):
+            best[up] = at
+    top = 0
+    while (inner := best[top]) and elements[inner][1] in CONTAINERS and held[inner] >= HOLD * held[0]:
+        left = [i for i in range(first[top], first[inner]) if runs[i] == runs[first[inner]]] + [i for i in range(last[inner] + 1, last[top] + 1) if runs[i] == runs[last[inner]]]
+        if any(places[i] == top or elements[places[i]][1] in PARAGRAPHS for i in left):
+            break
+        top = inner
+    return top
 
 
 def titled(lines: list[tuple], elements: list[tuple[int, str]], before: list[int]) -> list[int]:
@@ -292,9 +316,10 @@ def main_text(html: str | None) -> str:
             chosen &= np.isin(sections, [s for s in sections[content & chosen].tolist() if s])
         else:
             ends = np.flatnonzero(content & chosen)[[0, -1]]
+            own = parser.elements[top][1] not in ("html", "body")  # lists of links at the end of a container of its own are the article's
             for i in np.flatnonzero(chosen & (ratios == 0)).tolist():
                 tag = parser.elements[lines[i][5]][1]
-                chosen[i] = ends[0] < i < ends[1] or (tag in PARAGRAPHS and tag != "li")
+                chosen[i] = ends[0] < i < ends[1] or (tag in PARAGRAPHS and tag != "li") or (tag == "li" and own and i > ends[1])
     elif sections.any():
         chosen &= sections > 0
     return "\n".join(x[0] for x, c in zip(lines, chosen.tolist()) if c)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seqloom.llm import components, language_pieces, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, queries, rule_ledger, secret_network, token_counts, wavelet_shards
+from seqloom.llm import components, importance_resampling, language_pieces, merkle_manifest, mixture_budget, multiprobe_search, page_text, pivot_simhash, prefix_table, queries, rule_ledger, secret_network, suffix_dedup, token_counts, wavelet_shards
 
 SF = "/root/testdata/sf0.001"
 PIECES, BYTES, WORDS = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -509,7 +510,8 @@ def test_ledger_is_written_once(spark, documents, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     other = duckdb.connect()
-    other.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        other.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, rel = queries.QUERIES[name](spark, SF), other.sql(queries.ORACLES[name])
     names = sorted(df.columns)
     assert sorted(rel.columns) == names
@@ -590,3 +592,180 @@ def test_titles_before_the_container(tag):
     text = text.strip()
     page = f"<body><div><ul><li><a href='/'>Home</a><li><a href='/a'>About</a></ul></div><{tag}><h1>T</h1><p>by A. N.</p><p>May 2</p><div><p>{text}</p><p>{text}</p><p>{text}</p></div></{tag}><div>Impressum</div></body>"
     assert page_text.main_text(page).split("\n") == ["T", "by A. N.", "May 2", text, text, text]
+
+
+def words(n, word="word"):
+    return " ".join([word] * n)
+
+
+def test_containers_drop_nothing_that_lies_in_them(spark, empty):
+    assert page_text.main_text("".join(f"<div>{words(30, f'p{i}')}" for i in range(20))).split("\n") == [words(30, f"p{i}") for i in range(20)]
+    assert page_text.main_text(f"<div>{words(60, 'a')}<div>{words(200, 'b')}<div>{words(700, 'c')}</div></div></div>").split("\n") == [words(60, "a"), words(200, "b"), words(700, "c")]
+    assert page_text.main_text("<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> so it holds, and more words follow.") == "We have x=2 so it holds, and more words follow."
+    assert page_text.main_text("<p>Press <button>OK</button> to <svg><path d='x'><title>icon</title></svg>go on.<noscript><div>no</div></noscript> End") == "Press to go on. End"
+    page = f"<body><div class=x><p>{words(100)}<p>{words(80)}<h2>References</h2><ol><li><a href=1>One</a><li><a href=2>Two</a></ol></div></body>"
+    assert page_text.main_text(page).split("\n")[2:] == ["References", "One", "Two"]
+    assert page_text.main_text(f"<article><p>{words(50)}<div class='related'><p>{words(40, 'rel')}</div><div class='related'><a href=x>A link</a> <a href=y>One more</a></div></article>").split("\n") == [words(50), words(40, "rel")]
+    assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_nested_containers_take_linear_time():
+    import time
+
+    began = time.time()
+    assert page_text.main_text("<div>some words " * 100_000).count("some words") == 100_000
+    assert time.time() - began < 5
+
+
+# 11
+
+
+def plain_draw(rows, target):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bucket = lambda w: zlib.crc32(w.encode()) % 10_000
+    s, t = [0] * 10_000, [0] * 10_000
+    for count, texts in ((s, [r[1] for r in rows]), (t, target)):
+        for w in (w for x in texts for w in split(x)):
+            count[bucket(w)] += 1
+    gain = [math.floor(1000 * math.log((b + 1) * (sum(s) + 10_000) / ((a + 1) * (sum(t) + 10_000)))) for a, b in zip(s, t)]
+    out = []
+    for doc_id, text in rows:
+        w = split(text)
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[bucket(x)] for x in w)
+        out.append([doc_id, len(w), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    able = sorted((r for r in out if r[1] >= 20), key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[1]))
+    for i, r in enumerate(able):
+        r.append(i + 1 if i < 10 * len(able) // 100 else None)
+    return [(*r, None)[:5] for r in out]
+
+
+def test_importance_draw(spark, odd, empty):
+    rng = random.Random(4)
+    rows = [(i, words(rng.randint(0, 60), rng.choice(["Aa", "b1", "é日", "x-y z"])) + " tail" * rng.randint(0, 3)) for i in range(400)] + [(7, words(30)), (7, words(30)), (None, words(25)), (None, None), (401, ""), (402, "word " * 50_000)]
+    target = ["Aa b1 aA", None, "", "tail é日 z"]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, score string, rank int")
+    aims = spark.createDataFrame([(t,) for t in target], "text string")
+    got = [tuple(r) for r in importance_resampling.resample(docs, aims).collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(plain_draw(rows, target), key=key)
+    drawn = importance_resampling.draw(docs, aims)
+    assert drawn.columns == docs.columns and sorted((r["doc_id"] for r in drawn.collect()), key=repr) == sorted((r[0] for r in got if r[4]), key=repr)
+    assert importance_resampling.resample(odd, aims).count() == odd.count() and importance_resampling.resample(empty, aims).count() == importance_resampling.draw(empty, aims).count() == 0
+    pairs = spark.range(1).select(importance_resampling.buckets_of(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 2, 100).alias("b")).first()["b"]
+    assert pairs == [zlib.crc32(x) % 100 for x in (b"a", b"b", b"c", b"a b", b"b c")]
+
+
+# 12
+
+
+def plain_manifest(rows):
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = lambda r: h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+    groups = {}
+    for r in rows:
+        text = r[4] and re.sub("[A-Z]", lambda m: m[0].lower(), r[4])
+        changed = (*r[:4], text) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 else r
+        groups.setdefault(r[2], []).append([r[0], leaf(r), leaf(changed), []])
+
+    def grown(nodes):
+        """nodes: (digest, leaves below). The root; each leaf gets the siblings of each level with its place among them."""
+        while len(nodes) > 1:
+            runs = [nodes[i : i + 8] for i in range(0, len(nodes), 8)]
+            for run in runs:
+                for i, (_, below) in enumerate(run):
+                    for x in below:
+                        x[3].append((i, [d for d, _ in run[:i] + run[i + 1 :]]))
+            nodes = [(h("".join(d for d, _ in run)), [x for _, b in run for x in b]) for run in runs]
+        return nodes[0][0]
+
+    subs = []
+    for lang in sorted(groups, key=lambda g: (g is not None, (g or "").encode())):
+        leaves = sorted(groups[lang], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        subs.append((grown([(x[1], [x]) for x in leaves]), leaves))
+    marks = [(s, leaves) for s, leaves in subs]
+    root = grown(subs) if subs else None
+    out = []
+    for sub, leaves in marks:
+        for doc_id, own, changed, path in leaves:
+            now = changed
+            for i, others in path:
+                now = h("".join([*others[:i], now, *others[i:]]))
+            out.append((doc_id, own, sub, root, h("".join(d for _, o in path for d in o)), now, now == root))
+    return out
+
+
+def test_merkle_manifest(spark, empty, odd):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["s", None]), rng.choice(["en", "de"] if i % 50 else [None, "é", "zz"]), i, "Some Text " * rng.randint(0, 3)) for i in range(700)]
+    rows += [(5, "s", "en", None, "TWICE"), (5, "s", "en", None, "TWICE"), (None, None, None, None, None), (None, "a", "en", 1, "X"), (900, "s", "alone", 1, "LONG " * 50_000)]
+    docs = spark.createDataFrame([(r[4], *r[:4], "x", "y") for r in rows], "text string, doc_id long, source string, lang string, n_chars long, leaf string, grp string")
+    got = sorted((tuple(r) for r in merkle_manifest.audit(docs).collect()), key=repr)
+    assert got == sorted(plain_manifest(rows), key=repr)
+    assert {r[6] for r in got} == {True, False}
+    for few in (1, 2, 3, 9, 20):
+        assert sorted((tuple(r) for r in merkle_manifest.audit(docs.where(f"doc_id < {few} AND lang = 'en'")).collect()), key=repr) == sorted(plain_manifest([r for r in rows if r[0] is not None and r[0] < few and r[2] == "en"]), key=repr)
+    assert merkle_manifest.audit(empty).count() == 0 and merkle_manifest.audit(odd).count() == odd.count()
+    tree = merkle_manifest.manifest(docs.select("doc_id", "lang", merkle_manifest.leaf_of([F.col("text")]).alias("d")), "lang", [F.col("doc_id")], "d", 3, 2)
+    assert tree.select(merkle_manifest.fold("d", "path").alias("f"), "root").where("f <> root OR f IS NULL").count() == 0
+
+
+# 13
+
+
+def plain_repeats(rows, least=100):
+    seen, out = set(), []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - least + 1):
+            w = b[i : i + least]
+            if w in seen:
+                gone[i : i + least] = b"\1" * least
+            seen.add(w)
+        spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+        out.append((doc_id, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return out
+
+
+def repeating(rng):
+    pool = ["".join(rng.choice("abcé日 \n") for _ in range(rng.randint(60, 260))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice([*pool, rng.choice("xyz") * 20]) for _ in range(rng.randint(0, 5)))) for i in range(150)]
+    return [*rows, (200, "a" * 5000), (201, "ab" * 700), (202, "a" * 99), (203, "a" * 100), (204, None), (205, ""), (206, pool[0] * 3), (207, "x" + pool[1] + "y" + pool[1][:130] + "z"), (208, "Ü" * 300)]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"pool": 3000, "wide": 700}, {"gram": 32}])
+def test_suffix_repeats(spark, bounds):
+    rows = repeating(random.Random(8))
+    docs = spark.createDataFrame([(t, i, "x", 1) for i, t in rows], "text string, doc_id long, uid string, marks int").repartition(3)
+    got = [tuple(r) for r in suffix_dedup.repeats(docs, **bounds).collect()]
+    assert sorted(got) == sorted(plain_repeats(rows))
+
+
+def test_suffix_repeats_of_alike_rows_and_nulls(spark, empty, odd):
+    text = "".join(random.Random(9).choice("abcdefgh") for _ in range(400))
+    rows = [(1, text), (1, text), (None, text), (2, "y" * 50), (2, "y" * 50), (3, text[:300] + "?")]
+    got = sorted((tuple(r) for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(plain_repeats(rows), key=repr)
+    assert suffix_dedup.repeats(empty).count() == 0 and suffix_dedup.repeats(odd).count() == odd.count()
+    left = {r["doc_id"]: r for r in suffix_dedup.removed(spark.createDataFrame([(1, text), (2, "<" + text + ">")], "doc_id long, text string")).collect()}
+    assert bytes(left[2]["kept"]) == b"<>" and [tuple(x) for x in left[2]["removed"]] == [(1, 401)] and not left[1]["removed"]
+
+
+def test_later_windows():
+    rng = random.Random(5)
+    for _ in range(200):
+        least = rng.choice([3, 5, 8, 20, 100])
+        letters = rng.choice([b"ab", b"abc", bytes(range(256)), b"\0\xff", b"a"])
+        pieces = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 6))]
+        pieces += [rng.choice(pieces)[rng.randint(0, 9) :] + rng.choice(pieces) for _ in range(3)]
+        pieces = list(dict.fromkeys(p * rng.choice([1, 1, 8]) for p in pieces))
+        pieces = [p for p in pieces if len(p) >= least] or [b"x" * least]
+        seen, want, got = set(), [], []
+        for k, p in enumerate(pieces):
+            for i in range(len(p) - least + 1):
+                want += [(k, i)] if p[i : i + least] in seen else []
+                seen.add(p[i : i + least])
+        for k, first, n in zip(*suffix_dedup.later_windows(pieces, least)):
+            got += [(k, i) for i in range(first, first + n)]
+        assert got == want
