@@ -44,7 +44,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each run of `gram` bytes, put together from runs of 1, 2, 4, ... bytes."""
-    part, power, n = data.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15), 1
+    part, power, n = data.astype(np.uint64), np.array([0x9E3779B97F4A7C15], dtype=np.uint64), 1
     h, held = None, 0
     while True:
         if gram & n:

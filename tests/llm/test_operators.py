@@ -743,7 +743,8 @@ def test_suffix_repeats(spark, bounds):
 
 
 def test_suffix_repeats_of_alike_rows_and_nulls(spark, empty, odd):
-    text = "".join(random.Random(9).choice("abcdefgh") for _ in range(400))
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(400))
     rows = [(1, text), (1, text), (None, text), (2, "y" * 50), (2, "y" * 50), (3, text[:300] + "?")]
     got = sorted((tuple(r) for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == sorted(plain_repeats(rows), key=repr)
