@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .derived import DESCENDING
-from .monoids import SIGHT, Monoid, _segments, spark_fold, spark_merge
+from .monoids import SIGHT, Monoid, _segments
 from .sequences import aggregate_in_order
 
 #: Prefix sums that one task looks at together.
@@ -36,49 +40,151 @@ def longest_under(rows: DataFrame, key: list[str], segment: Column, order: list[
     return best.join(lows, key).select(*key, F.when(F.col("_low") < 0, 0).otherwise(F.col("_best")).cast("long").alias("longest_under"))
 
 
-def _bounded_runs(holds: str, worth: str) -> Monoid:
-    """Runs of values for which `holds`: the greatest `worth`, over the length n and the extremes hi and lo of a run, of any maximal run."""
-    of = lambda n, hi, lo: "greatest(0, if(" + n + " > 0, " + worth.format(n=n, hi=hi, lo=lo) + ", 0))"
-    ends = {f"{e}{f}": z for e in ("p", "q") for f, z in (("n", 0), ("hi", None), ("lo", None))}
-    lift = {f"{e}{f}": f"if({holds}, {v}, {'0' if f == 'n' else 'NULL'})" for e in ("p", "q") for f, v in (("n", "1"), ("hi", "x"), ("lo", "x"))}
-    join = {"n": "a.{l}n + b.{r}n", "hi": "greatest(a.{l}hi, b.{r}hi)", "lo": "least(a.{l}lo, b.{r}lo)"}
-    across = [join[f].format(l="q", r="p") for f in ("n", "hi", "lo")]
-    return Monoid(
-        {"whole": True, **ends, "best": 0},
-        {"whole": holds, **lift, "best": "0"},
-        {
-            "whole": "a.whole AND b.whole",
-            **{f"p{f}": f"if(a.whole, {join[f].format(l='p', r='p')}, a.p{f})" for f in join},
-            **{f"q{f}": f"if(b.whole, {join[f].format(l='q', r='q')}, b.q{f})" for f in join},
-            "best": f"greatest(a.best, b.best, if(a.whole OR b.whole, 0, {of(*across)}))",
-        },
-        f"greatest(s.best, {of('s.pn', 's.phi', 's.plo')}, {of('s.qn', 's.qhi', 's.qlo')})",
-    )
-
-
-#: Longest segments by their extremes. A longest segment lies in a maximal run of values up to its maximum (or from its minimum on),
-#: which is no worse; the last needs its length below the sum of both, so a run is worth no more than that sum less one.
-EXTREMES: dict[str, Monoid] = {
-    "max_below_length": _bounded_runs("x <= _t", "if({hi} < {n}, {n}, 0)"),
-    "max_and_min_below_length": _bounded_runs("x <= _t", "if({hi} + {lo} < {n}, {n}, 0)"),
-    "max_and_min_above_length": _bounded_runs("x >= _t", "least({n}, {hi} + {lo} - 1)"),
-}
+#: What each result of longest_by_extremes asks of a segment of n values, the greatest hi and the least lo.
+EXTREMES = {"max_below_length": "hi < n", "max_and_min_below_length": "hi + lo < n", "max_and_min_above_length": "hi + lo > n", "least_to_greatest": "lo is first, hi is last"}
+Group = tuple[int, int, int]
+
+
+def _runs(groups: list[Group], whole: bool) -> list[Group]:
+    """(greatest, length, least) of the maximal runs of a sequence that their greatest value bounds: the nodes of its tree of nearest greater values.
+
+    groups: the same of neighbouring values that stand for a run's parts. Not whole: only runs between two greater values, which no value outside can change.
+    """
+    out: list[Group] = []
+    stack: list[Group] = []
+
+    def taken(until: int | None) -> tuple[int, int | None]:
+        """Takes what is smaller than `until` (None: all) off the stack: its length and least value."""
+        n, least = 0, None
+        while stack and (until is None or stack[-1][0] < until):
+            greatest, m, low = stack.pop()
+            n, least = n + m, low if least is None else min(least, low)
+            if stack or whole:
+                out.append((greatest, n, least))
+        return n, least
+
+    for greatest, n, least in groups:
+        m, low = taken(greatest)
+        n, least = n + m, least if low is None else min(least, low)
+        if stack and stack[-1][0] == greatest:
+            _, m, low = stack.pop()
+            n, least = n + m, min(least, low)
+        stack.append((greatest, n, least))
+    if whole:
+        taken(None)
+    return out
+
+
+def _outline(values: list[int]) -> list[Group]:
+    """A sequence as groups that rise to its greatest value and fall after it; all runs that reach an end, or that have values outside beside them, are runs of these."""
+    peak = max(values)
+    first, last = values.index(peak), len(values) - 1 - values[::-1].index(peak)
+
+    def rising(part: list[int]) -> list[Group]:
+        out: list[Group] = []
+        for x in part:
+            if out and x <= out[-1][0]:
+                greatest, n, least = out[-1]
+                out[-1] = (greatest, n + 1, min(least, x))
+            else:
+                out.append((x, 1, x))
+        return out
+
+    return [*rising(values[:first]), (peak, last - first + 1, min(values[first : last + 1])), *rising(values[:last:-1])[::-1]]
+
+
+def _best_runs(below: list[Group], above: list[Group], whole: bool) -> tuple[int, int, int]:
+    """The first three of EXTREMES over groups of values, and of values with their signs turned.
+
+    A longest segment lies in a maximal run of values up to its maximum (or from its minimum on), which is no worse; the third needs its length
+    below the sum of both, so a run is worth no more than that sum less one.
+    """
+    runs = _runs(below, whole)
+    third = max((min(n, -least - greatest - 1) for greatest, n, least in _runs(above, whole)), default=0)
+    return max((n for hi, n, _ in runs if hi < n), default=0), max((n for hi, n, lo in runs if hi + lo < n), default=0), max(0, third)
+
+
+def _from_least_to_greatest(values: list[int]) -> tuple[int, list[tuple], list[tuple], list[tuple]]:
+    """The longest segment that begins with its least and ends with its greatest value, and what may lie in longer ones beyond the ends: where one may begin (place, value),
+    where one may end (place, value, least value before), and the values that none before them can pass (place, value)."""
+    best, top = 0, None
+    lows: list[int] = []  # places of values that nothing after is below
+    highs: list[int] = []  # places of values that everything after is below
+    ends: dict[int, tuple] = {}
+    least = values[0]
+    for j, x in enumerate(values):
+        while lows and values[lows[-1]] > x:
+            lows.pop()
+        lows.append(j)
+        while highs and values[highs[-1]] <= x:
+            highs.pop()
+        best = max(best, j - lows[bisect_right(lows, highs[-1] if highs else -1)] + 1)
+        highs.append(j)
+        least, top = min(least, x), x if top is None else max(top, x)
+        if x == top:
+            ends[least] = (j, x, least)
+    begins = sorted({lows[at] for at in (bisect_right(lows, h) for h in (-1, *highs)) if at < len(lows)})
+    return best, [(j, values[j]) for j in begins], list(ends.values()), [(j, values[j]) for j in highs]
+
+
+def _across(parts: Iterable[dict]) -> int:
+    """The longest segment over the borders of parts that follow each other, each with what _from_least_to_greatest gives, n, lo and hi."""
+    best, offset = 0, 0
+    lows: list[tuple[int, int]] = []
+    highs: list[tuple[int, int]] = []
+    for p in parts:
+        for at, value, least in p["ends"]:
+            higher = bisect_left(highs, -value, key=lambda h: -h[1])  # values fall along highs
+            begin = bisect_right(lows, highs[higher - 1][0] if higher else -1, key=lambda low: low[0])
+            if begin < len(lows) and lows[begin][1] <= least:
+                best = max(best, offset + at - lows[begin][0] + 1)
+        while lows and lows[-1][1] > p["lo"]:
+            lows.pop()
+        while highs and highs[-1][1] <= p["hi"]:
+            highs.pop()
+        lows += [(offset + at, x) for at, x in p["begins"]]
+        highs += [(offset + at, x) for at, x in p["highs"]]
+        offset += p["n"]
+    return best
 
 
 def longest_by_extremes(rows: DataFrame, key: list[str], segment: Column, order: list[str], value: str) -> DataFrame:
     """Each key's longest segment for each condition of EXTREMES; 0 if there is none. Null values are skipped.
 
-    Every distinct value of a key is a bound by which its segments (folded where they lie) are cut into runs; so work grows with
-    values times distinct values of the key, and no key or bound needs one task.
+    Each segment of a key is worked on where it lies, in linear time (the last condition: with a logarithm): runs between greater values are settled there. What is left of it is its outline: values
+    that rise to its greatest and fall after it, and the same for least ones; no more than it has distinct values. A key's outlines in order are then worked on like values.
     """
     item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("long").alias("x"))
-    kept = rows.where(F.col(value).isNotNull())
-    parts = kept.groupBy(*key, segment.alias("_segment")).agg(F.array_sort(F.collect_list(item)).alias("_v")).withColumn("_v", F.col("_v.x"))
-    bounds = kept.select(*key, F.col(value).cast("long").alias("_t")).distinct()
-    states = F.struct("_segment", *[F.expr(spark_fold(m, "_v", finish=False)).alias(f"s_{n}") for n, m in EXTREMES.items()])
-    folded = parts.join(bounds, key).select(*key, "_t", states.alias("_p")).groupBy(*key, "_t").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
-    merged = folded.select(*key, *[F.expr(spark_merge(m, f"_p.s_{n}")).alias(n) for n, m in EXTREMES.items()])
-    return merged.groupBy(*key).agg(*[F.max(n).alias(n) for n in EXTREMES])
+    parts = rows.where(F.col(value).isNotNull()).groupBy(*key, segment.alias("_segment")).agg(F.array_sort(F.collect_list(item)).alias("_v")).select(*key, "_segment", F.col("_v.x").alias("_v"))
+    keys = [f for f in parts.schema.fields if f.name in (*key, "_segment")]
+    pairs, triples = (pa.list_(pa.list_(pa.int64())) for _ in range(2))
+    kinds = {**{f"best{i}": pa.int64() for i in range(4)}, "n": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "below": triples, "above": triples, "begins": pairs, "ends": triples, "highs": pairs}
+    sql = {pa.int64(): "long", pairs: "array<array<long>>"}
+
+    def outlined(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in kinds}
+            for values in batch["_v"].to_pylist():
+                turned = [-x for x in values]
+                here = [(x, 1, x) for x in values], [(x, 1, x) for x in turned]
+                best, begins, ends, highs = _from_least_to_greatest(values)
+                row = (*_best_runs(*here, whole=False), best, len(values), min(values), max(values), _outline(values), _outline(turned), begins, ends, highs)
+                for c, x in zip(kinds, row, strict=True):
+                    out[c].append(x)
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in keys), *(pa.array(out[c], kind) for c, kind in kinds.items())], names=[*(f.name for f in keys), *kinds])
+
+    def joined(table: pa.Table) -> pa.Table:
+        ordered = table.sort_by("_segment").to_pylist()
+        below, above = ([tuple(g) for p in ordered for g in p[c]] for c in ("below", "above"))
+        best = (*_best_runs(below, above, whole=True), _across(ordered))
+        first = table.select(key).slice(0, 1)
+        for name, i in zip(EXTREMES, range(4)):
+            first = first.append_column(name, pa.array([max(best[i], *(p[f"best{i}"] for p in ordered))], pa.int64()))
+        return first
+
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
+    summaries = parts.mapInArrow(outlined, f"{declared}, {', '.join(f'{c} {sql[kind]}' for c, kind in kinds.items())}")
+    return summaries.groupBy(*key).applyInArrow(joined, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys if f.name in key), *(f"{n} long" for n in EXTREMES)]))
 
 
 def nested_intervals(rows: DataFrame, key: list[str], inner: Column, outer: Column, value: str) -> DataFrame:

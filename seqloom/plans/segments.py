@@ -52,9 +52,9 @@ SELECT user_id, greatest(0, max(t))::BIGINT AS prefix_of_sums, greatest(0, max(g
 """,
     "segment_extremes": f"""
 WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {VALUES["values"]} AS x FROM events),
-s AS (SELECT a.user_id, b.i - a.i + 1 AS n, max(b.x) OVER w AS hi, min(b.x) OVER w AS lo FROM v AS a JOIN v AS b ON a.user_id = b.user_id AND b.i >= a.i WINDOW w AS (PARTITION BY a.user_id, a.i ORDER BY b.i))
+s AS (SELECT a.user_id, b.i - a.i + 1 AS n, max(b.x) OVER w AS hi, min(b.x) OVER w AS lo, a.x AS head, b.x AS tail FROM v AS a JOIN v AS b ON a.user_id = b.user_id AND b.i >= a.i WINDOW w AS (PARTITION BY a.user_id, a.i ORDER BY b.i))
 SELECT user_id, coalesce(max(n) FILTER (hi < n), 0)::BIGINT AS max_below_length, coalesce(max(n) FILTER (hi + lo < n), 0)::BIGINT AS max_and_min_below_length,
-  coalesce(max(n) FILTER (hi + lo > n), 0)::BIGINT AS max_and_min_above_length FROM s GROUP BY user_id
+  coalesce(max(n) FILTER (hi + lo > n), 0)::BIGINT AS max_and_min_above_length, max(n) FILTER (head = lo AND tail = hi)::BIGINT AS least_to_greatest FROM s GROUP BY user_id
 """,
     "nested_intervals": f"""
 WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, date_trunc('hour', ts) AS d, min({VALUES["small"]}) AS lo, max({VALUES["small"]}) AS hi FROM events GROUP BY 1, 2, 3),
