@@ -98,13 +98,27 @@ RISING: dict[str, Monoid] = {
         "of": "CASE WHEN b.n > 0 AND b.best >= a.best AND b.best >= if(a.n > 0 AND a.last = b.first, a.suf + b.pre, 0) THEN b.of WHEN a.n > 0 AND b.n > 0 AND a.last = b.first AND a.suf + b.pre >= a.best THEN b.first ELSE a.of END"}, "s.of"),
 }
 #: Two digits as a pair: x // 4 and x % 4.
-PAIRS: dict[str, Monoid] = {"equal_positions": count_if("x // 4 = x % 4"), "max_point_sum": _total("greatest", -INF, "x // 4 + x % 4"), "run_length_sum": _total("+", 0, "(x // 4) * (x % 4)"), "sum_for_key": _total("+", 0, "if(x // 4 = 1, x % 4, 0)"), "sum_for_keys_over": _total("+", 0, "if(x // 4 > 1, x % 4, 0)")}
-#: Folds of values between -3 and 3 (reversed ones get the values from the end).
-FOLDS: dict[str, Monoid] = {
-    "longest_odd10s": Monoid({"zero": False, "n": 0, "best": 0, "v": 0}, {"zero": "x = 0", "n": "0", "best": "0", "v": "x"}, {"zero": "b.v = 0", "v": "b.v", "n": "CASE WHEN a.zero AND b.v = 1 THEN a.n + 1 WHEN b.v = 0 THEN a.n ELSE 0 END",
-        "best": "greatest(a.best, if((CASE WHEN a.zero AND b.v = 1 THEN a.n + 1 WHEN b.v = 0 THEN a.n ELSE 0 END) % 2 = 1, CASE WHEN a.zero AND b.v = 1 THEN a.n + 1 ELSE a.n END, 0))"}, "s.best"),
-}
-BACK_FOLDS: dict[str, Monoid] = {
-    "greedy_min_head_gap": Monoid({"n": 0, "m": 0, "top": 0, "best": 0}, {"n": "1", "m": "x", "top": "x", "best": "1"}, {
-        "n": "if(a.n > 0 AND b.m <= a.m AND a.top - b.m <= 3, a.n + 1, 1)", "m": "b.m", "top": "if(a.n > 0 AND b.m <= a.m AND a.top - b.m <= 3, greatest(a.top, b.m), b.m)", "best": "greatest(a.best, if(a.n > 0 AND b.m <= a.m AND a.top - b.m <= 3, a.n + 1, 1))"}, "s.best"),
-}
+PAIRS: dict[str, Monoid] = {"equal_positions": count_if("x // 4 = x % 4"), "max_point_sum": _total("greatest", -INF, "x // 4 + x % 4"), "run_length_sum": _total("+", 0, "(x // 4) * (x % 4)"), "sum_for_key": _total("+", 0, "if(x // 4 = 1, x % 4, 0)"), "sum_for_keys_over": _total("+", 0, "if(x // 4 > 1, x % 4, 0)"),
+    # two numbers as steps up and down, side by side: their sum
+    "sum_of_two_counts": _total("+", 0, "if(x // 4 > 1, 1, -1) + if(x % 4 > 1, 1, -1)")}
+
+
+def _odd_tens() -> Monoid:
+    """The largest odd number of ones after a zero in a run of zeros and such ones. What a value does depends on whether the one before is 0, so a state has
+    both cases: whether it breaks the run, the ones before that and after, and the best between breaks."""
+    odd = lambda n: f"if({n} % 2 = 1, {n}, greatest({n} - 1, 0))"
+    zero: dict[str, int | bool] = {"n": 0, "ends": False}
+    lift, merge = {"n": "1", "ends": "x = 0"}, {"n": "a.n + b.n", "ends": "if(b.n = 0, a.ends, b.ends)"}
+    for c, after in (("u", "false"), ("z", "true")):  # the value before: another, or zero
+        zero |= {f"{c}cut": False, f"{c}pre": 0, f"{c}suf": 0, f"{c}best": 0}
+        one = f"({after} AND x = 1)"
+        lift |= {f"{c}cut": f"x <> 0 AND NOT {one}", f"{c}pre": f"if({one}, 1, 0)", f"{c}suf": "0", f"{c}best": "0"}
+        b = lambda f, c=c: f"if(if(a.n = 0, {'true' if c == 'z' else 'false'}, a.ends), b.z{f}, b.u{f})"
+        merge |= {
+            f"{c}cut": f"a.{c}cut OR {b('cut')}", f"{c}pre": f"if(a.{c}cut, a.{c}pre, a.{c}pre + {b('pre')})", f"{c}suf": f"CASE WHEN {b('cut')} THEN {b('suf')} WHEN a.{c}cut THEN a.{c}suf + {b('pre')} ELSE 0 END",
+            f"{c}best": f"greatest(a.{c}best, {b('best')}, if(a.{c}cut AND {b('cut')}, {odd(f'(a.{c}suf + {b("pre")})')}, 0))",
+        }
+    return Monoid(zero, lift, merge, f"greatest(s.ubest, {odd('s.upre')}, {odd('s.usuf')})")
+
+
+ODD_TENS = _odd_tens()

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .monoids import Monoid, spark, spark_struct
 from .rounds import kept
+from .sequences import running
 
 #: Blocks in a block; numbers of the log that one window looks at.
 FAN, SPAN = 16, 65_536
@@ -75,27 +76,6 @@ class _Tagged:
         return [F.expr(f"transform(array({state}), s -> {finish(m, i)})[0]").alias(n) for i, (n, m) in enumerate(self.aggregates.items())]
 
 
-def _upto(rows: DataFrame, key: list[str], time: str, values: dict[str, tuple[str, Column]], order: list[str]) -> DataFrame:
-    """`rows` with running values: name -> (how, column), over `order` within `key`; how is "sum", "max" or "last" (of those not null).
-
-    A key's rows are split by `time`; each part runs on its own and starts from what the parts before it come to.
-    """
-    part = F.floor(F.col(time) / SPAN)
-    rows = rows.withColumn("_part", part)
-    inside = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for name, (how, c) in values.items():
-        rows = rows.withColumn(f"_{name}", {"sum": F.sum, "max": F.max}[how](c).over(inside) if how != "last" else F.last(c, ignorenulls=True).over(inside))
-    at = F.struct(*order)
-    whole = rows.groupBy(*key, "_part").agg(*[{"sum": F.sum, "max": F.max}[how](c).alias(f"_{name}0") if how != "last" else F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_{name}0") for name, (how, c) in values.items()])
-    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = whole.select(*key, "_part", *[({"sum": F.sum, "max": F.max}[how](f"_{name}0").over(before) if how != "last" else F.last(f"_{name}0", ignorenulls=True).over(before)).alias(f"_{name}0") for name, (how, _) in values.items()])
-    both = rows.join(carried, [*key, "_part"])
-    for name, (how, _) in values.items():
-        now, old = F.col(f"_{name}"), F.col(f"_{name}0")
-        both = both.withColumn(name, F.coalesce(now, F.lit(0)) + F.coalesce(old, F.lit(0)) if how == "sum" else F.greatest(now, old) if how == "max" else F.coalesce(now, old))
-    return both.drop("_part", *[f"_{n}" for n in values], *[f"_{n}0" for n in values])
-
-
 def _way_down(log: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
     """Of each operation (t, kind, tag, l, r from 0): the blocks covered in part (t, kind, h, b), and all blocks in these, or the whole, as t, kind, tag, h, b and how: covered, part or beside."""
     tops = log.withColumn("h", F.explode(F.sequence(F.lit(height), F.lit(1), F.lit(-1)))).withColumn("_w", F.pow(F.lit(FAN), F.col("h")).cast("long"))
@@ -131,7 +111,7 @@ def answers(values: DataFrame, log: DataFrame, tag: str, aggregates: dict[str, M
     asked = part.select("h", "b", "t").union(below.where("how <> 'part' AND NOT (kind = 'query' AND how = 'beside')").select("h", "b", "t"))
     asks = asked.join(given.select("h", "b").distinct(), ["h", "b"], "left_semi").select("h", "b", "t", F.lit(1).alias("_ask"), F.lit(None).cast("struct<t: bigint, tag: bigint>").alias("late"), F.lit(0).cast("long").alias("add"))
     run = {"own": ("max", F.col("late"))} if tag == "cover" else {"own": ("sum", F.col("add"))}
-    own = kept(_upto(given.unionByName(asks), ["h", "b"], "t", run, ["t", "_ask"]).where("_ask = 1").select("h", "b", "t", "own"))
+    own = kept(running(given.unionByName(asks), ["h", "b"], F.floor(F.col("t") / SPAN), ["t", "_ask"], run).where("_ask = 1").select("h", "b", "t", "own"))
     # along the way down: a block's parts above it are parts of the same operation
     up = part.select("t", "h", "b", F.explode(F.sequence(F.col("h"), F.lit(height))).alias("_h")).withColumn("_b", F.floor(F.col("b") / F.pow(F.lit(FAN), F.col("_h") - F.col("h")).cast("long")))
     met = up.join(own.select(F.col("h").alias("_h"), F.col("b").alias("_b"), "t", "own"), ["t", "_h", "_b"])
@@ -159,7 +139,7 @@ def answers(values: DataFrame, log: DataFrame, tag: str, aggregates: dict[str, M
         else:
             changed = versions.select("t", F.lit("version").alias("kind"), "b", "way", F.struct("t", "way", "state").alias("was0"))
             asking = here.join(changed.select("b").distinct(), "b", "left_semi").withColumn("was0", F.lit(None).cast(changed.schema["was0"].dataType))
-            found = _upto(changed.unionByName(asking), ["b"], "t", {"was": ("last", F.col("was0"))}, ["t"]).where("kind <> 'version'").select("t", "b", "was")
+            found = running(changed.unionByName(asking), ["b"], F.floor(F.col("t") / SPAN), ["t"], {"was": ("last", F.col("was0"))}).where("kind <> 'version'").select("t", "b", "was")
             seen = here.join(found, ["t", "b"], "left")
         old = seen.join(first, "b").select("t", "kind", "b", "way", F.coalesce("was.t", F.lit(-(2**61))).alias("since"), F.coalesce("was.way", zero).alias("was_way"), F.coalesce("was.state", "state").alias("_old"))
         states = kept(old.selectExpr("t", "kind", "b", f"{of.on('_old', k, tagged, 'since', k_old)} AS state"))

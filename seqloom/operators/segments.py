@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .derived import DESCENDING
 from .monoids import SIGHT, Monoid, _segments
-from .sequences import aggregate_in_order
+from .rounds import kept
+from .sequences import aggregate_in_order, running
 
 #: Prefix sums that one task looks at together.
 SPAN = 4096
@@ -187,6 +188,30 @@ def longest_by_extremes(rows: DataFrame, key: list[str], segment: Column, order:
     return summaries.groupBy(*key).applyInArrow(joined, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys if f.name in key), *(f"{n} long" for n in EXTREMES)]))
 
 
+def greedy_runs(rows: DataFrame, key: list[str], segment: Column, order: list[str], value: str, gap: int) -> DataFrame:
+    """key and longest: the longest of the runs found from a key's end on, each as far as no value is above the next and all are at most `gap` below the run's last. Null values are skipped.
+
+    Values that don't fall are a stretch, in which a run begins with its greatest value and the next with the greatest value it can't take. So counts by value and running
+    sums over them give each run's length and what follows it, and which runs are found is known by following that in steps of twice the length.
+    """
+    kept_rows = rows.where(F.col(value).isNotNull())
+    before = running(kept_rows, key, segment, order, {"_before": ("last", F.col(value))}, own=False)
+    falls = running(before, key, segment, order, {"_stretch": ("sum", (F.col("_before") > F.col(value)).cast("long"))})
+    by = [*key, "_stretch"]
+    counts = falls.groupBy(*by, F.col(value).cast("long").alias("_u")).agg(F.count("*").alias("_n"))
+    looks = counts.select(*by, "_u", F.col("_u").alias("_v"), F.lit(0).alias("_ask"), "_n").unionByName(counts.select(*by, "_u", (F.col("_u") - gap - 1).alias("_v"), F.lit(1).alias("_ask"), F.lit(0).cast("long").alias("_n")))
+    seen = running(looks, by, F.floor(F.col("_v") / SPAN), ["_v", "_ask"], {"_sum": ("sum", F.col("_n")), "_next": ("max", F.when(F.col("_ask") == 0, F.col("_v")))})
+    value_of = lambda ask, c: F.max(F.when(F.col("_ask") == ask, F.col(c)))
+    runs = kept(seen.groupBy(*by, "_u").agg((value_of(0, "_sum") - value_of(1, "_sum")).alias("_run"), value_of(1, "_next").alias("_next")))
+    found = runs.groupBy(*by).agg(F.max("_u").alias("_u"))
+    jumps = runs.where("_next IS NOT NULL").select(*by, "_u", "_next")
+    while not jumps.isEmpty():
+        found = kept(found.union(found.join(jumps, [*by, "_u"]).select(*by, F.col("_next").alias("_u"))).distinct())
+        onward = jumps.select(*by, F.col("_next").alias("_over"), F.col("_u").alias("_next"))
+        jumps = kept(jumps.join(onward, [*by, "_next"]).select(*by, "_u", F.col("_over").alias("_next")))
+    return runs.join(found, [*by, "_u"]).groupBy(*key).agg(F.max("_run").alias("longest"))
+
+
 def nested_intervals(rows: DataFrame, key: list[str], inner: Column, outer: Column, value: str) -> DataFrame:
     """Whether each sub-list's interval of values lies no lower, and reaches no less high, than that of all later sub-lists together.
 

@@ -170,7 +170,7 @@ DEFINED = {
     "contains_if_unimodal": lambda v: 2 in v and unimodal(v), "max_if_unimodal": lambda v: max(0, *v) if unimodal(v) else 0, "contains_if_constant": lambda v: len(v) if set(v) == {2} else 0, "parity_sum_if_even": lambda v: 0,
     "min_if_sorted": lambda v: min(100, v[0]) if v == sorted(v) else 0, "max_if_sorted": lambda v: v[-1] if v == sorted(v) else 0, "index_if_sorted": lambda v: v.index(40) + 1 if v == sorted(v) and 40 in v else 0, "contains_if_sorted": lambda v: v == sorted(v) and 40 in v, "difference_if_positive": lambda v: max(v) - min(v), "second_max_if_positive": lambda v: sorted([0, *v])[-2],
     "prefix_max_if_positive": sum, "sum_between_if_sorted": lambda v: sum(x for x in v if 20 < x < 60) if v == sorted(v) else 0, "count_between_if_sorted": lambda v: sum(20 < x < 60 for x in v) if v == sorted(v) else 0,
-    "equal_positions": lambda v: sum(x in (0, 5, 10, 15) for x in v), "max_point_sum": lambda v: max(sum(divmod(x, 4)) for x in v), "run_length_sum": lambda v: sum(prod(divmod(x, 4)) for x in v), "sum_for_key": lambda v: sum(x - 4 for x in v if 4 <= x < 8), "sum_for_keys_over": lambda v: sum(x % 4 for x in v if x >= 8),
+    "sum_of_two_counts": lambda v: sum((1 if y > 1 else -1) for x in v for y in divmod(x, 4)), "equal_positions": lambda v: sum(x in (0, 5, 10, 15) for x in v), "max_point_sum": lambda v: max(sum(divmod(x, 4)) for x in v), "run_length_sum": lambda v: sum(prod(divmod(x, 4)) for x in v), "sum_for_key": lambda v: sum(x - 4 for x in v if 4 <= x < 8), "sum_for_keys_over": lambda v: sum(x % 4 for x in v if x >= 8),
     "tail_products": lambda v: (1 + sum(prod(v[i:]) for i in range(len(v)))) % M._P, "fibonacci_of_length": lambda v: [0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584][len(v)], "greedy_min_head": greedy,
     "most_frequent": frequent, "second_min_if_sorted": lambda v: (sorted([*v, 10**6, 10**6])[1] if v == sorted(v) else 0), "count_lt_if_sorted": lambda v: sum(x < 40 for x in v) if v == sorted(v) else 0,
 }
@@ -199,16 +199,36 @@ def test_segments_give_the_definition(spark, aggregates, low, high):
             assert got[k][name] == (want % M._P if name == "tail_products" and got[k][name] >= 0 else want - M._P if name == "tail_products" and want > 0 else want), (name, v)
 
 
-def test_folds(spark):
+def test_runs_with_states_of_their_own(spark):
+    """Odd runs and greedy runs equal loops, however keys are cut into segments."""
     from pyspark.sql import functions as F
 
+    from seqloom.operators.segments import greedy_runs
+
     rng = random.Random(8)
-    lists = [[rng.randint(-3, 3) if k % 2 else rng.randint(0, 1) for _ in range(rng.randint(1, 12))] for k in range(200)]
-    df = spark.createDataFrame([(k, v, v[::-1]) for k, v in enumerate(lists)], "k long, v array<long>, b array<long>")
-    names = {"longest_odd10s": (D.FOLDS, "v", odd_tens), "greedy_min_head_gap": (D.BACK_FOLDS, "b", lambda v: greedy(v, 3))}
-    assert {*D.FOLDS, *D.BACK_FOLDS} == names.keys()
-    for r in df.select("k", *[F.expr(M.spark_fold(d[n], c)).alias(n) for n, (d, c, _) in names.items()]).collect():
-        assert all(r[n] == f(lists[r["k"]]) for n, (_, _, f) in names.items()), lists[r["k"]]
+    lists = [[rng.randint(-3, 3) if k % 2 else rng.randint(0, 1) for _ in range(rng.randint(1, 14))] for k in range(200)] + [list(range(40)), sorted(rng.randint(0, 30) for _ in range(60))]
+    df = spark.createDataFrame([(k, i, x) for k, v in enumerate(lists) for i, x in enumerate(v)] + [(0, 50, None)], "k long, i long, x long")
+    for cut in (F.lit(0), F.expr("i div 3"), F.col("i")):
+        odd = {r["k"]: r["v"] for r in aggregate_in_order(df, ["k"], cut, ["i"], "x", {"v": D.ODD_TENS}).collect()}
+        runs = {r["k"]: r["longest"] for r in greedy_runs(df, ["k"], cut, ["i"], "x", 3).collect()}
+        for k, v in enumerate(lists):
+            assert (odd[k], runs[k]) == (odd_tens(v), greedy(v, 3)), v
+    assert greedy_runs(df.limit(0), ["k"], F.lit(0), ["i"], "x", 3).count() == 0
+
+
+def test_running_values_equal_loops(spark):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.sequences import running
+
+    rng = random.Random(12)
+    rows = [(k, i, rng.choice([None, 1, -2, 5])) for k in range(4) for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, i long, x long")
+    x = F.col("x")
+    for own in (True, False):
+        for r in running(df, ["k"], F.expr("i div 4"), ["i"], {"s": ("sum", x), "m": ("max", x), "l": ("last", x)}, own).collect():
+            v = [y for k, i, y in rows if k == r["k"] and i < r["i"] + own and y is not None]
+            assert (r["s"], r["m"], r["l"]) == (sum(v), max(v, default=None), v[-1] if v else None)
 
 
 def test_values_of_any_size(spark):
