@@ -1,6 +1,6 @@
 """Preparation of training tables: ranks, splits, shards, batches, vocabularies, trees written as text, beams and result tables.
 
-Ranks come from counts of blocks of an id, so no table is sorted in one task; only tables of one row a block, chunk or vocabulary entry are.
+Ranks come from counts of blocks of an id or of ranges of an order, so no table is sorted in one task; only tables of one row a block or range are.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sequences import numbered, running
+
 #: Ids of a block, at least; blocks of a table, about.
 BLOCK, BLOCKS = 4096, 100_000
 
@@ -57,15 +59,15 @@ def shuffled_chunks(rows: DataFrame, rank: str, size: int, seed: int) -> DataFra
     """`rows` with place: chunks of `size` in an order drawn by the seed, each in its own order."""
     chunk = F.floor(F.col(rank) / size)
     counts = rows.groupBy(chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
-    drawn = Window.orderBy(F.xxhash64(F.lit(seed), "_chunk"), "_chunk")
-    starts = counts.select("_chunk", (F.sum("_n").over(drawn) - F.col("_n")).alias("_start"))
+    drawn = numbered(counts.withColumn("_key", F.xxhash64(F.lit(seed), "_chunk")), ["_key", "_chunk"], "_place").withColumn("_all", F.lit(0))
+    starts = running(drawn, ["_all"], F.floor(F.col("_place") / BLOCK), ["_place"], {"_start": ("sum", F.col("_n"))}, own=False).select("_chunk", "_start")
     return rows.withColumn("_chunk", chunk).join(starts, "_chunk").withColumn("place", F.col("_start") + F.col(rank) % size).drop("_chunk", "_start")
 
 
 def vocabulary(rows: DataFrame, word: str, order: list[str]) -> DataFrame:
-    """Each word with an id, from 0 in the order in which words are first seen. One row a word is sorted, not one a row."""
+    """Each word with an id, from 0 in the order in which words are first seen. One row a word is sorted, by ranges; no task holds all words."""
     first = rows.where(F.col(word).isNotNull()).groupBy(word).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.select(word, (F.row_number().over(Window.orderBy("_first", word)) - 1).cast("long").alias("id"))
+    return numbered(first, ["_first", word], "id").select(word, "id")
 
 
 def lengths(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -182,12 +184,12 @@ def is_finished(finished: DataFrame, live: DataFrame, size: int, penalty: float)
 
 def early_stop(epochs: DataFrame, run: str, patience: int, trials: int) -> DataFrame:
     """`epochs` (run, epoch, score) with improved, reload and stopped: after `patience` epochs without a new best the model is loaded again; after `trials` of these the run ends, and later epochs go."""
-    w = Window.partitionBy(run).orderBy("epoch")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    best = epochs.withColumn("improved", F.coalesce(F.col("score") > F.greatest(F.max("score").over(before), F.lit(0.0)), F.col("score") > 0))
-    stretch = best.withColumn("_stretch", F.sum(F.col("improved").cast("int")).over(w))
-    waited = stretch.withColumn("_waited", F.sum((~F.col("improved")).cast("int")).over(Window.partitionBy(run, "_stretch").orderBy("epoch")))
+    part, one = F.floor(F.col("epoch") / BLOCK), lambda c: c.cast("long")
+    before = running(epochs, [run], part, ["epoch"], {"_best": ("max", F.col("score"))}, own=False)
+    best = before.withColumn("improved", F.coalesce(F.col("score") > F.greatest("_best", F.lit(0.0)), F.lit(False)))
+    stretch = running(best, [run], part, ["epoch"], {"_stretch": ("sum", one(F.col("improved")))})
+    waited = running(stretch, [run, "_stretch"], part, ["epoch"], {"_waited": ("sum", one(~F.col("improved")))})
     reload = waited.withColumn("reload", ~F.col("improved") & (F.col("_waited") % patience == 0))
-    counted = reload.withColumn("_trials", F.sum(F.col("reload").cast("int")).over(w))
+    counted = running(reload, [run], part, ["epoch"], {"_trials": ("sum", one(F.col("reload")))})
     kept = counted.where((F.col("_trials") < trials) | ((F.col("_trials") == trials) & F.col("reload")))
-    return kept.withColumn("stopped", F.col("_trials") == trials).drop("_stretch", "_waited", "_trials")
+    return kept.withColumn("stopped", F.col("_trials") == trials).drop("_best", "_stretch", "_waited", "_trials")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sequences import running
+
 #: White space as str.strip and str.split see it.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Reserved words that weigh 1 among 0.2 of the others in the weighted recall.
@@ -226,9 +228,9 @@ def pass_at(n: str, c: str, k: int) -> Column:
     return F.when(fewer, F.lit(1.0)).otherwise(1.0 - F.aggregate(terms, F.lit(1.0), lambda p, i: p * (1.0 - k / i.cast("double"))))
 
 
-def numbered(samples: DataFrame, task: str, order: list[str]) -> DataFrame:
-    """Adds completion_id, from 0 in each task."""
-    return samples.withColumn("completion_id", (F.row_number().over(Window.partitionBy(task).orderBy(*order)) - 1).cast("long"))
+def numbered(samples: DataFrame, task: str, segment: Column, order: list[str]) -> DataFrame:
+    """Adds completion_id, from 0 in each task, by segments (that don't fall as the order rises)."""
+    return running(samples, [task], segment, order, {"completion_id": ("sum", F.lit(1).cast("long"))}, own=False)
 
 
 def results(samples: DataFrame, task: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .monoids import Monoid, spark_fold, spark_merge
+from .rounds import kept
 
 
 def aggregate_in_order(rows: DataFrame, key: list[str], segment: Column, order: list[str], value: str, aggregates: dict[str, Monoid]) -> DataFrame:
@@ -40,3 +41,15 @@ def running(rows: DataFrame, key: list[str], segment: Column, order: list[str],
         now, old = F.col(f"_{name}"), F.col(f"_{name}0")
         both = both.withColumn(name, F.coalesce(now, F.lit(0)) + F.coalesce(old, F.lit(0)) if how == "sum" else F.greatest(now, old) if how == "max" else F.coalesce(now, old))
     return both.drop("_segment", *[f"_{n}" for n in values], *[f"_{n}0" for n in values])
+
+
+def numbered(rows: DataFrame, order: list[str | Column], place: str) -> DataFrame:
+    """`rows` with their place (from 0) in `order` among all: they are dealt by ranges and sorted there, and places start from the counts of the ranges before.
+
+    Only one row a range meets in one task. Rows that are alike in `order` have places next to each other, in any order.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = kept(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(starts), "_part").withColumn(place, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")

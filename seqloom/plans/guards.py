@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import guards as G
 from ..operators.derived import DESCENDING
 from ..operators.rounds import kept
-from ..operators.sequences import aggregate_in_order
+from ..operators.sequences import aggregate_in_order, running
 from ..sources.fixtures import ORDER, VALUES, sequence
 
 KEY, LO, HI, LIMIT = ["user_id", "day"], -2, 2, 5
@@ -63,8 +63,8 @@ def guarded_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's events as a complete tree, with a bit and, as memos, the size of each subtree (every thirteenth is wrong) and a bound of its values (every seventh is)."""
-    w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    rows = lists(spark, sf_dir, "small").select(*KEY, "event_id", F.row_number().over(w).cast("long").alias("node"), F.col("x").alias("value"))
+    placed = running(lists(spark, sf_dir, "small"), KEY, F.col("hour"), ORDER, {"node": ("sum", F.lit(1).cast("long"))})
+    rows = placed.select(*KEY, "event_id", "node", F.col("x").alias("value"))
     sides = G.around(rows, KEY, "value", []).select(*rows.columns, (F.col("l_n") + F.col("r_n") + 1).alias("_n"), F.greatest("value", "l_max", "r_max").alias("_max"))
     return sides.select(*KEY, "node", "value", (F.abs("value") % 2).alias("bit"), F.expr("_n + IF(event_id % 13 = 0, 1, 0)").alias("size"), F.expr("_max + IF(event_id % 7 = 0, -1, node % 2)").alias("top"))
 

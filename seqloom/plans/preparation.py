@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import preparation as P
 from ..operators import scoring as S
+from ..operators.sequences import running
+from ..sources.fixtures import ORDER, segment
 
 SHARDS, BATCH, LONGEST, SEED, BEAM, PENALTY = 7, 32, 64, 13, 3, 0.1
 
@@ -92,9 +94,8 @@ def finished_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def early_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events as epochs of a run; a run ends after three times without a new best in four epochs."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    epochs = _read(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("epoch"), F.col("value").alias("score"))
-    return P.early_stop(epochs, "user_id", 4, 3)
+    placed = running(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], segment(), ORDER, {"epoch": ("sum", F.lit(1).cast("long"))})
+    return P.early_stop(placed.select("user_id", "epoch", F.col("value").alias("score")), "user_id", 4, 3)
 
 
 def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..operators.preparation import pad, ranked, sized
 from ..operators.scoring import matches, numbered, pass_at, results, tokens
+from ..sources.fixtures import segment
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def text_match_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return numbered(e.select(F.col("user_id").alias("task_id"), "ts", "event_id", F.expr("CAST(floor(value) AS BIGINT) % 5 = 0").alias("passed"), F.expr("CAST(floor(value) AS BIGINT) % 3 <> 1").alias("compiled")), "task_id", ["ts", "event_id"])
+    return numbered(e.select(F.col("user_id").alias("task_id"), "ts", "event_id", F.expr("CAST(floor(value) AS BIGINT) % 5 = 0").alias("passed"), F.expr("CAST(floor(value) AS BIGINT) % 3 <> 1").alias("compiled")), "task_id", segment(), ["ts", "event_id"])
 
 
 def evaluation_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tokens as T
+from ..operators.sequences import running
+from ..sources.fixtures import ORDER, segment
 
 KEY = ["user_id"]
 #: The tokens of an event as name:arity, from v = the hundredths of its value; SQL that both engines read. Pieces of names begin with a dot, or are their end.
@@ -14,8 +16,8 @@ _TOKENS = """CASE v % 7 WHEN 0 THEN 'pair:2' WHEN 1 THEN 'not:1' WHEN 2 THEN 'if
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.expr("CAST(floor(value * 100) AS BIGINT)").alias("v"))
-    at = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
-    many = events.withColumn("_at", at).select("user_id", "_at", F.posexplode(F.split(F.expr(_TOKENS), " ")).alias("_i", "token"))
+    placed = running(events, KEY, segment(), ORDER, {"_at": ("sum", F.lit(1).cast("long"))}, own=False)
+    many = placed.select("user_id", "_at", F.posexplode(F.split(F.expr(_TOKENS), " ")).alias("_i", "token"))
     return many.select("user_id", (F.col("_at") * 4 + F.col("_i")).alias("at"), F.split_part("token", F.lit(":"), F.lit(1)).alias("name"), F.split_part("token", F.lit(":"), F.lit(2)).cast("long").alias("arity"))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import derived as D
 from ..operators import monoids as M
-from ..operators.sequences import aggregate_in_order
+from ..operators.sequences import aggregate_in_order, running
 from ..operators.trees import child_checks, deepest_leaves, folded_up, placed, subtree_sums
-from ..sources.fixtures import VALUES, sequence
+from ..sources.fixtures import ORDER, VALUES, segment, sequence
 
 IN_ORDER = {"mips": M.SMALL["prefix_max"], "mits": M.SMALL["mts"], "poly": D.POLY_UP, "poly_horner": D.POLY_DOWN, "leftmost_odd": M.Monoid({"v": 0}, {"v": "if(x % 2 = 0, 0, x)"}, {"v": "if(a.v <> 0, a.v, b.v)"}, "if(s.v = 0, 1, s.v)"), "in_order_sorted": M.SORTED}
 PRE_ORDER = {"mpps": M.SMALL["prefix_max"], "root": D.FIRST, "last_leaf": D.LAST}
@@ -29,8 +29,8 @@ INNER = {
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    n = sequence(spark, sf_dir, "small").select(F.col("user_id").alias("tree"), F.row_number().over(w).cast("long").alias("node"), F.col("x").alias("value"))
+    placed = running(sequence(spark, sf_dir, "small"), ["user_id"], segment(), ORDER, {"node": ("sum", F.lit(1).cast("long"))})
+    n = placed.select(F.col("user_id").alias("tree"), "node", F.col("x").alias("value"))
     return n.select("tree", "node", F.expr("IF(node = 1, NULL, node div 2)").alias("parent"), F.expr("CASE WHEN node = 1 THEN NULL WHEN node % 2 = 0 THEN 'L' ELSE 'R' END").alias("side"), "value")
 
 

@@ -126,3 +126,16 @@ def test_folds_of_trees(forest):
 def test_circles_and_orphans(spark):
     loose = spark.createDataFrame([(1, 1, None, None, 5), (1, 2, 9, "L", 6), (1, 3, 1, "R", 7)], SCHEMA)
     assert sorted(r["node"] for r in placed(loose).collect()) == [1, 3]
+
+
+def test_places_by_ranges(spark):
+    """Every row of a table that lies in many ranges has a place of its own, in order."""
+    import random
+
+    from seqloom.operators.sequences import numbered
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 50), i) for i in range(2000)]
+    got = numbered(spark.createDataFrame(rows, "a long, b long").repartition(7), ["a", "b"], "place").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["place"])] == sorted(rows) and sorted(r["place"] for r in got) == list(range(2000))
+    assert numbered(spark.createDataFrame([], "a long"), ["a"], "place").count() == 0
