@@ -49,7 +49,7 @@ def numbered(rows: DataFrame, order: list[str | Column], place: str) -> DataFram
     Only one row a range meets in one task. Rows that are alike in `order` have places next to each other, in any order.
     """
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = kept(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(starts), "_part").withColumn(place, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+    parts = kept(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_range_at", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_range").agg(F.count("*").alias("_range_n"), F.min("_range_at").alias("_range_first"))
+    starts = sizes.select("_range", "_range_first", F.coalesce(F.sum("_range_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_range_before"))
+    return parts.join(F.broadcast(starts), "_range").withColumn(place, F.col("_range_before") + F.col("_range_at") - F.col("_range_first")).drop("_range", "_range_at", "_range_first", "_range_before")
