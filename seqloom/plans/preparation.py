@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import preparation as P
 from ..operators import scoring as S
 from ..operators.sequences import running
+from ..operators.sources_text import source_text
 from ..sources.fixtures import ORDER, segment
 
 SHARDS, BATCH, LONGEST, SEED, BEAM, PENALTY = 7, 32, 64, 13, 3, 0.1
@@ -68,6 +69,18 @@ def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.unfolded(nodes, ["p_partkey"]).join(P.leaves_as_text(nodes, ["p_partkey"]), "p_partkey")
 
 
+def tree_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as syntax trees (a block of the first word, in two pieces, and a call with the others), as program text."""
+    mark, up = "\U0001f680", "^\U0001f680"
+    piece = lambda t: F.concat(t, F.lit(f"_ter{mark}{up}"))
+    word = lambda w: F.concat(F.lit(f"identifier_blind{mark}"), piece(F.concat(F.lit("Ġ"), F.substring(w, 1, 2))), piece(F.substring(w, F.lit(3), F.length(w))), F.lit(up))
+    words = F.filter(F.split("p_name", "[ #]"), lambda w: w != "")
+    rest = F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), word), "")
+    tree = F.concat(F.lit(f"block_blind{mark}"), word(F.element_at(words, 1)), F.lit(f"argument_list_blind{mark}"), rest, F.lit(up + up))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", tree.alias("tree"))
+    return source_text(P.parsed_trees(rows, ["p_partkey"], "tree"), ["p_partkey"])
+
+
 def proof_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('1 goal\n{| var_type :=\n  "'), "n_name", F.lit("'\" |--> <( Int -> Bool )>; \"n\" |--> <( Int )>; empty_map; |}"))
     rows = _read(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, "empty_context |- ?p").otherwise(text).alias("view"))
@@ -108,7 +121,7 @@ def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANKED = "SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents"
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {f.__name__: f for f in (near_equal_shards, batch_padding, first_seen_vocabulary, sequence_lengths, answer_groups, result_upserts, tree_texts, proof_contexts, beam_steps, finished_beams)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (near_equal_shards, batch_padding, first_seen_vocabulary, sequence_lengths, answer_groups, result_upserts, tree_texts, tree_sources, proof_contexts, beam_steps, finished_beams)}
 #: Drawn by a hash, or step by step: tested against brute force.
 ALONE: dict[str, Query] = {f.__name__: f for f in (chunk_shuffle, early_stops, code_texts)}
 ORACLES: dict[str, str] = {
@@ -123,6 +136,7 @@ SELECT word, row_number() OVER (ORDER BY conv_id, turn, k, word) - 1 AS id FROM
     "result_upserts": """WITH s AS (SELECT s_nationkey AS n_nationkey, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS n_nationkey, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1)
 SELECT n_nationkey, coalesce(s.balance, c.balance) AS balance, n_regionkey FROM s FULL JOIN c USING (n_nationkey) JOIN nation USING (n_nationkey)""",
     "tree_texts": "WITH w AS (SELECT p_partkey, list_filter(string_split_regex(p_name, '[ #]'), lambda x: x <> '') AS ws FROM part) SELECT p_partkey, 0 AS at, ws[1] || ' -> ' || array_to_string(ws[2:], ' ') AS rule, -1 AS father, 0 AS last, array_to_string(ws[2:], ' ') AS text FROM w WHERE len(ws) > 1",
+    "tree_sources": "SELECT p_partkey, '{ ' || ws[1] || CASE WHEN len(ws) > 1 THEN ' ( ' || array_to_string(ws[2:], ' , ') || ' ) }' ELSE ' ( ) }' END AS text FROM (SELECT p_partkey, list_filter(string_split_regex(p_name, '[ #]'), lambda x: x <> '') AS ws FROM part)",
     "proof_contexts": "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN '' ELSE n_name || ' : Int -> Bool' || chr(10) || 'n : Int' END AS context FROM nation",
     "beam_steps": f"""WITH i AS (SELECT l_orderkey AS problem, l_linenumber AS beam, l_partkey % 50 AS rule, -l_quantity AS logp, -l_discount * 100 AS score, l_suppkey % 5 AS node FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount) = 1)),
 s AS (SELECT problem, beam, rule, logp, score, node FROM i UNION ALL SELECT problem, beam, (rule + 7) % 50, logp - 1, score, node FROM i),
