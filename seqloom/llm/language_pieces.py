@@ -11,6 +11,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -23,8 +24,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bounds of the labelled sample: rows of each language, distinct words of these (the first by a hash), and languages (the most frequent).
-SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_LANGUAGES = 100, 100_000, 256
+#: Bound of the labelled sample: rows of each language.
+SAMPLE_ROWS = 100
+#: Bytes of the table of words that a worker has scored; with many languages it has fewer rows.
+TABLE_BYTES = 64_000_000
+#: Parts in which a language's words are learned from.
+PARTS = 8
 #: Words after which a text's evidence is no longer added but averaged, so that scores stay telling.
 EVIDENCE_WORDS = 32
 SPACE, UNDETERMINED = "▁", "und"
@@ -55,35 +60,72 @@ def _known(word: str, singles: set[str]) -> list[str]:
 
 
 class Model:
-    """languages: in order. pieces: entry -> probability for each language."""
+    """languages: in order. probs: of each of `pieces` in each language, 8 bytes (a vocabulary of 20,000 pieces takes 160 kB a language)."""
 
-    def __init__(self, languages: list[str], pieces: dict[str, tuple[float, ...]]):
-        self.languages, self.pieces = languages, pieces
+    def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
+        self.languages, self.pieces, self.probs = languages, pieces, probs
 
 
-def fit(words: dict[str, Counter], pieces: list[str], rounds: int = 2, smoothing: float = 200.0) -> Model:
-    """From the word counts of each language. Smoothing adds so many pieces drawn as in all languages together."""
-    languages = sorted(words)
+def fit(words: DataFrame, pieces: list[str], rounds: int = 2, smoothing: float = 200.0) -> Model:
+    """From the word counts of each language (lang, word, n). Smoothing adds so many pieces drawn as in all languages together.
+
+    Words stay where they are: expected counts of pieces are made by tasks and summed there. What comes to the driver is a number for each piece of a language, and
+    what goes out to learn a language is that language's probabilities alone.
+    """
     singles = {p for p in pieces if len(p) == 1}
-    occur: Counter = Counter()
-    finder = _automaton({p: (p,) for p in pieces})
-    for counts in words.values():
-        for w, n in counts.items():
+    sums = "lang string, piece string, n double"
+
+    def summed(found: DataFrame) -> dict[str, Counter]:
+        out: dict[str, Counter] = {}
+        for r in found.groupBy("lang", "piece").agg(F.sum("n").alias("n")).orderBy("lang", "piece").toLocalIterator():
+            out.setdefault(r["lang"], Counter())[r["piece"]] = r["n"]
+        return out
+
+    def rows(found: list[tuple[str, str, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["lang", "piece", "n"])
+
+    def occurring(batch: pa.RecordBatch) -> pa.RecordBatch:
+        finder, out = common.held(("language pieces", len(pieces)), lambda: _automaton({p: (p,) for p in pieces})), Counter()
+        for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
             for part in _known(w, singles):
                 for _, (_, (p,)) in finder.iter(part):
-                    occur[p] += n
+                    out[p] += n
+        return rows([("", p, float(n)) for p, n in out.items()])
+
+    def expected(known: Callable[[str], dict[str, float]]) -> Callable[[pa.Table], pa.Table]:
+        def of(table: pa.Table) -> pa.Table:
+            lang = table["lang"][0].as_py() if table.num_rows else ""
+            out = _expected(dict(zip(table["word"].to_pylist(), table["n"].to_pylist())), known(lang), singles)
+            return pa.Table.from_batches([rows([(lang, p, n) for p, n in out.items()])])
+
+        return of
+
+    occur = summed(common.per_batch(words, sums, occurring)).get("", Counter())
     total = sum(occur.values()) + len(pieces)
     start = {p: (occur[p] + 1) / total for p in pieces}
-    counts = {lang: _expected(words[lang], start, singles) for lang in languages}
+    languages = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    parts = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("long"))
+    counts = summed(parts.groupBy("lang", "part").applyInArrow(expected(lambda _: start), sums))
     for r in range(rounds):
         pooled = Counter({p: 1e-3 for p in pieces})
-        for c in counts.values():
-            pooled.update(c)
+        for lang in languages:
+            pooled.update(counts.get(lang, {}))
         whole = sum(pooled.values())
-        probs = {lang: {p: (c.get(p, 0.0) + smoothing * pooled[p] / whole) / (sum(c.values()) + smoothing) for p in pieces} for lang, c in counts.items()}
+        prior = np.array([smoothing * pooled[p] / whole for p in pieces])
+
+        def probabilities(lang: str, counts: dict = counts, prior: np.ndarray = prior) -> np.ndarray:
+            own = counts.get(lang, {})
+            return (np.array([own.get(p, 0.0) for p in pieces]) + prior) / (sum(own.values()) + smoothing)
+
         if r < rounds - 1:
-            counts = {lang: _expected(words[lang], probs[lang], singles) for lang in languages}
-    return Model(languages, {p: tuple(probs[lang][p] for lang in languages) for p in pieces})
+            learned = words.sparkSession.createDataFrame([(lang, probabilities(lang).tobytes()) for lang in languages], "lang string, probs binary")
+
+            def again(table: pa.Table, known: pa.Table) -> pa.Table:
+                return expected(lambda _: dict(zip(pieces, np.frombuffer(known["probs"][0].as_py()).tolist())))(table)
+
+            each = learned.select(F.col("lang").alias("of"), F.explode(F.expr(f"sequence(0L, {PARTS - 1}L)")).alias("at"), "probs")
+            counts = summed(parts.groupBy("lang", "part").cogroup(each.groupBy("of", "at")).applyInArrow(again, sums))
+    return Model(languages, pieces, np.array([probabilities(lang) for lang in languages]).T)
 
 
 def _expected(words: Counter, probs: dict[str, float], singles: set[str]) -> dict[str, float]:
@@ -122,9 +164,10 @@ class Scorer:
         for i, p in enumerate(model.pieces):
             self.pieces.add_word(p, i << 6 | len(p))
         self.pieces.make_automaton()
-        self.probs = np.array(list(model.pieces.values())).reshape(len(model.pieces), self.n)
+        self.probs = model.probs
         self.singles = {p for p in model.pieces if len(p) == 1}
-        self.table = np.zeros((common.CACHE_ENTRIES + 1, self.n + 1))  # the last column: words inside
+        self.entries = max(1000, min(common.CACHE_ENTRIES, TABLE_BYTES // (8 * (self.n + 1))))
+        self.table = np.zeros((self.entries + 1, self.n + 1))  # the last column: words inside
         self.rows: dict[str, int] = {}
         self.chars = 0
 
@@ -172,7 +215,7 @@ class Scorer:
     def learn(self, chunks: set[str]) -> None:
         """Puts the chunks it lacks into the table."""
         new = [c for c in chunks if c not in self.rows]
-        if len(self.rows) + len(new) > common.CACHE_ENTRIES or self.chars > common.CACHE_CHARS:
+        if len(self.rows) + len(new) > self.entries or self.chars > common.CACHE_CHARS:
             self.rows.clear()
             new, self.chars = list(chunks), 0
         if not new:
@@ -181,7 +224,11 @@ class Scorer:
         found = [WORD.findall(c) for c in new]
         place: dict[str, int] = {}
         ids = np.array([place.setdefault(w, len(place)) for ws in found for w in ws], dtype=np.int64)
-        values = self.words(list(place)) if place else np.zeros((0, self.n))
+        # so many characters at a time as their sums in all languages have room
+        words, room = list(place), max(1, TABLE_BYTES // (8 * self.n))
+        turn = np.cumsum([len(w) + 2 for w in words]) // room if words else np.zeros(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(words)]
+        values = np.concatenate([self.words(words[a:b]) for a, b in zip(cuts, cuts[1:])]) if words else np.zeros((0, self.n))
         at = np.repeat(np.arange(len(new)), [len(ws) for ws in found])
         base = len(self.rows)
         self.table[base : base + len(new)] = 0.0
@@ -191,16 +238,17 @@ class Scorer:
         self.rows.update(zip(new, range(base, base + len(new))))
 
     def totals(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihoods by language, and the number of words, of each text. Works on runs of about 100,000 chunks."""
+        """Log-likelihoods by language, and the number of words, of each text. Works on runs of about 100,000 chunks, or as many as the table has room for."""
+        step = min(100_000, self.entries // 2)
         out = np.zeros((len(texts), self.n + 1))
         held: list[tuple[int, list[str]]] = []
         size = 0
         for i, text in enumerate(texts):
             chunks = text.lower().split()
-            for lo in range(0, len(chunks), 100_000):
-                held.append((i, chunks[lo : lo + 100_000]))
+            for lo in range(0, len(chunks), step):
+                held.append((i, chunks[lo : lo + step]))
                 size += len(held[-1][1])
-                if size >= 100_000:
+                if size >= step:
                     self._add(held, out)
                     held, size = [], 0
         self._add(held, out)
@@ -226,20 +274,17 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, languages: int = SAMPLE_LANGUAGES) -> Model:
+def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model on a bounded sample of rows with text and lang: the first `sample_rows` of each language by a hash of doc_id.
 
-    Their whole texts are counted where they lie; at most `sample_words` distinct words of a language, the first by a hash, come to the driver. Of
-    more than `languages` values of lang the most frequent are learned. Rows of null text or lang, or without letters, aren't used;
+    Their whole texts are counted where they lie, all words of all languages. Rows of null text or lang, or without letters, aren't used;
     copies of a text count once. No labelled row: a model without languages, which calls everything undetermined.
     """
     labelled = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not sizes:
-        return Model([], {})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * sample_rows / n))])
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("of_lang"))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
-    some = labelled.where(drawn < share[F.col("lang")] * (1 << 30)).withColumn("drawn", drawn)
+    # four times as many as are wanted, so that copies may go; a language has one row here, and few have many
+    some = labelled.withColumn("drawn", drawn).join(common.few(sizes), "lang").where(F.col("drawn") < F.least(F.lit(1.0), 4.0 * sample_rows / F.col("of_lang")) * (1 << 30))
     once = some.groupBy("lang", "text").agg(F.min("drawn").alias("drawn"))
     first = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))).where(F.col("n") <= sample_rows).select("lang", "text")
 
@@ -247,12 +292,8 @@ def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample_wor
         found = [(lang, w, n) for lang, t in zip(*(c.to_pylist() for c in batch.columns)) for w, n in Counter(WORD.findall(t.lower())).items()]
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    counted = common.per_batch(first, "lang string, word string, n long", count).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word")
-    words: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for r in counted.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_words).orderBy("lang", "word").collect():
-        words[r["lang"]][r["word"]] = r["n"]
-    return fit({lang: c for lang, c in words.items() if c}, vocabulary(path))
+    counted = common.checkpointed(common.per_batch(first, "lang string, word string, n long", count).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    return Model([], [], np.zeros((0, 0))) if counted.isEmpty() else fit(counted, vocabulary(path))
 
 
 class _Held:
@@ -260,7 +301,7 @@ class _Held:
 
     def __init__(self, model: Model):
         self.model = model
-        self.key = hashlib.sha256(repr((model.languages, list(model.pieces.items()))).encode()).hexdigest()
+        self.key = hashlib.sha256(repr((model.languages, model.pieces)).encode() + model.probs.tobytes()).hexdigest()
 
     def __hash__(self):
         return hash(self.key)
@@ -277,7 +318,7 @@ def predict(docs: DataFrame, model: Model, label: str = "lang_pred", score: str
     """Adds the predicted language and its score (0 to 1; 0 with 'und') to every row, by its text alone.
 
     Null, empty and letterless texts are 'und'. Other columns pass through; ones named as an output are replaced.
-    Rows are independent: no shuffle. The model (a few MB, fixed by the vocabulary) travels with the tasks.
+    Rows are independent: no shuffle. The model (8 bytes for each piece of the vocabulary and language) travels with the tasks.
     """
     kept = [f for f in docs.schema.fields if f.name not in (label, score)]
     schema = T.StructType([*kept, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])

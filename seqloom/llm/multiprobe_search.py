@@ -255,8 +255,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, p: Parameters | Non
         placed = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    tasks = -(-n_hashed * asked.count() // PAIRS)  # no more than the work is worth: a worker that sees more of a query's buckets hands on fewer answers
-    near = meet.select("c_ids", "c_vecs", "q_ids", "q_vecs").coalesce(max(1, tasks)).mapInArrow(rerank, found)
+    tasks = -(-n_hashed * asked.count() // PAIRS)  # where the work is worth fewer tasks than a join has: a worker that sees more of a query's buckets hands on fewer answers
+    met = meet.select("c_ids", "c_vecs", "q_ids", "q_vecs")
+    near = (met.coalesce(max(1, tasks)) if tasks < int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) else met).mapInArrow(rerank, found)
     if few:
         near = near.union(compared(asked, scanned))
     best = common.checkpointed(ranked(near))

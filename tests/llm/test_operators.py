@@ -770,3 +770,16 @@ def test_later_windows():
         for k, first, n in zip(*suffix_dedup.later_windows(pieces, least)):
             got += [(k, i) for i in range(first, first + n)]
         assert got == want
+
+
+def test_many_languages_are_all_learned(spark):
+    """A thousand languages of a few words each, more than any cap would hold."""
+    rng = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:04d}": ["".join(rng.choice(letters) for _ in range(9)) for _ in range(6)] for k in range(1000)}
+    rows = [(i, " ".join(rng.choice(w) for _ in range(30)), lang) for i, (lang, w) in enumerate(own.items())]
+    model = language_pieces.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES)
+    assert model.languages == sorted(own) and model.probs.shape == (len(model.pieces), 1000)
+    some = rng.sample(sorted(own), 40)
+    got = language_pieces.Scorer(model).predict([" ".join(own[lang] * 3) for lang in some])
+    assert sum(x == lang for (x, _), lang in zip(got, some)) >= 38
