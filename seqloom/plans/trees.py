@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import derived as D
 from ..operators import monoids as M
 from ..operators.sequences import aggregate_in_order, running
-from ..operators.trees import child_checks, deepest_leaves, folded_up, placed, subtree_sums
+from ..operators.trees import child_checks, contracted, deepest_leaves, folded_up, placed, subtree_sums
 from ..sources.fixtures import ORDER, VALUES, segment, sequence
 
 IN_ORDER = {"mips": M.SMALL["prefix_max"], "mits": M.SMALL["mts"], "poly": D.POLY_UP, "poly_horner": D.POLY_DOWN, "leftmost_odd": M.Monoid({"v": 0}, {"v": "if(x % 2 = 0, 0, x)"}, {"v": "if(a.v <> 0, a.v, b.v)"}, "if(s.v = 0, 1, s.v)"), "in_order_sorted": M.SORTED}
@@ -60,6 +60,16 @@ def tree_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded_up(at, LEAF, INNER).join(roots, "tree").join(low, "tree").select("tree", *LEAF, F.greatest("root", "last").alias("last_or_root"), F.when(F.col("height") == 1, F.col("root")).otherwise(0).alias("product_with_zeros"), "deepest")
 
 
+#: Of each subtree: nodes from its root down to the deepest, sum, the greatest sum from its root to a leaf, the greatest value, and the greatest sum of a path down that may end anywhere.
+DEEP = {"height": ("1", "1", None, "max"), "subtree_sum": ("value", "value", None, "sum"), "best_way": ("value", "value", None, "max"), "largest": ("value", "0", "value", "max"), "best_path": ("value", "value", "value", "max")}
+
+
+def deep_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEEP for every node of each user's events as a tree that is about as deep as it has nodes: two in three are below the one before, the others beside it."""
+    parent = "CASE WHEN node = 1 THEN NULL WHEN node % 3 = 0 THEN node - 2 ELSE node - 1 END"
+    return contracted(nodes(spark, sf_dir).withColumn("parent", F.expr(parent)), DEEP)
+
+
 _BASE = f"""
 WITH RECURSIVE n AS (SELECT user_id AS tree, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS node, {VALUES['small']} AS value FROM events),
 p AS (SELECT tree, node, value, 0 AS depth, '' AS path, value AS path_sum FROM n WHERE node = 1
@@ -76,8 +86,15 @@ UNION ALL SELECT d.tree, d.node, d.lev, CASE WHEN l.tree IS NULL THEN value ELSE
 dl AS (SELECT p.tree, list(value ORDER BY path) AS deepest FROM p JOIN (SELECT tree, max(depth) AS x FROM p GROUP BY tree) USING (tree) WHERE depth = x GROUP BY p.tree)
 SELECT tree, e::BIGINT AS expression, m::BIGINT AS largest_part, s::BIGINT AS all_sum, f AS formula, h AS heads, z AS last, p::BIGINT AS spread, w::BIGINT AS row, t::BIGINT AS total, u::BIGINT AS suffix, q::BIGINT AS squares, k AS height, greatest(d.value, z) AS last_or_root, CASE WHEN k = 1 THEN d.value ELSE 0 END AS product_with_zeros, deepest
 FROM rec JOIN d USING (tree, node) JOIN dl USING (tree) WHERE node = 1"""
-QUERIES = {"tree_orders": tree_orders, "tree_shape": tree_shape, "tree_folds": tree_folds}
+QUERIES = {"deep_folds": deep_folds, "tree_orders": tree_orders, "tree_shape": tree_shape, "tree_folds": tree_folds}
 ORACLES = {
+    "deep_folds": f"""
+WITH RECURSIVE n AS (SELECT user_id AS tree, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS node, {VALUES['small']} AS value FROM events),
+p AS (SELECT *, CASE WHEN node = 1 THEN NULL WHEN node % 3 = 0 THEN node - 2 ELSE node - 1 END AS parent FROM n),
+up AS (SELECT tree, node, node AS top, 1::BIGINT AS n, value AS way, parent AS above FROM p
+  UNION ALL SELECT up.tree, up.node, p.node, up.n + 1, up.way + p.value, p.parent FROM up JOIN p ON p.tree = up.tree AND p.node = up.above),
+lf AS (SELECT p.tree, p.node, NOT EXISTS (SELECT 1 FROM p c WHERE c.tree = p.tree AND c.parent = p.node) AS leaf, value FROM p)
+SELECT up.tree, top AS node, max(n)::BIGINT AS height, sum(value)::BIGINT AS subtree_sum, max(way) FILTER (leaf)::BIGINT AS best_way, max(value)::BIGINT AS largest, max(way)::BIGINT AS best_path FROM up JOIN lf ON lf.tree = up.tree AND lf.node = up.node GROUP BY up.tree, top""",
     "tree_folds": _BASE + _FOLDS,
     "tree_orders": f"{_BASE}, l AS (SELECT tree, list(value ORDER BY path || 'M') AS i, list(value ORDER BY path) AS o FROM p GROUP BY tree) SELECT tree, {_IN}, {_PRE} FROM l",
     "tree_shape": f"""{_BASE},

@@ -139,3 +139,46 @@ def test_places_by_ranges(spark):
     got = numbered(spark.createDataFrame(rows, "a long, b long").repartition(7), ["a", "b"], "place").collect()
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["place"])] == sorted(rows) and sorted(r["place"] for r in got) == list(range(2000))
     assert numbered(spark.createDataFrame([], "a long"), ["a"], "place").count() == 0
+
+
+FOLDS = {"height": ("1", "1", None, "max"), "total": ("value", "value", None, "sum"), "way": ("value", "value", "value", "max"), "largest": ("value", "0", "value", "max")}
+
+
+def test_contracted_trees_equal_recursion(spark):
+    import random
+
+    from seqloom.operators.trees import contracted
+
+    rng = random.Random(21)
+    rows = []
+    for t in range(40):
+        free, n = [1, 1], rng.choice([1, 2, 3, 10, 60])
+        rows.append((t, 1, None, rng.randint(-3, 3)))
+        for i in range(2, n + 1):
+            at = rng.randrange(max(0, len(free) - 2), len(free)) if t % 2 else rng.randrange(len(free))
+            rows.append((t, i, free.pop(at), rng.randint(-3, 3)))
+            free += [i, i]
+    want = {}
+    for t, i, parent, value in sorted(rows, reverse=True):
+        below = [want[t, k] for tt, k, p, _ in rows if tt == t and p == i]
+        if not below:
+            want[t, i] = (1, value, value, value)
+        else:
+            h, s, w, m = zip(*below)
+            want[t, i] = (1 + max(h), value + sum(s), max(value, value + max(w)), max(value, *m))
+    got = contracted(spark.createDataFrame(rows, "tree long, node long, parent long, value long"), FOLDS).collect()
+    assert {(r["tree"], r["node"]): tuple(r[n] for n in FOLDS) for r in got} == want
+    assert contracted(spark.createDataFrame([], "tree long, node long, parent long, value long"), FOLDS).count() == 0
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Two thousand nodes in a chain: rounds grow with the logarithm of its length."""
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import trees
+
+    calls = []
+    monkeypatch.setattr(trees, "kept", lambda df, kept=trees.kept: calls.append(1) or kept(df))
+    chain = spark.range(1, 2_001).select(F.lit(1).alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1).alias("value"))
+    top = trees.contracted(chain, FOLDS).where("node = 1").first()
+    assert (top["height"], top["total"]) == (2_000, 2_000) and len(calls) <= 16
