@@ -49,9 +49,15 @@ def normal_words(text: str | Column) -> Column:
     return split_words(out)
 
 
+#: What program text is cut by, in order.
+CODE_CUTS = (("([^A-Za-z0-9_])", " $1 "), ("([a-z])([A-Z])", "$1 $2"))
+
+
 def code_tokens(text: str | Column) -> Column:
     """Marks apart, camel case cut, all quotes alike."""
-    out = F.regexp_replace(F.regexp_replace(text, "([^A-Za-z0-9_])", " $1 "), "([a-z])([A-Z])", "$1 $2")
+    out = text
+    for pattern, by in CODE_CUTS:
+        out = F.regexp_replace(out, pattern, by)
     return split_words(F.translate(out, "\"'", "``"))
 
 

@@ -34,7 +34,10 @@ def _nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queens(spark, BOARD).select(F.array_join(F.col("board").cast("array<string>"), ",").alias("board"))
+    """The boards on which each part's size says where the first queen stands."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.pmod("p_size", F.lit(BOARD)) + 1).alias("first"))
+    boards = queens(spark, BOARD).select(F.element_at("board", 1).alias("first"), F.array_join(F.col("board").cast("array<string>"), ",").alias("board"))
+    return parts.join(F.broadcast(boards), "first").select("p_partkey", "board")  # a board of six has four
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"segment_sum_under": _longest_under, "segment_extremes": _longest_by_extremes, "nested_prefix_of_sums": _sub_list_sums, "nested_intervals": _nested_intervals, "queens": _queens}
@@ -65,6 +68,6 @@ SELECT user_id, day, bool_and(rest_lo IS NULL OR (rest_lo <= lo AND rest_hi <= h
 WITH RECURSIVE b AS (SELECT []::BIGINT[] AS board UNION ALL
 SELECT list_append(board, c) FROM b, range(1, {BOARD} + 1) AS t(c)
 WHERE len(board) < {BOARD} AND len(list_filter(range(1, len(board) + 1), lambda i: board[i] = c OR abs(board[i] - c) = len(board) + 1 - i)) = 0)
-SELECT array_to_string(board, ',') AS board FROM b WHERE len(board) = {BOARD}
+SELECT p_partkey, array_to_string(board, ',') AS board FROM b JOIN part ON board[1] = p_size % {BOARD} + 1 WHERE len(board) = {BOARD}
 """,
 }
