@@ -121,10 +121,15 @@ def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANKED = "SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents"
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {f.__name__: f for f in (near_equal_shards, batch_padding, first_seen_vocabulary, sequence_lengths, answer_groups, result_upserts, tree_texts, tree_sources, proof_contexts, beam_steps, finished_beams)}
-#: Drawn by a hash, or step by step: tested against brute force.
-ALONE: dict[str, Query] = {f.__name__: f for f in (chunk_shuffle, early_stops, code_texts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (near_equal_shards, batch_padding, first_seen_vocabulary, sequence_lengths, answer_groups, result_upserts, tree_texts, tree_sources, proof_contexts, beam_steps, finished_beams, early_stops)}
+#: Drawn by a hash, or by patterns: tested against brute force.
+ALONE: dict[str, Query] = {f.__name__: f for f in (chunk_shuffle, code_texts)}
 ORACLES: dict[str, str] = {
+    "early_stops": """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS score FROM events),
+b AS (SELECT *, score > greatest(coalesce(max(score) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS improved FROM e),
+s AS (SELECT *, sum(improved::INT) OVER (PARTITION BY user_id ORDER BY epoch) AS stretch FROM b), w AS (SELECT *, sum((NOT improved)::INT) OVER (PARTITION BY user_id, stretch ORDER BY epoch) AS waited FROM s),
+r AS (SELECT *, NOT improved AND waited % 4 = 0 AS reload FROM w), t AS (SELECT *, sum(reload::INT) OVER (PARTITION BY user_id ORDER BY epoch) AS trials FROM r)
+SELECT user_id, epoch, score, improved, reload, trials = 3 AS stopped FROM t WHERE trials < 3 OR (trials = 3 AND reload)""",
     "near_equal_shards": f"""WITH r AS ({_RANKED}), b AS (SELECT k, sum(m) OVER (ORDER BY k) - m AS lo, sum(m) OVER (ORDER BY k) AS hi FROM (SELECT k, (SELECT count(*) FROM documents) // {SHARDS} + CASE WHEN k >= {SHARDS} - (SELECT count(*) FROM documents) % {SHARDS} THEN 1 ELSE 0 END AS m FROM range({SHARDS}) t(k)))
 SELECT doc_id, k AS shard, CASE WHEN doc_id BETWEEN 11 AND 510 THEN 'test' WHEN doc_id BETWEEN 511 AND 600 THEN 'valid' ELSE 'train' END AS split FROM r JOIN b ON i >= lo AND i < hi""",
     "batch_padding": f"""WITH r AS (SELECT doc_id, i // {BATCH} AS batch, [length(w) FOR w IN string_split(text, ' ')] AS l FROM ({_RANKED})), m AS (SELECT batch, least(max(len(l)), {LONGEST}) AS k FROM r GROUP BY batch)

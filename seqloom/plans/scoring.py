@@ -111,16 +111,39 @@ cnt AS (SELECT item_id, n, array_to_string(w[i:i+n-1], ' ') AS gram, count(*) FI
 mt AS (SELECT item_id, n, sum(least(h, r))::BIGINT AS matched, sum(h)::BIGINT AS possible, sum(r)::BIGINT AS wanted FROM cnt GROUP BY ALL)"""
 _SAMPLES = """WITH s AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(floor(value) AS BIGINT) % 5 = 0 AS passed, CAST(floor(value) AS BIGINT) % 3 <> 1 AS compiled FROM events),
 t AS (SELECT task_id, count(*) AS n, count(*) FILTER (passed) AS c, bool_or(passed) AS solved, min(CASE WHEN passed THEN i END) AS first_success, round(count(*) FILTER (NOT compiled) / count(*), 9) AS compile_error_rate FROM s GROUP BY task_id)"""
+_RATIO = "sum(ln(CASE WHEN m = 0 THEN 0.1 ELSE m END / g)) / 4"
+#: Words of both sides, n-grams against the largest count in any reference, and recall of each reference's n-grams.
+_CORPUS = f"""WITH {_PAIR},
+hy AS (SELECT item_id, regexp_extract_all(h, '[^\\s]+') AS w FROM pr),
+rf AS (SELECT item_id, ref, regexp_extract_all(text, '[^\\s]+') AS w FROM (SELECT item_id, 0 AS ref, text FROM benchmark UNION ALL SELECT item_id - 1, 1, text FROM benchmark) WHERE item_id IN (SELECT item_id FROM hy)),
+ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+hg AS (SELECT item_id, n, gram, count(*) AS h FROM (SELECT item_id, n, array_to_string(w[i:i+n-1], ' ') AS gram FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM hy, ns)) GROUP BY ALL),
+rg AS (SELECT item_id, ref, n, gram, count(*) AS r FROM (SELECT item_id, ref, n, array_to_string(w[i:i+n-1], ' ') AS gram FROM (SELECT item_id, ref, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM rf, ns)) GROUP BY ALL),
+pm AS (SELECT item_id, n, sum(least(h, coalesce(r, 0))) AS m, sum(h) AS g FROM hg LEFT JOIN (SELECT item_id, n, gram, max(r) AS r FROM rg GROUP BY ALL) USING (item_id, n, gram) GROUP BY ALL),
+ln AS (SELECT hy.item_id, len(hy.w) AS hl, arg_min(len(rf.w), (abs(len(rf.w) - len(hy.w)), len(rf.w))) AS rl, min(len(rf.w)) AS rmin FROM hy JOIN rf USING (item_id) GROUP BY ALL),
+al AS (SELECT ln.*, n, coalesce(m, 0) AS m, coalesce(g, 0) AS g FROM ln CROSS JOIN ns LEFT JOIN pm USING (item_id, n)),
+sm AS (SELECT n, sum(m) AS m, sum(g) AS g FROM al GROUP BY n),
+sl AS (SELECT sum(hl) AS hl, sum(rl) AS rl, sum(rmin) AS rmin FROM ln),
+bp AS (SELECT CASE WHEN hl > rl THEN 1.0::DOUBLE ELSE exp(1 - rl / hl) END AS bp, CASE WHEN hl > rmin THEN 1.0::DOUBLE ELSE exp(1 - rmin / hl) END AS bpmin FROM sl),
+ws AS (SELECT item_id, ref, n, sum(wt * least(coalesce(h, 0), r)) AS m, greatest(1.0::DOUBLE, sum(wt * r)) AS g FROM (SELECT *, CASE WHEN n > 1 OR gram IN ({', '.join(f"'{k}'" for k in S.KEYWORDS)}) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS wt FROM rg LEFT JOIN hg USING (item_id, n, gram)) GROUP BY ALL),
+wn AS (SELECT n, sum(coalesce(m, 0)) AS m, sum(coalesce(g, 1)) AS g FROM rf CROSS JOIN ns LEFT JOIN ws USING (item_id, ref, n) GROUP BY n),
+rw AS (SELECT item_id, exp(sum(ln(m + (n > 1)::INT + {S.TINY!r}::DOUBLE) - ln(g + (n > 1)::INT + {S.TINY!r}::DOUBLE)) / 4 + least(0, 1 - (any_value(rmin) + 1) / (any_value(hl) + 1))) AS v FROM al GROUP BY item_id)"""
 _P = "avg(CASE WHEN n - c < {k} THEN 1.0::DOUBLE ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - {k} / i::DOUBLE)) END)"
-QUERIES = {f.__name__: f for f in (ngram_matches, corpus_bleu, evaluation_results, pass_at_k, split_by_rank, padded)}
+QUERIES = {f.__name__: f for f in (ngram_matches, corpus_bleu, corpus_scores, evaluation_results, pass_at_k, split_by_rank, padded)}
 #: Without SQL: tested against brute force.
-ALONE = {f.__name__: f for f in (sentence_scores, corpus_scores, text_matches, text_match_means)}
+ALONE = {f.__name__: f for f in (sentence_scores, text_matches, text_match_means)}
 ORACLES = {
     "ngram_matches": f"{_GRAMS} SELECT * FROM mt",
     "corpus_bleu": f"""{_GRAMS}, by_n AS (SELECT n, sum(matched) AS m, sum(possible) AS p FROM mt GROUP BY n),
 lg AS (SELECT round(exp(sum(ln(CASE WHEN n = 1 THEN m / p ELSE (m + 1) / (p + 1) END)) / 4), 9) AS mean_precision, sum(m)::BIGINT AS matched FROM by_n),
 sz AS (SELECT sum(len(reference))::BIGINT AS ref_length, sum(len(hypothesis))::BIGINT AS hyp_length FROM tk)
 SELECT mean_precision, matched, ref_length, hyp_length, round(bp, 9) AS brevity_penalty, round(bp * mean_precision, 6) AS bleu FROM (SELECT *, CASE WHEN hyp_length > ref_length THEN 1.0::DOUBLE ELSE exp(1 - ref_length / hyp_length) END AS bp FROM lg, sz)""",
+    "corpus_scores": f"""{_CORPUS}
+SELECT round((SELECT CASE WHEN min(m) > 0 THEN exp(sum(ln(nullif(m, 0) / g)) / 4) * any_value(bpmin) ELSE 0 END FROM sm, bp), 9) AS plain,
+  round((SELECT exp(sum(ln((m + 1) / (g + 1))) / 4) * any_value(bpmin) FROM sm, bp), 9) AS one_added,
+  round((SELECT CASE WHEN max(m) FILTER (n = 1) = 0 THEN 0 ELSE exp({_RATIO}) * any_value(bp) END FROM (SELECT n, m, greatest(g, 1) AS g FROM sm), bp), 9) AS bleu,
+  round((SELECT CASE WHEN max(m) FILTER (n = 1) = 0 THEN 0 ELSE exp({_RATIO}) * any_value(bp) END FROM wn, bp), 9) AS weighted_recall,
+  round((SELECT avg(v) * 100 FROM rw), 6) AS mean_of_rows""",
     "evaluation_results": f"{_SAMPLES} SELECT * FROM t",
     "pass_at_k": f"{_SAMPLES}, f AS (SELECT min(n) AS least, {', '.join(f'round({_P.format(k=k)}, 9) AS p{k}' for k in (1, 5, 10, 100))} FROM t) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, p{k} AS pass_at_k FROM f WHERE {k} <= least" for k in (1, 5, 10, 100)),
     "split_by_rank": "SELECT doc_id, CASE WHEN i <= floor(0.8 * n) THEN 'train' WHEN i <= floor(0.9 * n) THEN 'test' ELSE 'valid' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)",

@@ -176,7 +176,7 @@ def test_queries_of_scores(spark):
         refs = [words(items[i]) for i in (r["item_id"], r["item_id"] + 1) if i in items]
         c = counts(words(docs[r["item_id"]]), refs)
         assert (r["hyp_len"], r["ref_len"], r["ref_min"]) == c[2:] and all((w := plain_bleu(i, c)) is None or r[f"bleu_{i}"] == pytest.approx(w, abs=1e-8) for i in range(8))
-    one = catalog.ALONE["corpus_scores"](spark, SF).first()
+    one = catalog.QUERIES["corpus_scores"](spark, SF).first()
     pairs = [(docs[i].split(), [items[j].split() for j in (i, i + 1) if j in items]) for i in items if i in docs]
     all_counts = [counts(*p) for p in pairs]
     total = [[sum(c[j][i] for c in all_counts) for i in range(5)] for j in (0, 1)]
@@ -203,7 +203,7 @@ def test_early_stops(spark):
     for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("user_id", "ts", "event_id").collect():
         by.setdefault(r["user_id"], []).append(r["value"])
     got = {}
-    for r in catalog.ALONE["early_stops"](spark, SF).collect():
+    for r in catalog.QUERIES["early_stops"](spark, SF).collect():
         got.setdefault(r["user_id"], []).append((r["epoch"], r["improved"], r["reload"], r["stopped"]))
     for user, scores in by.items():
         best = waited = trials = 0
