@@ -1,4 +1,4 @@
-"""Queries of text scores (benchmark items against documents of the same rank) and of evaluation tables (events as samples)."""
+"""Queries of text scores (every document against benchmark items, which are dealt out in turn) and of evaluation tables (events as samples)."""
 
 from __future__ import annotations
 
@@ -11,24 +11,33 @@ from ..operators.scoring import matches, numbered, pass_at, results, tokens
 from ..sources.fixtures import segment
 
 
+def _sides(spark: SparkSession, sf_dir: str, refs: int = 1) -> tuple[DataFrame, DataFrame]:
+    """doc_id and h of every document, and doc_id, ref and text of its references: the benchmark texts are dealt out in turn, `refs` that follow each other to a document."""
+    items = ranked(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), "item_id").select("rank", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", F.col("text").alias("h"))
+    n = max(1, items.count())
+    dealt = docs.select("doc_id", F.explode(F.array(*[F.lit(i) for i in range(refs)])).alias("ref")).withColumn("rank", F.pmod("doc_id", F.lit(n)) + F.col("ref"))
+    return docs, dealt.join(items, "rank").select("doc_id", "ref", "text")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, reference, hypothesis: each benchmark text, and the document whose doc_id is its item_id."""
-    b, d = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "documents"))
-    return b.select("item_id", F.col("text").alias("r")).join(d.select(F.col("doc_id").alias("item_id"), F.col("text").alias("h")), "item_id")
+    """doc_id, r, h: each document and its reference."""
+    docs, refs = _sides(spark, sf_dir)
+    return docs.join(refs.select("doc_id", F.col("text").alias("r")), "doc_id")
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("item_id", tokens("r").alias("reference"), tokens("h").alias("hypothesis"))
+    return _pairs(spark, sf_dir).select("doc_id", tokens("r").alias("reference"), tokens("h").alias("hypothesis"))
 
 
 def ngram_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(_tokens(spark, sf_dir), "item_id")
+    return matches(_tokens(spark, sf_dir), "doc_id")
 
 
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: precisions with one added above the first order, brevity penalty and BLEU."""
     pairs = _tokens(spark, sf_dir)
-    by_n = matches(pairs, "item_id").groupBy("n").agg(F.sum("matched").alias("m"), F.sum("possible").alias("p"))
+    by_n = matches(pairs, "doc_id").groupBy("n").agg(F.sum("matched").alias("m"), F.sum("possible").alias("p"))
     precision = F.when(F.col("n") == 1, F.col("m") / F.col("p")).otherwise((F.col("m") + 1) / (F.col("p") + 1))
     logs = by_n.agg(F.round(F.exp(F.sum(F.ln(precision)) / 4), 9).alias("mean_precision"), F.sum("m").alias("matched"))
     sizes = pairs.agg(F.sum(F.size("reference")).alias("ref_length"), F.sum(F.size("hypothesis")).alias("hyp_length"))
@@ -37,26 +46,24 @@ def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, words) -> tuple[DataFrame, DataFrame]:
-    """Hypotheses and references (each item's text, and that of the next item as a second one) as word arrays."""
-    pairs = _pairs(spark, sf_dir)
-    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    refs = texts.select("item_id", F.lit(0).alias("ref"), "text").union(texts.select(F.col("item_id") - 1, F.lit(1), "text")).select("item_id", "ref", words("text").alias("reference"))
-    return pairs.select("item_id", words("h").alias("hypothesis")), refs
+    """Hypotheses and references (two to a document, the last item alone) as word arrays."""
+    docs, refs = _sides(spark, sf_dir, 2)
+    return docs.select("doc_id", words("h").alias("hypothesis")), refs.select("doc_id", "ref", words("text").alias("reference"))
 
 
 def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BLEU of each item's document against two references, by each way of smoothing, and by row with one added."""
-    parts = S.bleu_parts(*_scored(spark, sf_dir, S.tokens), "item_id")
-    normal = S.bleu_parts(*_scored(spark, sf_dir, S.normal_words), "item_id").select("item_id", F.round(S.row_bleu(), 9).alias("row_bleu"))
-    return parts.select("item_id", "hyp_len", "ref_len", "ref_min", *[F.round(S.bleu(i), 9).alias(f"bleu_{i}") for i in range(8)]).join(normal, "item_id")
+    """BLEU of each document against two references, by each way of smoothing, and by row with one added."""
+    parts = S.bleu_parts(*_scored(spark, sf_dir, S.tokens), "doc_id")
+    normal = S.bleu_parts(*_scored(spark, sf_dir, S.normal_words), "doc_id").select("doc_id", F.round(S.row_bleu(), 9).alias("row_bleu"))
+    return parts.select("doc_id", "hyp_len", "ref_len", "ref_min", *[F.round(S.bleu(i), 9).alias(f"bleu_{i}") for i in range(8)]).join(normal, "doc_id")
 
 
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: corpus BLEU (plain, with one added, and with a small count for zeros), the weighted recall and the mean of the rows' scores in hundredths."""
     words = _scored(spark, sf_dir, S.split_words)
-    parts = S.bleu_parts(*words, "item_id")
+    parts = S.bleu_parts(*words, "doc_id")
     whole = S.summed(parts).select(F.round(S.plain_bleu(), 9).alias("plain"), F.round(S.plain_bleu(1), 9).alias("one_added"), F.round(S.bleu(1), 9).alias("bleu"))
-    recall = S.summed(S.recall_parts(*words, "item_id")).select(F.round(S.recall_score(), 9).alias("weighted_recall"))
+    recall = S.summed(S.recall_parts(*words, "doc_id")).select(F.round(S.recall_score(), 9).alias("weighted_recall"))
     rows = parts.agg(F.round(F.avg(S.row_bleu()) * 100, 6).alias("mean_of_rows"))
     return whole.crossJoin(recall).crossJoin(rows)
 
@@ -65,7 +72,7 @@ def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact matches of the words, and edit similarity of the whole stripped texts by code points, placeholders of literals replaced."""
     whole = lambda c: S.plain_literals(F.btrim(c, F.lit(S.SPACES)))
     r, h = whole("r"), whole("h")
-    return _pairs(spark, sf_dir).select("item_id", (S.split_words(r) == S.split_words(h)).alias("exact"), F.round(S.similarity(r, h), 6).alias("similarity"))
+    return _pairs(spark, sf_dir).select("doc_id", (S.split_words(r) == S.split_words(h)).alias("exact"), F.round(S.similarity(r, h), 6).alias("similarity"))
 
 
 def text_match_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,32 +109,32 @@ def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lengths.alias("ids")).select("doc_id", pad("ids", 16, F.lit(-1).cast("long")).alias("ids"), F.least(F.size("ids"), F.lit(16)).cast("long").alias("used"))
 
 
-_PAIR = "pr AS (SELECT b.item_id, b.text AS r, d.text AS h FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
+_PAIR = "bm AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), pr AS (SELECT doc_id, b.text AS r, d.text AS h FROM documents d JOIN bm b ON b.i = d.doc_id % b.n)"
 _GRAMS = f"""WITH {_PAIR},
-tk AS (SELECT item_id, regexp_extract_all(lower(r), '([\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s])', 1) AS reference, regexp_extract_all(lower(h), '([\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s])', 1) AS hypothesis FROM pr),
-sides AS (SELECT item_id, 'r' AS side, reference AS w FROM tk UNION ALL SELECT item_id, 'h', hypothesis FROM tk),
-pos AS (SELECT item_id, side, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sides, (VALUES (1), (2), (3), (4)) t(n)),
-cnt AS (SELECT item_id, n, array_to_string(w[i:i+n-1], ' ') AS gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM pos GROUP BY ALL),
-mt AS (SELECT item_id, n, sum(least(h, r))::BIGINT AS matched, sum(h)::BIGINT AS possible, sum(r)::BIGINT AS wanted FROM cnt GROUP BY ALL)"""
+tk AS (SELECT doc_id, regexp_extract_all(lower(r), '([\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s])', 1) AS reference, regexp_extract_all(lower(h), '([\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s])', 1) AS hypothesis FROM pr),
+sides AS (SELECT doc_id, 'r' AS side, reference AS w FROM tk UNION ALL SELECT doc_id, 'h', hypothesis FROM tk),
+pos AS (SELECT doc_id, side, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sides, (VALUES (1), (2), (3), (4)) t(n)),
+cnt AS (SELECT doc_id, n, array_to_string(w[i:i+n-1], ' ') AS gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM pos GROUP BY ALL),
+mt AS (SELECT doc_id, n, sum(least(h, r))::BIGINT AS matched, sum(h)::BIGINT AS possible, sum(r)::BIGINT AS wanted FROM cnt GROUP BY ALL)"""
 _SAMPLES = """WITH s AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(floor(value) AS BIGINT) % 5 = 0 AS passed, CAST(floor(value) AS BIGINT) % 3 <> 1 AS compiled FROM events),
 t AS (SELECT task_id, count(*) AS n, count(*) FILTER (passed) AS c, bool_or(passed) AS solved, min(CASE WHEN passed THEN i END) AS first_success, round(count(*) FILTER (NOT compiled) / count(*), 9) AS compile_error_rate FROM s GROUP BY task_id)"""
 _RATIO = "sum(ln(CASE WHEN m = 0 THEN 0.1 ELSE m END / g)) / 4"
 #: Words of both sides, n-grams against the largest count in any reference, and recall of each reference's n-grams.
 _CORPUS = f"""WITH {_PAIR},
-hy AS (SELECT item_id, regexp_extract_all(h, '[^\\s]+') AS w FROM pr),
-rf AS (SELECT item_id, ref, regexp_extract_all(text, '[^\\s]+') AS w FROM (SELECT item_id, 0 AS ref, text FROM benchmark UNION ALL SELECT item_id - 1, 1, text FROM benchmark) WHERE item_id IN (SELECT item_id FROM hy)),
+hy AS (SELECT doc_id, regexp_extract_all(h, '[^\\s]+') AS w FROM pr),
+rf AS (SELECT doc_id, ref, regexp_extract_all(text, '[^\\s]+') AS w FROM (SELECT doc_id, ref, bm.text FROM documents, (VALUES (0), (1)) t(ref), bm WHERE i = doc_id % n + ref)),
 ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
-hg AS (SELECT item_id, n, gram, count(*) AS h FROM (SELECT item_id, n, array_to_string(w[i:i+n-1], ' ') AS gram FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM hy, ns)) GROUP BY ALL),
-rg AS (SELECT item_id, ref, n, gram, count(*) AS r FROM (SELECT item_id, ref, n, array_to_string(w[i:i+n-1], ' ') AS gram FROM (SELECT item_id, ref, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM rf, ns)) GROUP BY ALL),
-pm AS (SELECT item_id, n, sum(least(h, coalesce(r, 0))) AS m, sum(h) AS g FROM hg LEFT JOIN (SELECT item_id, n, gram, max(r) AS r FROM rg GROUP BY ALL) USING (item_id, n, gram) GROUP BY ALL),
-ln AS (SELECT hy.item_id, len(hy.w) AS hl, arg_min(len(rf.w), (abs(len(rf.w) - len(hy.w)), len(rf.w))) AS rl, min(len(rf.w)) AS rmin FROM hy JOIN rf USING (item_id) GROUP BY ALL),
-al AS (SELECT ln.*, n, coalesce(m, 0) AS m, coalesce(g, 0) AS g FROM ln CROSS JOIN ns LEFT JOIN pm USING (item_id, n)),
+hg AS (SELECT doc_id, n, gram, count(*) AS h FROM (SELECT doc_id, n, array_to_string(w[i:i+n-1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM hy, ns)) GROUP BY ALL),
+rg AS (SELECT doc_id, ref, n, gram, count(*) AS r FROM (SELECT doc_id, ref, n, array_to_string(w[i:i+n-1], ' ') AS gram FROM (SELECT doc_id, ref, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM rf, ns)) GROUP BY ALL),
+pm AS (SELECT doc_id, n, sum(least(h, coalesce(r, 0))) AS m, sum(h) AS g FROM hg LEFT JOIN (SELECT doc_id, n, gram, max(r) AS r FROM rg GROUP BY ALL) USING (doc_id, n, gram) GROUP BY ALL),
+ln AS (SELECT hy.doc_id, len(hy.w) AS hl, arg_min(len(rf.w), (abs(len(rf.w) - len(hy.w)), len(rf.w))) AS rl, min(len(rf.w)) AS rmin FROM hy JOIN rf USING (doc_id) GROUP BY ALL),
+al AS (SELECT ln.*, n, coalesce(m, 0) AS m, coalesce(g, 0) AS g FROM ln CROSS JOIN ns LEFT JOIN pm USING (doc_id, n)),
 sm AS (SELECT n, sum(m) AS m, sum(g) AS g FROM al GROUP BY n),
 sl AS (SELECT sum(hl) AS hl, sum(rl) AS rl, sum(rmin) AS rmin FROM ln),
 bp AS (SELECT CASE WHEN hl > rl THEN 1.0::DOUBLE ELSE exp(1 - rl / hl) END AS bp, CASE WHEN hl > rmin THEN 1.0::DOUBLE ELSE exp(1 - rmin / hl) END AS bpmin FROM sl),
-ws AS (SELECT item_id, ref, n, sum(wt * least(coalesce(h, 0), r)) AS m, greatest(1.0::DOUBLE, sum(wt * r)) AS g FROM (SELECT *, CASE WHEN n > 1 OR gram IN ({', '.join(f"'{k}'" for k in S.KEYWORDS)}) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS wt FROM rg LEFT JOIN hg USING (item_id, n, gram)) GROUP BY ALL),
-wn AS (SELECT n, sum(coalesce(m, 0)) AS m, sum(coalesce(g, 1)) AS g FROM rf CROSS JOIN ns LEFT JOIN ws USING (item_id, ref, n) GROUP BY n),
-rw AS (SELECT item_id, exp(sum(ln(m + (n > 1)::INT + {S.TINY!r}::DOUBLE) - ln(g + (n > 1)::INT + {S.TINY!r}::DOUBLE)) / 4 + least(0, 1 - (any_value(rmin) + 1) / (any_value(hl) + 1))) AS v FROM al GROUP BY item_id)"""
+ws AS (SELECT doc_id, ref, n, sum(wt * least(coalesce(h, 0), r)) AS m, greatest(1.0::DOUBLE, sum(wt * r)) AS g FROM (SELECT *, CASE WHEN n > 1 OR gram IN ({', '.join(f"'{k}'" for k in S.KEYWORDS)}) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS wt FROM rg LEFT JOIN hg USING (doc_id, n, gram)) GROUP BY ALL),
+wn AS (SELECT n, sum(coalesce(m, 0)) AS m, sum(coalesce(g, 1)) AS g FROM rf CROSS JOIN ns LEFT JOIN ws USING (doc_id, ref, n) GROUP BY n),
+rw AS (SELECT doc_id, exp(sum(ln(m + (n > 1)::INT + {S.TINY!r}::DOUBLE) - ln(g + (n > 1)::INT + {S.TINY!r}::DOUBLE)) / 4 + least(0, 1 - (any_value(rmin) + 1) / (any_value(hl) + 1))) AS v FROM al GROUP BY doc_id)"""
 _P = "avg(CASE WHEN n - c < {k} THEN 1.0::DOUBLE ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - {k} / i::DOUBLE)) END)"
 QUERIES = {f.__name__: f for f in (ngram_matches, corpus_bleu, corpus_scores, evaluation_results, pass_at_k, split_by_rank, padded)}
 #: Without SQL: tested against brute force.
