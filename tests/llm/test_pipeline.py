@@ -128,3 +128,9 @@ def test_clashing_columns_pass_through(spark):
 def test_without_labels_only_letterless_rows_go(spark, documents):
     docs = spark.createDataFrame([(1, "words here", None, None, 1), (2, "12 ..", None, None, 1), (3, None, None, None, None)], documents.schema)
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()] == [1]
+
+
+def test_main_components_of_chunks():
+    """Of the members of a large cell only those outside the main component of its first chunk are compared with all others."""
+    assert shingle_sets._labels(6, [(0, 2), (2, 4), (5, 1)]) == [0, 1, 0, 3, 0, 1]
+    assert shingle_sets._main(5, [(1, 2), (3, 4)]) == 1 and shingle_sets._main(3, []) == 0 and shingle_sets._main(4, [(1, 3), (3, 2)]) == 1
