@@ -60,10 +60,11 @@ def _known(word: str, singles: set[str]) -> list[str]:
 
 
 class Model:
-    """languages: in order. probs: of each of `pieces` in each language, 8 bytes (a vocabulary of 20,000 pieces takes 160 kB a language)."""
+    """languages: in order. pieces: the entries, or entry -> probability for each language. probs: a row for each entry, 8 bytes a language (a vocabulary of 20,000 pieces takes 160 kB a language)."""
 
-    def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
-        self.languages, self.pieces, self.probs = languages, pieces, probs
+    def __init__(self, languages: list[str], pieces: list[str] | dict[str, tuple[float, ...]], probs: np.ndarray | None = None):
+        self.languages, self.pieces = languages, pieces
+        self.probs = np.array(list(pieces.values())).reshape(len(pieces), len(languages)) if probs is None else probs
 
 
 def fit(words: DataFrame, pieces: list[str], rounds: int = 2, smoothing: float = 200.0) -> Model:
@@ -293,7 +294,7 @@ def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> Model:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     counted = common.checkpointed(common.per_batch(first, "lang string, word string, n long", count).groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    return Model([], [], np.zeros((0, 0))) if counted.isEmpty() else fit(counted, vocabulary(path))
+    return Model([], {}) if counted.isEmpty() else fit(counted, vocabulary(path))
 
 
 class _Held:
@@ -301,7 +302,7 @@ class _Held:
 
     def __init__(self, model: Model):
         self.model = model
-        self.key = hashlib.sha256(repr((model.languages, model.pieces)).encode() + model.probs.tobytes()).hexdigest()
+        self.key = hashlib.sha256(repr((model.languages, list(model.pieces))).encode() + model.probs.tobytes()).hexdigest()
 
     def __hash__(self):
         return hash(self.key)
