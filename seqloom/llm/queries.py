@@ -14,39 +14,48 @@ from .common import table
 
 
 def op1_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component. Null texts and texts without words have fingerprint zero and are linked like others; null or repeated doc_ids: see `near_duplicates`."""
     return pivot_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null and empty html give an empty text; see `extract`."""
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with a network that also learns from findings of the table. Null texts are empty; see `find`."""
     docs = table(spark, sf_dir, "documents")
     return secret_network.find(docs, secret_network.trained(secret_network.labelled_findings(docs)))
 
 
 def op4_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others. Null, zero and non-finite vectors take no part; see `search`."""
     return multiprobe_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op5_mixture_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixture, by budgets down a tree of domains, languages and sources. Nulls have places of their own; see `mix`."""
     return mixture_budget.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids stand in the shards, and their checksums, as read back from them. Null texts are empty; see `round_trip`."""
     return wavelet_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and their decoding, as digests. Null texts are empty; see `digests`."""
     return prefix_table.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether these are over the limit. Null texts are empty; see `counts`."""
     return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, failure bits and verdict. Null texts have no words; see `quality`."""
     return rule_ledger.quality(table(spark, sf_dir, "documents"))
 
 
@@ -56,6 +65,7 @@ def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language. Null and letterless texts are `und`; see `languages`."""
     return language_pieces.languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
