@@ -19,7 +19,7 @@ from .rounds import kept
 from .sequences import running
 
 #: Blocks in a block; numbers of the log that one window looks at.
-FAN, SPAN = 16, 65_536
+FAN, SPAN = 8, 65_536
 #: A tag that assigns nothing.
 NOTHING = 100
 

@@ -71,7 +71,7 @@ def test_ranges_equal_a_loop(spark, name, n):
 
 
 def test_rows_grow_with_the_logarithm_of_the_length(spark):
-    """Ranges over almost the whole of a sequence of sixteen million places: 2 parts a level, FAN blocks each."""
+    """Ranges over almost the whole of a sequence of a quarter of a million places: 2 parts a level, FAN blocks each."""
     height = 6
     log = spark.range(50).select(F.col("id").alias("t"), F.lit("update").alias("kind"), F.lit(1).cast("long").alias("tag"), (F.col("id") + 1).alias("l"), (F.lit(ranges.FAN**height - 3) - F.col("id")).alias("r"))
     part, below = ranges._way_down(log, height)
