@@ -7,9 +7,13 @@ definitions: matches are clipped by the largest count in any reference, and the
 from __future__ import annotations
 
 import sys
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from .sequences import running
 
@@ -24,6 +28,8 @@ PARTED = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1
 #: Placeholders of literals and what stands for them.
 LITERALS = (("<NUM_LIT>", "0"), ("<STR_LIT>", ""), ("<CHAR_LIT>", ""))
 TINY = sys.float_info.min
+#: Rows whose words a worker holds at once.
+ROWS = 64
 
 
 def tokens(text: str) -> Column:
@@ -82,36 +88,89 @@ def padded(words: str, n: int, left: str | None = None, right: str | None = None
     return F.concat(sides[0], F.col(words), sides[1])
 
 
-def grams(words: str, most: int) -> Column:
-    """All n-grams up to `most` words as structs (n, gram); none is longer than the words."""
-    return F.expr(f"flatten(transform(sequence(1, {most}), n -> IF(size({words}) < n, array(), transform(sequence(1, size({words}) - n + 1), i -> named_struct('n', n, 'gram', array_join(slice({words}, i, n), ' '))))))")
+def _shared(hypotheses: list[list[str]], references: list[dict], most: int, each: bool) -> Iterator[tuple]:
+    """ref, n, gram, h, r of every n-gram that both sides have; if not `each`, ref is None and r the largest count in any reference."""
+    for n in range(1, most + 1):
+        said = lambda words: map(" ".join, zip(*(words[i:] for i in range(n))))  # noqa: E731, B023
+        counts: dict = {}
+        for x in references:
+            counts.setdefault(x["ref"], Counter()).update(said(x["reference"] or []))
+        known = set().union(*counts.values())
+        h = Counter(g for words in hypotheses for g in said(words or []) if g in known)
+        if not h:
+            return  # a longer shared n-gram would hold a shared one of this length
+        if each:
+            yield from ((ref, n, g, h[g], times) for ref, r in counts.items() for g, times in r.items() if g in h)
+        else:
+            yield from ((None, n, g, times, max(r[g] for r in counts.values())) for g, times in h.items())
 
 
-def ngrams(rows: DataFrame, key: list[str], words: str, most: int = 4) -> DataFrame:
-    """key, n, gram, times: the counts of all n-grams up to `most` words."""
-    return rows.select(*key, F.explode(grams(words, most)).alias("g")).groupBy(*key, "g.n", "g.gram").agg(F.count("*").alias("times"))
+def shared(rows: DataFrame, key: str, most: int = 4, each: bool = False) -> DataFrame:
+    """key, n, gram, h, r (and ref, if `each`) of the n-grams that the hypotheses and references of `rows` (of `together`) share.
+
+    They are counted where the row lies, so that no n-gram of a hypothesis alone moves. Rows that share a key have the same references; their counts add up.
+    """
+    ref = rows.schema["references"].dataType.elementType["ref"].dataType
+    out = StructType([rows.schema[key], StructField("ref", ref), StructField("n", IntegerType()), StructField("gram", StringType()), StructField("h", LongType()), StructField("r", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                found = [(i, *x) for i, (h, r) in enumerate(zip(some.column(1).to_pylist(), some.column(2).to_pylist())) for x in _shared(h, r, most, each)]
+                owner, *columns = zip(*found) if found else [[]] * 6
+                kinds = (some.schema.field(2).type.value_type.field("ref").type, pa.int32(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=out.names)
+
+    names = [key, "ref", "n", "gram"] if each else [key, "n", "gram"]
+    return rows.select(key, "hypotheses", "references").mapInArrow(count, out).groupBy(*names).agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+
+
+def together(hypotheses: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """One row a key that both have: hypotheses (arrays of words) and references (ref and reference)."""
+    h = hypotheses.groupBy(key).agg(F.collect_list("hypothesis").alias("hypotheses"))
+    return h.join(references.groupBy(key).agg(F.collect_list(F.struct("ref", F.coalesce("reference", F.array().cast("array<string>")).alias("reference"))).alias("references")), key)
+
+
+def possible(words: str | Column, n: Column | int) -> Column:
+    """How many n-grams an array of words has; none, if null."""
+    return F.greatest(F.coalesce(F.size(words), F.lit(0)) - n + 1, F.lit(0)).cast("long")
 
 
 def matches(pairs: DataFrame, key: str, most: int = 4) -> DataFrame:
-    """key, n, matched (clipped), possible (of the hypothesis), wanted (of the reference) for pairs (key, reference, hypothesis as token arrays)."""
-    h = ngrams(pairs, [key], "hypothesis", most).withColumnRenamed("times", "h")
-    r = ngrams(pairs, [key], "reference", most).withColumnRenamed("times", "r")
-    both = h.join(r, [key, "n", "gram"], "full").select(key, "n", F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("r", F.lit(0)).alias("r"))
-    return both.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("possible"), F.sum("r").alias("wanted"))
+    """key, n, matched (clipped), possible (of the hypothesis), wanted (of the reference) for pairs (key, reference, hypothesis as token arrays).
+
+    Pairs that share a key have the same reference; their counts add up.
+    """
+    n = F.col("n")
+    whole = pairs.select(key, "hypothesis", "reference", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).select(key, "n", F.lit(0).cast("long").alias("matched"), possible("hypothesis", n).alias("possible"), possible("reference", n).alias("wanted"))
+    rows = pairs.select(key, F.array("hypothesis").alias("hypotheses"), F.array(F.struct(F.lit(0).alias("ref"), "reference")).alias("references"))
+    met = shared(rows, key, most).select(key, "n", F.least("h", "r").alias("matched"), F.lit(0).cast("long").alias("possible"), F.lit(0).cast("long").alias("wanted"))
+    return whole.where("possible > 0 OR wanted > 0").union(met).groupBy(key, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "possible", "wanted")])
+
+
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    """key, hyp_len and the lengths of the references, one row a hypothesis and reference."""
+    one = rows.select(key, F.explode("hypotheses").alias("_h"), "references").select(key, F.size("_h").cast("long").alias("hyp_len"), F.explode("references").alias("_r"))
+    return one.select(key, "hyp_len", F.size("_r.reference").cast("long").alias("n"))
 
 
 def bleu_parts(hypotheses: DataFrame, references: DataFrame, key: str, most: int = 5) -> DataFrame:
     """One row for each of `hypotheses` (key, hypothesis): m1.. (matches), g1.. (n-grams), hyp_len, ref_len (closest), ref_min (shortest).
 
-    references: (key, ref, reference), any number of refs a key; a key without any has no row. Counts of each key meet by n-gram, never a whole corpus.
+    references: (key, ref, reference), any number of refs a key; a key without any has no row. Words of each key meet once, never a whole corpus.
     """
-    h = ngrams(hypotheses, [key], "hypothesis", most).withColumnRenamed("times", "h")
-    r = ngrams(references, [key, "ref"], "reference", most).groupBy(key, "n", "gram").agg(F.max("times").alias("r"))
-    at = lambda i, c: F.sum(F.when(F.col("n") == i, c).otherwise(0))
-    counts = h.join(r, [key, "n", "gram"], "left").groupBy(key).agg(*[at(i, F.least("h", F.coalesce("r", F.lit(0)))).alias(f"m{i}") for i in range(1, most + 1)], *[at(i, F.col("h")).alias(f"g{i}") for i in range(1, most + 1)])
-    sizes = hypotheses.select(key, F.size("hypothesis").cast("long").alias("hyp_len")).join(references.select(key, F.size("reference").cast("long").alias("n")), key)
+    return bleu_parts_of(together(hypotheses, references, key), key, most)
+
+
+def bleu_parts_of(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """`bleu_parts` of rows that hold both sides, as `together` makes them."""
+    orders, zero = range(1, most + 1), F.lit(0).cast("long")
+    met = shared(rows, key, most).select(key, *[F.when(F.col("n") == i, F.least("h", "r")).otherwise(zero).alias(f"m{i}") for i in orders], *[zero.alias(f"g{i}") for i in orders])
+    own = rows.select(key, F.explode("hypotheses").alias("_h")).select(key, *[zero.alias(f"m{i}") for i in orders], *[possible("_h", i).alias(f"g{i}") for i in orders])
+    counts = own.union(met).groupBy(key).agg(*[F.sum(c).alias(c) for c in met.columns if c != key])
     closest = F.min(F.struct(F.abs(F.col("n") - F.col("hyp_len")), "n"))["n"]
-    return sizes.groupBy(key, "hyp_len").agg(closest.alias("ref_len"), F.min("n").alias("ref_min")).join(counts, key, "left").na.fill(0)
+    return _sizes(rows, key).groupBy(key, "hyp_len").agg(closest.alias("ref_len"), F.min("n").alias("ref_min")).join(counts, key, "left").na.fill(0)
 
 
 def summed(parts: DataFrame) -> DataFrame:
@@ -198,17 +257,21 @@ def file_bleu(spark: SparkSession, references: list[str], hypotheses: str, added
 
 def recall_parts(hypotheses: DataFrame, references: DataFrame, key: str, keywords: list[str] = KEYWORDS, light: float = 0.2, most: int = 4) -> DataFrame:
     """As bleu_parts, with recalls: m1.. are reference n-grams found, g1.. all of them (at least 1 a reference), summed over references; single words weigh 1 if they are keywords, else `light`."""
-    h = ngrams(hypotheses, [key], "hypothesis", most).withColumnRenamed("times", "h")
-    r = ngrams(references, [key, "ref"], "reference", most)
+    return recall_parts_of(together(hypotheses, references, key), key, keywords, light, most)
+
+
+def recall_parts_of(rows: DataFrame, key: str, keywords: list[str] = KEYWORDS, light: float = 0.2, most: int = 4) -> DataFrame:
+    """`recall_parts` of rows that hold both sides, as `together` makes them."""
     weight = F.when(F.col("n") > 1, 1.0).when(F.col("gram").isin(keywords), 1.0).otherwise(light)
-    each = r.join(h, [key, "n", "gram"], "left").groupBy(key, "ref", "n").agg(F.sum(weight * F.least(F.coalesce("h", F.lit(0)), "times")).alias("m"), F.greatest(F.lit(1.0), F.sum(weight * F.col("times"))).alias("g"))
-    orders = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")
-    full = references.select(key, "ref", orders).join(each, [key, "ref", "n"], "left").na.fill({"m": 0.0, "g": 1.0})
+    met = shared(rows, key, most, each=True).select(key, "ref", "n", (weight * F.least("h", "r")).alias("m"), F.lit(0.0).alias("g"))
+    heavy = F.size(F.filter("reference", lambda w: w.isin(keywords)))
+    of = F.when(F.col("n") > 1, possible("reference", F.col("n")).cast("double")).otherwise(F.coalesce(heavy + light * (F.size("reference") - heavy), F.lit(0.0)))
+    each = rows.select(key, F.explode("references").alias("_r")).select(key, "_r.ref", "_r.reference", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).select(key, "ref", "n", F.lit(0.0).alias("m"), of.alias("g"))
+    full = each.union(met).groupBy(key, "ref", "n").agg(F.sum("m").alias("m"), F.greatest(F.lit(1.0), F.sum("g")).alias("g"))
     at = lambda i, c: F.sum(F.when(F.col("n") == i, F.col(c)))
     sums = full.groupBy(key).agg(*[at(i, "m").alias(f"m{i}") for i in range(1, most + 1)], *[at(i, "g").alias(f"g{i}") for i in range(1, most + 1)])
-    sizes = hypotheses.select(key, F.size("hypothesis").cast("long").alias("hyp_len")).join(references.select(key, F.size("reference").cast("long").alias("n")), key)
     closest = F.min(F.struct(F.abs(F.col("n") - F.col("hyp_len")), "n"))["n"]
-    return sizes.groupBy(key, "hyp_len").agg(closest.alias("ref_len")).join(sums, key)
+    return _sizes(rows, key).groupBy(key, "hyp_len").agg(closest.alias("ref_len")).join(sums, key)
 
 
 def recall_score(most: int = 4, epsilon: float = 0.1) -> Column:

@@ -287,3 +287,23 @@ def test_files_are_scored(spark, tmp_path):
     size, short = (sum(c[j] for c in all_counts) for j in (2, 4))
     assert (got["hyp_len"], got["ref_min"]) == (size, short)
     assert got["bleu"] == pytest.approx((1 if size > short else math.exp(1 - short / size)) * math.exp(log_mean([a / b for a, b in zip(m, g)])))
+
+
+def test_only_shared_ngrams_move(spark):
+    words = [f"w{i}" for i in range(500)]
+    rows = spark.createDataFrame([(1, [words], [(0, ["w1", "w2", "x"]), (1, ["w9", "w9"])]), (2, [["a"], ["a", "b"]], [(0, ["a", "a", "a"])]), (3, [None], [(0, [])])], "k long, hypotheses array<array<string>>, references array<struct<ref: int, reference: array<string>>>")
+    assert {tuple(r) for r in S.shared(rows, "k").collect()} == {(1, 1, "w1", 1, 1), (1, 1, "w2", 1, 1), (1, 1, "w9", 1, 2), (1, 2, "w1 w2", 1, 1), (2, 1, "a", 2, 3)}
+
+
+def test_documents_of_one_id_count_once_each(spark, tmp_path):
+    import duckdb
+
+    from seqloom.plans import scoring
+
+    spark.createDataFrame([(5, "a b c a b"), (7, "b b c d")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, "a b c"), (2, "a a b c d"), (3, "b c d, e"), (3, ""), (4, "A B c a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {tuple(r) for r in scoring.ngram_matches(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(scoring.ORACLES["ngram_matches"]).fetchall())
