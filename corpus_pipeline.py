@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-copies (five-word shingles, similarity of 0.8 or more), that of the smallest doc_id."""
+    """Keeps one document of each group, that of the smallest doc_id: texts whose SimHash fingerprints are within two bits, and near-copies (five-word shingles, similarity of 0.8 or more)."""
     return pivot_simhash.first_of_each(docs)
 
 

@@ -128,9 +128,23 @@ def _mark() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _print_links(texts: DataFrame) -> DataFrame:
+    """(src, dst) edges between the marks of `texts` (mark, text) that give the components of all fingerprints within two bits."""
+    prints = common.checkpointed(fingerprints(texts.select(F.col("mark").alias("doc_id"), "text")).distinct())
+    heads = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    same = common.named(prints, heads, "fp").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).where("src != dst")
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
+    across = links(heads).join(of("src"), "src").join(of("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    return same.union(across)
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text) and label (which names the component) of every row of `docs`: the near-copies of `shingle_sets`, not of the thin op1 query."""
-    labels = common.checkpointed(connected(shingle_sets.links(docs.select(_mark().alias("mark"), "text"))))
+    """doc_id, mark (a hash of the text) and label (which names the component) of every row of `docs`.
+
+    Texts are linked whose fingerprints are within two bits (by the pivot tables, as in op1), and also near-copies by `shingle_sets`, which fingerprints miss.
+    """
+    texts = docs.select(_mark().alias("mark"), "text")
+    labels = common.checkpointed(connected(_print_links(texts).union(shingle_sets.links(texts))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     return common.checkpointed(rows.join(labels, rows["mark"] == labels["node"], "left").select("doc_id", "mark", F.coalesce("label", "mark").alias("label")))
 

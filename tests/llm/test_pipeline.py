@@ -86,6 +86,14 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(set(heads.values()))
 
 
+def test_near_dedup_links_fingerprints(spark):
+    """Texts of one fingerprint whose five-word shingles differ are one group."""
+    texts = ["spam spam spam", "spam spam spam spam", "other words stand here"]
+    assert pivot_simhash.fingerprint(texts[0]) == pivot_simhash.fingerprint(texts[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("chunk", [4, 256])
 def test_large_groups_of_near_copies(spark, chunk, monkeypatch):
     """Chunks that meet pairwise give the components of all pairs."""
