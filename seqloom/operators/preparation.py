@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rounds import met
 from .sequences import numbered, running
 
 #: Ids of a block, at least; blocks of a table, about.
@@ -126,7 +127,7 @@ def parsed_trees(rows: DataFrame, key: list[str], text: str, mark: str = "\U0001
 def leaves_as_text(nodes: DataFrame, key: list[str]) -> DataFrame:
     """key and the names of a tree's leaves, in order."""
     inner = nodes.where("parent IS NOT NULL").select(*key, F.col("parent").alias("node")).distinct()
-    found = nodes.join(inner, [*key, "node"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("node", "name"))).alias("_l"))
+    found = met(nodes, inner, [*key, "node"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("node", "name"))).alias("_l"))
     return found.select(*key, F.array_join("_l.name", " ").alias("text"))
 
 
@@ -135,17 +136,18 @@ def unfolded(nodes: DataFrame, key: list[str]) -> DataFrame:
     the root) and that of the last rule below it. Places are counted by the inner nodes before a node.
     """
     children = nodes.where("parent IS NOT NULL").groupBy(*key, F.col("parent").alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "name"))).alias("_c"))
-    inner = nodes.join(children, [*key, "node"]).withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("node")) - 1)
+    inner = met(nodes, children, [*key, "node"]).withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("node")) - 1)
     rules = inner.select(*key, "node", "parent", "at", F.concat("name", F.lit(" -> "), F.array_join("_c.name", " ")).alias("rule"))
     fathers = rules.select(*key, F.col("node").alias("parent"), F.col("at").alias("father"))
     # a subtree ends before the next node in pre-order that is no deeper: walk up from each inner node once
     reach = rules.select(*key, "node", "parent", F.col("at").alias("last"))
     step, out = reach, reach.select(*key, "node", "last")
     while not step.where("parent IS NOT NULL").isEmpty():
-        step = step.where("parent IS NOT NULL").select(*key, F.col("parent").alias("node"), "last").groupBy(*key, "node").agg(F.max("last").alias("last")).join(nodes.select(*key, "node", "parent"), [*key, "node"])
+        step = step.where("parent IS NOT NULL").select(*key, F.col("parent").alias("node"), "last").groupBy(*key, "node").agg(F.max("last").alias("last"))
+        step = met(step, nodes.select(*key, "node", "parent"), [*key, "node"])
         out = out.union(step.select(*key, "node", "last"))
     ends = out.groupBy(*key, "node").agg(F.max("last").alias("last"))
-    return rules.join(fathers, [*key, "parent"], "left").join(ends, [*key, "node"]).select(*key, "at", "rule", F.coalesce("father", F.lit(-1)).alias("father"), "last")
+    return met(met(rules, fathers, [*key, "parent"], "left"), ends, [*key, "node"]).select(*key, "at", "rule", F.coalesce("father", F.lit(-1)).alias("father"), "last")
 
 
 def context_of(text: str) -> Column:

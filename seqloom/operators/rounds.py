@@ -16,3 +16,8 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-rounds-"))
     return df.checkpoint(eager=True)
+
+
+def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle and sort. Sizes of exploded and kept tables are guessed too low; a broadcast of one would go through the driver whole."""
+    return left.join(right.hint("merge"), on, how)

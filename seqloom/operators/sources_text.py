@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .rounds import kept
+from .rounds import kept, met
 from .scoring import SPACES, without_comments
 
 #: The ends of names of terminals and inner nodes, and the sign of a word's start in terminals.
@@ -26,7 +26,7 @@ def ancestors(nodes: DataFrame, key: list[str]) -> DataFrame:
     now = kept(nodes.select(*key, "node", F.col("parent").alias("_up"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")).alias("path")))
     while not now.where("_up IS NOT NULL").isEmpty():
         over = now.select(*key, F.col("node").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_more"))
-        now = kept(now.join(over, [*key, "_up"], "left").select(*key, "node", F.col("_next").alias("_up"), F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more")).alias("path")))
+        now = kept(met(now, over, [*key, "_up"], "left").select(*key, "node", F.col("_next").alias("_up"), F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more")).alias("path")))
     return now.drop("_up")
 
 
@@ -38,18 +38,18 @@ def source_text(nodes: DataFrame, key: list[str]) -> DataFrame:
     """
     name = F.col("name")
     named = nodes.select(*key, F.col("node").alias("parent"), name.alias("_of"))
-    placed = kept(nodes.join(named, [*key, "parent"], "left").withColumn("_i", F.row_number().over(Window.partitionBy(*key, "parent").orderBy("node")) - 1))
+    placed = kept(met(nodes, named, [*key, "parent"], "left").withColumn("_i", F.row_number().over(Window.partitionBy(*key, "parent").orderBy("node")) - 1))
     kids = placed.where("parent IS NOT NULL").groupBy(*key, F.col("parent").alias("node")).agg(F.count("*").alias("_n"), F.min_by("name", "node").alias("_first"), F.max_by("name", "node").alias("_last"), F.max("node").alias("_last_node"), F.array_sort(F.collect_list(F.struct("node", "name"))).alias("_kids"))
-    whole = placed.join(kids, [*key, "node"], "left")
+    whole = met(placed, kids, [*key, "node"], "left")
     # a for statement whose third child ends with a declaration
     ends = whole.select(*key, F.col("node").alias("_last_node"), F.col("_last").alias("_inner"))
-    thirds = whole.where((F.col("_i") == 2) & F.col("_of").contains("for_statement") & ~F.col("_of").contains("enhance")).join(ends, [*key, "_last_node"]).where(F.col("_inner") == f"local_variable_declaration{INNER}").select(*key, "parent")
-    dropped = placed.where("_i = 3").join(thirds, [*key, "parent"], "left_semi").select(*key, "node")
+    thirds = met(whole.where((F.col("_i") == 2) & F.col("_of").contains("for_statement") & ~F.col("_of").contains("enhance")), ends, [*key, "_last_node"]).where(F.col("_inner") == f"local_variable_declaration{INNER}").select(*key, "parent")
+    dropped = met(placed.where("_i = 3"), thirds, [*key, "parent"], "left_semi").select(*key, "node")
     is_word = name.isin([w + INNER for w in WORDS])
     gone = dropped.select(*key, F.col("node").alias("_above")).unionByName(whole.where(is_word).select(*key, F.col("node").alias("_above")))
     above = kept(ancestors(nodes, key))
-    hidden = above.select(*key, "node", F.explode("path").alias("_above")).join(gone, [*key, "_above"], "left_semi").select(*key, "node").union(dropped).distinct()
-    shown = whole.join(hidden, [*key, "node"], "left_anti")
+    hidden = met(above.select(*key, "node", F.explode("path").alias("_above")), gone, [*key, "_above"], "left_semi").select(*key, "node").union(dropped).distinct()
+    shown = met(whole, hidden, [*key, "node"], "left_anti")
     kind = F.when(name.contains("for_statement") & ~name.contains("enhance"), None)
     for i, (part, *_) in enumerate(BRACKETS):
         fits = name.contains(part)
@@ -62,10 +62,10 @@ def source_text(nodes: DataFrame, key: list[str]) -> DataFrame:
     shown = kept(shown.withColumn("_kind", F.when(~is_word, kind).cast("int")))
     depth = above.select(*key, "node", F.size("path").alias("_depth"))
     reach = above.select(*key, F.col("node").alias("_below"), F.explode("path").alias("node")).groupBy(*key, "node").agg(F.max("_below").alias("_reach"))
-    around = shown.where("_kind IS NOT NULL").join(depth, [*key, "node"]).join(reach, [*key, "node"], "left")
+    around = met(met(shown.where("_kind IS NOT NULL"), depth, [*key, "node"]), reach, [*key, "node"], "left")
     token = lambda rows, at, phase, turn, text: rows.select(*key, F.struct(at.cast("long").alias("at"), F.lit(phase).alias("phase"), turn.cast("int").alias("turn"), text.alias("text")).alias("_t"))
     zero, node = F.lit(0), F.col("node")
-    commas = shown.where("_i > 0").join(around.select(*key, node.alias("parent"), F.col("_kind").alias("_around")), [*key, "parent"])
+    commas = met(shown.where("_i > 0"), around.select(*key, node.alias("parent"), F.col("_kind").alias("_around")), [*key, "parent"])
     cut = lambda c: F.substring(c, F.lit(1), F.greatest(F.length(c) - len(TERMINAL), F.lit(0)))
     joined = F.array_join(F.transform("_kids", lambda k: cut(k["name"])), "")
     text = F.when(is_word, F.coalesce(joined, F.lit(""))).otherwise(cut(name))

@@ -75,3 +75,11 @@ def test_comments_by_language(spark, language):
     rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)] + [(99, None)], "i int, s string")
     got = {r["i"]: r["t"] for r in rows.select("i", T.without_comments_of("s", language).alias("t")).collect()}
     assert got == {i: w for i, (_, w) in enumerate(cases)} | {99: None}
+
+
+def test_no_table_of_nodes_is_broadcast(spark):
+    """However low the size of exploded trees is guessed."""
+    nodes = preparation.parsed_trees(spark.createDataFrame([(1, "block_blind🚀a_ter🚀^🚀^🚀")], "k long, tree string"), ["k"], "tree")
+    text = T.source_text(nodes, ["k"])
+    assert [tuple(r) for r in text.collect()] == [(1, "{ a }")]
+    assert "Broadcast" not in text._jdf.queryExecution().executedPlan().toString()
