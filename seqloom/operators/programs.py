@@ -17,6 +17,8 @@ OPENERS, MARKS = ("if", "while"), ("if", "while", "else", "end")
 WIDE = 1000
 #: Blocks that a definition passes in one round.
 HOPS = 8
+#: Steps of a task, about: it sorts them several ways.
+STEPS = 100_000
 
 
 def _rows(steps: DataFrame, key: list[str]) -> DataFrame:
@@ -30,15 +32,22 @@ def _rows(steps: DataFrame, key: list[str]) -> DataFrame:
     return lost.withColumn("level", level).withColumn("kind", F.when(F.col("_lost"), "skip").otherwise(F.col("kind"))).drop("_sum", "_lost")
 
 
+def dealt(steps: DataFrame, key: list[str]) -> DataFrame:
+    """`steps` with whole programs in so many tasks that each has about STEPS, however many there are."""
+    usual = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(steps.repartition(max(usual, -(-steps.count() // STEPS)), *key))
+
+
 def structured(steps: DataFrame, key: list[str]) -> DataFrame:
     """`steps`, with an `end` for each block left open, and level, block (straight stretch, or a mark by itself), parent (at of the block around, null outside), opener and opener_kind (of
     marks), close_block and next_block. An `else` that is not the first of an `if` becomes a skip.
     """
+    steps = dealt(steps, key)
     rows = _rows(steps, key)
     still = F.col("level") - (F.col("kind") == "end").cast("int")
     left = rows.groupBy(*key).agg(F.max_by(still, "at").alias("_n"), F.max("at").alias("_last")).where("_n > 0")
     ends = left.select(*key, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"), "_last").select(*key, (F.col("_last") + F.col("_i")).alias("at"), F.lit("end").alias("kind"), F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("uses"))
-    rows = _rows(steps.unionByName(ends), key)
+    rows = kept(_rows(dealt(steps.unionByName(ends), key), key))
     opens = F.col("kind").isin(*OPENERS)
     by_level = Window.partitionBy(*key, "level", F.col("kind").isin(*MARKS)).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(F.when(opens, F.col(c)), ignorenulls=True).over(by_level)
@@ -51,6 +60,7 @@ def structured(steps: DataFrame, key: list[str]) -> DataFrame:
     rows = rows.withColumn("block", (2 * F.sum(mark.cast("long")).over(w) - mark.cast("long")))
     follow = Window.partitionBy(*key, "level", mark).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("next_block", F.lead("block").over(w)).withColumn("close_block", F.when(mark, F.first(F.when(F.col("kind") == "end", F.col("block")), ignorenulls=True).over(follow)))
+    rows = kept(rows)
     # what a step lies in: the last opener of its level, or of the level above if it is an opener itself
     openers = rows.where(opens).select(*key, "at", F.col("level").alias("_level"), F.col("at").alias("_open"))
     inside = rows.select(*key, "at", (F.col("level") - opens.cast("int")).alias("_level"), F.lit(None).cast("long").alias("_open"))

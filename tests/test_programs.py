@@ -190,3 +190,10 @@ def test_no_steps(spark):
 
 def test_code_score_weighs_four_matches(spark):
     assert spark.range(1).select(scoring.code_score(*[F.lit(x) for x in (0.4, 0.2, 1.0, 0.0)], weights=(0.1, 0.2, 0.3, 0.4)).alias("s")).first()["s"] == pytest.approx(0.38)
+
+
+def test_tasks_grow_with_the_steps(spark, monkeypatch):
+    monkeypatch.setattr(P, "STEPS", 10)
+    steps = spark.range(200).select((F.col("id") % 50).alias("program"), F.col("id").alias("at"), F.lit("call").alias("kind"), F.lit(None).cast("string").alias("name"), F.array(F.lit("a")).alias("uses"))
+    parts = P.dealt(steps, ["program"]).select("program", F.spark_partition_id().alias("part")).distinct()
+    assert parts.count() == 50 and parts.select("part").distinct().count() > 4  # each program whole; more tasks than the session's partitions
