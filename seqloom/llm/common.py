@@ -65,6 +65,23 @@ def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(few), key).unionByName(rest.join(names, key))
 
 
+#: Words of 64 bits in the bit table of `likely`, a power of two; it is the most that goes to workers.
+BIT_WORDS = 1 << 17
+
+
+def likely(rows: DataFrame, marks: DataFrame, mark: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` in two parts: those whose `mark` (a hashed long) may be in the column of that name of `marks`, and those where it surely isn't.
+
+    Each mark sets one bit of a table of bounded size, which goes to the workers, so no row is moved. The more marks, the more rows of the first part are there by chance.
+    """
+    at, bit = F.shiftrightunsigned(mark, 6).bitwiseAND(F.lit(BIT_WORDS - 1)), F.expr(f"shiftleft(1L, CAST({mark} & 63 AS INT))")
+    place, word = free_name(rows, "_place"), free_name(rows, "_word")
+    bits = F.broadcast(checkpointed(marks.select(at.alias(place), bit.alias(word)).groupBy(place).agg(F.bit_or(word).alias(word))))
+    beside = rows.withColumn(place, at).join(bits, place, "left")
+    hit = F.coalesce(F.col(word), F.lit(0)).bitwiseAND(bit) != 0
+    return beside.where(hit).drop(place, word), beside.where(~hit).drop(place, word)
+
+
 #: Rows of which a table may be broadcast after they have been counted.
 BROADCAST_ROWS = 100_000
 

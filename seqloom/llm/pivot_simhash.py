@@ -159,7 +159,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component of `docs`, unchanged: that of the smallest doc_id, rows without one last.
 
     Of rows that share a doc_id, or have none, each component still has its own: rows are told apart by their texts. Of
-    rows with equal doc_id and text one stays. Rows travel as one struct, so no column of `docs` can clash with those made here.
+    rows with equal doc_id and text one stays. Rows travel as one struct, so no column of `docs` can clash with those made here;
+    those that are surely a component of their own don't travel.
     """
     found = _labelled(docs.select("doc_id", "text"))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark"))
@@ -167,7 +168,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     times = found.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
     chosen = heads.join(times, heads["id"].eqNullSafe(times["doc_id"]) & (heads["mark"] == times["mark"])).select(heads["id"], heads["mark"], "n")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), _mark().alias("own_mark"))
-    joined = rows.join(chosen, (rows["own_mark"] == chosen["mark"]) & rows["own_id"].eqNullSafe(chosen["id"])).select("row", "id", "mark", "n")
+    linked = found.where("label != mark").select(F.explode(F.array("mark", "label")).alias("own_mark")).union(found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    several_of, alone = common.likely(rows, linked, "own_mark")
+    joined = several_of.join(chosen, (several_of["own_mark"] == chosen["mark"]) & several_of["own_id"].eqNullSafe(chosen["id"])).select("row", "id", "mark", "n")
     one = Window.partitionBy("id", "mark").orderBy(*[F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] or ["mark"])
     several = joined.where("n > 1").withColumn("k", F.row_number().over(one)).where("k = 1")
-    return joined.where("n = 1").select("row.*").union(several.select("row.*"))
+    return alone.select("row.*").union(joined.where("n = 1").select("row.*")).union(several.select("row.*"))

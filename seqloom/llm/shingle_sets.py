@@ -155,7 +155,9 @@ def links(texts: DataFrame) -> DataFrame:
     cells = spread.groupBy("cell").agg(F.count("*").alias("n"), F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.bit_xor(F.xxhash64("mark")).alias("x")).where("n > 1")
     once = cells.groupBy("n", "lo", "hi", "x").agg(F.min("cell").alias("cell")).select("cell", "n")
     members = common.checkpointed(spread.join(once, "cell"))
-    sets = common.per_batch(texts.join(members.select("mark").distinct(), "mark", "left_semi"), "mark long, set binary", whole).dropDuplicates(["mark"])
+    marks = members.select("mark").distinct()
+    near = common.likely(texts, marks, "mark")[0]  # most texts share no band, and stay where they are
+    sets = common.per_batch(near.join(marks, "mark", "left_semi"), "mark long, set binary", whole).dropDuplicates(["mark"])
     parted = members.join(sets, "mark").withColumn("parts", F.ceil(F.col("n") / CHUNK)).withColumn("part", F.pmod(F.xxhash64("mark"), "parts"))
     chunks = common.checkpointed(parted.groupBy("cell", "parts", "part").agg(F.collect_list(F.struct("mark", "set")).alias("v")).select("cell", "parts", "part", F.col("v.mark").alias("marks"), F.col("v.set").alias("sets")))
     within = chunks.where("parts = 1").select("marks", "sets").mapInArrow(compare, "src long, dst long")

@@ -142,3 +142,24 @@ def test_main_components_of_chunks():
     """Of the members of a large cell only those outside the main component of its first chunk are compared with all others."""
     assert shingle_sets._labels(6, [(0, 2), (2, 4), (5, 1)]) == [0, 1, 0, 3, 0, 1]
     assert shingle_sets._main(5, [(1, 2), (3, 4)]) == 1 and shingle_sets._main(3, []) == 0 and shingle_sets._main(4, [(1, 3), (3, 2)]) == 1
+
+
+def test_texts_without_near_copies_stay_where_they_are(spark):
+    """Few bytes are shuffled of texts that are alone (twice the texts when all of them travelled); the copies among them are found all the same."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1000)) for _ in range(200)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[7], texts[9] + " and more"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    written = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    kept = sorted(r["doc_id"] for r in pivot_simhash.first_of_each(docs).select("doc_id").collect())
+    assert kept == list(range(200)) and written() - before < sum(map(len, texts)) / 4
+
+
+def test_likely_parts_hold_each_row_once(spark):
+    rows, marks = spark.range(5000).select(F.xxhash64("id").alias("m"), "id"), spark.range(100).select(F.xxhash64("id").alias("m"))
+    some, rest = pivot_simhash.common.likely(rows, marks, "m")
+    found, other = {r["id"] for r in some.collect()}, {r["id"] for r in rest.collect()}
+    assert set(range(100)) <= found and len(found) < 110 and found | other == set(range(5000)) and not found & other
+    none, whole = pivot_simhash.common.likely(rows, marks.limit(0), "m")
+    assert none.count() == 0 and whole.count() == 5000
