@@ -89,3 +89,22 @@ def test_no_values_and_no_log(spark):
     tag, _, aggregates = SETS["range_plus"]
     assert ranges.answers(values, log, tag, aggregates).count() == 0
     assert ranges.answers(spark.createDataFrame([(0, 1)], "pos long, x long"), log.limit(0), tag, aggregates).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(SETS))
+def test_leaves_and_blocks_above_them(spark, monkeypatch, name):
+    """Small leaves, so that operations cover blocks at all levels; and few operations in a cut, so that a leaf's are cut."""
+    monkeypatch.setattr(ranges, "LEAF", 4)
+    test_ranges_equal_a_loop(spark, name, 300)
+    monkeypatch.setattr(ranges, "SPAN", 16)
+    test_ranges_equal_a_loop(spark, name, 14)
+
+
+def test_short_ranges_make_a_row_for_each_leaf(spark, monkeypatch):
+    """Each of 200 operations on 20 places makes at most two rows, where it made eight for each of two blocks a level; nothing is kept of blocks that no query covers."""
+    sizes, keep = [], ranges.kept
+    monkeypatch.setattr(ranges, "kept", lambda df: (out := keep(df), sizes.append(out.count()))[0])
+    values = spark.range(20_000).select(F.col("id").alias("pos"), (F.col("id") % 7 - 3).alias("x"))
+    log = spark.range(200).select(F.col("id").alias("op_idx"), F.expr("IF(id % 3 = 0, 'query', 'update')").alias("kind"), (F.col("id") * 97).alias("l"), (F.col("id") * 97 + 19).alias("r"), F.lit(1).cast("long").alias("tag"))
+    tag, _, aggregates = SETS["range_cover"]
+    assert ranges.answers(values, log, tag, aggregates).count() == 67 and max(sizes) <= 400
