@@ -10,6 +10,8 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -285,9 +287,47 @@ def code_score(ngram: Column, weighted: Column, syntax: Column, flow: Column, we
     return sum((w * c for w, c in zip(weights, (ngram, weighted, syntax, flow))), F.lit(0.0))
 
 
+#: Bits of the places of characters that are remembered of a pair of texts.
+MASK_BITS = 1 << 28
+
+
+def edits(a: str, b: str) -> int:
+    """The least number of characters put in, taken out or changed between two texts: a column of the table of distances is kept as two numbers of a bit a row, so that a character of the shorter text is one step."""
+    if len(a) > len(b):
+        a, b = b, a
+    lo, hi = 0, len(a)
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    while hi > lo and a[hi - 1] == b[hi - 1 + len(b) - len(a)]:
+        hi -= 1
+    a, b = a[lo:hi], b[lo : hi + len(b) - len(a)]
+    if not a:
+        return len(b)
+    codes, places = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32), {}
+    whole, top, found = (1 << len(b)) - 1, len(b) - 1, len(b)
+    up, down = whole, 0
+    for c in a:
+        if c not in places:
+            if len(places) * len(b) > MASK_BITS:
+                places.clear()
+            places[c] = int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little")
+        same = places[c]
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (whole & ~(across | up)), up & across
+        found += (more >> top & 1) - (less >> top & 1)
+        more, less = (more << 1 | 1) & whole, less << 1 & whole
+        up, down = less | (whole & ~(same | down | more)), more & (same | down)
+    return found
+
+
+@F.pandas_udf(LongType())
+def _edits_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 for equal texts, less the edits between them for each character of the longer."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return 1 - _edits_udf(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def pass_at(n: str, c: str, k: int) -> Column:
