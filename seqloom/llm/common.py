@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 8_000_000
 #: Bytes of an Arrow batch that are worked on at a time; what a batch is turned into is held for so much of it only.
 SLICE_BYTES = 4_000_000
+#: Spark's setting of the bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +129,13 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """`df` through a function from Arrow batch to Arrow batch, of about SLICE_BYTES (or one row, if longer) at a time."""
+    """`df` through a function from Arrow batch to Arrow batch, of about SLICE_BYTES (or one row, if longer) at a time.
+
+    Unless the session has a size of batches, it gets this one: by rows alone, long texts make batches of tens of megabytes, which an
+    executor holds outside its heap and its worker once more.
+    """
+    if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(work, slices(batches))

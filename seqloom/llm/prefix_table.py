@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -52,15 +53,18 @@ class PrefixTableEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.strip(SPACE).isalpha():
-            return self.inner[chunk]
-        return b"".join(map(self.inner.__getitem__, self.vocabulary.parts(chunk)))
+            return self._part(chunk)
+        first, *rest = self.vocabulary.parts(chunk)
+        # a word before a mark is kept once, as the word
+        start = self.words[first[1:]] if rest and first[0] == SPACE and first[1:].isalpha() else self.inner[first]
+        return start + b"".join(map(self.inner.__getitem__, rest))
 
     def _spaced(self, n: int, word: str) -> bytes:
         """A word after n > 1 spaces. The space beside the word goes to it if they merge; the rest merge among themselves."""
         first = self.vocabulary.pieces(self.vocabulary.parts(SPACE + word)[0])[0]
         if first == SPACE:
-            return self._ids(self.vocabulary.merged(SPACE * n)) + (self._chunk(SPACE + word)[array(self.wide).itemsize :])
-        return self._ids(self.vocabulary.merged(SPACE * (n - 1))) + self._chunk(SPACE + word)
+            return self._ids(self.vocabulary.merged(SPACE * n)) + self.words[word][array(self.wide).itemsize :]
+        return self._ids(self.vocabulary.merged(SPACE * (n - 1))) + self.words[word]
 
     def encode(self, text: str) -> array:
         """Ids without begin and end ids; none for an empty text."""
@@ -119,13 +123,17 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "tok
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(model_path)
         begin, end = e.library.bos_id(), e.library.eos_id()
-        lists, texts = [], []
-        for t in batch.column(text).to_pylist():
-            found = [begin, *e.encode(t or ""), end]
-            lists.append(found)
+        flat, ends, texts = array(e.wide), array("i", [0]), []
+        for t in batch.column(text):
+            found = e.encode(t.as_py() or "")
+            flat.append(begin)
+            flat.extend(found)
+            flat.append(end)
+            ends.append(len(flat))
             if decoded:
-                texts.append(e.decode(found))
-        columns = [batch.column(n) for n in names] + [pa.array(lists, pa.list_(pa.int32()))] + ([pa.array(texts, pa.string())] if decoded else [])
+                texts.append(e.decode([begin, *found, end]))
+        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, e.wide).astype(np.int32)))
+        columns = [batch.column(n) for n in names] + [lists] + ([pa.array(texts, pa.string())] if decoded else [])
         return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return common.per_batch(docs, schema, work)

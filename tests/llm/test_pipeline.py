@@ -3,12 +3,13 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import pivot_simhash, secret_network, shingle_sets
+from seqloom.llm import common, pivot_simhash, prefix_table, secret_network, shingle_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -163,3 +164,20 @@ def test_likely_parts_hold_each_row_once(spark):
     assert set(range(100)) <= found and len(found) < 110 and found | other == set(range(5000)) and not found & other
     none, whole = pivot_simhash.common.likely(rows, marks.limit(0), "m")
     assert none.count() == 0 and whole.count() == 5000
+
+
+def test_encoding_holds_small_batches_and_a_word_once(spark):
+    """Batches reach a worker in parts of a few megabytes (a partition's 20 MB came as one before), and its caches hold a word before a mark once (twice before)."""
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text"))
+
+    def whole(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.column(1).buffers()[2].size])], names=["size"])
+
+    sizes = [r["size"] for r in common.per_batch(docs, "size long", whole).collect()]
+    assert len(sizes) >= 5 and max(sizes) <= 2 * common.SLICE_BYTES
+    e, library = prefix_table.PrefixTableEncoder(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = ["house house, house. (house) house-house", "  house   house, ▁house\nhouse,\n house", "house1 1house ,house é, 日本, 日本"]
+    assert [list(e.encode(t)) for t in texts] == [library.encode(t) for t in texts]
+    assert "house" in e.words and "▁house" not in e.inner
+    rows = prefix_table.encode(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "doc_id long, text string"), P.path("piece_bpe_32k.model"), decoded="back").collect()
+    assert all(r["token_ids"] == [library.bos_id(), *library.encode(r["text"] or ""), library.eos_id()] and r["back"] == library.decode(r["token_ids"]) for r in rows) and len(rows) == 5
