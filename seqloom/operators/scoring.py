@@ -6,9 +6,11 @@ definitions: matches are clipped by the largest count in any reference, and the
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from .sequences import running
 
 #: White space as str.strip and str.split see it.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: The same as ranges of a pattern.
+_BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Reserved words that weigh 1 among 0.2 of the others in the weighted recall.
 KEYWORDS = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while".split()
 #: What text is normalised by before words are counted, in order; marks, and periods, commas and dashes beside digits.
@@ -41,7 +45,7 @@ def tokens(text: str) -> Column:
 
 def split_words(text: str | Column) -> Column:
     """Words between white space of any kind."""
-    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"[^{_BLANK}]+"), F.lit(0))
 
 
 def normal_words(text: str | Column) -> Column:
@@ -57,23 +61,50 @@ def normal_words(text: str | Column) -> Column:
     return split_words(out)
 
 
-#: What program text is cut by, in order.
-CODE_CUTS = (("([^A-Za-z0-9_])", " $1 "), ("([a-z])([A-Z])", "$1 $2"))
+#: A token of program text is a word up to a small letter before a capital one, or a single mark.
+CODE_TOKEN = rf"[A-Z0-9_]++(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)*+|(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)++|[^A-Za-z0-9_{_BLANK}]"
 
 
 def code_tokens(text: str | Column) -> Column:
     """Marks apart, camel case cut, all quotes alike."""
-    out = text
-    for pattern, by in CODE_CUTS:
-        out = F.regexp_replace(out, pattern, by)
-    return split_words(F.translate(out, "\"'", "``"))
+    return F.regexp_extract_all(F.replace(F.replace(text, F.lit('"'), F.lit("`")), F.lit("'"), F.lit("`")), F.lit(CODE_TOKEN), F.lit(0))
+
+
+#: Comments and quoted strings, by what opens them.
+_CLOSED = {"/*": r"/\*[\s\S]*?\*/", "'": r"'(?:[^\\']|\\[\s\S])*+'", '"': r'"(?:[^\\"]|\\[\s\S])*+"'}
+
+
+@cache
+def _marks(kinds: frozenset[str]) -> re.Pattern:
+    """Matches line comments, what `kinds` open, and openers that nothing closes."""
+    return re.compile("|".join([r"//[^\n]*", *(_CLOSED[k] for k in sorted(kinds)), *map(re.escape, sorted(kinds))]))
+
+
+def _code_only(source: str) -> str:
+    """Each opener that nothing closes is looked for once: none of its kind behind it is closed either. So the work grows with the text."""
+    out, at, kinds, more = [], 0, frozenset(_CLOSED), True
+    while more:
+        more, begin = False, at
+        for m in _marks(kinds).finditer(source, begin):
+            found = m[0]
+            if found in kinds:
+                kinds, more = kinds - {found}, True
+            out += [source[at : m.start()], " " if found[0] == "/" and found not in _CLOSED else found]
+            at = m.end()
+            if more:
+                break
+    out.append(source[at:])
+    return "\n".join(line for line in "".join(out).split("\n") if line.strip(SPACES))
+
+
+@F.pandas_udf(StringType())
+def _code_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _code_only(t))
 
 
 def without_comments(text: str | Column) -> Column:
     """Source text with each comment as a space, and without blank lines. Marks inside quoted strings are no comments."""
-    kept = F.regexp_replace(text, r"""//[^\n]*|/\*[\s\S]*?\*/|('(?:\\[\s\S]|[^\\'])*'|"(?:\\[\s\S]|[^\\"])*")""", "$1\u0001")
-    plain = F.translate(F.regexp_replace(kept, "(['\"])\u0001", "$1"), "\u0001", " ")
-    return F.array_join(F.filter(F.split(plain, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""), "\n")
+    return _code_udf(text)
 
 
 def plain_literals(text: str | Column) -> Column:

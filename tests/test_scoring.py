@@ -168,6 +168,20 @@ def test_texts_are_cut_and_cleaned(spark):
     assert (got["both"], got["right"], got["none"]) == (["<", "<", "a", "b", ">", ">"], ["a", "b", ">"], ["a", "b"])
 
 
+def test_comments_of_odd_and_long_texts(spark):
+    """Marks that nothing closes are looked for once (before, each one to the text's end), and quoted strings may have any length (before, a stack overflow)."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab/*\"'\\\n \x01") for _ in range(rng.randint(0, 40))) for _ in range(600)] + ["'// x", "/*/ /**/ /*", "'\\'\\' // a\n\"", "a /* b // c\n 'd' /* */ \" /* \" ' // e"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", S.without_comments("t").alias("c"), S.code_tokens("t").alias("code")).collect()
+    assert len(got) == len(texts) and all(r["c"] == comments_out(r["t"]) for r in got)
+    n = 200_000
+    long = [("'" + "a" * n + "' // b", "'" + "a" * n + "'  "), ('x " /* ' * n, 'x " /* ' * n), ("/* " * n + "\\'" * n + "// c", "/* " * n + "\\'" * n + " ")]
+    began = time.time()
+    rows = spark.createDataFrame(long, "t string, want string").select("want", S.without_comments("t").alias("c")).collect()
+    assert [r["c"] for r in rows] == [r["want"] for r in rows] and time.time() - began < 30
+
+
 def test_queries_of_scores(spark):
     rows = catalog.ALONE["sentence_scores"](spark, SF).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
