@@ -82,8 +82,14 @@ _TERMS: dict[str, tuple] = {
 }
 
 
+#: Parts that a task runs the programs on: a fraction of a millisecond each, far more than moving its row costs.
+ROWS = 4096
+
+
 def program_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*_SPARK)
+    """Programs of parts. A file's rows, small as they are, come in few tasks; so they are dealt out again by their number."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice", "p_name", "p_brand")
+    rows = parts.repartition(max(1, -(-parts.count() // ROWS))).selectExpr(*_SPARK)
     return rows.select("p_partkey", *[column(t, PROGRAM).alias(n) for n, t in _TERMS.items()])
 
 

@@ -1,9 +1,12 @@
 """Typed programs run by the engine against the same programs in Python."""
 
+import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.terms import HOLES, Program, column, result
+from seqloom.plans import scalars
 
 INT, INTS = ("TyInt",), ("TyArray", ("TyInt",))
 
@@ -110,3 +113,17 @@ def test_terms_of_columns(rows):
         assert r["q"] == int(r["n"] / (r["m"] + 1)) and r["r"] == r["n"] - r["q"] * (r["m"] + 1) and r["c"] == ~r["n"] and r["s"] == r["m"] >> 1 and r["null"] is None and r["yes"] and r["none"] == []
     main = Program(("PgStatement", ("StReturn",)))
     assert rows.select(result(main, "main").alias("x")).where(F.col("x").isNull()).count() == 5
+
+
+def test_programs_of_many_parts_are_dealt_to_tasks(spark, tmp_path):
+    """A file with one group of rows was one task's work."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").drop("p_partkey").crossJoin(spark.range(50))
+    parts.select((F.row_number().over(Window.orderBy("id", "p_name", "p_retailprice"))).cast("long").alias("p_partkey"), "*").drop("id").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = scalars.program_terms(spark, str(tmp_path))
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(counts) == 10_000 and len(counts) == 3 and max(counts) < 4096
+    names = ["p_partkey", "squares", "word", "odds", "gcd", "digits", "divisor", "far", "steps", "bits"]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = db.sql(f"SELECT {', '.join(names)} FROM ({scalars.ORACLES['program_terms']}) ORDER BY p_partkey").fetchall()
+    assert [tuple(r) for r in df.select(*names).orderBy("p_partkey").collect()] == want
