@@ -45,7 +45,7 @@ def tokens(text: str) -> Column:
 
 def split_words(text: str | Column) -> Column:
     """Words between white space of any kind."""
-    return F.regexp_extract_all(text, F.lit(f"[^{_BLANK}]+"), F.lit(0))
+    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
 def normal_words(text: str | Column) -> Column:
@@ -62,7 +62,7 @@ def normal_words(text: str | Column) -> Column:
 
 
 #: A token of program text is a word up to a small letter before a capital one, or a single mark.
-CODE_TOKEN = rf"[A-Z0-9_]++(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)*+|(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)++|[^A-Za-z0-9_{_BLANK}]"
+CODE_TOKEN = rf"[A-Z0-9_]++(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)*+|(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)++|[!-/:-@\[-^`{{-~[^A-Za-z0-9_{_BLANK}]]"
 
 
 def code_tokens(text: str | Column) -> Column:
