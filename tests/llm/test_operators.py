@@ -586,6 +586,25 @@ def test_components_with_heavy_nodes(spark, monkeypatch):
     assert len(got) == 6000 and all(r["name"] == f"n{r['k']}" for r in got) and len({r["i"] for r in got}) == 6000
 
 
+def test_components_take_few_tasks(spark):
+    """The driver keeps a record of each task: a star is seen to be settled without a round, and a round deals its rows out a few times."""
+    star, path = [(i, 0) for i in range(1, 400)], [(1000 + i, 1001 + i) for i in range(30)]
+    rng, tracker, kept = random.Random(4), spark.sparkContext.statusTracker(), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, edges, most in (("no edges", [], 200), ("star", star, 200), ("star and path", rng.sample(star + path, len(star + path)), 1300)):
+            spark.sparkContext.setJobGroup(f"components of {name}", name)
+            label = {r["node"]: r["label"] for r in components.connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
+            assert label == {i: 0 if i < 1000 else 1000 for e in edges for i in e}
+            stages = {i for j in tracker.getJobIdsForGroup(f"components of {name}") for i in tracker.getJobInfo(j).stageIds}
+            assert sum(s.numCompletedTasks for i in stages if (s := tracker.getStageInfo(i))) <= most
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("tag", ["article", "div", "main"])
 def test_titles_before_the_container(tag):
     text = "This paragraph of the article has a good many words in it, and so it is long enough to count as text. " * 4
