@@ -218,7 +218,8 @@ class Encoder:
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         marked = said["model"].get("end_of_word_suffix") == WORD_END
         self.splits = marked and steps[0].get("pattern") == {"Regex": SPLIT} and [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
-        self.ends = {i for p, i in self.library.get_vocab(with_added_tokens=False).items() if p.endswith(WORD_END)}
+        self.ends = np.zeros(1 << 16 if self.kind == "<u2" else 1 + max(self.library.get_vocab(with_added_tokens=True).values()), bool)
+        self.ends[[i for p, i in self.library.get_vocab(with_added_tokens=False).items() if p.endswith(WORD_END)]] = True
         self.added = re.compile("|".join(re.escape(t["content"]) for t in said["added_tokens"]) or "(?!)")
         self.kept: dict[str, bytes] = {}
         self.chars = 0
@@ -237,7 +238,7 @@ class Encoder:
         if not len(cut):
             return []
         units = cut.flatten().dictionary_encode()
-        known = self._learned(units.dictionary.to_pylist(), encoded)
+        known = self._learned(units.dictionary.to_numpy(zero_copy_only=False).tolist(), encoded)  # many times as fast as to_pylist()
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.kind).itemsize
         pool, starts, at = np.frombuffer(b"".join(known), self.kind), np.cumsum(sizes) - sizes, units.indices.to_numpy()
         each = sizes[at]
@@ -262,14 +263,13 @@ class Encoder:
         return (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False))
 
     def _together(self, parts: list[str]) -> Iterable[bytes]:
-        full, found, part = [p for p in parts if p], [], array(self.code)
-        for i in self.library.encode_batch_fast([" ".join(full)], add_special_tokens=False)[0].ids:
-            part.append(i)
-            if i in self.ends:
-                found.append(part.tobytes())
-                part = array(self.code)
-        if len(found) != len(full) or part:
+        full = [p for p in parts if p]
+        ids = np.array(self.library.encode_batch_fast([" ".join(full)], add_special_tokens=False)[0].ids, self.kind)
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) != len(full) or len(ids) != (after[-1] if len(after) else 0):
             return self._each(parts)
+        whole, size, places = ids.tobytes(), ids.itemsize, [0, *after.tolist()]
+        found = [whole[size * lo : size * hi] for lo, hi in zip(places, places[1:])]
         it = iter(found)
         return [next(it) if p else b"" for p in parts]
 

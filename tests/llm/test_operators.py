@@ -803,3 +803,22 @@ def test_many_languages_are_all_learned(spark, monkeypatch):
     some = rng.sample(sorted(own), 40)
     got = language_pieces.Scorer(model).predict([" ".join(own[lang] * 3) for lang in some])
     assert sum(x == lang for (x, _), lang in zip(got, some)) >= 38
+
+
+def test_encoder_takes_few_calls_a_word():
+    """New words are cut from the library's ids by whole arrays, and known ones become Python strings at once."""
+    import cProfile
+    import pstats
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghinorst") for _ in range(rng.randint(2, 9))) for _ in range(6000)})
+    text, seen = " ".join(words), []
+    e = wavelet_shards.Encoder(WORDS)
+    for _ in range(2):
+        calls = cProfile.Profile()
+        calls.enable()
+        got = e.encode([text], 1)[0]
+        calls.disable()
+        seen.append(pstats.Stats(calls).total_calls / len(words))
+        assert got.tolist() == [*Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids, 1]
+    assert seen[0] < 4 and seen[1] < 1, seen
