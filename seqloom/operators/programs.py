@@ -2,21 +2,27 @@
 
 Steps: key columns, at (whole number, in order), kind, name (what an `assign` sets) and uses (names read, at most 998, in order). Kinds: if, else, end, while;
 assign; anything else only reads. A block that is not ended ends with the program; an `else` or `end` of nothing does nothing.
-Definitions spread over a graph of straight stretches, so rounds grow with the stretches that a definition passes, not with steps.
+Data flow is worked out where a program lies, a name at a time, by the blocks around what reads and sets it; a program has one task, and steps come to it in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .rounds import kept
 
 OPENERS, MARKS = ("if", "while"), ("if", "while", "else", "end")
 #: Places in the text that a step takes: its name is at the first, its uses follow.
 WIDE = 1000
-#: Blocks that a definition passes in one round.
-HOPS = 8
+#: Rows that a task holds before it gives them on, about.
+BATCH = 20_000
 #: Steps of a task, about: it sorts them several ways.
 STEPS = 100_000
 
@@ -89,63 +95,228 @@ def flow(rows: DataFrame, key: list[str]) -> DataFrame:
     return plain.where("target IS NOT NULL AND source <> target").distinct()
 
 
-def occurrences(rows: DataFrame, key: list[str]) -> DataFrame:
-    """key, block, name, place (in the text), turn (in order of evaluation: a step reads before it sets) and sets, for each name of each step."""
-    base = F.col("at") * WIDE
-    read = rows.select(*key, "block", "at", F.posexplode("uses").alias("_i", "name")).select(*key, "block", "name", (base + 1 + F.col("_i")).alias("place"), (base + 1 + F.col("_i")).alias("turn"), F.lit(False).alias("sets"))
-    written = rows.where("kind = 'assign' AND name IS NOT NULL").select(*key, "block", "name", base.alias("place"), (base + WIDE - 1).alias("turn"), F.lit(True).alias("sets"))
-    return read.where("name IS NOT NULL").union(written)
+def _marked(steps: list[tuple]) -> tuple[dict, list, list]:
+    """Of one program's `steps` (at, kind, name, uses): each name's reads and settings in order of evaluation, (turn, code, place, block around); each block's marks, (turn, code, block); the block around each block.
 
+    An `if` reads before it opens and its end after both parts met; a `while` reads each time round, its end inside.
+    """
+    seen, marks, around, stack, turn = {}, [], [], [], 0
+    for at, kind, name, uses in steps:
+        here, place, after = stack[-1] if stack else -1, at * WIDE, None
+        if kind == "if" or kind == "while":
+            new = len(marks)
+            around.append(here)
+            stack.append(new)
+            if kind == "while":
+                marks.append([(turn, WHILE, new)])
+                here, after = new, BODY
+            else:
+                marks.append([])
+                after = IF
+        elif kind == "else" and stack and marks[here][-1][1] == IF:
+            after = ELSE
+        elif kind == "end" and stack:
+            stack.pop()
+            if marks[here][0][1] == WHILE:
+                after = AGAIN
+            else:
+                marks[here].append((turn, END, here))
+                here = around[here]
+        turn += 1
+        for i, use in enumerate(uses or (), 1):
+            if use is not None:
+                seen.setdefault(use, []).append((turn, READ, place + i, here))
+                turn += 1
+        if after is not None:
+            block = here if after == AGAIN else stack[-1]
+            marks[block].append((turn, after, block))
+            turn += 1
+        elif kind == "assign" and name is not None:
+            seen.setdefault(name, []).append((turn, SET, place, here))
+            turn += 1
+    while stack:
+        here = stack.pop()
+        marks[here].append((turn, AGAIN if marks[here][0][1] == WHILE else END, here))
+        turn += 1
+    return seen, marks, around
+
+
+#: What happens to a name, in order: it is read or set; a block opens, turns to its other part, ends; a loop is entered, its body begins, it goes round.
+READ, SET, IF, ELSE, END, WHILE, BODY, AGAIN = range(8)
+
+
+def _rounds(events: list[tuple], gen: list[int]) -> dict[int, int]:
+    """What each loop brings to its own head, as bits: a part of a program adds bits and lets those that come in through or not, so parts are put together from the inside out."""
+    out, stack, g, through = {}, [], 0, True
+    for (_, code, x), bits in zip(events, gen):
+        if code == READ:
+            g |= bits
+        elif code == SET:
+            g, through = bits, False
+        elif code in (IF, WHILE):
+            stack.append((g, through))
+            g, through = 0, True
+        elif code in (ELSE, BODY):
+            stack.append((g, through, code))
+            if code == ELSE:
+                g, through = 0, True
+        else:
+            other = stack.pop() if len(stack[-1]) == 3 else (0, True, ELSE)
+            if code == AGAIN:
+                out[x] = g
+            g, through = g | other[0], through or other[1]
+            before = stack.pop()
+            g, through = g | before[0] if through else g, through and before[1]
+    return out
+
+
+def _states(events: list[tuple], gen: list[int]) -> list[int]:
+    """The bits that come to each of `events`, through any that set nothing."""
+    rounds = _rounds(events, gen) if any(e[1] == WHILE for e in events) else {}
+    out, stack, now = [], [], 0
+    for (_, code, x), bits in zip(events, gen):
+        out.append(now)
+        if code == READ:
+            now |= bits
+        elif code == SET:
+            now = bits
+        elif code == WHILE:
+            now |= rounds[x]
+        elif code in (IF, BODY):
+            stack.append(now)
+        elif code == ELSE:
+            stack[-1], now = now, stack[-1]
+        elif code == END:
+            now |= stack.pop()
+        else:
+            now = stack.pop()
+    return out
+
+
+def _places(bits: int, places: list[int]) -> list[int]:
+    if bits.bit_length() > 1024:
+        return [places[i] for i in np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), np.uint8), bitorder="little"))]
+    out = []
+    while bits:
+        low = bits & -bits
+        out.append(places[low.bit_length() - 1])
+        bits ^= low
+    return out
+
+
+def _sources(events: list[tuple]) -> dict[int, list[int]]:
+    """place -> where it comes from, for each read of one name in `events` (in order). See `data_flow`."""
+    settings = [e[2] for e in events if e[1] == SET]
+    if settings:
+        bits = iter(range(len(settings)))
+        coming = _states(events, [1 << next(bits) if e[1] == SET else 0 for e in events])
+    else:
+        coming = [0] * len(events)
+    # the first read of a straight stretch that nothing above it reaches
+    first, gen, begins = [], [0] * len(events), True
+    for i, (_, code, place) in enumerate(events):
+        if code > SET:
+            begins = True
+        elif begins:
+            begins, low = False, coming[i] & -coming[i]
+            if code == READ and (not low or settings[low.bit_length() - 1] // WIDE >= place // WIDE):
+                gen[i] = 1 << len(first)
+                first.append(place)
+    if not first:
+        return {e[2]: _places(c, settings) for e, c in zip(events, coming) if e[1] == READ}
+    also, real = _states(events, gen), 0
+    for own, other in zip(gen, also):
+        if own and (not other or other & -other >= own):
+            real |= own
+    return {e[2]: sorted(_places(c, settings) + _places(a & real, first)) for e, c, a in zip(events, coming, also) if e[1] == READ}
+
+
+def flow_items(steps: list[tuple]) -> list[tuple]:
+    """place, name, relation, names, sources of one program's steps (at, kind, name, uses, in order), in order of place. See `data_flow`.
+
+    A name's turn looks only at its reads, its settings and the blocks around these, a few times each, however deep the loops are.
+    """
+    seen, marks, around = _marked(steps)
+    found = {}
+    for name, its in seen.items():
+        blocks, events = set(), [e[:3] for e in its]
+        for *_, block in its:
+            while block >= 0 and block not in blocks:
+                blocks.add(block)
+                events += marks[block]
+                block = around[block]
+        if blocks:
+            events.sort()
+        found[name] = _sources(events)
+    items, wanted = [], set()
+    for at, kind, name, uses in steps:
+        used = [(at * WIDE + i, u) for i, u in enumerate(uses or (), 1) if u is not None]
+        if kind == "assign" and name is not None:
+            items.append((at * WIDE, name, "computedFrom", [u for _, u in used], [p for p, _ in used]))
+            wanted.update(items[-1][4])
+        for place, u in used:
+            sources = found[u][place]
+            items.append((place, u, "comesFrom", [u] if sources else [], sources))
+            wanted.update(sources)
+    return [i for i in items if i[4] or i[0] in wanted]
+
+
+def renamed_items(items: list[tuple]) -> list[str]:
+    """The texts of `renamed` for one program's `flow_items`."""
+    numbers: dict[str, str] = {}
+    for _, name, _, names, _ in items:
+        for n in (*names, name):
+            if n not in numbers:
+                numbers[n] = str(len(numbers))
+    return [f"{numbers[name]} {relation} {' '.join([numbers[n] for n in names])}" for _, name, relation, names, _ in items]
+
+
+def each_program(steps: DataFrame, key: list[str], work: Callable[[list[tuple]], list[tuple]], out: StructType) -> DataFrame:
+    """key and the columns of `out`: the rows that `work` makes of the steps (at, kind, name, uses, in order) of each program. Programs without a whole key are left out.
+
+    Programs come to a task one after the other, as batches of steps; it holds one of them and the rows of at most a batch more.
+    """
+    said = [*key, "at", "kind", "name", "uses"]
+    schema = StructType([*[steps.schema[k] for k in key], *out.fields])
+    kinds = [f.type for f in to_arrow_schema(schema)]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, program, rows = None, [], []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for own, step in zip(zip(*columns[: len(key)]), zip(*columns[len(key) :])):
+                if own != now:
+                    if program:
+                        rows += [(*now, *r) for r in work(program)]
+                        if len(rows) >= BATCH:
+                            yield made(rows)
+                            rows = []
+                    now, program = own, []
+                program.append(step)
+        if program:
+            rows += [(*now, *r) for r in work(program)]
+        yield made(rows)
 
-def spread(facts: DataFrame, edges: DataFrame, stops: DataFrame, key: list[str]) -> DataFrame:
-    """key, name, block, source: where the sources of `facts` (the same columns, as they leave a block) come in, through any blocks that are not in `stops` (key, name, block)."""
-    heads = edges.select(*key, F.col("source").alias("block"), F.col("target").alias("_to"))
+    usual = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = steps.select(*said).where(" AND ".join(f"`{k}` IS NOT NULL" for k in key))
+    return whole.repartition(max(usual, -(-steps.count() // STEPS)), *key).sortWithinPartitions(*key, "at").mapInArrow(run, schema)
 
-    def onward(out: DataFrame) -> DataFrame:
-        return out.join(heads, [*key, "block"]).select(*key, "name", F.col("_to").alias("block"), "source").distinct()
 
-    known = fresh = kept(onward(facts))
-    while not fresh.isEmpty():
-        now, found = fresh, None
-        for _ in range(HOPS):
-            now = onward(now.join(stops, [*key, "name", "block"], "left_anti"))
-            found = now if found is None else found.union(now)
-        fresh = kept(found.distinct().join(known, [*key, "name", "block", "source"], "left_anti"))
-        known = known.union(fresh)
-    return known
+#: Columns of data flow, beside the key.
+FLOW = StructType([StructField("place", LongType()), StructField("name", StringType()), StructField("relation", StringType()), StructField("names", ArrayType(StringType())), StructField("sources", ArrayType(LongType()))])
 
 
-def data_flow(rows: DataFrame, key: list[str]) -> DataFrame:
-    """key, place, name, relation, names, sources: what each name of a program comes from, in the rows of `structured`.
+def data_flow(steps: DataFrame, key: list[str]) -> DataFrame:
+    """key, place, name, relation, names, sources: what each name of a program comes from, in `steps` or the rows of `structured`.
 
     A name that is read comes from the places that may have set it last (comesFrom; names has it once, or nothing if there is none); a name that is set is computed from the names its step reads
     (computedFrom). A read that nothing above it reaches stands for the name's setting in what follows. Names from nothing, for nothing, are left out.
     """
-    at = [*key, "name", "block"]
-    edges, seen = kept(flow(rows, key)), kept(occurrences(rows, key))
-    own = F.last(F.when(F.col("sets"), F.col("place")), ignorenulls=True).over(Window.partitionBy(*at).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    seen = kept(seen.withColumn("own", own))
-    stops = seen.where("sets").groupBy(*at).agg(F.max_by("place", "turn").alias("source"))
-    coming = spread(stops.select(*at, "source"), edges.select(*key, "source", "target"), stops.select(*at), key)
-    bare = seen.where("NOT sets AND own IS NULL")
-    earlier = coming.select(*at, F.floor(F.col("source") / WIDE).alias("_at")).groupBy(*at).agg(F.min("_at").alias("_at"))
-    first = bare.groupBy(*at).agg(F.min("place").alias("source")).join(earlier, at, "left")
-    first = kept(first.where(F.col("_at").isNull() | (F.col("_at") >= F.floor(F.col("source") / WIDE))).drop("_at"))
-    also = spread(first.join(stops, at, "left_anti"), edges, stops.select(*at), key)
-    real = kept(first.join(also.withColumnRenamed("source", "_other"), at, "left").groupBy(*at, "source").agg(F.min("_other").alias("_low")).where("_low IS NULL OR _low >= source").drop("_low"))
-    also = also.join(real.select(*key, "name", "source"), [*key, "name", "source"], "left_semi")
-    reached = bare.join(coming.unionByName(also), at).select(*key, "place", "source")
-    nearby = bare.join(real, at).where("place > source").select(*key, "place", "source")
-    inside = seen.where("NOT sets AND own IS NOT NULL").select(*key, "place", F.col("own").alias("source"))
-    sources = reached.union(nearby).union(inside).groupBy(*key, "place").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    none, nothing = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    reads = seen.where("NOT sets").join(sources, [*key, "place"], "left").select(*key, "place", "name", F.lit("comesFrom").alias("relation"), F.when(F.col("sources").isNotNull(), F.array("name")).otherwise(none).alias("names"), F.coalesce("sources", nothing).alias("sources"))
-    base = F.floor(F.col("place") / WIDE).alias("_at")
-    used = seen.where("NOT sets").groupBy(*key, base).agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("_u"))
-    sets = seen.where("sets").withColumn("_at", base).join(used, [*key, "_at"], "left").select(*key, "place", "name", F.lit("computedFrom").alias("relation"), F.coalesce("_u.name", none).alias("names"), F.coalesce("_u.place", nothing).alias("sources"))
-    items = kept(reads.union(sets))
-    wanted = items.select(*key, F.explode("sources").alias("place")).distinct()
-    return items.join(wanted.withColumn("_w", F.lit(True)), [*key, "place"], "left").where("_w OR size(sources) > 0").drop("_w")
+    return each_program(steps, key, flow_items, FLOW)
 
 
 def renamed(items: DataFrame, key: list[str]) -> DataFrame:

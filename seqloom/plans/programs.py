@@ -36,7 +36,7 @@ def _sides(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def data_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each name of each program comes from."""
-    return P.data_flow(P.kept(P.structured(_steps(spark, sf_dir), KEY)), KEY)
+    return P.data_flow(_steps(spark, sf_dir), KEY)
 
 
 def _flow_matches(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Programs as steps: data flow against a walk of nested blocks, subtree hashes against nested names, matches against counters."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -112,6 +113,27 @@ def test_data_flow_equals_a_walk_of_blocks(rows, programs):
         assert got.get(k, {}) == walked(steps), steps
 
 
+def test_data_flow_of_steps_is_that_of_structured_rows_and_takes_no_rounds(spark, programs):
+    """A definition that passes many stretches took a round for each (before, these 60 programs of up to 400 nested blocks did not end in minutes)."""
+    rng = random.Random(5)
+    made = {**programs, **{300 + i: stream(rng, rng.choice([30, 60, 90])) for i in range(60)}}
+    n = 400
+    for i in range(60):  # a name passes all blocks, in and out again and round
+        made[400 + i] = [(0, "assign", "a", []), *[(j, rng.choice(["if", "while"]), None, ["b"] if j % 7 == 0 else []) for j in range(1, n)], (n, "call", None, ["a", "b"]), (n + 1, "assign", "b", ["a"]), *[(j, "end", None, []) for j in range(n + 2, 2 * n + 1)], (2 * n + 1, "call", None, ["b", "a"])]
+    steps = spark.createDataFrame([(k, *s) for k, its in made.items() for s in its], SCHEMA)
+    began, got = time.time(), {}
+    for r in P.data_flow(steps.union(spark.createDataFrame([(None, 0, "assign", "a", ["a"]), (900, 0, "assign", None, None)], SCHEMA)), ["program"]).collect():
+        got.setdefault(r["program"], {})[r["place"]] = (r["name"], r["relation"], list(r["names"]), list(r["sources"]))
+    assert time.time() - began < 60
+    for k, its in made.items():
+        if k < 400:
+            assert got.get(k, {}) == walked(its), its
+        else:
+            assert got[k][n * P.WIDE + 1] == ("a", "comesFrom", ["a"], [0])
+            assert got[k][(2 * n + 1) * P.WIDE + 2] == ("a", "comesFrom", ["a"], [0])
+    assert None not in got and 900 not in got
+
+
 def test_renamed_items_number_names_by_first_mention(spark):
     items = spark.createDataFrame([(1, 1000, "n", "computedFrom", ["m", "k"]), (1, 5, "z", "comesFrom", []), (1, 2000, "k", "comesFrom", ["k"])], "program long, place long, name string, relation string, names array<string>")
     assert sorted(r["item"] for r in P.renamed(items, ["program"]).collect()) == ["0 comesFrom ", "2 comesFrom 2", "3 computedFrom 1 2"]
