@@ -7,6 +7,7 @@ Data flow is worked out where a program lies, a name at a time, by the blocks ar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -271,6 +272,21 @@ def renamed_items(items: list[tuple]) -> list[str]:
     return [f"{numbers[name]} {relation} {' '.join([numbers[n] for n in names])}" for _, name, relation, names, _ in items]
 
 
+def numbered_bag(items: list[str]) -> list[str]:
+    """`items` with their turn among equal ones: two bags share as many items as these lists do."""
+    turn = Counter()
+    out = []
+    for x in items:
+        turn[x] += 1
+        out.append(f"{x}#{turn[x]}")
+    return out
+
+
+def flow_bag(steps: list[tuple]) -> list[tuple]:
+    """One row: the renamed items of a program's data flow, numbered."""
+    return [(numbered_bag(renamed_items(flow_items(steps))),)]
+
+
 def each_program(steps: DataFrame, key: list[str], work: Callable[[list[tuple]], list[tuple]], out: StructType) -> DataFrame:
     """key and the columns of `out`: the rows that `work` makes of the steps (at, kind, name, uses, in order) of each program. Programs without a whole key are left out.
 
@@ -310,6 +326,9 @@ def each_program(steps: DataFrame, key: list[str], work: Callable[[list[tuple]],
 FLOW = StructType([StructField("place", LongType()), StructField("name", StringType()), StructField("relation", StringType()), StructField("names", ArrayType(StringType())), StructField("sources", ArrayType(LongType()))])
 
 
+BAG = StructType([StructField("items", ArrayType(StringType()))])
+
+
 def data_flow(steps: DataFrame, key: list[str]) -> DataFrame:
     """key, place, name, relation, names, sources: what each name of a program comes from, in `steps` or the rows of `structured`.
 

@@ -39,13 +39,20 @@ def data_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.data_flow(_steps(spark, sf_dir), KEY)
 
 
-def _flow_matches(rows: DataFrame) -> DataFrame:
-    return P.bag_matches(*_sides(P.renamed(P.data_flow(rows, KEY), KEY), _pairs(rows)), KEY, "item")
+def _with_references(programs: DataFrame, what: dict[str, str]) -> DataFrame:
+    """`programs` (one row each) that have a program before them, with columns of that one under other names."""
+    w = Window.partitionBy("user_id").orderBy("week")
+    return programs.select("*", F.lag("week").over(w).alias("_before"), *[F.lag(c).over(w).alias(name) for c, name in what.items()]).where("_before IS NOT NULL").drop("_before")
+
+
+def _flow_matches(steps: DataFrame) -> DataFrame:
+    pairs = _with_references(P.each_program(steps, KEY, P.flow_bag, P.BAG), {"items": "reference"}).where("size(reference) > 0")
+    return pairs.select(*KEY, F.size(F.array_intersect("reference", "items")).cast("long").alias("matched"), F.size("reference").cast("long").alias("total"))
 
 
 def dataflow_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-flow items of each program's reference, renamed, that it has too."""
-    return _flow_matches(P.kept(P.structured(_steps(spark, sf_dir), KEY)))
+    return _flow_matches(_steps(spark, sf_dir))
 
 
 def _syntax_matches(rows: DataFrame) -> DataFrame:

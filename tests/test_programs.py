@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import preparation, scoring
 from seqloom.operators import programs as P
+from seqloom.plans import programs as plans
 
 SCHEMA = "program long, at long, kind string, name string, uses array<string>"
 
@@ -152,6 +153,19 @@ def test_matches_by_bags_and_sets(spark):
         assert sets[k] == (sum(n for i, n in a.items() if i in b), sum(a.values()))
 
 
+def test_programs_meet_as_one_row_each(spark):
+    """Bags of items are one row a program and equal `renamed` and `bag_matches` (before, a row an item, and rounds: the job took a minute at sf0.1)."""
+    steps = plans._steps(spark, "/root/testdata/sf0.001")
+    items = P.kept(P.renamed(P.data_flow(steps, plans.KEY), plans.KEY))
+    bags = {(r["user_id"], r["week"]): r["items"] for r in P.each_program(steps, plans.KEY, P.flow_bag, P.BAG).collect()}
+    listed = {}
+    for r in items.collect():
+        listed.setdefault((r["user_id"], r["week"]), Counter())[r["item"]] += 1
+    assert {k: Counter(x.rsplit("#", 1)[0] for x in v) for k, v in bags.items() if v} == listed and all(len(set(v)) == len(v) for v in bags.values())
+    want = {(r["user_id"], r["week"]): (r["matched"], r["total"]) for r in P.bag_matches(*plans._sides(items, plans._pairs(steps)), plans.KEY, "item").collect()}
+    assert {(r["user_id"], r["week"]): (r["matched"], r["total"]) for r in plans._flow_matches(steps).collect()} == want
+
+
 def test_trees_of_programs_have_one_hash_for_each_shape(rows, programs):
     def shapes(steps):
         out = []
