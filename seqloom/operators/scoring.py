@@ -9,16 +9,17 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from .rounds import kept
 from .sequences import running
 
 #: White space as str.strip and str.split see it.
@@ -28,7 +29,7 @@ _BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Reserved words that weigh 1 among 0.2 of the others in the weighted recall.
 KEYWORDS = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while".split()
 #: What text is normalised by before words are counted, in order; marks, and periods, commas and dashes beside digits.
-STRIPPED = (("<skipped>", ""), (r"-\n", ""), (r"\n", " "))
+STRIPPED = (("<skipped>", ""), ("-\n", ""), ("\n", " "))
 ENTITIES = (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&"))
 PARTED = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
 #: Placeholders of literals and what stands for them.
@@ -36,6 +37,8 @@ LITERALS = (("<NUM_LIT>", "0"), ("<STR_LIT>", ""), ("<CHAR_LIT>", ""))
 TINY = sys.float_info.min
 #: Rows whose words a worker holds at once.
 ROWS = 64
+#: Words that a worker counts at once, about, and references that it remembers.
+WORDS, KNOWN = 300_000, 200_000
 
 
 def tokens(text: str) -> Column:
@@ -48,19 +51,52 @@ def split_words(text: str | Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
-def normal_words(text: str | Column) -> Column:
-    """Words as machine translation scores cut them: marks apart, periods, commas and dashes by the digits beside them; lower case."""
+def normal_text(text: str | Column) -> Column:
+    """Text as `normal_words` cuts it: without line breaks and entities, in lower case."""
     out = text if isinstance(text, Column) else F.col(text)
-    for pattern, by in STRIPPED:
-        out = F.regexp_replace(out, pattern, by)
+    for mark, by in STRIPPED:
+        out = F.replace(out, F.lit(mark), F.lit(by))
     for name, mark in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(mark))
-    out = F.lower(F.concat(F.lit(" "), out, F.lit(" ")))
+    return F.lower(F.concat(F.lit(" "), out, F.lit(" ")))
+
+
+def normal_words(text: str | Column) -> Column:
+    """Words as machine translation scores cut them: marks apart, periods, commas and dashes by the digits beside them; lower case."""
+    out = normal_text(text)
     for pattern, by in PARTED:
         out = F.regexp_replace(out, pattern, by)
     return split_words(out)
 
 
+_WORD = re.compile(r"\w+|[^\w \t-\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The patterns of PARTED; in the first, without the space, which stays what it is between words.
+_PARTED = [(re.compile(pattern.replace(" -", "!-")), by.replace("$", "\\")) for pattern, by in PARTED]
+
+
+@lru_cache(1 << 16)
+def _parted(word: str) -> list[str]:
+    """A word between spaces, cut at its periods, commas and dashes."""
+    word = f" {word} "
+    for pattern, by in _PARTED[1:]:
+        word = pattern.sub(by, word)
+    return word.split()
+
+
+def _normal_cut(text: str) -> list[str]:
+    out, (marks, by) = [], _PARTED[0]
+    for word in marks.sub(by, text).split():
+        if word.isalnum():
+            out.append(word)
+        else:
+            out += _parted(word)
+    return out
+
+
+#: Ways to cut text in Python: what the text is made beforehand, and its words. They cut as `tokens`, `split_words` and `normal_words`.
+CUTS: dict[str, tuple[Callable[[str], Column], Callable[[str], list[str]]]] = {"tokens": (F.lower, _WORD.findall), "split": (F.col, str.split), "normal": (normal_text, _normal_cut)}
+
+
 #: A token of program text is a word up to a small letter before a capital one, or a single mark.
 CODE_TOKEN = rf"[A-Z0-9_]++(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)*+|(?:[a-z]++(?:[0-9_][A-Z0-9_]*+)?+)++|[!-/:-@\[-^`{{-~[^A-Za-z0-9_{_BLANK}]]"
 
@@ -182,10 +218,130 @@ def matches(pairs: DataFrame, key: str, most: int = 4) -> DataFrame:
     return whole.where("possible > 0 OR wanted > 0").union(met).groupBy(key, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "possible", "wanted")])
 
 
-def _sizes(rows: DataFrame, key: str) -> DataFrame:
-    """key, hyp_len and the lengths of the references, one row a hypothesis and reference."""
-    one = rows.select(key, F.explode("hypotheses").alias("_h"), "references").select(key, F.size("_h").cast("long").alias("hyp_len"), F.explode("references").alias("_r"))
-    return one.select(key, "hyp_len", F.size("_r.reference").cast("long").alias("n"))
+class _Words:
+    """Numbers of words: those of references, from 0; others are -1."""
+
+    def __init__(self, cut: Callable[[str], list[str]] | None):
+        self.cut, self.known, self.refs = cut, {}, {}
+
+    def reference(self, x: str | list[str] | None) -> np.ndarray:
+        known, text = self.known, self.cut is not None and x is not None
+        if text and x in self.refs:
+            return self.refs[x]
+        found = np.array([known.setdefault(w, len(known)) for w in (self.cut(x) if text else x or ())], np.int64)
+        if text:
+            if len(self.refs) >= KNOWN:
+                self.refs.clear()
+            self.refs[x] = found
+        return found
+
+    def hypothesis(self, x: str | list[str] | None) -> list[int]:
+        get = self.known.get
+        return [get(w, -1) for w in (self.cut(x) if self.cut is not None and x is not None else x or ())]
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(np.cumsum(lengths), lengths)
+
+
+def _counts(n_rows: int, h_row: np.ndarray, h_len: np.ndarray, h: np.ndarray, r_ref: np.ndarray, r_len: np.ndarray, r: np.ndarray, ref_row: np.ndarray, heavy: np.ndarray, light: float, most: int) -> list[np.ndarray]:
+    """m, g, w and v of `parts_of` by row. h_row, h_len: row and words of each hypothesis, h: their words; r_ref, r_len, r: the same of references, by the place of a row's ref in ref_row; heavy: ids of keywords."""
+    whole, bag = max(1, len(heavy)), lambda x, weights, n: np.bincount(x, weights, n) if len(x) else np.zeros(n)
+    h_at, h_end, r_end = np.flatnonzero(h >= 0), _ends(h_len), _ends(r_len)
+    h_id, r_at, r_id, grams = h[h_at], np.arange(len(r)), r, whole
+    h_own, r_own = np.repeat(h_row, h_len), np.repeat(r_ref, r_len)
+    m, g, w, v = ([] for _ in range(4))
+    for n in range(1, most + 1):
+        if n > 1:
+            on, h_on = r_at + n - 1 < r_end[r_at], h_at + n - 1 < h_end[h_at]
+            r_at, r_id, h_at, h_id = r_at[on], r_id[on], h_at[h_on], h_id[h_on]
+            names, r_id = np.unique(r_id * whole + r[r_at + n - 1], return_inverse=True)
+            pair = np.where(h[h_at + n - 1] >= 0, h_id * whole + h[h_at + n - 1], -1)
+            at = np.searchsorted(names, pair)
+            on = at < len(names)
+            on[on] = names[at[on]] == pair[on]
+            h_at, h_id, grams = h_at[on], at[on], max(1, len(names))
+        said, times = np.unique(r_own[r_at] * grams + r_id, return_counts=True)
+        ref, gram = said // grams, said % grams
+        wanted, place = np.unique(ref_row[ref] * grams + gram, return_inverse=True)
+        top = np.zeros(len(wanted), np.int64)
+        np.maximum.at(top, place, times)
+        key = h_own[h_at] * grams + h_id
+        at = np.searchsorted(wanted, key)
+        on = at < len(wanted)
+        on[on] = wanted[at[on]] == key[on]
+        have = np.bincount(at[on], minlength=len(wanted))
+        m.append(bag(wanted // grams, np.minimum(have, top), n_rows).astype(np.int64))
+        g.append(bag(h_row, np.maximum(h_len - n + 1, 0), n_rows).astype(np.int64))
+        weight = np.where(heavy[gram], 1.0, light) if n == 1 and len(gram) else 1.0
+        w.append(bag(ref_row, bag(ref, weight * np.minimum(have[place], times), len(ref_row)), n_rows))
+        full = bag(r_own, np.where(heavy[r], 1.0, light), len(ref_row)) if n == 1 else bag(r_ref, np.maximum(r_len - n + 1, 0), len(ref_row))
+        v.append(bag(ref_row, np.maximum(1.0, full), n_rows))
+    return [*m, *g, *w, *v]
+
+
+def _lengths(hypotheses: list, lengths: list[int], references: list, r_lengths: list[int]) -> list[tuple]:
+    """hyp_len, ref_len and ref_min of a row, for each length of its hypotheses once; 0 stands for a text that is null, and for the closest if a reference is."""
+    if not references:
+        return []
+    there = [n for n, x in zip(r_lengths, references) if x["reference"] is not None]
+    out = dict.fromkeys(None if x is None else n for n, x in zip(lengths, hypotheses))
+    return [(n or 0, min((abs(k - (n or 0)) if n is not None else 0, k) for k in there)[1] if len(there) == len(references) else 0, min(there, default=0)) for n in out]
+
+
+def parts_of(rows: DataFrame, key: str, most: int = 5, keywords: list[str] = KEYWORDS, light: float = 0.2, cut: str | None = None) -> DataFrame:
+    """`bleu_parts` of rows that hold both sides, as `together` makes them, each key once, and w1.., v1..: m and g of `recall_parts`.
+
+    A row's n-grams are counted where it lies, as numbers, and nothing of them moves. `cut`: hypotheses and references are texts, made beforehand as `CUTS` says.
+    """
+    orders = range(1, most + 1)
+    out = StructType([rows.schema[key], *[StructField(c, LongType()) for c in ("hyp_len", "ref_len", "ref_min", *[f"{x}{i}" for x in "mg" for i in orders])], *[StructField(f"{x}{i}", DoubleType()) for x in "wv" for i in orders]])
+    weighty = frozenset(keywords)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(CUTS[cut][1] if cut else None)
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                begin, n_words, sides, refs, lengths, ref_row, r_ref = at, 0, [], [], [], [], []
+                if len(words.known) > 8 * KNOWN:
+                    words = _Words(words.cut)
+                while at < len(batch) and n_words < WORDS:  # some rows at a time
+                    some = batch.slice(at, ROWS)
+                    hypotheses, references = some.column(1).to_pylist(), some.column(2).to_pylist()
+                    told = [[words.reference(x["reference"]) for x in r] for r in references]
+                    for i, (h, r, t) in enumerate(zip(hypotheses, references, told), at - begin):
+                        ids = [words.hypothesis(x) for x in h]
+                        places: dict = {}
+                        for x, k in zip(r, t):
+                            if x["ref"] not in places:
+                                places[x["ref"]] = len(ref_row)
+                                ref_row.append(i)
+                            r_ref.append(places[x["ref"]])
+                            refs.append(k)
+                        sides += [(i, np.array(x, np.int64)) for x in ids]
+                        lengths += [(i, *x) for x in _lengths(h, [len(x) for x in ids], r, [len(k) for k in t])]
+                        n_words += sum(map(len, ids)) + sum(map(len, t))
+                    at += len(some)
+                flat = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays])
+                sized = lambda arrays: np.array([len(x) for x in arrays], np.int64)
+                hs = [x for _, x in sides]
+                heavy = np.zeros(len(words.known), bool)
+                heavy[[words.known[k] for k in weighty if k in words.known]] = True
+                found = _counts(at - begin, np.array([i for i, _ in sides], np.int64), sized(hs), flat(hs), np.array(r_ref, np.int64), sized(refs), flat(refs), np.array(ref_row, np.int64), heavy, light, most)
+                own, *rest = (np.array(c, np.int64) for c in (zip(*lengths) if lengths else [[]] * 4))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at - begin).take(pa.array(own)), *map(pa.array, rest), *[pa.array(c[own]) for c in found]], names=out.names)
+
+    return rows.select(key, "hypotheses", "references").mapInArrow(count, out)
+
+
+def whole_keys(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` (as `together` makes them) with each key once: those of a key that comes again are put together, others stay where they are."""
+    again = kept(rows.select(key).groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return rows
+    one = rows.join(again, key, "left_semi").groupBy(key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hypotheses", "references")])
+    return rows.join(again, key, "left_anti").select(key, "hypotheses", "references").union(one)
 
 
 def bleu_parts(hypotheses: DataFrame, references: DataFrame, key: str, most: int = 5) -> DataFrame:
@@ -196,14 +352,10 @@ def bleu_parts(hypotheses: DataFrame, references: DataFrame, key: str, most: int
     return bleu_parts_of(together(hypotheses, references, key), key, most)
 
 
-def bleu_parts_of(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
-    """`bleu_parts` of rows that hold both sides, as `together` makes them."""
-    orders, zero = range(1, most + 1), F.lit(0).cast("long")
-    met = shared(rows, key, most).select(key, *[F.when(F.col("n") == i, F.least("h", "r")).otherwise(zero).alias(f"m{i}") for i in orders], *[zero.alias(f"g{i}") for i in orders])
-    own = rows.select(key, F.explode("hypotheses").alias("_h")).select(key, *[zero.alias(f"m{i}") for i in orders], *[possible("_h", i).alias(f"g{i}") for i in orders])
-    counts = own.union(met).groupBy(key).agg(*[F.sum(c).alias(c) for c in met.columns if c != key])
-    closest = F.min(F.struct(F.abs(F.col("n") - F.col("hyp_len")), "n"))["n"]
-    return _sizes(rows, key).groupBy(key, "hyp_len").agg(closest.alias("ref_len"), F.min("n").alias("ref_min")).join(counts, key, "left").na.fill(0)
+def bleu_parts_of(rows: DataFrame, key: str, most: int = 5, cut: str | None = None) -> DataFrame:
+    """`bleu_parts` of rows that hold both sides, as `together` makes them, each key once; see `parts_of`."""
+    parts = parts_of(rows, key, most, cut=cut)
+    return parts.select([c for c in parts.columns if c == key or c[0] not in "wv"])
 
 
 def summed(parts: DataFrame) -> DataFrame:
@@ -294,17 +446,14 @@ def recall_parts(hypotheses: DataFrame, references: DataFrame, key: str, keyword
 
 
 def recall_parts_of(rows: DataFrame, key: str, keywords: list[str] = KEYWORDS, light: float = 0.2, most: int = 4) -> DataFrame:
-    """`recall_parts` of rows that hold both sides, as `together` makes them."""
-    weight = F.when(F.col("n") > 1, 1.0).when(F.col("gram").isin(keywords), 1.0).otherwise(light)
-    met = shared(rows, key, most, each=True).select(key, "ref", "n", (weight * F.least("h", "r")).alias("m"), F.lit(0.0).alias("g"))
-    heavy = F.size(F.filter("reference", lambda w: w.isin(keywords)))
-    of = F.when(F.col("n") > 1, possible("reference", F.col("n")).cast("double")).otherwise(F.coalesce(heavy + light * (F.size("reference") - heavy), F.lit(0.0)))
-    each = rows.select(key, F.explode("references").alias("_r")).select(key, "_r.ref", "_r.reference", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).select(key, "ref", "n", F.lit(0.0).alias("m"), of.alias("g"))
-    full = each.union(met).groupBy(key, "ref", "n").agg(F.sum("m").alias("m"), F.greatest(F.lit(1.0), F.sum("g")).alias("g"))
-    at = lambda i, c: F.sum(F.when(F.col("n") == i, F.col(c)))
-    sums = full.groupBy(key).agg(*[at(i, "m").alias(f"m{i}") for i in range(1, most + 1)], *[at(i, "g").alias(f"g{i}") for i in range(1, most + 1)])
-    closest = F.min(F.struct(F.abs(F.col("n") - F.col("hyp_len")), "n"))["n"]
-    return _sizes(rows, key).groupBy(key, "hyp_len").agg(closest.alias("ref_len")).join(sums, key)
+    """`recall_parts` of rows that hold both sides, as `together` makes them, each key once."""
+    return as_recall(parts_of(rows, key, most, keywords, light).select(key, "hyp_len", "ref_len", *[f"{x}{i}" for x in "wv" for i in range(1, most + 1)]))
+
+
+def as_recall(parts: DataFrame) -> DataFrame:
+    """Counts of `parts_of`, with those of recalls as m1.. and g1..."""
+    names = {"w": "m", "v": "g"}
+    return parts.select([F.col(c).alias(names[c[0]] + c[1:]) if c[0] in names and c[1:].isdigit() else F.col(c) for c in parts.columns if c[0] not in "mg" or not c[1:].isdigit()])
 
 
 def recall_score(most: int = 4, epsilon: float = 0.1) -> Column:

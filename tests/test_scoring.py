@@ -138,6 +138,23 @@ def test_corpus_scores(tables):
     assert got["s"] == pytest.approx(penalty(size, ref) * math.exp(log_mean([a / b for a, b in zip(num, den)])))
 
 
+def test_counts_lie_with_their_row(spark, tables):
+    """No n-gram moves, and texts are cut in Python as the columns cut them (before, words were cut by the engine several times and shared n-grams were shuffled)."""
+    pairs, h, r = tables
+    rows = S.together(h, r, "k").persist()
+    rows.count()
+    plan = S.bleu_parts_of(rows, "k")._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    odd = ["a\x1cb\x85c　d", "ÀÉ ß İ ΑΣ. ..,,-1-2 .5 3,000.-4 a.b ,x &quot;q&amp; <skipped>x-\ny {|}~", "", "٣४ ²x _a-b 日本。語", "a_b\u00a0c\u2028d"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    for name, column in (("tokens", S.tokens), ("split", S.split_words), ("normal", S.normal_words)):
+        made, cut = S.CUTS[name]
+        assert [cut(x["t"]) for x in df.select(made("t").alias("t")).collect()] == [x["w"] for x in df.select(column("t").alias("w")).collect()]
+    again = spark.createDataFrame([(1, ["a b c"], [(0, "a b")]), (1, ["b"], [(0, "a b")]), (2, [None], [(0, "a"), (1, None)])], "k long, hypotheses array<string>, references array<struct<ref int, reference string>>")
+    got = sorted((x["k"], x["hyp_len"], x["ref_len"], x["ref_min"], x["m1"], x["g1"], x["m2"], x["w1"], x["v1"]) for x in S.parts_of(S.whole_keys(again, "k"), "k", cut="split").collect())
+    assert got == [(1, 1, 2, 2, 3, 4, 1, pytest.approx(0.6), 1.0), (1, 3, 2, 2, 3, 4, 1, pytest.approx(0.6), 1.0), (2, 0, 0, 1, 0, 0, 0, 0.0, 2.0)]
+
+
 def comments_out(text):
     pattern = re.compile(r"//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|\"(?:\\.|[^\\\"])*\"", re.DOTALL | re.MULTILINE)
     return "\n".join(x for x in pattern.sub(lambda k: " " if k[0].startswith("/") else k[0], text).split("\n") if x.strip())
