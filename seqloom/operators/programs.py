@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -287,6 +288,48 @@ def flow_bag(steps: list[tuple]) -> list[tuple]:
     return [(numbered_bag(renamed_items(flow_items(steps))),)]
 
 
+def blocked(steps: list[tuple]) -> list[tuple]:
+    """One program's steps (at, kind, name, uses) as `structured` has them: with an `end` for each block left open, and skips for marks of nothing."""
+    out, stack, last = [], [], -1
+    for last, kind, name, uses in steps:
+        if kind in OPENERS:
+            stack.append(kind)
+        elif kind == "else":
+            if stack and stack[-1] == "if":
+                stack[-1] = "else"
+            else:
+                kind = "skip"
+        elif kind == "end":
+            if stack:
+                stack.pop()
+            else:
+                kind = "skip"
+        out.append((last, kind, name, uses or []))
+    return out + [(last + i, "end", None, []) for i in range(1, len(stack) + 1)]
+
+
+def tree_hashes(rows: list[tuple], label: Callable[[tuple], str]) -> list[str]:
+    """The `subtree_hashes` of one program's `blocked` rows that have children, and of the whole: names by `label`, as `nodes_of` makes trees."""
+    out: list[str] = []
+
+    def hashed(name: str, below: list[str]) -> str:
+        return md5(f"{name}({','.join(below)})".encode()).hexdigest()
+
+    stack: list[tuple[str, list[str]]] = [("program", [])]
+    for row in rows:
+        kind = row[1]
+        if kind in OPENERS:
+            stack.append((label(row), []))
+        elif kind == "end":
+            name, below = stack.pop()
+            stack[-1][1].append(hashed(name, below))
+            if below:
+                out.append(stack[-1][1][-1])
+        elif kind != "skip":
+            stack[-1][1].append(hashed(label(row), []))
+    return [*out, hashed(*stack[0])]
+
+
 def each_program(steps: DataFrame, key: list[str], work: Callable[[list[tuple]], list[tuple]], out: StructType) -> DataFrame:
     """key and the columns of `out`: the rows that `work` makes of the steps (at, kind, name, uses, in order) of each program. Programs without a whole key are left out.
 

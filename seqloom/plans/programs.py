@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..operators import programs as P
 from ..operators import scoring as S
+from ..operators.rounds import kept
 
 KEY = ["user_id", "week"]
 #: A step's kind, what it sets and reads, from v = the hundredths of an event's value; SQL that both engines read.
@@ -66,23 +69,38 @@ def syntax_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _syntax_matches(P.kept(P.structured(_steps(spark, sf_dir), KEY)))
 
 
+#: Marks around the names of a step: the last stands behind what it reads.
+_MARKS = {"if": ["if", "{"], "while": ["while", "{"], "else": ["}", "else", "{"], "end": ["}"], "call": ["call", ";"], "assign": ["=", ";"]}
+#: One row a program: its words, the hashes of its trees and the numbered items of its data flow.
+_PROFILE = StructType([StructField(c, ArrayType(StringType())) for c in ("words", "trees", "items")])
+
+
+def _profile(steps: list[tuple]) -> list[tuple]:
+    rows, words = P.blocked(steps), []
+    for _, kind, name, uses in rows:
+        if kind in _MARKS:
+            words += [*([name or ""] if kind == "assign" else []), *_MARKS[kind][:-1], *[u or "" for u in uses], _MARKS[kind][-1]]
+    return [(words, P.tree_hashes(rows, lambda r: f"{r[1]}:{len(r[3])}"), *P.flow_bag(steps)[0])]
+
+
+def _found(trees: pd.Series, among: pd.Series) -> pd.Series:
+    return pd.Series([sum(map(set(b).__contains__, a)) for a, b in zip(trees, among)], dtype="int64")
+
+
 def program_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the four matches of all programs with their references, and their weighted sum."""
-    rows = P.kept(P.structured(_steps(spark, sf_dir), KEY))
-    marks = {"if": ["if", "{"], "while": ["while", "{"], "else": ["}", "else", "{"], "end": ["}"], "call": ["call", ";"], "assign": ["=", ";"]}
-    word = lambda k, i: F.array(*[F.lit(x) for x in (marks[k][:i] if i >= 0 else marks[k][i:])])
-    said = F.lit(None).cast("array<string>")
-    for k, w in marks.items():
-        head = F.concat(F.array("name"), word(k, 1)) if k == "assign" else word(k, len(w) - 1)
-        said = F.when(F.col("kind") == k, F.concat(head, F.col("uses"), word(k, -1))).otherwise(said)
-    texts = rows.select(*KEY, "at", said.alias("words")).where("words IS NOT NULL").groupBy(*KEY).agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "words")))["words"]).alias("words"))
-    reference, own = _sides(texts, _pairs(rows))
-    pair = F.concat_ws(" ", *KEY).alias("pair")
-    sides = own.select(pair, F.col("words").alias("hypothesis")), reference.select(pair, F.lit(0).alias("ref"), F.col("words").alias("reference"))
-    ngram = S.summed(S.bleu_parts(*sides, "pair")).select(S.bleu(1).alias("ngram"))
-    weighted = S.summed(S.recall_parts(*sides, "pair")).select(S.recall_score().alias("weighted"))
-    share = lambda t, n: t.agg((F.sum("matched") / F.sum("total")).alias(n))
-    both = ngram.crossJoin(weighted).crossJoin(share(_syntax_matches(rows), "syntax")).crossJoin(share(_flow_matches(rows), "data_flow"))
+    names = {"words": "ref_words", "trees": "ref_trees", "items": "ref_items"}
+    pairs = kept(_with_references(P.each_program(_steps(spark, sf_dir), KEY, _profile, _PROFILE), names))
+    said = pairs.where("size(words) > 0 AND size(ref_words) > 0")  # a program may say nothing
+    sides = said.select(F.concat_ws(" ", *KEY).alias("pair"), F.array("words").alias("hypotheses"), F.array(F.struct(F.lit(0).alias("ref"), F.col("ref_words").alias("reference"))).alias("references"))
+    parts = S.parts_of(sides, "pair")
+    one = kept(parts.agg(*[F.sum(c).alias(c) for c in parts.columns if c != "pair"]))
+    found = F.pandas_udf(_found, LongType())
+    shares = pairs.agg(
+        (F.sum(found("ref_trees", "trees")) / F.sum(F.size("ref_trees"))).alias("syntax"),
+        (F.sum(F.size(F.array_intersect("ref_items", "items"))) / F.nullif(F.sum(F.size("ref_items")), F.lit(0))).alias("data_flow"),
+    )
+    both = one.select(S.bleu(1).alias("ngram")).crossJoin(S.as_recall(one).select(S.recall_score().alias("weighted"))).crossJoin(shares)
     scores = ("ngram", "weighted", "syntax", "data_flow")
     return both.select(*[F.round(c, 9).alias(c) for c in scores], F.round(S.code_score(*[F.coalesce(c, F.lit(0.0)) for c in scores]), 9).alias("code_score"))
 

@@ -1,9 +1,11 @@
 """Programs as steps: data flow against a walk of nested blocks, subtree hashes against nested names, matches against counters."""
 
+import datetime
 import random
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +199,32 @@ def test_trees_of_programs_have_one_hash_for_each_shape(rows, programs):
         assert common, shape
 
 
+def test_trees_of_one_program_are_those_of_all(spark, rows, programs):
+    """Where a program lies, its trees come from one walk (before, rounds of joins up to the highest tree)."""
+    nodes = P.nodes_of(rows, ["program"], F.concat("kind", F.lit(":"), F.size("uses").cast("string")))
+    want = {}
+    for r in P.subtree_hashes(nodes, ["program"]).where("inner OR parent IS NULL").collect():
+        want.setdefault(r["program"], Counter())[r["hash"]] += 1
+    assert {k: Counter(P.tree_hashes(P.blocked(s), lambda r: f"{r[1]}:{len(r[3])}")) for k, s in programs.items()} == want
+    kinds = {}
+    for r in rows.select("program", "at", "kind").collect():
+        kinds.setdefault(r["program"], []).append((r["at"], r["kind"]))
+    assert {k: [(at, kind) for at, kind, *_ in P.blocked(s)] for k, s in programs.items()} == {k: sorted(v) for k, v in kinds.items()}
+    deep = [(i, "while", None, []) for i in range(50_000)]
+    assert len(P.tree_hashes(P.blocked(deep), lambda r: r[1])) == 50_000 and P.flow_items(deep) == []
+
+
+def test_scores_leave_out_programs_that_say_nothing(spark, tmp_path):
+    rng, at = random.Random(9), datetime.datetime(2024, 1, 1)
+    steps = [(u, w, 0.02 if (u, w) in ((0, 1), (1, 0), (2, 2)) else rng.randint(0, 30_000) / 100 + 0.001) for u in range(4) for w in range(3) for _ in range(12)]
+    spark.createDataFrame([(i, at + datetime.timedelta(days=7 * w, seconds=i), u, v) for i, (u, w, v) in enumerate(steps)], "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    other = duckdb.connect()
+    other.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = other.sql(plans.ORACLES["program_scores"])
+    got = plans.program_scores(spark, str(tmp_path)).first()
+    assert [got[c] for c in want.columns] == pytest.approx(list(want.fetchall()[0]), abs=2e-9)
+
+
 def test_hashes_of_written_trees(spark):
     mark = "\U0001f680"
     rng = random.Random(11)
